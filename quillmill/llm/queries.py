@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmill.llm import near_duplicates
+from quillmill.llm import layout_copies, near_duplicates, one_form, pieces
 from quillmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +23,63 @@ def query(f: Callable) -> Callable:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of versions among the sentences."""
     return near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "sentences"), tenths=6)
+
+
+_C = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')"
+_K = f"""CASE WHEN contains(text, '|') OR contains(text, '｜')
+  THEN list_sort(list_filter(list_transform(string_split_regex(text, '[|｜]'), lambda f: {_C.format("f")}), lambda f: f <> '')) || ['|']
+  ELSE [{_C.format("text")}] END"""
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that are another one laid out differently."""
+    return layout_copies.layout_copies(table(spark, sf_dir, "sentences"))
+
+
+SQL["p4_found"] = f"""
+WITH s AS (SELECT DISTINCT sent_id, {_K} AS k FROM sentences WHERE length({_C.format("text")}) >= 12),
+g AS (SELECT k, min(sent_id) AS keep_id FROM s GROUP BY k)
+SELECT keep_id, sent_id AS copy_id FROM s JOIN g USING (k) WHERE sent_id <> keep_id"""
+
+
+@query
+def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sentence per distinct content, with the number of its copies."""
+    return layout_copies.collapsed(table(spark, sf_dir, "sentences"))
+
+
+SQL["p4_collapsed"] = f"""
+WITH s AS (SELECT DISTINCT sent_id, {_K} AS k FROM sentences WHERE length({_C.format("text")}) >= 1)
+SELECT min(sent_id) AS keep_id, count(*) AS copies FROM s GROUP BY k"""
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_form.source(table(spark, sf_dir, "sentences"), "sentences", "sent_id", "text").unionByName(one_form.source(table(spark, sf_dir, "column_corpus"), "column_corpus", "sentence_id", "text"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that look the same and are stored with other characters."""
+    return one_form.look_alike_pairs(_both(spark, sf_dir))
+
+
+@query
+def p5_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of both tables in the one form."""
+    return one_form.canonical_texts(_both(spark, sf_dir))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that are cut."""
+    return pieces.split_texts(table(spark, sf_dir, "sentences")).select(F.col("id").alias("sent_id")).distinct()
+
+
+SQL["p6_found"] = "SELECT DISTINCT sent_id FROM sentences WHERE length(text) > 300"
+
+
+@query
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all long sentences."""
+    return pieces.split_texts(table(spark, sf_dir, "sentences")).withColumnRenamed("id", "sent_id")
