@@ -173,3 +173,10 @@ def shared_trigrams(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nd
     count = lambda k: np.bincount((k >> U64(3 * bits)).astype(np.int64), minlength=rows)
     inter = count(twice)
     return inter, count(ka) + count(kb) - inter
+
+
+def take_rows(codes: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The named rows, in that order, with repeats."""
+    size = np.diff(offs)[rows]
+    new = np.concatenate([[0], np.cumsum(size)])
+    return codes[np.arange(new[-1]) + np.repeat(offs[:-1][rows] - new[:-1], size)], new
