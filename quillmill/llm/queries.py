@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import layout_copies, near_duplicates, one_form, pieces
+from quillmill.llm import cross_split, layout_copies, leaks, mixture, near_duplicates, one_form, pieces, term_counts
 from quillmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,50 @@ def query(f: Callable) -> Callable:
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and a dev or test sentence."""
+    pairs = cross_split.CrossSplit(table(spark, sf_dir, "column_corpus")).pairs()
+    return pairs.select(F.least("id_held", "id_train").alias("id_a"), F.greatest("id_held", "id_train").alias("id_b")).distinct()
+
+
+@query
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    df = table(spark, sf_dir, "column_corpus")
+    return cross_split.report(df, cross_split.CrossSplit(df).pairs())
+
+
+@query
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each evaluation sentence the training split covers."""
+    return cross_split.CrossSplit(table(spark, sf_dir, "column_corpus")).coverage()
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms too rare or too common to be useful."""
+    return term_counts.term_counts(table(spark, sf_dir, "column_corpus")).filter("mark IS NOT NULL").select("term", "mark")
+
+
+_TERMS = """
+WITH s AS (SELECT DISTINCT sentence_id, text FROM column_corpus WHERE text IS NOT NULL),
+t AS (SELECT sentence_id, unnest(string_split(text, ' ')) AS term FROM s),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT sentence_id) AS records FROM t WHERE term <> '' GROUP BY term),
+m AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records * 100 > 5 * (SELECT count(*) FROM s) THEN 'common' END AS mark FROM c)
+"""
+SQL["p2_found"] = _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL"
+
+
+@query
+def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms with their counts."""
+    return term_counts.term_counts(table(spark, sf_dir, "column_corpus"))
+
+
+SQL["p2_terms"] = _TERMS + "SELECT term, occurrences, records, mark FROM m"
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of versions among the sentences."""
@@ -83,3 +127,27 @@ SQL["p6_found"] = "SELECT DISTINCT sent_id FROM sentences WHERE length(text) > 3
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all long sentences."""
     return pieces.split_texts(table(spark, sf_dir, "sentences")).withColumnRenamed("id", "sent_id")
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a held-out passage in one run."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with up to two edits in the stretch."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2)
+
+
+@query
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each use of a document in the mixture."""
+    return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).uses()
+
+
+@query
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares wanted and reached."""
+    return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report()
