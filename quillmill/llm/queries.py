@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import cross_split, layout_copies, leaks, mixture, near_duplicates, one_form, pieces, term_counts
+from quillmill.llm import cross_split, layout_copies, leaks, mixture, near_duplicates, one_form, personal_details, pieces, term_counts
 from quillmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,15 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares wanted and reached."""
     return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report()
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal details of each document."""
+    return personal_details.details(table(spark, sf_dir, "documents")).select("doc_id", "kind", "found").distinct()
+
+
+@query
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with placeholders for personal details."""
+    return personal_details.redacted(table(spark, sf_dir, "documents"))
