@@ -31,8 +31,11 @@ from quillmill.session import cut, free_shuffles
 
 RUN = 5  # characters of a routing run
 FAN = 8  # children of a tree node
-BUCKETS = 1 << 20  # of the table of run counts
-HEAVY = 1 / 4000  # share of the representatives from which a run counts as frequent
+BITS = 22
+BUCKETS = 1 << BITS  # of the table of run counts
+HEAVY = 1 / 20_000  # share of the representatives from which a run counts as frequent
+WORDS = 8  # 64-bit words of a full bitmap
+CHUNK = 30_000  # representatives that a worker routes at a time
 TREE_CAP = 30_000  # a tree expected to hold more is built in parts that are traversed pairwise
 FRONTIER = 1_000_000  # node pairs held at a time
 LOW, HIGH = 12, 300
@@ -66,23 +69,16 @@ def core_rows(df: DataFrame, id_col: str, text_col: str, low: int = LOW, high: i
     return df.select(id_col, text_col).mapInArrow(_cores(id_col, text_col, low, high, with_text), schema)
 
 
-def _runs(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of each row: (row, hash), sorted by row."""
-    h, go = cp.gram_hashes(c, o, RUN)
-    row = cp.row_of(go)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    if len(h):
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
-        row, h = row[new], h[new]
-    return row, h
+def _first(x: np.ndarray) -> np.ndarray:
+    """Marks the first of equal neighbours."""
+    return np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, rows, runs = np.zeros(BUCKETS, np.int64), 0, 0
     for batch in batches:
         h, _ = cp.gram_hashes(*cp.flatten(batch["c"]), RUN)
-        total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+        total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
         rows, runs = rows + batch.num_rows, runs + len(h)
     at = np.flatnonzero(total >= max(4, 2 * runs / BUCKETS + rows * HEAVY / 2))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[runs, rows], total[at]]))], names=["bucket", "n"])
@@ -94,32 +90,40 @@ def run_levels(reps: DataFrame) -> tuple[np.ndarray, int, int]:
     All rows are counted. Buckets below half the bound in a partition aren't sent, so that a count may be too low; the levels
     only give the order in which runs are taken, any order is right. At most BUCKETS small rows come to the driver.
     """
-    got = reps.mapInArrow(_count_runs, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    n = {r["bucket"]: r["n"] for r in got}
-    rows, runs = n.pop(-1, 0), n.pop(-2, 0)
+    got = reps.mapInArrow(_count_runs, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    rows, runs = (int(n[bucket == k].sum()) for k in (-1, -2))
+    return levels_of(bucket[bucket >= 0], n[bucket >= 0], rows, runs), rows, runs
+
+
+def levels_of(bucket: np.ndarray, n: np.ndarray, rows: int, runs: int) -> np.ndarray:
     level = np.zeros(BUCKETS, np.uint8)
-    for bucket, count in n.items():
-        if count >= max(8, rows * HEAVY + 2 * runs / BUCKETS):
-            level[bucket] = min(40, 1 + int(np.log2(count / max(1.0, rows * HEAVY))) if count > rows * HEAVY else 1)
-    return level, rows, runs
+    often = n >= max(8, rows * HEAVY + 2 * runs / BUCKETS)
+    level[bucket[often]] = np.clip(1 + np.log2(n[often] / max(1.0, rows * HEAVY)), 1, 40)
+    return level
 
 
 def _bitmaps(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words with the bits of the 3-character pieces of each row, and the number of distinct pieces."""
+    """Bitmaps of 512 bits of the 3-character pieces of each row (of at most 2**16 rows), and the number of distinct pieces."""
     h, go = cp.gram_hashes(c, o, 3)
-    row = cp.row_of(go)
-    bit = np.uint64(1) << (h & np.uint64(63))
-    word = ((h >> np.uint64(6)) & np.uint64(1)).astype(bool)
-    out = np.zeros((len(o) - 1, 2), np.uint64)
-    full = np.diff(go) > 0
-    if full.any():
-        starts = go[:-1][full]
-        for w in (0, 1):
-            out[full, w] = np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), starts)
-    order = np.lexsort((h, row))
-    r, x = row[order], h[order]
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])]) if len(x) else np.zeros(0, bool)
-    return out, np.bincount(r[new], minlength=len(o) - 1)
+    key = cp.row_of(go).astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
+    key.sort()
+    key = key[_first(key)]
+    cell = (key >> np.uint64(45)).astype(np.int64)  # row and word
+    out = np.zeros((len(o) - 1) * WORDS, np.uint64)
+    start = np.flatnonzero(_first(cell))
+    if len(start):
+        out[cell[start]] = np.bitwise_or.reduceat(np.uint64(1) << (key & np.uint64(63)), start)
+    return out.reshape(-1, WORDS), np.bincount(cell // WORDS, minlength=len(o) - 1)
+
+
+def _widths(pieces: np.ndarray) -> np.ndarray:
+    """Words of the bitmap that is sent for a record of so many pieces; a narrower one is the OR of the parts of the full one."""
+    return np.where(pieces <= 40, 1, np.where(pieces <= 128, 4, WORDS))
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(len(bits), bits.shape[1] // words, words), axis=1)
 
 
 def _route(t: float, parts: int, level: np.ndarray, rows: int):
@@ -131,39 +135,41 @@ def _route(t: float, parts: int, level: np.ndarray, rows: int):
         at = np.repeat(o[:-1][order] - np.concatenate([[0], np.cumsum(size[order])])[:-1], size[order]) + np.arange(len(c))
         ids, c, o = ids[order], c[at], np.concatenate([[0], np.cumsum(size[order])])
         bits, pieces = _bitmaps(c, o)
-        row, h = _runs(c, o)
-        lv = level[(h >> np.uint64(44)).astype(np.int64)]
-        order = np.lexsort((h & np.uint64((1 << 44) - 1), lv, row))
-        row, h, lv = row[order], h[order], lv[order]
+        width = _widths(pieces)
+        four, one = _fold(bits, 4), _fold(bits, 1)[:, 0]
+        h, go = cp.gram_hashes(c, o, RUN)
+        lv = level[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+        # row, level and 42 bits of the hash in one number: its order is the order in which runs are taken
+        run = cp.row_of(go).astype(np.uint64) << np.uint64(48) | lv.astype(np.uint64) << np.uint64(42) | h & np.uint64((1 << 42) - 1)
+        run.sort()
+        run = run[_first(run)]
+        row = (run >> np.uint64(48)).astype(np.int64)
         have = np.bincount(row, minlength=len(ids))
         rank = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
-        take = np.minimum(have, np.floor(lose * pieces).astype(np.int64) + 2)
-        ok = rank < take[row]
-        row, h, lv = row[ok], h[ok], lv[ok]
+        ok = rank < np.floor(lose * pieces).astype(np.int64)[row] + 2
+        row, h, lv = row[ok], run[ok] & np.uint64((1 << 42) - 1), (run[ok] >> np.uint64(42) & np.uint64(63)).astype(np.int64)
         # trees that would be too large are built in parts; a record enters each pair of parts that holds its own
-        expected = np.where(lv > 0, rows * HEAVY * np.exp2(lv.astype(float)), 0)
-        split = np.maximum(1, np.ceil(expected / TREE_CAP)).astype(np.int64)
+        split = np.maximum(1, np.ceil(np.where(lv > 0, rows * HEAVY * np.exp2(lv), 0) / TREE_CAP)).astype(np.int64)
         if (split > 1).any():
             own = (cp.mix(ids.view(np.uint64))[row] % split.astype(np.uint64)).astype(np.int64)
-            n = split
-            again = np.repeat(np.arange(len(row)), n)
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            again = np.repeat(np.arange(len(row)), split)
+            j = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
             lo, hi = np.minimum(own[again], j), np.maximum(own[again], j)
-            row, h = row[again], np.where(n[again] > 1, cp.mix(h[again] + (lo * 65536 + hi).astype(np.uint64)), h[again])
-        part = (h % np.uint64(parts)).astype(np.int64)
-        key = ((h // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((row, part))
-        row, key, part = row[order], key[order], part[order]
+            row, h = row[again], np.where(split[again] > 1, h[again] + (lo * 65536 + hi).astype(np.uint64), h[again])
+        h = cp.mix(h)
+        entry = (h % np.uint64(parts)) << np.uint64(48) | row.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+        entry.sort()
+        part, row, key = (entry >> np.uint64(48)).astype(np.int64), (entry >> np.uint64(32)).astype(np.int64) & 0xFFFF, entry.astype(np.uint32)
         edges = np.searchsorted(part, np.arange(parts + 1))
         for p in range(parts):
             lo, hi = edges[p], edges[p + 1]
             if lo == hi:
                 continue
-            mine, count = np.unique(row[lo:hi], return_counts=True)
-            narrow = pieces[mine] <= 48
-            fold = bits[mine, 0] | bits[mine, 1]
+            start = np.flatnonzero(_first(row[lo:hi]))
+            mine, count = row[lo:hi][start], np.diff(np.append(start, hi - lo))
+            w = width[mine]
             step = np.diff(ids[mine], prepend=0)
-            body = [np.array([len(mine), hi - lo, (~narrow).sum()], np.int64), step.astype(np.int64), pieces[mine].astype(np.uint16), count.astype(np.uint16), np.where(narrow, fold, bits[mine, 0]), bits[mine, 1][~narrow], key[lo:hi]]
+            body = [np.array([len(mine), hi - lo, (w == 4).sum(), (w == WORDS).sum()], np.int64), step.astype(np.int64), pieces[mine].astype(np.uint16), count.astype(np.uint16), one[mine[w == 1]], four[mine[w == 4]], bits[mine[w == WORDS]], key[lo:hi]]
             yield p, zstandard.compress(b"".join(x.tobytes() for x in body), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +181,10 @@ def _route(t: float, parts: int, level: np.ndarray, rows: int):
             p, b = zip(*blobs(ids, c, o), strict=True) if len(ids) else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["p", "blob"])
 
-        for batch in batches:
+        for batch in (x.slice(at, CHUNK) for x in batches for at in range(0, x.num_rows, CHUNK)):
             held.append(batch)
             n += batch.num_rows
-            if n >= 50_000:
+            if n >= CHUNK:
                 yield from out()
                 held, n = [], 0
         if n:
@@ -192,32 +198,38 @@ class _Part:
 
     def __init__(self, blobs: list[bytes]):
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-        base = 0
+        wide, base = [], 0
         for blob in blobs:
             raw = zstandard.decompress(blob)
-            n, entries, wide = np.frombuffer(raw, np.int64, 3)
-            at = 24
+            n, entries, fours, full = np.frombuffer(raw, np.int64, 4).tolist()
+            at = 32
             got = []
-            for kind, count in ((np.int64, n), (np.uint16, n), (np.uint16, n), (np.uint64, n), (np.uint64, wide), (np.uint32, entries)):
+            ones = n - fours - full
+            for kind, count in ((np.int64, n), (np.uint16, n), (np.uint16, n), (np.uint64, ones), (np.uint64, 4 * fours), (np.uint64, WORDS * full), (np.uint32, entries)):
                 got.append(np.frombuffer(raw, kind, count, at))
                 at += got[-1].nbytes
-            step, size, count, w0, w1, key = got
-            narrow = size <= 48
-            full = np.zeros((n, 2), np.uint64)
-            full[:, 0] = w0
-            full[~narrow, 1] = w1
-            for k, x in enumerate((np.cumsum(step), size.astype(np.int32), full, np.repeat(np.arange(n), count) + base, key)):
+            step, size, count, w1, w4, w8, key = got
+            width = _widths(size)
+            four, one = np.zeros((n, 4), np.uint64), np.empty(n, np.uint64)
+            w4, w8 = w4.reshape(-1, 4), w8.reshape(-1, WORDS)
+            four[width == 4], four[width == WORDS] = w4, _fold(w8, 4)
+            one[width == 1], one[width > 1] = w1, _fold(four[width > 1], 1)[:, 0]
+            wide.append(w8)
+            for k, x in enumerate((np.cumsum(step), size.astype(np.int32), four, one, np.stack([np.repeat(np.arange(n), count) + base, key]))):
                 cols[k].append(x)
             base += n
-        self.ids, self.size, self.bits, row, key = (np.concatenate(x) for x in cols)
-        self.narrow = self.size <= 48
-        self.fold = self.bits[:, 0] | self.bits[:, 1]
-        ones = np.bitwise_count
-        self.slack = np.maximum(self.size - ones(self.fold), 0).astype(np.int32)
-        order = np.lexsort((self.fold[row], self.size[row], key))
-        key, row = key[order], row[order]
+        self.ids, self.size, self.four, self.one = (np.concatenate(x) for x in cols[:4])
+        row, key = np.concatenate(cols[4], axis=1)
+        self.width = _widths(self.size)
+        self.full = np.concatenate(wide)
+        self.place = np.cumsum(self.width == WORDS) - 1
+        self.slack = np.maximum(self.size - np.bitwise_count(self.one), 0).astype(np.int32)
+        # by run, size and bitmap: alike records come to lie in one node
+        by = key.astype(np.uint64) << np.uint64(32) | self.size[row].astype(np.uint64) << np.uint64(20) | self.one[row] >> np.uint64(44)
+        order = np.argsort(by)
+        key, row = key[order], row[order].astype(np.int32)
         if len(key):  # a run that one record holds has no tree
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            start = np.flatnonzero(_first(key))
             n = np.diff(np.append(start, len(key)))
             ok = np.repeat(n > 1, n)
             key, row = key[ok], row[ok]
@@ -225,9 +237,9 @@ class _Part:
 
     def levels(self) -> list[dict]:
         """The trees, level by level: level 0 are the records, ordered by size within each tree."""
-        start = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(self.key) else np.zeros(0, np.int64)
+        start = np.flatnonzero(_first(self.key))
         edge = np.append(start, len(self.key))
-        level = {"or": self.fold[self.row], "lo": self.size[self.row], "hi": self.size[self.row], "slack": self.slack[self.row], "edge": edge, "child": None}
+        level = {"or": self.one[self.row], "lo": self.size[self.row], "hi": self.size[self.row], "slack": self.slack[self.row], "edge": edge, "child": None}
         out = [level]
         while (n := np.diff(level["edge"])).size and n.max() > 1:
             nodes = -(-n // FAN)
@@ -249,51 +261,57 @@ class _Part:
         kept = 0
         while stack:
             depth, x, y = stack.pop()
-            if len(x) > FRONTIER:
-                half = len(x) // 2
-                stack += [(depth, x[:half], y[:half]), (depth, x[half:], y[half:])]
-                continue
             if depth == 0:
-                found.append(self.leaves(self.row[x], self.row[y], need, t))
+                found.append(self.leaves(self.row[x], self.row[y], need))
                 kept += len(found[-1])
                 if kept > 8 * FRONTIER:
                     found, kept = [np.unique(np.concatenate(found))], 0
                 continue
             up, down = levels[depth], levels[depth - 1]
-            nx, ny = np.diff(up["child"])[x], np.diff(up["child"])[y]
+            wide = np.diff(up["child"])
+            nx, ny = wide[x], wide[y]
             n = nx * ny
-            again = np.repeat(np.arange(len(x)), n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            cx, cy = up["child"][x][again] + k // ny[again], up["child"][y][again] + k % ny[again]
-            ok = cx < cy if depth == 1 else cx <= cy
-            cx, cy = cx[ok], cy[ok]
+            total = int(n.sum())
+            if total > FRONTIER and len(x) > 1:
+                half = len(x) // 2
+                stack += [(depth, x[:half], y[:half]), (depth, x[half:], y[half:])]
+                continue
+            k = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            by = np.repeat(ny, n)
+            cx = np.repeat(up["child"][x], n) + k // by
+            cy = np.repeat(up["child"][y], n) + k % by
             # records are ordered by size within a tree: cy's are the larger ones
-            ok = down["hi"][cx] >= t * down["lo"][cy]
-            cx, cy = cx[ok], cy[ok]
-            shared = np.bitwise_count(down["or"][cx] & down["or"][cy]).astype(np.int32) + np.minimum(down["slack"][cx], down["slack"][cy])
-            ok = shared >= need * (down["lo"][cx] + down["lo"][cy]) - 1e-6
+            low, high = down["lo"][cx], down["lo"][cy]
+            ok = (cx < cy if depth == 1 else cx <= cy) & (down["hi"][cx] >= t * high)
+            cx, cy, low, high = cx[ok], cy[ok], low[ok], high[ok]
+            shared = np.bitwise_count(down["or"][cx] & down["or"][cy]) + np.minimum(down["slack"][cx], down["slack"][cy])
+            ok = shared >= need * (low + high) - 1e-6
             cx, cy = cx[ok], cy[ok]
             if len(cx):
                 stack.append((depth - 1, cx, cy))
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def leaves(self, x: np.ndarray, y: np.ndarray, need: float, t: float) -> np.ndarray:
+    def leaves(self, x: np.ndarray, y: np.ndarray, need: float) -> np.ndarray:
+        """Records that may reach the threshold: at most |a| less the bits of a that b lacks can be shared."""
+
+        def test(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            sx, sy = self.size[x], self.size[y]
+            lost = lambda p, q: np.bitwise_count(p & ~q) if p.ndim == 1 else np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int32)
+            return np.minimum(sx - lost(a, b), sy - lost(b, a)) >= need * (sx + sy) - 1e-6
+
         ok = x != y
         x, y = x[ok], y[ok]
-        sx, sy = self.size[x], self.size[y]
-        least = need * (sx + sy) - 1e-6
-
-        def bound(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
-            return np.minimum(sa - np.bitwise_count(a & ~b).astype(np.int32), sb - np.bitwise_count(b & ~a).astype(np.int32))
-
-        ok = bound(self.fold[x], self.fold[y], sx, sy) >= least
-        x, y, sx, sy, least = x[ok], y[ok], sx[ok], sy[ok], least[ok]
-        wide = ~(self.narrow[x] | self.narrow[y])
-        if wide.any():
-            a, b = self.bits[x], self.bits[y]
-            lost = lambda p, q: (np.bitwise_count(p[:, 0] & ~q[:, 0]).astype(np.int32) + np.bitwise_count(p[:, 1] & ~q[:, 1]))
-            ok = ~wide | (np.minimum(sx - lost(a, b), sy - lost(b, a)) >= least)
-            x, y = x[ok], y[ok]
+        ok = test(x, y, self.one[x], self.one[y])
+        x, y = x[ok], y[ok]
+        least = np.minimum(self.width[x], self.width[y])
+        for words, bits, place in ((4, self.four, None), (WORDS, self.full, self.place)):
+            at = np.flatnonzero(least >= words)
+            if len(at):
+                u, v = x[at], y[at]
+                good = test(u, v, bits[u if place is None else place[u]], bits[v if place is None else place[v]])
+                ok = np.ones(len(x), bool)
+                ok[at[~good]] = False
+                x, y, least = x[ok], y[ok], least[ok]
         return np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y)
 
 
@@ -321,7 +339,7 @@ def candidates(reps: DataFrame, t: float, entries_per_part: int = 1_000_000) ->
     level, rows, runs = run_levels(reps)
     lose = 2 * (1 - t) / (1 + t)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4, min(width, 12), int(np.ceil(runs * lose / entries_per_part)))
+    parts = min(65_000, max(4, min(width, 12), int(np.ceil(runs * lose / entries_per_part))))
     routed = reps.select("rid", "c").mapInArrow(_route(t, parts, level, rows), "p int, blob binary")
     return routed.groupBy("p").applyInArrow(_join(t), "id_a bigint, id_b bigint").distinct()
 
