@@ -1,6 +1,782 @@
-"""All queries on the general operators and their SQL."""
+"""All queries on the general operators and their SQL. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.operators import corpus, metrics, sequences, similarity, tags, text, trees, vectors
+from quillmill.operators.ranking import global_rank
+from quillmill.session import table
+from quillmill.sources import registry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def keep(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---- shared sources: rows delivered twice count once ----
+
+CC = "cc AS (SELECT DISTINCT sentence_id, corpus, split, source, text, punct, lang FROM column_corpus)"
+SE = "se AS (SELECT sent_id, min(book_id) AS book_id, min(path) AS path, min(pos) AS pos, min(text) AS text, min(lang) AS lang FROM sentences GROUP BY sent_id)"
+TOK = CC + """,
+tw AS (SELECT sentence_id, split, corpus, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM cc WHERE text IS NOT NULL),
+tok AS (SELECT sentence_id, split, corpus, unnest(range(1, len(w) + 1)) AS idx, unnest(w) AS token FROM tw)"""
+GP = "gp AS (SELECT DISTINCT sent_id, idx, gold, pred, score FROM gold_pred)"
+
+
+def ints(sql: str, *cols: str) -> str:
+    """Sums as BIGINT."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in cols)}) FROM ({sql})"
+
+
+def cc(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "column_corpus").select("sentence_id", "corpus", "split", "source", "text", "punct", "lang").distinct()
+
+
+def se(spark: SparkSession, d: str) -> DataFrame:
+    cols = ("book_id", "path", "pos", "text", "lang")
+    return table(spark, d, "sentences").groupBy("sent_id").agg(*[F.min(c).alias(c) for c in cols])
+
+
+def tok(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.tokens(cc(spark, d), ["sentence_id", "split", "corpus"])
+
+
+def gp(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gold_pred").distinct()
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+_TAG = "CASE substr(md5({0}), 1, 1) WHEN '0' THEN 'B-PER' WHEN '1' THEN 'B-PER' WHEN '2' THEN 'I-PER' WHEN '3' THEN 'B-LOC' WHEN '4' THEN 'I-LOC' WHEN '5' THEN 'I-LOC' WHEN '6' THEN 'I-PER' ELSE 'O' END"
+_GOLD, _PRED = _TAG.format("token"), _TAG.format("concat(token, ':', CAST(idx AS VARCHAR(20)))")
+_SCORE = "instr('0123456789abcdef', substr(md5(token), 2, 1)) / CAST(16 AS DOUBLE)"
+BIO = TOK + f", bio AS (SELECT sentence_id, idx, token AS text, {_GOLD} AS tag, {_PRED} AS pred, {_SCORE} AS score FROM tok)"
+KEY = ["sentence_id"]
+
+
+def bio(spark: SparkSession, d: str) -> DataFrame:
+    return tok(spark, d).select("sentence_id", "idx", F.col("token").alias("text"), F.expr(_GOLD).alias("tag"), F.expr(_PRED).alias("pred"), F.expr(_SCORE).alias("score"))
+
+
+# ---- text ----
+
+_WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
+_NORM = rf"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_NORM} AS text FROM documents")
+def normalize_ws(spark, d):
+    return docs(spark, d).select("doc_id", text.collapse_blanks(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def nfc(spark, d):
+    return docs(spark, d).select("doc_id", text.nfc("text").alias("text"))
+
+
+_ENDS = "。！？；.!?"
+_KEEP = f"""WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[^{_ENDS}]*[{_ENDS}]+|[^{_ENDS}]+$'), lambda x: regexp_replace(trim(x), ' +([{_ENDS}]+)$', '\\1')), lambda x: x <> '') AS s FROM n)
+SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM p"""
+
+
+@query(_KEEP)
+def sentence_split_keep(spark, d):
+    return text.split_table(docs(spark, d).select("doc_id", "text"), ends=_ENDS)
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '[{_ENDS}]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM n)
+SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM p""")
+def sentence_split_drop(spark, d):
+    return text.split_table(docs(spark, d).select("doc_id", "text"), keep=False, ends=_ENDS)
+
+
+@query(f"WITH {SE} SELECT sent_id FROM se WHERE length(replace(text, ' ', '')) BETWEEN 5 AND 200")
+def length_filter(spark, d):
+    return se(spark, d).filter(text.is_valid(F.col("text"))).select("sent_id")
+
+
+_REASON = f"""WITH {SE}, m AS (SELECT sent_id, pos, path, text, length(replace(coalesce(text, ''), ' ', '')) AS n FROM se),
+r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN n BETWEEN 5 AND 200 THEN text ELSE 'x' || CAST(sent_id AS VARCHAR) END, n BETWEEN 5 AND 200 ORDER BY path, pos, sent_id) AS rk FROM m),
+c AS (SELECT *, CASE WHEN n < 5 THEN 'too_short' WHEN n > 200 THEN 'too_long' WHEN rk > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM r) """
+
+
+def _reasons(spark, d):
+    return text.reject_reasons(se(spark, d), "text", "path", "pos", "sent_id")
+
+
+@query(_REASON + "SELECT sent_id, reason FROM c")
+def reject_reasons(spark, d):
+    return _reasons(spark, d).select("sent_id", "reason")
+
+
+@query(_REASON + "SELECT reason, count(*) AS n, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM c GROUP BY reason")
+def clean_stats(spark, d):
+    n = text.size_without_spaces(F.coalesce("text", F.lit("")))
+    return _reasons(spark, d).withColumn("k", n).groupBy("reason").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"), F.round(F.avg("k"), 6).alias("mean"))
+
+
+@query(_REASON + """, b AS (SELECT CASE WHEN n < 20 THEN '0-20' WHEN n < 50 THEN '20-50' WHEN n < 100 THEN '50-100' WHEN n < 150 THEN '100-150' WHEN n < 200 THEN '150-200' END AS bucket FROM c WHERE reason = 'kept')
+SELECT bucket, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY bucket""")
+def length_histogram(spark, d):
+    return text.length_histogram(_reasons(spark, d).filter("reason = 'kept'").select(text.size_without_spaces(F.col("text")).alias("n")), "n")
+
+
+@query(f"WITH {SE}, r AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY path, pos, sent_id) AS rk FROM se) SELECT sent_id, path, pos FROM r WHERE rk = 1")
+def exact_dedup(spark, d):
+    return text.first_of_each(se(spark, d), "text", "path", "pos", "sent_id").select("sent_id", "path", "pos")
+
+
+_MARKS, _STOPS = "，。、；：？！,.;:?!", "。？！.?!"
+_PUNCT = rf"""WITH pa AS (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS ps FROM documents WHERE text IS NOT NULL),
+pb AS (SELECT doc_id, unnest(range(len(ps))) AS para, unnest(ps) AS p FROM pa),
+pc AS (SELECT doc_id, para, string_split(regexp_replace(p, '{_WS}', '', 'g'), '') AS cs FROM pb),
+ch AS (SELECT doc_id, para, unnest(range(len(cs))) AS ch_at, unnest(cs) AS token FROM pc),
+l1 AS (SELECT *, lead(token) OVER (PARTITION BY doc_id, para ORDER BY ch_at) AS nx FROM ch WHERE token <> ''),
+l2 AS (SELECT *, CASE WHEN nx IS NOT NULL AND instr('{_MARKS}', nx) > 0 THEN nx ELSE 'O' END AS label FROM l1 WHERE instr('{_MARKS}', token) = 0),
+l3 AS (SELECT *, coalesce(sum(CASE WHEN instr('{_STOPS}', label) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para ORDER BY ch_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM l2),
+l4 AS (SELECT doc_id, para, sent, row_number() OVER (PARTITION BY doc_id, para, sent ORDER BY ch_at) AS idx, token, label FROM l3)
+"""
+
+
+def _punct(spark, d):
+    return text.punct_labels(docs(spark, d).filter("text IS NOT NULL"), "doc_id", "text", _MARKS, _STOPS)
+
+
+@query(_PUNCT + "SELECT doc_id, para, CAST(sent AS INT) AS sent, idx, token, label FROM l4")
+def punct_labels(spark, d):
+    return _punct(spark, d)
+
+
+@query(_PUNCT + "SELECT label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM l4 GROUP BY label")
+def label_distribution(spark, d):
+    return corpus.share(_punct(spark, d), "label")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\p{Nd}', '#', 'g') AS masked FROM documents")
+def mask_digits(spark, d):
+    return docs(spark, d).select("doc_id", text.mask_digits(F.col("text")).alias("masked"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM documents")
+def escape_html(spark, d):
+    return docs(spark, d).select("doc_id", text.escape_html(F.col("text")).alias("html"))
+
+
+@query(f"WITH {GP} SELECT sent_id, idx, CASE WHEN score BETWEEN 0 AND 1 THEN score ELSE 1.0 END AS score, coalesce(pred, '') AS pred FROM gp")
+def clamp_scores(spark, d):
+    return gp(spark, d).select("sent_id", "idx", text.clamp_score(F.col("score")).alias("score"), F.coalesce("pred", F.lit("")).alias("pred"))
+
+
+# ---- sequences ----
+
+
+@query(ints(f"""WITH {TOK} SELECT sentence_id, idx, token, coalesce(sum(length(token) + 1) OVER w, 0) AS start_pos, coalesce(sum(length(token) + 1) OVER w, 0) + length(token) AS end_pos
+FROM tok WINDOW w AS (PARTITION BY sentence_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "start_pos", "end_pos"))
+def tokens(spark, d):
+    return tok(spark, d).select("sentence_id", "idx", "token", "start_pos", "end_pos")
+
+
+_TAGGED = CC + """, w AS (SELECT sentence_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS t, list_filter(string_split(coalesce(punct, ''), ' '), lambda x: x <> '') AS g FROM cc WHERE text IS NOT NULL),
+tt AS (SELECT sentence_id, unnest(range(1, len(t) + 1)) AS idx, unnest(t) AS token, unnest(list_transform(range(1, len(t) + 1), lambda i: g[i])) AS tag FROM w)"""
+
+
+@query(f"WITH {_TAGGED} SELECT sentence_id, idx, token, coalesce(tag, '') AS tag FROM tt")
+def tagged_tokens(spark, d):
+    return sequences.tagged_tokens(cc(spark, d), KEY, "text", "punct")
+
+
+@query(f"WITH {_TAGGED} SELECT sentence_id, idx, token, tag FROM tt WHERE tag IS NOT NULL")
+def tagged_tokens_drop(spark, d):
+    return sequences.tagged_tokens(cc(spark, d), KEY, "text", "punct", "drop")
+
+
+@query(r"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS value FROM a),
+c AS (SELECT *, NOT regexp_matches(value, '[^\s\p{Z}\x{85}]') AS bl FROM b),
+e AS (SELECT *, CASE WHEN NOT bl AND coalesce(lag(bl) OVER (PARTITION BY doc_id ORDER BY line), true) THEN 1 ELSE 0 END AS f FROM c),
+g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS sent FROM e)
+SELECT doc_id, line, CAST(sent AS INT) AS sent FROM g WHERE NOT bl""")
+def sentence_ids(spark, d):
+    rows = sequences.lines(docs(spark, d).filter("text IS NOT NULL"), ["doc_id"], "text")
+    return sequences.sentence_ids(rows, ["doc_id"]).select("doc_id", "line", "sent")
+
+
+@query(f"WITH {SE} SELECT sent_id, CASE WHEN pos = 1 THEN 'start' ELSE CAST(sum(CASE WHEN pos = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY sent_id) AS VARCHAR) END AS doc FROM se")
+def document_ids(spark, d):
+    return sequences.document_ids(se(spark, d), ["book_id"], "sent_id", F.col("pos") == 1).select("sent_id", "doc")
+
+
+@query(f"WITH {TOK} SELECT sentence_id, idx, string_agg(token, ' ' ORDER BY idx) OVER (PARTITION BY sentence_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS context FROM tok")
+def context_window(spark, d):
+    return sequences.context_window(tok(spark, d), KEY, "token").select("sentence_id", "idx", "context")
+
+
+@query(f"""WITH {CC}, a AS (SELECT sentence_id, string_split(text, '') AS c FROM cc WHERE text IS NOT NULL AND text <> ''), b AS (SELECT sentence_id, unnest(range(len(c))) AS pos, unnest(c) AS char FROM a),
+e AS (SELECT *, lead(char) OVER (PARTITION BY sentence_id ORDER BY pos) AS target FROM b) SELECT sentence_id, pos, char, target FROM e WHERE target IS NOT NULL""")
+def lm_pairs(spark, d):
+    return sequences.language_model_pairs(cc(spark, d), KEY, "text")
+
+
+@query(f"""WITH {TOK}, s AS (SELECT sentence_id, count(*) AS n FROM tok GROUP BY 1), w AS (SELECT sentence_id, n, unnest(range(CAST(greatest(ceil((n - 16) / 8.0), 0) AS BIGINT) + 1)) AS win FROM s)
+SELECT sentence_id, win, win * 8 AS low, least(win * 8 + 16, n) AS high FROM w""")
+def sliding_windows(spark, d):
+    return sequences.sliding(tok(spark, d).groupBy("sentence_id").agg(F.count("*").alias("n")), KEY, F.col("n"), 16, 8)
+
+
+_LOG = "lg AS (SELECT DISTINCT run_id, epoch, CAST(nullif(dev_f1, '_') AS DOUBLE) AS f1, CAST(nullif(train_loss, '_') AS DOUBLE) AS loss FROM training_log)"
+
+
+def _log(spark, d):
+    num = lambda c: F.when(F.col(c) != "_", F.col(c)).cast("double")
+    return table(spark, d, "training_log").select("run_id", "epoch", num("dev_f1").alias("f1"), num("train_loss").alias("loss")).distinct()
+
+
+@query(f"WITH {_LOG} SELECT run_id, epoch, f1, loss FROM lg")
+def training_log(spark, d):
+    return _log(spark, d)
+
+
+@query(f"""WITH {_LOG}, a AS (SELECT *, max(f1) OVER (PARTITION BY run_id ORDER BY epoch) AS best, max(f1) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lg),
+b AS (SELECT *, CASE WHEN coalesce(f1 > before, f1 IS NOT NULL) THEN 1 ELSE 0 END AS g FROM a), c AS (SELECT *, sum(g) OVER (PARTITION BY run_id ORDER BY epoch) AS r FROM b)
+SELECT run_id, epoch, best, row_number() OVER (PARTITION BY run_id, r ORDER BY epoch) - CASE WHEN r > 0 THEN 1 ELSE 0 END AS bad FROM c""")
+def running_best(spark, d):
+    return sequences.running_best(_log(spark, d), ["run_id"], "epoch", "f1").select("run_id", "epoch", "best", "bad")
+
+
+@query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS u, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) AS w FROM lg) SELECT run_id, epoch, f1 FROM r WHERE u > 10 AND w > 5")
+def trim_curve(spark, d):
+    return sequences.trim_curve(_log(spark, d), ["run_id"], "epoch").select("run_id", "epoch", "f1")
+
+
+@query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) AS u FROM lg WHERE f1 IS NOT NULL) SELECT run_id, round(avg(f1), 6) AS mean, round(var_pop(f1), 8) AS variance FROM r WHERE u <= 3 GROUP BY run_id")
+def run_scores(spark, d):
+    rows = sequences.trim_curve(_log(spark, d).filter("f1 IS NOT NULL").withColumn("back", -F.col("epoch")), ["run_id"], "epoch", 0, 0)
+    from pyspark.sql import Window
+
+    last = rows.withColumn("u", F.row_number().over(Window.partitionBy("run_id").orderBy("back"))).filter("u <= 3")
+    return last.groupBy("run_id").agg(F.round(F.avg("f1"), 6).alias("mean"), F.round(F.var_pop("f1"), 8).alias("variance"))
+
+
+# ---- tags ----
+
+_REPAIRED = BIO + """, rp0 AS (SELECT *, lag(tag) OVER (PARTITION BY sentence_id ORDER BY idx) AS lt FROM bio),
+rp AS (SELECT sentence_id, idx, text, pred, score, CASE WHEN tag LIKE 'I-%' AND (lt IS NULL OR lt = 'O' OR substr(lt, 2) <> substr(tag, 2)) THEN 'B' || substr(tag, 2) ELSE tag END AS tag FROM rp0)"""
+_BIOES = _REPAIRED + """, nx AS (SELECT *, coalesce(lead(tag) OVER (PARTITION BY sentence_id ORDER BY idx) LIKE 'I%', false) AS m FROM rp),
+es AS (SELECT sentence_id, idx, text, score, CASE WHEN tag LIKE 'B-%' AND NOT m THEN 'S' || substr(tag, 2) WHEN tag LIKE 'I-%' AND NOT m THEN 'E' || substr(tag, 2) ELSE tag END AS tag FROM nx)"""
+
+
+@query(f"WITH {_REPAIRED} SELECT sentence_id, idx, tag FROM rp")
+def bio_repair(spark, d):
+    return tags.repair_bio(bio(spark, d), KEY).select("sentence_id", "idx", "tag")
+
+
+def _bioes(spark, d):
+    return tags.bio_to_bioes(tags.repair_bio(bio(spark, d), KEY), KEY)
+
+
+@query(f"WITH {_BIOES} SELECT sentence_id, idx, tag FROM es")
+def bio_to_bioes(spark, d):
+    return _bioes(spark, d).select("sentence_id", "idx", "tag")
+
+
+@query(f"WITH {_REPAIRED} SELECT sentence_id, idx, tag FROM rp")
+def bioes_to_bio(spark, d):
+    return _bioes(spark, d).select("sentence_id", "idx", tags.bioes_to_bio(F.col("tag")).alias("tag"))
+
+
+@query(f"""WITH {BIO}, k AS (SELECT *, CASE WHEN tag = 'O' THEN '' ELSE substr(tag, 3) END AS k FROM bio), l AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY sentence_id ORDER BY idx), '') AS lk FROM k)
+SELECT sentence_id, idx, CASE WHEN k <> 'PER' THEN 'O' WHEN lk = 'PER' THEN 'I-PER' ELSE 'B-PER' END AS tag FROM l""")
+def write_bi(spark, d):
+    return tags.write_bi(bio(spark, d), KEY, ["PER"]).select("sentence_id", "idx", "tag")
+
+
+_SPANS = BIO + """, s0 AS (SELECT *, lag(tag) OVER w AS lt FROM bio WINDOW w AS (PARTITION BY sentence_id ORDER BY idx)),
+s1 AS (SELECT *, CASE WHEN tag LIKE 'B-%' OR lt IS NULL OR lt = 'O' THEN 1 ELSE 0 END AS b FROM s0 WHERE tag <> 'O'),
+s2 AS (SELECT *, sum(b) OVER (PARTITION BY sentence_id ORDER BY idx) AS sp FROM s1),
+v AS (SELECT sentence_id, sp, substr(tag, 3) AS k, round(sum(CASE WHEN b = 1 THEN 1.1 ELSE 1.0 END), 3) AS v, min(idx) AS f FROM s2 GROUP BY ALL),
+vb AS (SELECT *, row_number() OVER (PARTITION BY sentence_id, sp ORDER BY v DESC, f) AS rk FROM v),
+sb AS (SELECT sentence_id, sp, min(idx) AS start, max(idx) AS stop, round(avg(score), 6) AS score, string_agg(text, ' ' ORDER BY idx) AS text FROM s2 GROUP BY ALL),
+spans AS (SELECT sb.sentence_id, start, stop, score, text, k AS tag FROM sb JOIN vb ON sb.sentence_id = vb.sentence_id AND sb.sp = vb.sp AND rk = 1)"""
+
+
+@query(f"WITH {_SPANS} SELECT sentence_id, start, stop, tag, score, text FROM spans")
+def spans(spark, d):
+    return tags.spans(bio(spark, d), KEY)
+
+
+@query(f"WITH {_SPANS} SELECT sentence_id, start, stop, tag, score, text FROM spans WHERE score > 0.6")
+def spans_min_score(spark, d):
+    return tags.spans(bio(spark, d), KEY, min_score=0.6)
+
+
+def _chunk_sql(tag: str, name: str) -> str:
+    return f"""{name}0 AS (SELECT sentence_id, idx, {tag} AS t, lag({tag}) OVER (PARTITION BY sentence_id ORDER BY idx) AS lt FROM bio),
+{name}1 AS (SELECT *, CASE WHEN t LIKE 'B-%' OR lt IS NULL OR lt = 'O' OR substr(lt, 3) <> substr(t, 3) THEN 1 ELSE 0 END AS b FROM {name}0 WHERE t <> 'O'),
+{name}2 AS (SELECT *, sum(b) OVER (PARTITION BY sentence_id ORDER BY idx) AS n FROM {name}1),
+{name} AS (SELECT sentence_id, min(idx) AS start, max(idx) AS stop, arg_min(substr(t, 3), idx) AS kind FROM {name}2 GROUP BY sentence_id, n)"""
+
+
+_CHUNKS = BIO + ", " + _chunk_sql("tag", "g") + ", " + _chunk_sql("pred", "p") + """,
+bt AS (SELECT coalesce(g.kind, p.kind) AS class, g.kind IS NOT NULL AS g, p.kind IS NOT NULL AS p FROM g FULL OUTER JOIN p ON g.sentence_id = p.sentence_id AND g.start = p.start AND g.stop = p.stop AND g.kind = p.kind),
+cf AS (SELECT class, sum(CASE WHEN g AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT g THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN g AND NOT p THEN 1 ELSE 0 END) AS fn FROM bt GROUP BY class)"""
+
+
+def _prf_sql(source: str) -> str:
+    return f"""pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN round(CAST(tp AS DOUBLE) / (tp + fp), 4) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(CAST(tp AS DOUBLE) / (tp + fn), 4) ELSE 0 END AS recall,
+CASE WHEN tp + fp + fn > 0 THEN round(CAST(tp AS DOUBLE) / (tp + fp + fn), 4) ELSE 0 END AS accuracy FROM {source}), prf AS (SELECT *, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1 FROM pr)"""
+
+
+@query(ints(f"WITH {_CHUNKS}, al AS (SELECT class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cf GROUP BY GROUPING SETS ((class), ())), {_prf_sql('al')} SELECT class, tp, fp, fn, precision, recall, f1, accuracy FROM prf", "tp", "fp", "fn"))
+def chunk_scores(spark, d):
+    rows = bio(spark, d)
+    a, b = tags.chunks(rows, KEY, "tag"), tags.chunks(rows, KEY, "pred")
+    return metrics.grouped_span_scores(metrics.span_confusion(a, b, ["sentence_id", "start", "stop", "kind"], "kind"))
+
+
+@query(f"""WITH {TOK}, q AS (SELECT *, lead(token) OVER w AS n, sum(CASE WHEN token = '"' THEN 1 ELSE 0 END) OVER w AS q FROM tok WINDOW w AS (PARTITION BY sentence_id ORDER BY idx))
+SELECT sentence_id, idx, NOT (coalesce(n IN ('.', ':', ',', ';', ')', 'n''t', '!', '?') OR n LIKE '''%', false) OR (token = '"' AND q % 2 = 1) OR coalesce(n = '"' AND q % 2 = 1, false) OR token = '(') AS space_after FROM q""")
+def space_after(spark, d):
+    return tags.space_after(tok(spark, d), KEY, "token").select("sentence_id", "idx", "space_after")
+
+
+# ---- corpora ----
+
+_VOC = TOK + ", vc AS (SELECT token AS item, count(*) AS n, min(struct_pack(a := sentence_id, b := idx)) AS f FROM tok WHERE split = 'train' GROUP BY token)"
+
+
+@query(f"WITH {_VOC}, r AS (SELECT item, row_number() OVER (ORDER BY n DESC, f, item) AS idx FROM vc) SELECT item, idx FROM r WHERE idx <= 500 UNION ALL SELECT '<unk>', 0")
+def vocab_topk(spark, d):
+    return corpus.vocabulary(tok(spark, d).filter("split = 'train'"), "token", ["sentence_id", "idx"], max_tokens=500)
+
+
+@query(f"WITH {_VOC} SELECT item, row_number() OVER (ORDER BY n DESC, f, item) AS idx FROM vc WHERE n >= 5 UNION ALL SELECT '<unk>', 0")
+def vocab_min_freq(spark, d):
+    return corpus.vocabulary(tok(spark, d).filter("split = 'train'"), "token", ["sentence_id", "idx"], min_freq=5)
+
+
+@query(f"WITH {TOK}, c AS (SELECT token AS item, count(*) AS n FROM tok GROUP BY token HAVING count(*) >= 2) SELECT item, row_number() OVER (ORDER BY item) + 1 AS idx FROM c UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1")
+def parser_vocab(spark, d):
+    return corpus.sorted_vocabulary(tok(spark, d), "token", 2)
+
+
+_TAGDICT = "fs AS (SELECT tag AS item, min(struct_pack(a := sentence_id, b := idx)) AS f FROM tt WHERE tag IS NOT NULL AND tag NOT IN ('', '<unk>', 'O', '<START>', '<STOP>') GROUP BY tag), rk AS (SELECT item, row_number() OVER (ORDER BY f, item) + 1 AS idx FROM fs)"
+
+
+@query(f"WITH {_TAGGED}, {_TAGDICT} SELECT item, idx FROM rk UNION ALL SELECT '<unk>', 0 UNION ALL SELECT 'O', 1 UNION ALL SELECT '<START>', (SELECT count(*) FROM rk) + 2 UNION ALL SELECT '<STOP>', (SELECT count(*) FROM rk) + 3")
+def tag_dictionary(spark, d):
+    return corpus.first_seen_dictionary(sequences.tagged_tokens(cc(spark, d), KEY, "text", "punct"), "tag", ["sentence_id", "idx"], ("<unk>", "O"), ("<START>", "<STOP>"))
+
+
+@query(f"WITH {CC}, f AS (SELECT corpus AS item, min(sentence_id) AS m FROM cc WHERE corpus IS NOT NULL AND corpus <> '' GROUP BY corpus) SELECT item, row_number() OVER (ORDER BY m, item) - 1 AS idx FROM f")
+def label_dictionary(spark, d):
+    return corpus.first_seen_dictionary(cc(spark, d), "corpus", ["sentence_id"])
+
+
+@query(f"WITH {_VOC}, di AS (SELECT item, row_number() OVER (ORDER BY n DESC, f, item) AS idx FROM vc WHERE n >= 5) SELECT t.sentence_id, t.idx, coalesce(di.idx, 0) AS ident FROM tok t LEFT JOIN di ON t.token = di.item")
+def encode_tokens(spark, d):
+    rows = tok(spark, d)
+    known = corpus.vocabulary(rows.filter("split = 'train'"), "token", ["sentence_id", "idx"], min_freq=5)
+    return corpus.encode(rows, "token", known).select("sentence_id", "idx", "ident")
+
+
+@query(f"""WITH {_VOC}, di AS (SELECT item, row_number() OVER (ORDER BY n DESC, f, item) AS idx FROM vc WHERE n >= 5), ws AS (SELECT DISTINCT token AS word FROM tok),
+va AS (SELECT word, 0 AS how, word AS item FROM ws UNION ALL SELECT word, 1, lower(word) FROM ws UNION ALL SELECT word, 2, regexp_replace(lower(word), '\\p{{Nd}}', '#', 'g') FROM ws UNION ALL SELECT word, 3, regexp_replace(lower(word), '\\p{{Nd}}', '0', 'g') FROM ws),
+hit AS (SELECT va.word, min(how) AS how, arg_min(di.idx, how) AS ident FROM va JOIN di USING (item) GROUP BY va.word) SELECT word, coalesce(ident, -1) AS ident, coalesce(how, -1) AS how FROM ws LEFT JOIN hit USING (word)""")
+def lookup_fallback(spark, d):
+    rows = tok(spark, d)
+    known = corpus.vocabulary(rows.filter("split = 'train'"), "token", ["sentence_id", "idx"], min_freq=5).filter("item <> '<unk>'")
+    return corpus.lookup_with_fallback(rows, "token", known).fillna(-1, ["ident", "how"])
+
+
+@query(f"WITH {CC} SELECT split, corpus, count(*) AS n FROM cc GROUP BY split, corpus")
+def class_counts(spark, d):
+    return cc(spark, d).groupBy("split", "corpus").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TAGGED} SELECT tag, count(*) AS n FROM tt WHERE tag IS NOT NULL GROUP BY tag")
+def tag_counts(spark, d):
+    return sequences.tagged_tokens(cc(spark, d), KEY, "text", "punct", "drop").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query(ints(f"WITH {TOK}, s AS (SELECT sentence_id, split, corpus, count(*) AS n FROM tok GROUP BY ALL) SELECT split, corpus, count(*) AS sentences, sum(n) AS tokens, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM s GROUP BY split, corpus", "tokens"))
+def corpus_statistics(spark, d):
+    per = tok(spark, d).groupBy("sentence_id", "split", "corpus").agg(F.count("*").alias("n_tokens"))
+    return corpus.statistics(per, ["split", "corpus"])
+
+
+@query(f"WITH {TOK} SELECT count(DISTINCT sentence_id) AS sentences, count(*) AS tokens FROM tok")
+def token_totals(spark, d):
+    per = tok(spark, d).groupBy("sentence_id").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("sentences"), F.sum("n").alias("tokens"))
+
+
+@query(f"WITH {TOK}, tr AS (SELECT token, count(*) AS n FROM tok WHERE split = 'train' GROUP BY token), te AS (SELECT DISTINCT token FROM tok WHERE split = 'test') SELECT count(*) AS rare FROM tr JOIN te USING (token) WHERE n <= 3")
+def rare_in_test(spark, d):
+    rows = tok(spark, d)
+    rare = rows.filter("split = 'train'").groupBy("token").agg(F.count("*").alias("n")).filter("n <= 3")
+    return rare.join(rows.filter("split = 'test'"), "token", "left_semi").agg(F.count("*").alias("rare"))
+
+
+_HASHED = SE + ", hr AS (SELECT sent_id, row_number() OVER (ORDER BY md5('1:' || CAST(sent_id AS VARCHAR)), sent_id) - 1 AS rk, count(*) OVER () AS n FROM se)"
+
+
+@query(f"WITH {_HASHED} SELECT sent_id, CASE WHEN rk < CAST(floor(n * 0.8) AS BIGINT) THEN 'train' WHEN rk < CAST(floor(n * 0.8) AS BIGINT) + CAST(floor(n * 0.1) AS BIGINT) THEN 'dev' ELSE 'test' END AS part FROM hr")
+def ratio_split(spark, d):
+    return corpus.ratio_split(se(spark, d).select("sent_id"), "sent_id")
+
+
+@query(f"WITH {_HASHED} SELECT sent_id FROM hr WHERE rk < greatest(1, CAST(floor(n * 0.05) AS BIGINT))")
+def subset(spark, d):
+    return corpus.subset(se(spark, d).select("sent_id"), "sent_id", 0.05)
+
+
+@query(f"WITH {_HASHED} SELECT sent_id FROM hr WHERE rk < round_even(n * 0.3, 0)")
+def downsample(spark, d):
+    return corpus.downsample(se(spark, d).select("sent_id"), "sent_id", 0.3)
+
+
+@query(f"WITH {CC} SELECT corpus, count(*) AS n, round(CAST(1 AS DOUBLE) / count(*), 8) AS weight FROM cc GROUP BY corpus")
+def class_weights(spark, d):
+    return corpus.class_weights(cc(spark, d), "corpus")
+
+
+@query()
+def balanced_sample(spark, d):
+    rows = cc(spark, d)
+    return corpus.balanced_sample(rows, "sentence_id", "corpus", rows.count())
+
+
+@query(f"WITH {CC}, c AS (SELECT corpus, count(*) AS n FROM cc GROUP BY corpus), p AS (SELECT *, pow(CAST(n AS DOUBLE) / sum(n) OVER (), 0.7) AS q, sum(n) OVER () AS t FROM c) SELECT corpus, n, round(q / sum(q) OVER (), 6) AS p, CAST(floor(q / sum(q) OVER () * t) AS BIGINT) AS draws FROM p")
+def temperature(spark, d):
+    return corpus.temperature(cc(spark, d), "corpus")
+
+
+@query(f"WITH {SE}, r AS (SELECT sent_id, row_number() OVER (ORDER BY sent_id) - 1 AS rk FROM se) SELECT sent_id, rk // 64 AS block, rk % 64 AS place, md5('1:' || CAST(rk // 64 AS VARCHAR)) AS block_order FROM r")
+def block_shuffle(spark, d):
+    return corpus.block_shuffle(se(spark, d).select("sent_id"), "sent_id", 64)
+
+
+@query(f"WITH {CC}, n AS (SELECT corpus, CAST(ceil(count(*) / 32.0) AS BIGINT) AS n FROM cc WHERE corpus IS NOT NULL GROUP BY corpus), e AS (SELECT corpus, unnest(range(1, n + 1)) AS turn FROM n) SELECT row_number() OVER (ORDER BY md5('1:' || corpus || ':' || CAST(turn AS VARCHAR)), corpus || ':' || CAST(turn AS VARCHAR)) - 1 AS step, corpus FROM e")
+def schedule(spark, d):
+    return corpus.schedule(cc(spark, d), "corpus", 32)
+
+
+@query(f"WITH {CC}, n AS (SELECT corpus, count(*) AS n FROM cc GROUP BY corpus), t AS (SELECT corpus, CASE WHEN n < max(n) OVER () THEN 3 ELSE 1 END AS t FROM n) SELECT sentence_id, corpus, unnest(range(1, t + 1)) AS copy FROM cc JOIN t USING (corpus)")
+def upsample(spark, d):
+    return corpus.upsample(cc(spark, d).select("sentence_id", "corpus"), "corpus", 3)
+
+
+@query(f"WITH {SE}, r AS (SELECT sent_id, row_number() OVER (ORDER BY sent_id) - 1 AS rk FROM se) SELECT sent_id FROM r WHERE rk % 7 = 0")
+def evenly(spark, d):
+    return corpus.evenly(se(spark, d).select("sent_id"), "sent_id", 7)
+
+
+@query(f"WITH {SE} SELECT sent_id, (row_number() OVER (ORDER BY length(text) NULLS FIRST, sent_id) - 1) // 32 AS batch FROM se")
+def fixed_batches(spark, d):
+    return corpus.fixed_batches(se(spark, d).select("sent_id", F.length("text").alias("n")), F.asc_nulls_first("n"), F.col("sent_id"), size=32).select("sent_id", "batch")
+
+
+@query()
+def greedy_batches(spark, d):
+    rows = se(spark, d).filter("text IS NOT NULL").select("sent_id", F.length("text").alias("n"), F.pmod(F.xxhash64("sent_id"), F.lit(16)).alias("shard"))
+    return corpus.greedy_batches(rows, "shard", "sent_id", "n", 2000)
+
+
+@query(f"WITH {CC}, {SE} SELECT CAST(sentence_id AS BIGINT) AS id, text, corpus AS origin FROM cc UNION ALL SELECT sent_id, text, 'sentences' FROM se")
+def concat_corpora(spark, d):
+    return cc(spark, d).select(F.col("sentence_id").cast("bigint").alias("id"), "text", F.col("corpus").alias("origin")).unionByName(se(spark, d).select(F.col("sent_id").alias("id"), "text", F.lit("sentences").alias("origin")))
+
+
+@query(f"WITH {TOK} SELECT token FROM tok WHERE split = 'test' INTERSECT SELECT token FROM tok WHERE split = 'train'")
+def shared_tokens(spark, d):
+    rows = tok(spark, d)
+    return rows.filter("split = 'test'").select("token").intersect(rows.filter("split = 'train'").select("token"))
+
+
+@query(f"WITH {TOK} SELECT token FROM tok WHERE split = 'test' EXCEPT SELECT token FROM tok WHERE split = 'train'")
+def unseen_tokens(spark, d):
+    rows = tok(spark, d)
+    return rows.filter("split = 'test'").select("token").subtract(rows.filter("split = 'train'").select("token"))
+
+
+@query("SELECT b.book_id, b.title, count(d.doc_id) AS n FROM books b LEFT JOIN documents d ON d.book_id = b.book_id GROUP BY b.book_id, b.title")
+def book_documents(spark, d):
+    n = docs(spark, d).groupBy("book_id").agg(F.count("doc_id").alias("n"))
+    return table(spark, d, "books").select("book_id", "title").join(n, "book_id", "left").fillna(0, ["n"])
+
+
+# ---- similarity ----
+
+PERMS, BANDS, ROWS = 32, 16, 2
+
+
+def _sig_sql(source: str, key: str, name: str) -> str:
+    grams = "CASE WHEN length(t) < 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END"
+    return f"""{name}a AS (SELECT {key}, text, replace(text, ' ', '') AS t FROM {source}), {name}b AS (SELECT {key}, text, {grams} AS g FROM {name}a),
+{name}c AS (SELECT {key}, text, list_transform(g, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h1, list_transform(g, lambda x: CAST('0x' || substr(md5(x), 9, 8) AS BIGINT)) AS h2 FROM {name}b),
+{name} AS (SELECT {key}, text, list_transform(range({PERMS}), lambda p: list_min(list_transform(range(1, len(h1) + 1), lambda i: (h1[i] + p * h2[i]) % {similarity.PRIME}))) AS sig FROM {name}c)"""
+
+
+def _queries(spark, d):
+    held = cc(spark, d).filter("text IS NOT NULL AND sentence_id % 20 = 0")
+    return similarity.index(held.select(F.col("sentence_id").cast("bigint").alias("qid"), F.col("text").alias("q_text")), "qid", "q_text", PERMS)
+
+
+def _corpus(spark, d):
+    return similarity.index(se(spark, d).select("sent_id", "text"), "sent_id", "text", PERMS)
+
+
+_Q = CC + ", " + SE + ", q0 AS (SELECT CAST(sentence_id AS BIGINT) AS qid, text FROM cc WHERE text IS NOT NULL AND sentence_id % 20 = 0), c0 AS (SELECT sent_id, text FROM se WHERE text IS NOT NULL), " + _sig_sql("q0", "qid", "q") + ", " + _sig_sql("c0", "sent_id", "co")
+_BAND = lambda s, k: f"{s}s AS (SELECT {k}, unnest(range({BANDS})) AS band_id, sig FROM {s}), {s}d AS (SELECT {k}, band_id, sha1(array_to_string(sig[band_id * {ROWS} + 1 : band_id * {ROWS} + {ROWS}], '|')) AS bucket FROM {s}s)"
+_CAND = _Q + ", " + _BAND("q", "qid") + ", " + _BAND("co", "sent_id") + ", cand AS (SELECT DISTINCT qid, sent_id FROM qd JOIN cod USING (band_id, bucket))"
+_SCORED = _CAND + f""", sc0 AS (SELECT cand.qid, cand.sent_id, co.text, round(len(list_filter(range(1, {PERMS} + 1), lambda i: q.sig[i] = co.sig[i])) / CAST({PERMS} AS DOUBLE), 6) AS score FROM cand JOIN q ON q.qid = cand.qid JOIN co ON co.sent_id = cand.sent_id WHERE co.text <> q.text),
+sc AS (SELECT * FROM sc0 WHERE score BETWEEN 0.1 AND 0.95), one AS (SELECT qid, text, score, sent_id, row_number() OVER (PARTITION BY qid, text ORDER BY score DESC, sent_id) AS u FROM sc),
+top AS (SELECT qid, sent_id, text, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sent_id) AS rank FROM one WHERE u = 1)"""
+
+
+@query(f"WITH {_Q} SELECT sent_id, array_to_string(sig, '|') AS sig FROM co")
+def minhash_signatures(spark, d):
+    return _corpus(spark, d).select("sent_id", F.array_join(F.col("sig").cast("array<string>"), "|").alias("sig"))
+
+
+@query(f"WITH {_CAND} SELECT sent_id, band_id, bucket FROM cod")
+def lsh_bands(spark, d):
+    return similarity.bands(_corpus(spark, d), "sent_id", BANDS, ROWS)
+
+
+@query(f"WITH {_CAND} SELECT qid, sent_id FROM cand")
+def lsh_candidates(spark, d):
+    return similarity.candidates(similarity.bands(_queries(spark, d), "qid", BANDS, ROWS), similarity.bands(_corpus(spark, d), "sent_id", BANDS, ROWS), "qid", "sent_id")
+
+
+def _top(spark, d):
+    return similarity.top_k(similarity.scored(_queries(spark, d), _corpus(spark, d), "qid", "sent_id", BANDS, ROWS), "qid", "sent_id")
+
+
+@query(f"WITH {_SCORED} SELECT qid, rank, sent_id, text, score FROM top WHERE rank <= 5")
+def retrieve_topk(spark, d):
+    return _top(spark, d)
+
+
+@query(ints(f"WITH {_SCORED}, n AS (SELECT q.qid, count(top.sent_id) AS n FROM q LEFT JOIN top ON top.qid = q.qid AND rank <= 5 GROUP BY q.qid) SELECT count(*) AS queries, sum(n) AS retrieved, round(avg(n), 6) AS mean, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS none FROM n", "retrieved", "none"))
+def retrieve_stats(spark, d):
+    n = _queries(spark, d).select("qid").join(_top(spark, d).groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").fillna(0, ["n"])
+    return n.agg(F.count("*").alias("queries"), F.sum("n").alias("retrieved"), F.round(F.avg("n"), 6).alias("mean"), F.sum((F.col("n") == 0).cast("int")).alias("none"))
+
+
+@query(f"""WITH {_SCORED}, r AS (SELECT qid, string_agg(text, '' ORDER BY rank) AS ctx FROM top WHERE rank <= 5 GROUP BY qid),
+j AS (SELECT q.qid, list_filter(string_split(q.text, ' '), lambda x: x <> '') AS t, list_filter(string_split(coalesce(r.ctx, ''), ''), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x{{85}}]')) AS e FROM q LEFT JOIN r ON r.qid = q.qid)
+SELECT qid, array_to_string(CASE WHEN len(e) > 0 THEN t || ['<EOS>'] || e[1:greatest(120 - len(t) - 1, 0)] ELSE t END, ' ') AS line FROM j""")
+def with_context(spark, d):
+    texts = _top(spark, d).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ctx"))
+    rows = _queries(spark, d).join(texts, "qid", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("qid", F.array_join(similarity.with_context(sequences.words(F.col("q_text")), F.coalesce("ctx", none), 120), " ").alias("line"))
+
+
+_RP = "rp AS (SELECT DISTINCT query_id, rank_no, sent_id, cand, ref, score FROM retrieval_pairs)"
+_WORDS = "array_to_string(string_split({0}, ' ')[1:200], ' ')"
+
+
+@query()
+def rerank_edit(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "retrieval_pairs").filter("ref IS NOT NULL AND cand IS NOT NULL").select("ref", text.first_words(F.col("cand")).alias("cand")).distinct()
+    scored = rows.withColumn("sim", F.round(text.edit_similarity(F.col("cand"), F.col("ref")), 6))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("sim"), F.desc("cand"))))
+
+
+@query(ints(f"WITH {_RP} SELECT count(*) AS pairs, sum(CASE WHEN ref IS NULL THEN 1 ELSE 0 END) AS wrong, count(DISTINCT query_id) AS queries FROM rp", "wrong"))
+def retrieval_lines(spark, d):
+    rows = table(spark, d, "retrieval_pairs").select("query_id", "rank_no", "sent_id", "cand", "ref", "score").distinct()
+    return rows.agg(F.count("*").alias("pairs"), F.sum(F.col("ref").isNull().cast("int")).alias("wrong"), F.countDistinct("query_id").alias("queries"))
+
+
+@query("""WITH g AS (SELECT query_id, sent_id, list_distinct(list_transform(range(1, greatest(length(replace(cand, ' ', '')), 2)), lambda i: substr(replace(cand, ' ', ''), i, 2))) AS a, list_distinct(list_transform(range(1, greatest(length(replace(ref, ' ', '')), 2)), lambda i: substr(replace(ref, ' ', ''), i, 2))) AS b
+FROM (SELECT DISTINCT query_id, sent_id, cand, ref FROM retrieval_pairs WHERE cand IS NOT NULL AND ref IS NOT NULL) x)
+SELECT query_id, sent_id, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(a || b)), 6) AS jaccard FROM g""")
+def jaccard_exact(spark, d):
+    rows = table(spark, d, "retrieval_pairs").filter("cand IS NOT NULL AND ref IS NOT NULL").select("query_id", "sent_id", "cand", "ref").distinct()
+    return rows.select("query_id", "sent_id", F.round(similarity.exact(similarity.shingles(F.col("cand")), similarity.shingles(F.col("ref"))), 6).alias("jaccard"))
+
+
+# ---- scores ----
+
+_CONF = GP + ", pc AS (SELECT coalesce(gold, 'O') AS g, coalesce(pred, 'O') AS p FROM gp), cu AS (SELECT g AS class, 1 AS tp, 0 AS fp, 0 AS fn FROM pc WHERE g = p UNION ALL SELECT p, 0, 1, 0 FROM pc WHERE g <> p UNION ALL SELECT g, 0, 0, 1 FROM pc WHERE g <> p), cf AS (SELECT class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cu GROUP BY class)"
+
+
+@query(ints(f"WITH {_CONF} SELECT class, tp, fp, fn FROM cf", "tp", "fp", "fn"))
+def token_confusion(spark, d):
+    return metrics.token_confusion(gp(spark, d))
+
+
+@query(ints(f"WITH {_CONF}, {_prf_sql('cf')} SELECT class, tp, fp, fn, precision, recall, f1, accuracy FROM prf", "tp", "fp", "fn"))
+def class_scores(spark, d):
+    return metrics.prf(metrics.token_confusion(gp(spark, d)))
+
+
+@query(f"WITH {_CONF.replace('FROM gp)', 'FROM gp WHERE gold <> ' + chr(39) + 'S-X' + chr(39) + ')')}, {_prf_sql('cf')} SELECT class, f1 FROM prf")
+def masked_scores(spark, d):
+    return metrics.prf(metrics.token_confusion(gp(spark, d).filter("gold <> 'S-X'"))).select("class", "f1")
+
+
+@query(f"""WITH {_CONF}, {_prf_sql('cf')}, al AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cf), {_prf_sql('al').replace('pr AS', 'pr2 AS').replace('prf AS', 'prf2 AS').replace('FROM pr)', 'FROM pr2)')}
+SELECT (SELECT f1 FROM prf2) AS micro_f1, (SELECT accuracy FROM prf2) AS micro_accuracy, round(avg(f1), 6) AS macro_f1, round(avg(accuracy), 4) AS macro_accuracy, round(avg(f1) FILTER (WHERE class <> 'O'), 7) AS macro_f1_no_o, round(avg(accuracy) FILTER (WHERE class <> 'O'), 4) AS macro_accuracy_no_o FROM prf""")
+def score_summary(spark, d):
+    return metrics.summary(metrics.token_confusion(gp(spark, d)))
+
+
+@query(ints(f"""WITH {TOK}, s AS (SELECT sentence_id, list_contains(list(token), 'the') AS g1, list_contains(list(token), '之') AS g2, substr(md5(CAST(sentence_id AS VARCHAR)), 1, 1) < '4' AS p1, substr(md5(CAST(sentence_id AS VARCHAR)), 2, 1) < '6' AS p2 FROM tok GROUP BY sentence_id),
+u AS (SELECT 'a' AS class, g1 AS g, p1 AS p FROM s UNION ALL SELECT 'b', g2, p2 FROM s) SELECT class, sum(CASE WHEN g AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT g THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN g AND NOT p THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT g AND NOT p THEN 1 ELSE 0 END) AS tn FROM u GROUP BY class""", "tp", "fp", "fn", "tn"))
+def multilabel_confusion(spark, d):
+    rows = tok(spark, d).groupBy("sentence_id").agg(F.max((F.col("token") == "the").cast("int")).alias("a"), F.max((F.col("token") == "之").cast("int")).alias("b"))
+    h = F.md5(F.col("sentence_id").cast("string"))
+    both = lambda x, y: F.filter(F.array(F.when(x, F.lit("a")), F.when(y, F.lit("b"))), lambda v: v.isNotNull())
+    rows = rows.select(both(F.col("a") == 1, F.col("b") == 1).alias("gold"), both(F.substring(h, 1, 1) < "4", F.substring(h, 2, 1) < "6").alias("pred"))
+    return metrics.multilabel_confusion(rows, "gold", "pred", ["a", "b"])
+
+
+@query(f"""WITH {_RP}, a AS (SELECT DISTINCT query_id, rank_no, sent_id, score AS g, CAST(rank_no AS DOUBLE) AS p FROM rp WHERE score IS NOT NULL AND rank_no IS NOT NULL),
+r AS (SELECT g, p, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM a)
+SELECT round(avg(pow(g - p, 2)), 6) AS mse, round(avg(abs(g - p)), 6) AS mae, round(corr(g, p), 6) AS pearson, round(corr(rg, rp), 6) AS spearman FROM r""")
+def regression_scores(spark, d):
+    rows = table(spark, d, "retrieval_pairs").select("query_id", "rank_no", "sent_id", "score").distinct()
+    return metrics.regression(rows, "score", "rank_no")
+
+
+_TREE = TOK + """, tr AS (SELECT sentence_id, idx, token, CASE WHEN idx = 1 THEN 0 ELSE idx - 1 - (instr('0123456789abcdef', substr(md5(token), 3, 1)) - 1) % idx END AS head0, CASE WHEN idx = 1 THEN 0 ELSE idx - 1 - (instr('0123456789abcdef', substr(md5(token), 4, 1)) - 1) % idx END AS p_head0, substr(md5(token), 5, 1) AS rel, substr(md5(concat(token, 'x')), 5, 1) AS p_rel FROM tok),
+t2 AS (SELECT sentence_id, idx AS dep, greatest(head0, 0) AS head, greatest(p_head0, 0) AS p_head, CASE WHEN rel < '8' THEN 'a' ELSE 'b' END AS rel, CASE WHEN p_rel < '8' THEN 'a' ELSE 'b' END AS p_rel FROM tr)"""
+
+
+def _trees(spark, d):
+    h = "CASE WHEN idx = 1 THEN 0 ELSE greatest(idx - 1 - (instr('0123456789abcdef', substr(md5(token), {0}, 1)) - 1) % idx, 0) END"
+    rel = "CASE WHEN substr(md5({0}), 5, 1) < '8' THEN 'a' ELSE 'b' END"
+    return tok(spark, d).select("sentence_id", F.col("idx").alias("dep"), F.expr(h.format(3)).cast("int").alias("head"), F.expr(h.format(4)).cast("int").alias("p_head"), F.expr(rel.format("token")).alias("rel"), F.expr(rel.format("concat(token, 'x')")).alias("p_rel"))
+
+
+@query(f"""WITH {_TREE}, s AS (SELECT sentence_id, count(*) AS n, sum(CASE WHEN head = p_head THEN 1 ELSE 0 END) AS u, sum(CASE WHEN head = p_head AND rel = p_rel THEN 1 ELSE 0 END) AS l FROM t2 GROUP BY sentence_id)
+SELECT round(100.0 * sum(u) / CAST(sum(n) AS DOUBLE), 6) AS uas, round(100.0 * sum(l) / CAST(sum(n) AS DOUBLE), 6) AS las, round(100 * avg(CASE WHEN u = n THEN 1 ELSE 0 END), 6) AS uem, round(100 * avg(CASE WHEN l = n THEN 1 ELSE 0 END), 6) AS lem FROM s""")
+def attachment_scores(spark, d):
+    return metrics.attachment(_trees(spark, d), KEY)
+
+
+@query(f"""WITH {_TREE}, a AS (SELECT sentence_id, least(dep, head) AS lo, greatest(dep, head) AS hi FROM t2), x AS (SELECT DISTINCT a.sentence_id FROM a JOIN a b ON a.sentence_id = b.sentence_id AND a.lo < b.lo AND b.lo < a.hi AND a.hi < b.hi)
+SELECT s.sentence_id, x.sentence_id IS NULL AS projective FROM (SELECT DISTINCT sentence_id FROM t2) s LEFT JOIN x ON x.sentence_id = s.sentence_id""")
+def projective(spark, d):
+    return trees.projective(_trees(spark, d), KEY)
+
+
+@query(f"WITH {_TREE} SELECT DISTINCT sentence_id, true AS tree FROM t2")
+def is_tree(spark, d):
+    return trees.is_tree(_trees(spark, d), KEY)
+
+
+@query(f"""WITH {_TREE}, t AS (SELECT sentence_id, sum(CASE WHEN head = p_head AND rel = p_rel THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM t2 GROUP BY sentence_id), s AS (SELECT sum(tp) AS tp, sum(n) AS n, round(avg(CASE WHEN tp = n THEN 1 ELSE 0 END), 6) AS exact FROM t)
+SELECT round(tp / CAST(n AS DOUBLE), 6) AS precision, round(tp / CAST(n AS DOUBLE), 6) AS recall, round(tp / CAST(n AS DOUBLE), 6) AS f1, exact FROM s""")
+def graph_scores(spark, d):
+    edge = lambda h, r: F.array(F.concat_ws(":", F.col(h).cast("string"), r))
+    return metrics.graph_scores(_trees(spark, d).select("sentence_id", edge("head", "rel").alias("g"), edge("p_head", "p_rel").alias("p")), "g", "p", KEY)
+
+
+def _arcs(spark, d):
+    t = _trees(spark, d)
+    return t.select("sentence_id", "dep", "head", F.lit(1.0).alias("score")).unionByName(t.select("sentence_id", "dep", F.col("p_head").alias("head"), F.lit(0.5).alias("score"))).groupBy("sentence_id", "dep", "head").agg(F.max("score").alias("score"))
+
+
+@query()
+def mst_decode(spark, d):
+    return trees.decode(_arcs(spark, d), KEY)
+
+
+@query()
+def eisner_decode(spark, d):
+    return trees.decode(_arcs(spark, d), KEY, "eisner")
+
+
+@query(f"WITH {GP} SELECT round(exp(avg(-ln(score))), 6) AS perplexity FROM gp WHERE score > 0")
+def perplexity(spark, d):
+    return metrics.perplexity(gp(spark, d), "score")
+
+
+@query(ints(f"WITH {GP} SELECT pred, count(*) AS n, sum(CASE WHEN score > 0.98 THEN 1 ELSE 0 END) AS confident, round(avg(score), 6) AS mean FROM gp GROUP BY pred", "confident"))
+def confident_share(spark, d):
+    return gp(spark, d).groupBy("pred").agg(F.count("*").alias("n"), F.sum(F.when(F.col("score") > 0.98, 1).otherwise(0)).alias("confident"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@query(f"WITH {_CONF.replace('SELECT coalesce(gold', 'SELECT c.corpus, coalesce(gold').replace('FROM gp)', 'FROM gp JOIN cc c ON c.sentence_id = gp.sent_id)').replace('gp AS', CC + ', gp AS', 1).split(', cu AS')[0]}, a AS (SELECT corpus, round(100.0 * sum(CASE WHEN g = p THEN 1 ELSE 0 END) / count(*), 4) AS score FROM pc GROUP BY corpus) SELECT corpus, score, round(avg(score) OVER (), 4) AS macro FROM a")
+def corpus_scores(spark, d):
+    from pyspark.sql import Window
+
+    hit = (F.coalesce("gold", F.lit("O")) == F.coalesce("pred", F.lit("O"))).cast("int")
+    per = gp(spark, d).join(cc(spark, d).select(F.col("sentence_id").alias("sent_id"), "corpus"), "sent_id").groupBy("corpus").agg(F.round(100 * F.sum(hit) / F.count("*"), 4).alias("score"))
+    return per.withColumn("macro", F.round(F.avg("score").over(Window.partitionBy()), 4))
+
+
+# ---- vectors ----
+
+_DIM = "e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings)"
+
+
+@query(f"WITH {_DIM} SELECT label, dim, round(avg(CAST(x AS DOUBLE)), 4) AS value FROM e GROUP BY label, dim")
+def mean_pool(spark, d):
+    return vectors.pool(table(spark, d, "embeddings"), "label", "embedding")
+
+
+@query(f"WITH {_DIM} SELECT label, dim, round(max(CAST(x AS DOUBLE)), 4) AS value FROM e GROUP BY label, dim")
+def max_pool(spark, d):
+    return vectors.pool(table(spark, d, "embeddings"), "label", "embedding", "max")
+
+
+@query(f"WITH {_DIM} SELECT label, dim, round(sum(0.25 * CAST(x AS DOUBLE)), 4) AS value FROM e GROUP BY label, dim")
+def weighted_pool(spark, d):
+    return vectors.pool_weighted(table(spark, d, "embeddings").withColumn("w", F.lit(0.25)), "label", "embedding", "w")
+
+
+@query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM u),
+p AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_dot_product(a.v, b.v) / (a.l * b.l), 5) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT q, rank, vec_id, score FROM r WHERE rank <= 5""")
+def nearest(spark, d):
+    rows = table(spark, d, "embeddings")
+    return vectors.nearest(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding"), rows, "q", "vec_id", "embedding", blocks=4)
+
+
+@query()
+def kmeans_lengths(spark, d):
+    return vectors.kmeans_lengths(se(spark, d).select(F.length("text").alias("n")), "n", 8)
+
+
+@query()
+def faded_pool(spark, d):
+    return vectors.faded(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+# ---- catalogue ----
+
+
+@query()
+def layouts(spark, d):
+    rows = [(name, i, field) for name, layout in registry.LAYOUTS.items() for i, field in registry.parse_layout(layout).items()]
+    return spark.createDataFrame(rows, "name string, col int, field string")
+
+
+@query("SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM embeddings")
+def ranked(spark, d):
+    return global_rank(table(spark, d, "embeddings").select("vec_id", "label"), F.asc_nulls_last("label"), F.col("vec_id")).select("vec_id", "rank")
