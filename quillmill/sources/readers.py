@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,6 @@ DOCSTART = "-DOCSTART-"
 
 
 def _decode(errors: str):
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         def one(b: bytes) -> str:
