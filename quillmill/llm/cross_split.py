@@ -6,8 +6,8 @@ are merged into the stretches of an evaluation record that a training record cov
 compared exactly.
 
 How many segments: by the argument in ``near_duplicates`` a pair of similarity t has at most (1-t)/(2(1+t)) |A| gaps along A,
-and a gap of characters spoils one segment (a longer one all that it covers, at the price of their length). Two segments more
-than that leave two untouched.
+and a gap of characters spoils one segment (a longer one all that it covers, at the price of their length). Three segments more
+than that leave three untouched; two are asked for.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from quillmill.session import cut
 LOW, HIGH = 12, 300
 SHARD_CHARS = 2_000_000  # characters of evaluation cores in one automaton
 BLOCK_CHARS = 4_000_000  # characters of training cores in one block
-OFTEN = 64  # a segment that more records of a shard hold counts only beside another one
+EXPANDED = 2_000_000  # matches with an owner that are counted at a time
 PAIRS = 50_000  # pairs that are compared at a time
 
 
@@ -45,7 +45,7 @@ def _cores(low: int, high: int):
 def segments(text: str, t: float) -> list[tuple[int, int]]:
     """The spans that a core is cut into."""
     n = len(text)
-    k = int((1 - t) / (2 * (1 + t)) * (n - 2)) + 2
+    k = int((1 - t) / (2 * (1 + t)) * (n - 2)) + 3
     edge = [i * n // k for i in range(k + 1)]
     return list(zip(edge, edge[1:], strict=False))
 
@@ -66,47 +66,48 @@ def _scan(tenths: int, what: str):
         machine = ahocorasick.Automaton()
         for k, word in enumerate(words):
             machine.add_word(word, k)
-        size = np.fromiter(map(len, held), np.int64, len(held))
+        # the owners of pattern k: records and places in owner[first[k]:first[k + 1]]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in patterns.values()])]).astype(np.int64)
+        owner = np.array([x for own in patterns.values() for x in own], np.int64).reshape(-1, 2)
         flat_a, flat_b = cp.flatten(left["c"]), cp.flatten(right["c"])
-        owners = [np.array(patterns[w], np.int64) for w in words]
         out: list[tuple[np.ndarray, ...]] = []
-        wait: list[tuple[int, np.ndarray]] = []
         stretches: list[np.ndarray] = []
-        waiting = 0
+        texts: list[int] = []
+        found: list[int] = []
 
         def compare() -> None:
-            a = np.concatenate([x for _, x in wait]) if wait else np.zeros(0, np.int64)
-            b = np.repeat([x for x, _ in wait], [len(x) for _, x in wait]).astype(np.int64)
-            if len(a):
+            j, k = np.array(texts, np.int64), np.array(found, np.int64)
+            texts.clear()
+            found.clear()
+            n = first[k + 1] - first[k]
+            at = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if what == "cover":
+                size = np.fromiter((len(words[x]) for x in k), np.int64, len(k))
+                stretches.append(np.unique(np.column_stack([owner[at], np.repeat(size, n)]), axis=0))
+                return
+            pair, times = np.unique(np.repeat(j, n) << 32 | owner[at, 0], return_counts=True)
+            pair = pair[times >= 2]
+            for low in range(0, len(pair), PAIRS):
+                b, a = pair[low : low + PAIRS] >> 32, pair[low : low + PAIRS] & 0xFFFFFFFF
                 inter, union = cp.shared_trigrams(cp.take_rows(*flat_a, a), cp.take_rows(*flat_b, b))
                 ok = 10 * inter >= tenths * union
                 out.append((a[ok], b[ok], inter[ok], union[ok]))
-            wait.clear()
 
         if words:
             machine.make_automaton()
+            often = np.diff(first)
+            waiting = 0
             for j, text in enumerate(train):
                 hits = {k for _, k in machine.iter(text)}
-                if not hits:
-                    continue
-                got = np.concatenate([owners[k] for k in hits])
-                if what == "cover":
-                    length = np.concatenate([np.full(len(owners[k]), len(words[k])) for k in hits])
-                    stretches.append(np.column_stack([got, length]))
-                    continue
-                who, n = np.unique(got[:, 0], return_counts=True)
-                sure = np.zeros(len(who), bool)
-                for k in hits:
-                    if len(owners[k]) <= OFTEN:
-                        sure[np.searchsorted(who, owners[k][:, 0])] = True
-                who = who[(sure | (n > 1)) & (size[who] >= t * len(text) * 0.5) & (size[who] * t * 0.5 <= len(text))]
-                if len(who):
-                    wait.append((j, who))
-                    waiting += len(who)
-                    if waiting > PAIRS:
+                if hits:
+                    texts += [j] * len(hits)
+                    found += hits
+                    waiting += int(often[list(hits)].sum())
+                    if waiting > EXPANDED:
                         compare()
                         waiting = 0
-            compare()
+            if texts:
+                compare()
         ids = left["rid"].to_numpy()
         if what == "cover":
             s = np.unique(np.concatenate(stretches), axis=0) if stretches else np.zeros((0, 3), np.int64)
