@@ -377,3 +377,20 @@ def memberships(df: DataFrame, reps: DataFrame, id_col: str = "sent_id", text_co
     """(rid, id): the rows that each representative stands for, itself included."""
     rows = core_rows(df, id_col, text_col, with_text=False).select("id", "h1", "h2").distinct()
     return rows.join(reps.select("rid", "h1", "h2"), ["h1", "h2"]).select("rid", "id")
+
+
+def version_groups(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", tenths: int = 6) -> DataFrame:
+    """(id, group, links): every id once, with the smallest id of its group and the number of other texts it is a version of.
+
+    Equal rows share a group and count as one text. Rows that take no part in the join, null texts among them, are groups of their own.
+    """
+    from quillmill.llm.groups import components
+
+    reps = cut(representatives(df, id_col, text_col), "near-reps")
+    pairs = cut(representative_pairs(reps, tenths), "near-pairs")
+    ends = pairs.select(F.col("id_a").alias("rid")).unionByName(pairs.select(F.col("id_b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("links"))
+    named = components(pairs).withColumnRenamed("id", "rid")
+    members = memberships(df, reps, id_col, text_col).groupBy("id").agg(F.min("rid").alias("rid"))
+    every = df.select(F.col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
+    wide = every.join(members, "id", "left").join(named, "rid", "left").join(ends, "rid", "left")
+    return wide.select("id", F.coalesce("group", "rid", "id").alias("group"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

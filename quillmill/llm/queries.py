@@ -75,6 +75,12 @@ _K = f"""CASE WHEN contains(text, '|') OR contains(text, '｜')
   ELSE [{_C.format("text")}] END"""
 
 
+@query
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence with its group of versions."""
+    return near_duplicates.version_groups(table(spark, sf_dir, "sentences"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that are another one laid out differently."""
