@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 LIMIT = 0x110000
 U64 = np.uint64
@@ -180,3 +181,16 @@ def take_rows(codes: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np
     size = np.diff(offs)[rows]
     new = np.concatenate([[0], np.cumsum(size)])
     return codes[np.arange(new[-1]) + np.repeat(offs[:-1][rows] - new[:-1], size)], new
+
+
+def slices(batches, col: str, size: int = 6_000_000):
+    """The batches in parts whose texts have at most about ``size`` bytes, so that very long texts don't add up; a longer one comes alone."""
+    for batch in batches:
+        n = pa.compute.binary_length(batch[col]).fill_null(0).to_numpy(zero_copy_only=False)
+        if n.sum() <= size:
+            yield batch
+            continue
+        part = (np.cumsum(n) - 1).clip(0) // size
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for a, b in zip(edges, [*edges[1:], len(n)], strict=True):
+            yield batch.slice(int(a), int(b - a))
