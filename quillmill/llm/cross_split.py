@@ -32,7 +32,7 @@ PAIRS = 50_000  # pairs that are compared at a time
 
 def _cores(low: int, high: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches, "text"):
             c, o = cp.core(*cp.flatten(batch["text"]))
             n = np.diff(o)
             ok = (n >= low) & (n <= high)

@@ -29,7 +29,7 @@ def _core(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, pa
 
 def _cheap(least: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches, "text"):
             c, o, _, kept = _core(batch, least)
             hist = cp.row_sums(cp.mix(c.astype(np.uint64) + np.uint64(7)), o)
             cols = [kept["id"], pa.array(np.diff(o).astype(np.int32)), pa.array(cp.as_int64(hist))]
@@ -39,7 +39,7 @@ def _cheap(least: int, with_text: bool):
 
 
 def _costly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cp.slices(batches, "text"):
         c, o, _, kept = _core(batch, 1)
         k = cores.cards(kept["text"])
         order = [np.where(k != 0, np.int64(s), cp.as_int64(cp.row_hash(c, o, s))) for s in (1, 2)]

@@ -18,6 +18,7 @@ from quillmill.functions import codepoints as cp
 
 Q = 8
 FILTER = 1 << 22
+HITS = 5_000_000  # q-gram hits that are counted at a time
 BLOCK_CHARS = 2_000_000  # characters of passages that are sent to the workers at a time
 
 
@@ -43,7 +44,11 @@ class Index:
 
     def regions(self, codes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document row, passage, lowest diagonal) of bands with enough hits."""
-        for q, grams, item, place, some in self.groups:
+        for group in self.groups:
+            yield from self._regions(codes, offs, group)
+
+    def _regions(self, codes: np.ndarray, offs: np.ndarray, group: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for q, grams, item, place, some in (group,):
             h, go = cp.gram_hashes(codes, offs, q)
             at = np.flatnonzero(some[(h >> np.uint64(42)).astype(np.int64)])
             lo, hi = np.searchsorted(grams, h[at], "left"), np.searchsorted(grams, h[at], "right")
@@ -51,6 +56,13 @@ class Index:
             at, lo, n = at[ok], lo[ok], (hi - lo)[ok]
             if not len(at):
                 continue
+            rows = len(offs) - 1
+            if n.sum() > HITS and rows > 1:  # passages that share much: half of the documents at a time
+                for a, b in ((0, rows // 2), (rows // 2, rows)):
+                    part = codes[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                    for r, i, low in self._regions(*part, (q, grams, item, place, some)):
+                        yield r + a, i, low
+                continue
             row = np.searchsorted(go, at, "right") - 1
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             row, it = np.repeat(row, n), item[which]
@@ -98,7 +110,7 @@ class Index:
 def _scan(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = Index(*index.value)
-        for batch in batches:
+        for batch in cp.slices(batches, "text"):
             codes, offs = cp.core(*cp.flatten(batch["text"]))
             ids = batch["id"].to_numpy(zero_copy_only=False)
             for row, item, low in ix.regions(codes, offs):
@@ -113,7 +125,7 @@ def _scan(index) -> object:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cp.slices(batches, "text"):
         c, o = cp.core(*cp.flatten(batch["text"]))
         yield pa.RecordBatch.from_arrays([batch["id"], cp.unflatten(c, o)], names=["id", "c"])
 

@@ -43,7 +43,7 @@ LOW, HIGH = 12, 300
 
 def _cores(id_col: str, text_col: str, low: int, high: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches, text_col):
             text = batch[text_col]
             c, o = cp.core(*cp.flatten(text))
             n = np.diff(o)

@@ -166,14 +166,14 @@ def canonical(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in cp.slices(batches, "text"):
         c, o = canonical(*cp.flatten(batch["text"]))
         yield pa.RecordBatch.from_arrays([batch["tbl"], batch["id"], cp.unflatten(c, o, ~np.asarray(batch["text"].is_null()))], names=["tbl", "id", "form"])
 
 
 def _hashes(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches, "text"):
             codes, offs = cp.flatten(batch["text"])
             keep, _ = cp.core_tables()
             n = cp.row_sums(keep[codes].astype(np.uint64), offs)

@@ -92,7 +92,7 @@ def cut_points(codes: np.ndarray, low: int, high: int, first: bool, last: bool,
 
 def _range_pieces(limit: int, overlap: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches, "chunk"):
             codes, offs = cp.flatten(batch["chunk"])
             out: list[tuple] = []
             ids, no, base, n = (batch[k].to_numpy() for k in ("id", "r", "base", "n"))

@@ -290,6 +290,9 @@ NOTES = [
     ("Leihgeber wohnt Weidenhofstr. 63, 00784 Neuenlinden, Ausweis-Nr. LQJ58E429.", {("address", "weidenhofstr6300784neuenlinden"), ("id_number", "lqj58e429")}),
     ("À renvoyer : 93 bis, allée du Vieux Moulin, Saint-Autrelle, merci à Lhauttrenne, Thibarot.", {("address", "93bisalléeduvieuxmoulinsaintautrelle"), ("name", "lhauttrennethibarot")}),
     ("Hervain Delatrenne / 941130019150935 / 01 99 00 10 99", {("name", "hervaindelatrenne"), ("id_number", "941130019150935"), ("phone", "0199001099")}),
+    ("Cảm ơn chị Khuất Khuê Chi đã đọc lại bản này.", {("name", "khuấtkhuêchi")}),
+    ("Wynica Pellmere; 109b Heronpan Row, Eastmouth ZZ2 4QQ; vesory2005@example.net", {("name", "wynicapellmere"), ("address", "109bheronpanroweastmouthzz24qq"), ("email", "vesory2005examplenet")}),
+    ("fan Neiflör womir Grüriet der Gaugrie Pfostieklol; Rowon bei 17 Pfereisu.", set()),
     ("架號HV8157-335，葉56至74。Stand 47.67.1847, Los 1505-801. See the tag @traithis. ISBN 000-0-1232-373-0.", set()),
     ("The Silver Gate Reading Room keeps 5533 leaves.", set()),
 ]
@@ -304,7 +307,7 @@ def test_personal_details(spark):
     for i, (_, want) in enumerate(NOTES * 3):
         assert got.get(i, set()) == want, NOTES[i % len(NOTES)][0]
     red = {r["doc_id"]: r["redacted"] for r in personal_details.redacted(df).collect()}
-    assert red[0] == "Transcribed by [NAME], write to [EMAIL]." and red[8] == NOTES[8][0] and red[900] is None and red[901] == "" and red[902] == rows[-1][1]
+    assert red[0] == "Transcribed by [NAME], write to [EMAIL]." and red[11] == NOTES[11][0] and red[900] is None and red[901] == "" and red[902] == rows[-1][1]
     assert personal_details.details(df.limit(0)).count() == 0
 
 
