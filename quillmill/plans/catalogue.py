@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import corpus, metrics, sequences, similarity, tags, text, trees, vectors
+from quillmill.operators import corpus, metrics, sequences, similarity, tags, text, trees, vectors, views
 from quillmill.operators.ranking import global_rank
 from quillmill.session import table
 from quillmill.sources import registry
@@ -780,3 +780,110 @@ def layouts(spark, d):
 @query("SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM embeddings")
 def ranked(spark, d):
     return global_rank(table(spark, d, "embeddings").select("vec_id", "label"), F.asc_nulls_last("label"), F.col("vec_id")).select("vec_id", "rank")
+
+
+# ---- views, systems and rendering ----
+
+
+@query(f"WITH {CC}, {SE} SELECT cc.sentence_id, cc.text AS source_text, se.text AS doc_text FROM cc LEFT JOIN se ON se.sent_id = cc.sentence_id")
+def link_views(spark, d):
+    a = cc(spark, d).select(F.col("sentence_id").cast("bigint").alias("sent_id"), "text")
+    return views.link_keyed(a, se(spark, d).select("sent_id", "text"), ["sent_id"]).select(F.col("sent_id").cast("int").alias("sentence_id"), F.col("source.text").alias("source_text"), F.col("doc.text").alias("doc_text"))
+
+
+@query(f"WITH {CC}, {SE}, a AS (SELECT sentence_id, row_number() OVER (ORDER BY sentence_id) - 1 AS pos FROM cc), b AS (SELECT sent_id, row_number() OVER (ORDER BY sent_id) - 1 AS pos FROM se) SELECT pos, sentence_id, sent_id FROM a JOIN b USING (pos)")
+def link_positional(spark, d):
+    a, b = cc(spark, d).select("sentence_id"), se(spark, d).select("sent_id")
+    return views.link_positional(a, b, F.col("sentence_id"), F.col("sent_id")).select("pos", "source.sentence_id", "doc.sent_id")
+
+
+@query(f"WITH {TOK}, s AS (SELECT *, max(CASE WHEN token = '之' THEN 1 ELSE 0 END) OVER (PARTITION BY sentence_id ORDER BY idx) AS s FROM tok) SELECT sentence_id, idx, token FROM s WHERE s = 0")
+def truncate_at(spark, d):
+    return views.truncate_at(tok(spark, d), KEY, "之").select("sentence_id", "idx", "token")
+
+
+_SYS = BIO + """, sy AS (SELECT sentence_id, idx, 'a' AS system, tag AS pred, score FROM bio UNION ALL SELECT sentence_id, idx, 'b', pred, 1 - score FROM bio),
+vs AS (SELECT sentence_id, idx, pred, round(sum(score), 9) AS s FROM sy GROUP BY ALL), vr AS (SELECT *, row_number() OVER (PARTITION BY sentence_id, idx ORDER BY s DESC, pred) AS u, max(s) OVER (PARTITION BY sentence_id, idx) AS top, sum(exp(s)) OVER (PARTITION BY sentence_id, idx) AS z FROM vs)"""
+
+
+def _systems(spark, d):
+    rows = bio(spark, d)
+    return rows.select("sentence_id", "idx", F.lit("a").alias("system"), F.col("tag").alias("pred"), "score").unionByName(rows.select("sentence_id", "idx", F.lit("b").alias("system"), "pred", (1 - F.col("score")).alias("score")))
+
+
+@query(f"WITH {_SYS} SELECT sentence_id, idx, pred, round(exp(top) / z, 6) AS score FROM vr WHERE u = 1")
+def system_vote(spark, d):
+    return views.vote(_systems(spark, d), ["sentence_id", "idx"])
+
+
+@query(f"WITH {_SYS} SELECT sentence_id, idx, string_agg(system || ':' || pred, ' ' ORDER BY system) AS preds FROM sy GROUP BY ALL")
+def attach_systems(spark, d):
+    keys = ["sentence_id", "idx"]
+    wide = views.attach_systems(tok(spark, d).select(*keys), _systems(spark, d), keys)
+    return wide.select(*keys, F.array_join(F.transform("preds", lambda x: F.concat_ws(":", x["system"], x["pred"])), " ").alias("preds"))
+
+
+@query(f"WITH {_TREE} SELECT a.sentence_id, a.dep, t.token AS head_text FROM t2 a LEFT JOIN tok t ON t.sentence_id = a.sentence_id AND t.idx = a.head")
+def head_words(spark, d):
+    words = tok(spark, d).select("sentence_id", F.col("idx").alias("dep"), "token")
+    return views.heads(_trees(spark, d).join(words, ["sentence_id", "dep"]), KEY).select("sentence_id", "dep", "head_text")
+
+
+@query(f"WITH {TOK}, n AS (SELECT sentence_id, max(idx) AS n FROM tok GROUP BY 1), s AS (SELECT sentence_id, n, unnest(range(1, n + 1)) AS start FROM n) SELECT sentence_id, start, unnest(range(start, least(n, start + 3) + 1)) AS stop FROM s")
+def candidate_spans(spark, d):
+    return views.candidate_spans(tok(spark, d), KEY, 4)
+
+
+@query(f"""WITH {TOK}, s AS (SELECT sentence_id, split, count(*) AS n FROM tok GROUP BY ALL) SELECT split, '{{"total":' || count(*) || ',"tokens":' || CAST(sum(n) AS BIGINT) || ',"min":' || min(n) || ',"max":' || max(n) || '}}' AS stats FROM s GROUP BY split""")
+def statistics_json(spark, d):
+    per = tok(spark, d).groupBy("sentence_id", "split").agg(F.count("*").alias("n"))
+    return views.statistics_json(per, "split", "n")
+
+
+@query(f"WITH {_REPAIRED} SELECT sentence_id, string_agg(text || CASE WHEN tag = 'O' THEN '' ELSE ' <' || tag || '>' END, ' ' ORDER BY idx) AS text FROM rp GROUP BY sentence_id")
+def tagged_text(spark, d):
+    return views.plain(tags.repair_bio(bio(spark, d), KEY), KEY, "tag", "text")
+
+
+@query(f"WITH {_SPANS} SELECT sentence_id, start, '<mark class=\"' || tag || '\">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</mark>' AS html FROM spans")
+def highlighted_spans(spark, d):
+    s = tags.spans(bio(spark, d), KEY)
+    return s.select("sentence_id", "start", views.highlight(s).alias("html"))
+
+
+@query(f"WITH {GP} SELECT sent_id, idx, CAST(least(greatest(floor(score * 8), 0), 7) AS INT) AS bucket FROM gp WHERE score IS NOT NULL")
+def activation_buckets(spark, d):
+    return gp(spark, d).filter("score IS NOT NULL").select("sent_id", "idx", views.buckets(F.col("score"), 0.0, 1.0, 8).alias("bucket"))
+
+
+@query(f"WITH {TOK}, n AS (SELECT sentence_id, count(*) AS n FROM tok GROUP BY 1) " + "SELECT CAST(sum(CASE WHEN n > 30 THEN 1 ELSE 0 END) AS BIGINT) AS removed, max(n) AS longest FROM n")
+def clip_report(spark, d):
+    per = tok(spark, d).groupBy("sentence_id").agg(F.count("*").alias("n"))
+    return views.clip_long(per, "n", 30)[1]
+
+
+@query()
+def greedy_spans(spark, d):
+    return trees.greedy_spans(tags.spans(bio(spark, d), KEY).select("sentence_id", "start", "stop", "tag", "score"), KEY)
+
+
+@query(f"WITH {_TREE}, sc AS (SELECT sentence_id, dep, head, CASE WHEN rel = 'a' THEN 0.7 ELSE -0.7 END AS score FROM t2) SELECT sentence_id, dep, head FROM sc WHERE score > 0")
+def threshold_arcs(spark, d):
+    arcs = _trees(spark, d).withColumn("score", F.when(F.col("rel") == "a", 0.7).otherwise(-0.7))
+    return trees.threshold_arcs(arcs).select("sentence_id", "dep", "head")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query(f"""WITH {TOK}, s AS (SELECT sentence_id, list_transform(list_resize(list(token ORDER BY idx), 20, '<pad>'), lambda x: x) AS w FROM tok GROUP BY sentence_id) SELECT sentence_id, array_to_string(w, ' ') AS padded FROM s""")
+def padded_tokens(spark, d):
+    rows = tok(spark, d).groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("w"))
+    return rows.select("sentence_id", F.array_join(F.slice(F.concat("w", F.array_repeat(F.lit("<pad>"), 20)), 1, 20), " ").alias("padded"))
+
+
+@query(f"WITH {SE} SELECT book_id, count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs FROM se GROUP BY book_id")
+def book_statistics(spark, d):
+    return se(spark, d).groupBy("book_id").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct("lang").alias("langs"))
