@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.ranking import running_total
+
 
 def divide(a: Column, b: Column) -> Column:
     """a / b to four places; 0 where b is 0."""
@@ -75,14 +77,11 @@ def epsilon_f1(tp: Column, n_gold: Column, n_pred: Column, eps: float = 1e-12) -
 
 def regression(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Mean squared and absolute error, Pearson, and Spearman with mean ranks for ties. Rows with a null side are left out."""
-    from pyspark.sql import Window
-
     rows = df.select(F.col(gold).cast("double").alias("g"), F.col(pred).cast("double").alias("p")).filter("g IS NOT NULL AND p IS NOT NULL")
     # the rank of a value comes from counts per distinct value, so no task orders all rows
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (below + (F.col("n") + 1) / 2).alias("r" + c))
+        return running_total(counts, F.col(c), value=F.col("n")).select(c, (F.col("total") - (F.col("n") - 1) / 2).alias("r" + c))
 
     wide = rows.join(ranks("g"), "g").join(ranks("p"), "p")
     return wide.agg(F.round(F.avg(F.pow(F.col("g") - F.col("p"), 2)), 6).alias("mse"), F.round(F.avg(F.abs(F.col("g") - F.col("p"))), 6).alias("mae"), F.round(F.corr("g", "p"), 6).alias("pearson"), F.round(F.corr("rg", "rp"), 6).alias("spearman"))

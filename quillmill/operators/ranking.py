@@ -27,3 +27,14 @@ def hash_rank(df: DataFrame, key: Column, seed: str = "1", name: str = "rank") -
     """A rank in random but repeatable order: by md5 of seed and key, then the key."""
     mixed = df.withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), key.cast("string")))).withColumn("__k", key)
     return global_rank(mixed, F.col("__h"), F.col("__k"), name=name).drop("__h", "__k")
+
+
+def running_total(df: DataFrame, *order: Column, value: Column, name: str = "total") -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row in the order of ``order``, over the whole table, as ``global_rank`` ranks."""
+    spark = df.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.withColumn("__v", value).repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "summed")
+    sums = placed.groupBy("__range").agg(F.sum("__v").alias("__n"))  # one row per range
+    base = sums.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = F.sum("__v").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("__within", within).join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__within")).drop("__range", "__within", "__base", "__v")

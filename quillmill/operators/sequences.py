@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.ranking import running_total
+
 
 def words(c: Column) -> Column:
     """Tokens parted by runs of U+0020."""
@@ -41,9 +43,18 @@ def sentence_ids(rows: DataFrame, keys: list[str], value: str = "value") -> Data
 
 
 def document_ids(rows: DataFrame, keys: list[str], order: str, mark: Column) -> DataFrame:
-    """Adds ``doc``: how many marks stood up to here; rows that are a mark get ``start``."""
-    n = F.sum(mark.cast("int")).over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("doc", F.when(mark, "start").otherwise(n.cast("string")))
+    """Adds ``doc``: how many marks stood up to here within the keys; rows that are a mark get ``start``. ``order`` must be unique.
+
+    The count is a running total over the whole table less what stood before the keys began, so that a key with a third of
+    all rows is spread like the others.
+    """
+    marked = rows.withColumn("__m", F.coalesce(mark, F.lit(False)).cast("int"))
+    total = running_total(marked, *[F.asc_nulls_first(k) for k in keys], F.col(order), value=F.col("__m"), name="__t")
+    base = total.groupBy(*keys).agg(F.min(F.col("__t") - F.col("__m")).alias("__b"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = total.alias("a").join(base.alias("b"), same)
+    doc = F.when(F.col("a.__m") == 1, "start").otherwise((F.col("a.__t") - F.col("b.__b")).cast("string"))
+    return both.select(*[F.col(f"a.{c}") for c in rows.columns], doc.alias("doc"))
 
 
 def context_window(df: DataFrame, keys: list[str], token: str, size: int = 4) -> DataFrame:

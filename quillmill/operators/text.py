@@ -83,12 +83,17 @@ def first_of_each(df: DataFrame, text: str, *order: str) -> DataFrame:
 
 
 def reject_reasons(df: DataFrame, text: str, *order: str, low: int = 5, high: int = 200) -> DataFrame:
-    """Adds ``reason``: too_short, too_long, duplicate (of an earlier row of right length) or kept; the first that holds."""
+    """Adds ``reason``: too_short, too_long, duplicate (of an earlier row of right length) or kept; the first that holds.
+
+    ``order`` must be unique. The first row of each text comes from an aggregate and is joined back, so a text that a third of
+    all rows share is spread by the skew join.
+    """
     n = size_without_spaces(F.coalesce(F.col(text), F.lit("")))
-    marked = df.withColumn("__n", n).withColumn("__fp", F.md5(F.col(text)))
-    rank = F.row_number().over(Window.partitionBy(F.when(F.col("__n").between(low, high), F.col("__fp")).otherwise(F.concat(F.lit("x"), F.xxhash64(*order)))).orderBy(*order))
-    reason = F.when(F.col("__n") < low, "too_short").when(F.col("__n") > high, "too_long").when(F.col("__rank") > 1, "duplicate").otherwise("kept")
-    return marked.withColumn("__rank", rank).withColumn("reason", reason).drop("__n", "__fp", "__rank")
+    marked = df.withColumn("__n", n).withColumn("__fp", F.when(n.between(low, high), F.md5(F.col(text)))).withColumn("__o", F.struct(*order))
+    first = marked.filter("__fp IS NOT NULL").groupBy("__fp").agg(F.min("__o").alias("__first"))
+    both = marked.join(first, "__fp", "left")
+    reason = F.when(F.col("__n") < low, "too_short").when(F.col("__n") > high, "too_long").when(F.col("__o") != F.col("__first"), "duplicate").otherwise("kept")
+    return both.withColumn("reason", reason).select(*df.columns, "reason")
 
 
 def length_histogram(lengths: DataFrame, col: str) -> DataFrame:
