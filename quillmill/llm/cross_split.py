@@ -25,7 +25,7 @@ from quillmill.session import cut
 
 LOW, HIGH = 12, 300
 SHARD_CHARS = 2_000_000  # characters of evaluation cores in one automaton
-BLOCK_CHARS = 4_000_000  # characters of training cores in one block
+BLOCK_CHARS = 12_000_000  # characters of training cores in one block
 EXPANDED = 2_000_000  # matches with an owner that are counted at a time
 PAIRS = 50_000  # pairs that are compared at a time
 
