@@ -70,3 +70,25 @@ def test_sequences(spark):
     assert [(r["value"], r["sent"]) for r in sequences.sentence_ids(lines, ["id"]).orderBy("line").collect()] == [("a", 0), ("b", 0), ("c", 1)]
     log = spark.createDataFrame([(1, i, f) for i, f in enumerate([0.1, 0.3, 0.2, None, 0.4])], "r int, e int, f double")
     assert [(r["best"], r["bad"]) for r in sequences.running_best(log, ["r"], "e", "f").orderBy("e").collect()] == [(0.1, 0), (0.3, 0), (0.3, 1), (0.3, 2), (0.4, 0)]
+
+
+def test_running_total(spark):
+    df = spark.range(500).withColumn("v", F.col("id") % 7)
+    got = sorted((r["id"], r["total"]) for r in ranking.running_total(df, F.col("id"), value=F.col("v")).collect())
+    total = 0
+    for i, t in got:
+        total += i % 7
+        assert t == total
+
+
+def test_document_ids_hot_key(spark):
+    rows = [(1, i, i % 50 == 0) for i in range(400)] + [(2, 1000, False), (2, 1001, True), (None, 2000, True), (None, 2001, False)]
+    df = spark.createDataFrame(rows, "k int, o int, m boolean")
+    got = {r["o"]: r["doc"] for r in sequences.document_ids(df, ["k"], "o", F.col("m")).collect()}
+    assert got[0] == "start" and got[49] == "1" and got[399] == "8" and got[1000] == "0" and got[1001] == "start" and got[2001] == "1" and len(got) == 404
+
+
+def test_regression_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (2.0, 2.0), (4.0, 9.0), (None, 1.0)], "g double, p double")
+    r = metrics.regression(df, "g", "p").collect()[0]
+    assert (r["mse"], r["mae"], r["spearman"]) == (6.5, 1.5, 0.948683)
