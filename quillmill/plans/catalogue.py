@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import corpus, metrics, sequences, similarity, tags, text, trees, vectors, views
 from quillmill.operators.ranking import global_rank
-from quillmill.session import table
+from quillmill.session import cut, table
 from quillmill.sources import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -567,7 +567,9 @@ def lsh_candidates(spark, d):
 
 
 def _top(spark, d):
-    return similarity.top_k(similarity.scored(_queries(spark, d), _corpus(spark, d), "qid", "sent_id", BANDS, ROWS), "qid", "sent_id")
+    # signatures are stored, as an index is; bands and scores read them
+    held, stored = cut(_queries(spark, d), "queries"), cut(_corpus(spark, d), "index")
+    return similarity.top_k(similarity.scored(held, stored, "qid", "sent_id", BANDS, ROWS), "qid", "sent_id")
 
 
 @query(f"WITH {_SCORED} SELECT qid, rank, sent_id, text, score FROM top WHERE rank <= 5")
