@@ -1,18 +1,18 @@
 """Problem 1: records of evaluation splits that stand, whole or almost, in the training split.
 
-The cores of the evaluation records are cut into segments, which are the patterns of Aho-Corasick automata; the records
-are sharded so that an automaton stays small. Every shard scans all training cores, in blocks of texts. The matched segments
-are merged into the stretches of an evaluation record that a training record covers; records that share enough segments are
-compared exactly.
-
-How many segments: by the argument in ``near_duplicates`` a pair of similarity t has at most (1-t)/(2(1+t)) |A| gaps along A,
-and a gap of characters spoils one segment (a longer one all that it covers, at the price of their length). Three segments more
-than that leave three untouched; two are asked for.
+Pairs: the distinct 3-character pieces of all cores are put in one order, rare ones first. A pair of similarity t shares at
+least t of the pieces of either record, so whatever the edits are, the first few of the pieces that it shares stand in the
+first part of both (all but t of the pieces, and ``MEET`` more): at least ``MEET`` pieces meet there. Records that meet so are
+compared exactly; nothing that is similar enough is lost. The order is one of a block, each block being joined for itself.
+
+Coverage: the cores of the evaluation records are cut into segments, which are the patterns of Aho-Corasick automata; the
+records are sharded so that an automaton stays small. Every shard scans all training cores, in blocks of texts. The matched
+segments are merged into the stretches of an evaluation record that a training record covers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,8 +26,11 @@ from quillmill.session import cut
 LOW, HIGH = 12, 300
 SHARD_CHARS = 2_000_000  # characters of evaluation cores in one automaton
 BLOCK_CHARS = 12_000_000  # characters of training cores in one block
-EXPANDED = 2_000_000  # matches with an owner that are counted at a time
+EXPANDED = 2_000_000  # matches or meetings with an owner that are counted at a time
 PAIRS = 50_000  # pairs that are compared at a time
+PART_CHARS = 3_000_000  # characters of training cores that are joined at a time
+MEET = 10  # rare pieces that a pair must share
+LOW_BITS = 0xFFFFFFFF
 
 
 def _cores(low: int, high: int):
@@ -50,13 +53,89 @@ def segments(text: str, t: float) -> list[tuple[int, int]]:
     return list(zip(edge, edge[1:], strict=False))
 
 
-def _scan(tenths: int, what: str):
+def _pieces(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the number (three code points of 21 bits) of each 3-character piece, with repeats."""
+    n = np.maximum(np.diff(offs) - 2, 0)
+    out = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(out[-1]) + np.repeat(offs[:-1] - out[:-1], n)
+    c = codes.astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), c[at] << 42 | c[at + 1] << 21 | c[at + 2]
+
+
+def _prefixes(rows: np.ndarray, pieces: np.ndarray, count: int, tenths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and piece of the first ``MEET`` pieces more than a row can lose, and the least number of shared pieces of each row.
+
+    ``rows`` and ``pieces`` are distinct pairs in order.
+    """
+    size = np.bincount(rows, minlength=count)
+    least = -(-tenths * size // 10)
+    first = np.cumsum(size) - size
+    keep = np.arange(len(rows)) - first[rows] < (size - least + MEET)[rows]
+    return rows[keep], pieces[keep], least
+
+
+def similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], tenths: int) -> tuple[np.ndarray, ...]:
+    """(row of left, row of right, shared, all pieces) of every pair of similarity of at least ``tenths`` / 10."""
+    (ra, pa_), (rb, pb) = _pieces(*left), _pieces(*right)
+    na, nb = len(left[1]) - 1, len(right[1]) - 1
+    words, place = np.unique(np.concatenate([pa_, pb]), return_inverse=True)
+    # distinct (row, piece) of either side, then pieces numbered from the one that brings the fewest pairs on
+    ka, kb = np.unique(ra << 32 | place[: len(ra)]), np.unique(rb << 32 | place[len(ra) :])
+    weight = np.bincount(ka & LOW_BITS, minlength=len(words)) * np.bincount(kb & LOW_BITS, minlength=len(words))
+    number = np.empty(len(words), np.int64)
+    number[np.argsort(weight, kind="stable")] = np.arange(len(words))
+    ka, kb = (np.sort(k >> 32 << 32 | number[k & LOW_BITS]) for k in (ka, kb))
+    xa, wa, least_a = _prefixes(ka >> 32, ka & LOW_BITS, na, tenths)
+    xb, wb, least_b = _prefixes(kb >> 32, kb & LOW_BITS, nb, tenths)
+    size_a, size_b = np.bincount(ka >> 32, minlength=na), np.bincount(kb >> 32, minlength=nb)
+    order = np.argsort(wa, kind="stable")
+    owner = xa[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(wa, minlength=len(words)))])
+    n = first[wb + 1] - first[wb]
+    # whole rows of right, so many that about EXPANDED meetings are counted at a time
+    meetings = np.concatenate([[0], np.cumsum(np.bincount(xb, weights=n, minlength=nb).astype(np.int64))])
+    part = meetings[:-1] // EXPANDED
+    edges = np.searchsorted(xb, np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [nb]]))
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        m = n[lo:hi]
+        at = np.repeat(first[wb[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        pair, times = np.unique(np.repeat(xb[lo:hi], m) << 32 | owner[at], return_counts=True)
+        b, a = pair >> 32, pair & LOW_BITS
+        least = np.maximum(least_a[a], least_b[b])
+        ok = (times >= np.minimum(MEET, least)) & (np.minimum(size_a[a], size_b[b]) >= least)
+        a, b = a[ok], b[ok]
+        for low in range(0, len(a), PAIRS):
+            i, j = a[low : low + PAIRS], b[low : low + PAIRS]
+            inter, union = cp.shared_trigrams(cp.take_rows(*left, i), cp.take_rows(*right, j))
+            good = 10 * inter >= tenths * union
+            out.append((i[good], j[good], inter[good], union[good]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _join(tenths: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        flat, other = cp.flatten(left["c"]), cp.flatten(right["c"])
+        held, train = left["rid"].to_numpy(), right["rid"].to_numpy()
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+        # parts of the block bound the memory; each is joined for itself
+        part = other[1][:-1] // PART_CHARS
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [right.num_rows]]) if right.num_rows and left.num_rows else [0]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            codes = other[0][other[1][lo] : other[1][hi]]
+            a, b, inter, union = similar(flat, (codes, other[1][lo : hi + 1] - other[1][lo]), tenths)
+            out.append((held[a], train[b + lo], inter, union))
+        return pa.table(dict(zip(("held", "train", "shared", "all_pieces"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def _cover(tenths: int):
     t = tenths / 10
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            names = ("rid", "start", "stop") if what == "cover" else ("held", "train", "shared", "all_pieces")
-            return pa.table({k: np.zeros(0, np.int64) for k in names})
+            return pa.table({k: np.zeros(0, np.int64) for k in ("rid", "start", "stop")})
         held, train = left["c"].to_pylist(), right["c"].to_pylist()
         patterns: dict[str, list[tuple[int, int]]] = {}
         for i, text in enumerate(held):
@@ -69,51 +148,34 @@ def _scan(tenths: int, what: str):
         # the owners of pattern k: records and places in owner[first[k]:first[k + 1]]
         first = np.concatenate([[0], np.cumsum([len(x) for x in patterns.values()])]).astype(np.int64)
         owner = np.array([x for own in patterns.values() for x in own], np.int64).reshape(-1, 2)
-        flat_a, flat_b = cp.flatten(left["c"]), cp.flatten(right["c"])
-        out: list[tuple[np.ndarray, ...]] = []
         stretches: list[np.ndarray] = []
-        texts: list[int] = []
         found: list[int] = []
 
-        def compare() -> None:
-            j, k = np.array(texts, np.int64), np.array(found, np.int64)
-            texts.clear()
+        def count() -> None:
+            k = np.array(found, np.int64)
             found.clear()
             n = first[k + 1] - first[k]
             at = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if what == "cover":
-                size = np.fromiter((len(words[x]) for x in k), np.int64, len(k))
-                stretches.append(np.unique(np.column_stack([owner[at], np.repeat(size, n)]), axis=0))
-                return
-            pair, times = np.unique(np.repeat(j, n) << 32 | owner[at, 0], return_counts=True)
-            pair = pair[times >= 2]
-            for low in range(0, len(pair), PAIRS):
-                b, a = pair[low : low + PAIRS] >> 32, pair[low : low + PAIRS] & 0xFFFFFFFF
-                inter, union = cp.shared_trigrams(cp.take_rows(*flat_a, a), cp.take_rows(*flat_b, b))
-                ok = 10 * inter >= tenths * union
-                out.append((a[ok], b[ok], inter[ok], union[ok]))
+            size = np.fromiter((len(words[x]) for x in k), np.int64, len(k))
+            stretches.append(np.unique(np.column_stack([owner[at], np.repeat(size, n)]), axis=0))
 
         if words:
             machine.make_automaton()
             often = np.diff(first)
             waiting = 0
-            for j, text in enumerate(train):
+            for text in train:
                 hits = {k for _, k in machine.iter(text)}
                 if hits:
-                    texts += [j] * len(hits)
                     found += hits
                     waiting += int(often[list(hits)].sum())
                     if waiting > EXPANDED:
-                        compare()
+                        count()
                         waiting = 0
-            if texts:
-                compare()
+            if found:
+                count()
         ids = left["rid"].to_numpy()
-        if what == "cover":
-            s = np.unique(np.concatenate(stretches), axis=0) if stretches else np.zeros((0, 3), np.int64)
-            return pa.table({"rid": ids[s[:, 0]], "start": s[:, 1], "stop": s[:, 1] + s[:, 2]})
-        a, b, inter, union = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-        return pa.table({"held": ids[a], "train": right["rid"].to_numpy()[b], "shared": inter, "all_pieces": union})
+        s = np.unique(np.concatenate(stretches), axis=0) if stretches else np.zeros((0, 3), np.int64)
+        return pa.table({"rid": ids[s[:, 0]], "start": s[:, 1], "stop": s[:, 1] + s[:, 2]})
 
     return run
 
@@ -133,7 +195,7 @@ class CrossSplit:
         self.rows = cut(rows.mapInArrow(_cores(low, high), "id bigint, held boolean, c string").distinct(), "cross-rows")
         self.reps = self.rows.groupBy("held", "c").agg(F.min("id").alias("rid"))
 
-    def _blocks(self, what: str, schema: str) -> DataFrame:
+    def _blocks(self, scan: Callable, schema: str) -> DataFrame:
         sizes = {r["held"]: r["n"] for r in self.rows.groupBy("held").agg(F.sum(F.length("c")).alias("n")).collect()}
         width = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         shards = max(1, -(-(sizes.get(True) or 0) // SHARD_CHARS))
@@ -142,11 +204,11 @@ class CrossSplit:
         spread = lambda n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x.cast("bigint")))
         left = self.reps.filter("held").select(own.alias("shard"), spread(blocks).alias("block"), "rid", "c")
         right = self.reps.filter("NOT held").select(F.expr(f"pmod(xxhash64(c), {blocks})").alias("block"), spread(shards).alias("shard"), "rid", "c")
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_scan(self.tenths, what), schema)
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(scan(self.tenths), schema)
 
     def pairs(self) -> DataFrame:
         """(id_held, id_train, shared, all_pieces) of all rows of similarity of at least ``tenths`` / 10."""
-        found = cut(self._blocks("pairs", "held bigint, train bigint, shared bigint, all_pieces bigint"), "cross-pairs")
+        found = cut(self._blocks(_join, "held bigint, train bigint, shared bigint, all_pieces bigint"), "cross-pairs")
         member = self.rows.join(self.reps, ["held", "c"]).select("held", "rid", "id")
         a = member.filter("held").select(F.col("rid").alias("ra"), F.col("id").alias("id_held"))
         b = member.filter("NOT held").select(F.col("rid").alias("rb"), F.col("id").alias("id_train"))
@@ -154,7 +216,7 @@ class CrossSplit:
 
     def coverage(self) -> DataFrame:
         """(id, n_chars, covered): for each evaluation record, the characters of its core that stand in training records, its matched segments merged."""
-        cover = self._blocks("cover", "rid bigint, start bigint, stop bigint").distinct()
+        cover = self._blocks(_cover, "rid bigint, start bigint, stop bigint").distinct()
         w = Window.partitionBy("rid").orderBy("start", "stop")
         seen = F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         merged = cover.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), seen))).groupBy("rid").agg(F.sum("new").alias("covered"))

@@ -126,6 +126,29 @@ def test_cross_split(spark):
     assert cross_split.CrossSplit(df.filter("split = 'train'")).pairs().count() == 0
 
 
+def test_cross_split_cut_ends(spark):
+    """Short records with cut ends, deletions of two characters and repeats; the first lost its last common segment but one."""
+    rng = random.Random(11)
+    text = "abcdefghijklmnopqrstuvw"
+    rows = [(0, "dev", text), (1, "train", text[1:10] + "x" + text[10:-1])]
+    for i in range(2, 700, 2):
+        base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789"[: rng.choice([3, 36])], k=rng.randint(14, 60)))
+        t = list(base)
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(t) - 1)
+            del t[k : k + 2]
+        if rng.random() < 0.5:
+            t = t[1:-1]
+        if rng.random() < 0.5:
+            t.insert(rng.randrange(len(t)), "天")
+        rows += [(i, "test", base), (i + 1, "train", "".join(t))]
+    ok = [r for r in rows if 12 <= len(C(r[2])) <= 300]
+    want = {(i, j) for i, s, a in ok if s != "train" for j, u, b in ok if u == "train" and sim(a, b, 7)}
+    df = spark.createDataFrame(rows, "sentence_id int, split string, text string")
+    assert (0, 1) in want and len(want) > 50
+    assert {(r["id_held"], r["id_train"]) for r in cross_split.CrossSplit(df).pairs().collect()} == want
+
+
 def test_terms(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["a", "b", "", "c" + str(rng.randrange(60)), "天"], k=rng.randint(0, 9)))) for i in range(100)] + [(200, None), (None, "zz")]
