@@ -593,6 +593,35 @@ def with_context(spark, d):
     return rows.select("qid", F.array_join(similarity.with_context(sequences.words(F.col("q_text")), F.coalesce("ctx", none), 120), " ").alias("line"))
 
 
+# the same over all pairs and by exact similarity, so that no neighbour is lost
+
+_EXACT = CC + ", " + SE + """, q AS (SELECT CAST(sentence_id AS BIGINT) AS qid, text FROM cc WHERE text IS NOT NULL AND sentence_id % 20 = 0), c AS (SELECT min(sent_id) AS sent_id, text FROM se WHERE text IS NOT NULL GROUP BY text),
+qg AS (SELECT qid, t, unnest(CASE WHEN length(t) < 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END) AS g FROM (SELECT qid, replace(text, ' ', '') AS t FROM q)),
+cg AS (SELECT sent_id, t, unnest(CASE WHEN length(t) < 2 THEN [t] ELSE list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) END) AS g FROM (SELECT sent_id, replace(text, ' ', '') AS t FROM c)),
+qn AS (SELECT qid, count(*) AS n FROM qg GROUP BY qid), cn AS (SELECT sent_id, count(*) AS n FROM cg GROUP BY sent_id), both_in AS (SELECT qid, sent_id, count(*) AS s FROM qg JOIN cg USING (g) GROUP BY ALL),
+sc AS (SELECT q.qid, c.sent_id, c.text, round(s / CAST(qn.n + cn.n - s AS DOUBLE), 6) AS score FROM both_in b JOIN q ON q.qid = b.qid JOIN c ON c.sent_id = b.sent_id JOIN qn ON qn.qid = b.qid JOIN cn ON cn.sent_id = b.sent_id WHERE c.text <> q.text),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sent_id) AS rank FROM sc WHERE score BETWEEN 0.1 AND 0.95)"""
+
+
+def _exact_queries(spark, d):
+    return cc(spark, d).filter("text IS NOT NULL AND sentence_id % 20 = 0").select(F.col("sentence_id").cast("bigint").alias("qid"), F.col("text").alias("q_text")).dropDuplicates(["qid"])
+
+
+def _exact_top(spark, d):
+    return similarity.exact_top(_exact_queries(spark, d), se(spark, d).select("sent_id", "text"), "qid", "sent_id")
+
+
+@query(f"WITH {_EXACT} SELECT qid, rank, sent_id, text, score FROM top WHERE rank <= 5")
+def retrieve_exact(spark, d):
+    return _exact_top(spark, d)
+
+
+@query(ints(f"WITH {_EXACT}, n AS (SELECT q.qid, count(top.sent_id) AS n FROM q LEFT JOIN top ON top.qid = q.qid AND rank <= 5 GROUP BY q.qid) SELECT count(*) AS queries, sum(n) AS retrieved, round(avg(n), 6) AS mean, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS none FROM n", "retrieved", "none"))
+def retrieve_exact_stats(spark, d):
+    n = _exact_queries(spark, d).select("qid").join(_exact_top(spark, d).groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").fillna(0, ["n"])
+    return n.agg(F.count("*").alias("queries"), F.sum("n").alias("retrieved"), F.round(F.avg("n"), 6).alias("mean"), F.sum((F.col("n") == 0).cast("int")).alias("none"))
+
+
 _RP = "rp AS (SELECT DISTINCT query_id, rank_no, sent_id, cand, ref, score FROM retrieval_pairs)"
 _WORDS = "array_to_string(string_split({0}, ' ')[1:200], ' ')"
 

@@ -108,3 +108,25 @@ def test_kmeans(spark):
     df = spark.createDataFrame([(n,) for n in [1, 2, 2, 3, 50, 51, None]], "n int")
     got = {r["length"]: r["cluster"] for r in vectors.kmeans_lengths(df, "n", 2).collect()}
     assert got[1] == got[3] == 0 and got[50] == got[51] == 1
+
+
+def test_exact_top_against_brute_force(spark):
+    """Neighbours of low similarity too: recall of the best five is 1; also one-character, empty, null and equal texts."""
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choices("abcdefghijklm ", k=rng.randint(2, 40)))
+    texts = [(i, line()) for i in range(300)] + [(400, None), (401, ""), (402, "a"), (403, "a"), (404, " ")]
+    asked = [(i, line()) for i in range(40)] + [(50, texts[7][1]), (51, "a"), (52, ""), (53, None)]
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} if len(t := t.replace(" ", "")) > 1 else {t}
+    want = set()
+    for i, a in asked:
+        least = {}
+        for j, b in texts:
+            if a is not None and b is not None and a != b:
+                s = round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6)
+                if 0.1 <= s <= 0.95:
+                    least[b] = min(least.get(b, (-s, j)), (-s, j))
+        want |= {(i, r, j, -s) for r, (s, j) in enumerate(sorted(least.values())[:5], 1)}
+    q, c = spark.createDataFrame(asked, "qid bigint, q_text string"), spark.createDataFrame(texts, "sent_id bigint, text string")
+    assert len(want) > 100
+    assert {(r["qid"], r["rank"], r["sent_id"], r["score"]) for r in similarity.exact_top(q, c, "qid", "sent_id").collect()} == want
+    assert similarity.exact_top(q, c.limit(0), "qid", "sent_id").count() == 0
