@@ -48,11 +48,12 @@ def heads(tokens: DataFrame, keys: list[str], idx: str = "dep", head: str = "hea
     return tokens.join(other, [*keys, head], "left")
 
 
-def candidate_spans(tokens: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """(keys, start, stop) of all spans up to ``longest`` tokens, from the sentence lengths."""
+def candidate_spans(tokens: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
+    """(keys, start, stop) of all spans, or of those up to ``longest`` tokens, from the sentence lengths."""
     n = tokens.groupBy(*keys).agg(F.max("idx").alias("n"))
     starts = n.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("start"))
-    return starts.select(*keys, "start", F.explode(F.sequence(F.col("start"), F.least(F.col("n"), F.col("start") + longest - 1))).alias("stop"))
+    last = F.col("n") if longest is None else F.least(F.col("n"), F.col("start") + longest - 1)
+    return starts.select(*keys, "start", F.explode(F.sequence(F.col("start"), last)).alias("stop"))
 
 
 def statistics_json(sentences: DataFrame, by: str, tokens: str) -> DataFrame:

@@ -865,6 +865,11 @@ def candidate_spans(spark, d):
     return views.candidate_spans(tok(spark, d), KEY, 4)
 
 
+@query(f"WITH {TOK} SELECT a.sentence_id, a.idx AS start, b.idx AS stop FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND a.idx <= b.idx")
+def candidate_spans_all(spark, d):
+    return views.candidate_spans(tok(spark, d), KEY)
+
+
 @query(f"""WITH {TOK}, s AS (SELECT sentence_id, split, count(*) AS n FROM tok GROUP BY ALL) SELECT split, '{{"total":' || count(*) || ',"tokens":' || CAST(sum(n) AS BIGINT) || ',"min":' || min(n) || ',"max":' || max(n) || '}}' AS stats FROM s GROUP BY split""")
 def statistics_json(spark, d):
     per = tok(spark, d).groupBy("sentence_id", "split").agg(F.count("*").alias("n"))
