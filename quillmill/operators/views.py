@@ -80,9 +80,10 @@ def buckets(c: Column, low: float, high: float, n: int) -> Column:
     return F.least(F.greatest(F.floor((c - low) / (high - low) * n), F.lit(0)), F.lit(n - 1)).cast("int")
 
 
-def pad_ids(c: Column, size: int, pad: int = 0) -> Column:
-    """An array of identifiers of exactly ``size``."""
-    return F.slice(F.concat(c, F.array_repeat(F.lit(pad), size)), 1, size)
+def pad_ids(c: Column, size: int | Column, pad: int | str = 0) -> Column:
+    """An array of ``size`` at least; a longer one stays whole."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.concat(c, F.array_repeat(F.lit(pad), F.greatest(size - F.size(c), F.lit(0))))
 
 
 def one_hot(labels: Column, classes: list[str]) -> Column:

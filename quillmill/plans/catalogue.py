@@ -920,6 +920,13 @@ def padded_tokens(spark, d):
     return rows.select("sentence_id", F.array_join(F.slice(F.concat("w", F.array_repeat(F.lit("<pad>"), 20)), 1, 20), " ").alias("padded"))
 
 
+@query(f"""WITH {TOK}, m AS (SELECT max(idx) AS n FROM tok), s AS (SELECT sentence_id, list(token ORDER BY idx) AS w FROM tok GROUP BY sentence_id) SELECT sentence_id, array_to_string(list_resize(w, m.n, '<pad>'), ' ') AS padded FROM s, m""")
+def padded_tokens_whole(spark, d):
+    rows = tok(spark, d).groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("w"))
+    longest = tok(spark, d).agg(F.max("idx").alias("n"))
+    return rows.join(F.broadcast(longest)).select("sentence_id", F.array_join(views.pad_ids(F.col("w"), F.col("n"), "<pad>"), " ").alias("padded"))
+
+
 @query(f"WITH {SE} SELECT book_id, count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs FROM se GROUP BY book_id")
 def book_statistics(spark, d):
     return se(spark, d).groupBy("book_id").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct("lang").alias("langs"))

@@ -7,3 +7,8 @@ def test_all_spans(spark):
     df = spark.createDataFrame([(s, i) for s, n in ((1, 7), (2, 1)) for i in range(1, n + 1)], "s int, idx int")
     got = sorted(tuple(r) for r in views.candidate_spans(df, ["s"]).collect())
     assert got == [(s, a, b) for s, n in ((1, 7), (2, 1)) for a in range(1, n + 1) for b in range(a, n + 1)]
+
+
+def test_padding_never_cuts(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [5])], "i int, w array<int>")
+    assert [r["p"] for r in df.orderBy("i").select(views.pad_ids(F.col("w"), 3).alias("p")).collect()] == [[1, 2, 3, 4], [5, 0, 0]]
