@@ -622,6 +622,16 @@ def retrieve_exact_stats(spark, d):
     return n.agg(F.count("*").alias("queries"), F.sum("n").alias("retrieved"), F.round(F.avg("n"), 6).alias("mean"), F.sum((F.col("n") == 0).cast("int")).alias("none"))
 
 
+@query(f"""WITH {_EXACT}, r AS (SELECT qid, string_agg(text, '' ORDER BY rank) AS ctx FROM top WHERE rank <= 5 GROUP BY qid),
+j AS (SELECT q.qid, list_filter(string_split(q.text, ' '), lambda x: x <> '') AS t, list_filter(string_split(coalesce(r.ctx, ''), ''), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x{{85}}]')) AS e FROM q LEFT JOIN r ON r.qid = q.qid)
+SELECT qid, array_to_string(CASE WHEN len(e) > 0 THEN t || ['<EOS>'] || e[1:greatest(500 - len(t) - 1, 0)] ELSE t END, ' ') AS line FROM j""")
+def with_exact_context(spark, d):
+    texts = _exact_top(spark, d).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ctx"))
+    rows = _exact_queries(spark, d).join(texts, "qid", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("qid", F.array_join(similarity.with_context(sequences.words(F.col("q_text")), F.coalesce("ctx", none)), " ").alias("line"))
+
+
 _RP = "rp AS (SELECT DISTINCT query_id, rank_no, sent_id, cand, ref, score FROM retrieval_pairs)"
 _WORDS = "array_to_string(string_split({0}, ' ')[1:200], ' ')"
 
