@@ -12,7 +12,13 @@ gaps along A. A gap loses at least two pieces and each junction adds at least tw
 m + 2te <= (1-t)|A| and m >= 2e; a gap of k pieces breaks k+2 runs of five characters, hence at most
 m + 2e <= 2(1-t)/(1+t) |A| runs are broken. A record therefore enters as many trees as may be broken, and two more, taken in
 one global order (rare first), as in prefix filtering. The argument takes it that a gap isn't filled by chance by equal
-pieces from elsewhere in the text; measured recall against brute force is in the README.
+pieces from elsewhere in the text, which fails for texts over few letters and for texts that repeat themselves. Such texts
+also enter trees of single pieces, all but t of theirs and one more; every other record enters those of these trees that its
+own first pieces name. There a pair meets by the set bound alone, so no pair with such a text can be lost.
+
+Routing: trees are spread over parts by the least of the three pieces of their run, and runs are taken in the order of that
+piece, so that neighbouring runs of a record go to one part and carry its bitmap once. What a record costs doesn't depend on
+how many parts there are; their number follows from the number of runs alone.
 """
 
 from __future__ import annotations
@@ -27,18 +33,21 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import codepoints as cp
 from quillmill.llm import cores
-from quillmill.session import cut, free_shuffles
+from quillmill.session import cut
 
 RUN = 5  # characters of a routing run
+PIECE = 3
 FAN = 8  # children of a tree node
-BITS = 22
-BUCKETS = 1 << BITS  # of the table of run counts
-HEAVY = 1 / 20_000  # share of the representatives from which a run counts as frequent
-WORDS = 8  # 64-bit words of a full bitmap
-CHUNK = 30_000  # representatives that a worker routes at a time
-TREE_CAP = 30_000  # a tree expected to hold more is built in parts that are traversed pairwise
+BITS, PIECE_BITS = 22, 20
+BUCKETS, PIECES = 1 << BITS, 1 << PIECE_BITS  # of the tables of run counts and of piece counts
+HEAVY = 1 / 2000  # share of the representatives from which a run counts as frequent
+WORDS = 4  # 64-bit words of a full bitmap
+CHUNK = 30_000  # representatives that a worker routes at a time; row numbers have 15 bits
+TREE_CAP = 30_000  # a larger tree is built in parts that are traversed pairwise
+PART = 250_000  # tree entries of one part
 FRONTIER = 1_000_000  # node pairs held at a time
 LOW, HIGH = 12, 300
+EXACT = 1 << 23  # marks the number of a tree of pieces
 
 
 def _cores(id_col: str, text_col: str, low: int, high: int, with_text: bool):
@@ -74,26 +83,79 @@ def _first(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, rows, runs = np.zeros(BUCKETS, np.int64), 0, 0
-    for batch in batches:
-        h, _ = cp.gram_hashes(*cp.flatten(batch["c"]), RUN)
-        total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
-        rows, runs = rows + batch.num_rows, runs + len(h)
-    at = np.flatnonzero(total >= max(4, 2 * runs / BUCKETS + rows * HEAVY / 2))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[runs, rows], total[at]]))], names=["bucket", "n"])
+def _grams(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each run, and the least hash of its three pieces; the hash of each piece, whose rows follow from the lengths."""
+    h, go = cp.gram_hashes(c, o, RUN)
+    piece, po = cp.gram_hashes(c, o, PIECE)
+    row = cp.row_of(go)
+    at = np.arange(len(h)) - go[row] + po[row]
+    least = np.minimum(np.minimum(piece[at], piece[at + 1]), piece[at + 2]) if len(h) else h
+    return row, h, least, piece
+
+
+def _distinct_of_row(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Row and upper 49 bits of the hash of each distinct piece, as one sorted number."""
+    key = row.astype(np.uint64) << np.uint64(49) | h >> np.uint64(15)
+    key.sort()
+    return key[_first(key)]
+
+
+def _few(c: np.ndarray, o: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Marks texts over few letters for their size, and texts that repeat themselves: there a gap may be filled by chance."""
+    letters = _distinct_of_row(cp.row_of(o), c.astype(np.uint64) << np.uint64(15))
+    n = np.bincount((letters >> np.uint64(49)).astype(np.int64), minlength=len(o) - 1)
+    return (20 * pieces > n**3) | (2 * pieces < np.diff(o) - 2)
+
+
+def _first_pieces(key: np.ndarray, pieces: np.ndarray, t: float) -> np.ndarray:
+    """Marks those of the sorted distinct pieces that a record must look up: all but t of them and one more, in the order of hashes."""
+    row = (key >> np.uint64(49)).astype(np.int64)
+    rank = np.arange(len(key)) - (np.cumsum(pieces) - pieces)[row]
+    return rank <= np.floor((1 - t) * pieces + 1e-9).astype(np.int64)[row]
 
 
-def run_levels(reps: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The level of each bucket of runs (0: rare; each level more: twice as frequent), the number of rows and of runs.
+def _count_runs(t: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, least, piece, active, rows, runs = np.zeros(BUCKETS, np.int64), np.zeros(PIECES, np.int64), np.zeros(PIECES, np.int64), np.zeros(PIECES, bool), 0, 0
+        for batch in (x.slice(at, CHUNK) for x in batches for at in range(0, x.num_rows, CHUNK)):
+            c, o = cp.flatten(batch["c"])
+            _, h, low, p = _grams(c, o)
+            total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
+            least += np.bincount((low >> np.uint64(64 - PIECE_BITS)).astype(np.int64), minlength=PIECES)
+            key = _distinct_of_row(np.repeat(np.arange(len(o) - 1), np.maximum(np.diff(o) - PIECE + 1, 0)), p)
+            cell = (key >> np.uint64(49 - PIECE_BITS)).astype(np.int64) & (PIECES - 1)
+            piece += np.bincount(cell, minlength=PIECES)
+            pieces = np.bincount((key >> np.uint64(49)).astype(np.int64), minlength=len(o) - 1)
+            few = _few(c, o, pieces)
+            active[cell[few[(key >> np.uint64(49)).astype(np.int64)] & _first_pieces(key, pieces, t)]] = True
+            rows, runs = rows + batch.num_rows, runs + len(h)
+        out = [np.array([0, 1]), np.array([rows, runs])], [np.flatnonzero(total >= max(4, 2 * runs / BUCKETS + rows * HEAVY / 2)), total], [np.flatnonzero(least > 100), least], [np.flatnonzero(piece > 100), piece], [np.flatnonzero(active), active]
+        kind = np.repeat(np.arange(5), [len(x[0]) for x in out])
+        n = np.concatenate([out[0][1], *(x[1][x[0]] for x in out[1:])]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([x[0] for x in out])), pa.array(n)], names=["kind", "bucket", "n"])
+
+    return run
 
-    All rows are counted. Buckets below half the bound in a partition aren't sent, so that a count may be too low; the levels
-    only give the order in which runs are taken, any order is right. At most BUCKETS small rows come to the driver.
+
+class Counts:
+    """What the routing knows of all records: levels of runs, which least pieces and pieces are frequent, pieces of texts over few letters.
+
+    The level of a bucket of runs is 0 for rare ones; each level more is twice as frequent. All rows are counted. Buckets below a
+    bound in a partition aren't sent, so that a count may be too low; levels only give the order in which runs are taken, and any
+    order is right.
     """
-    got = reps.mapInArrow(_count_runs, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    rows, runs = (int(n[bucket == k].sum()) for k in (-1, -2))
-    return levels_of(bucket[bucket >= 0], n[bucket >= 0], rows, runs), rows, runs
+
+    def __init__(self, rows: int, runs: int, level: np.ndarray, crowded: np.ndarray, piece: np.ndarray, active: np.ndarray):
+        self.rows, self.runs, self.level, self.crowded, self.piece, self.active = rows, runs, level, crowded, piece, active
+
+    @classmethod
+    def of(cls, reps: DataFrame, t: float) -> Counts:
+        """At most BUCKETS + 3 * PIECES small rows come to the driver, however many records there are."""
+        got = reps.select("c").mapInArrow(_count_runs(t), "kind bigint, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        kind, bucket, n = (got[k].to_numpy() for k in ("kind", "bucket", "n"))
+        rows, runs = (int(n[(kind == 0) & (bucket == k)].sum()) for k in (0, 1))
+        of = lambda k, size: np.bincount(bucket[kind == k], weights=n[kind == k], minlength=size)
+        return cls(rows, runs, levels_of(bucket[kind == 1], n[kind == 1], rows, runs), of(2, PIECES) > PART, np.ceil(of(3, PIECES) / TREE_CAP).astype(np.int32), of(4, PIECES) > 0)
 
 
 def levels_of(bucket: np.ndarray, n: np.ndarray, rows: int, runs: int) -> np.ndarray:
@@ -103,74 +165,122 @@ def levels_of(bucket: np.ndarray, n: np.ndarray, rows: int, runs: int) -> np.nda
     return level
 
 
-def _bitmaps(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of 512 bits of the 3-character pieces of each row (of at most 2**16 rows), and the number of distinct pieces."""
-    h, go = cp.gram_hashes(c, o, 3)
-    key = cp.row_of(go).astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
-    key.sort()
-    key = key[_first(key)]
-    cell = (key >> np.uint64(45)).astype(np.int64)  # row and word
-    out = np.zeros((len(o) - 1) * WORDS, np.uint64)
+def _bitmaps(key: np.ndarray, rows: int) -> np.ndarray:
+    """Bitmaps of 256 bits of the distinct pieces of each row."""
+    cell = (key >> np.uint64(47)).astype(np.int64)  # row and word
+    out = np.zeros(rows * WORDS, np.uint64)
     start = np.flatnonzero(_first(cell))
     if len(start):
         out[cell[start]] = np.bitwise_or.reduceat(np.uint64(1) << (key & np.uint64(63)), start)
-    return out.reshape(-1, WORDS), np.bincount(cell // WORDS, minlength=len(o) - 1)
+    return out.reshape(-1, WORDS)
 
 
 def _widths(pieces: np.ndarray) -> np.ndarray:
     """Words of the bitmap that is sent for a record of so many pieces; a narrower one is the OR of the parts of the full one."""
-    return np.where(pieces <= 40, 1, np.where(pieces <= 128, 4, WORDS))
+    return np.where(pieces <= 42, 1, np.where(pieces <= 85, 2, WORDS))
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), bits.shape[1] // words, words), axis=1)
 
 
-def _route(t: float, parts: int, level: np.ndarray, rows: int):
+def _pack(ids: np.ndarray, pieces: np.ndarray, few: np.ndarray, bits: np.ndarray, count: np.ndarray, tree: np.ndarray) -> bytes:
+    """Records in the order of ids, each with its bitmap once, and the trees that each enters."""
+    w = _widths(pieces)
+    near = [np.diff(ids, prepend=ids[:1]), pieces.astype(np.uint16), count.astype(np.uint16), few]
+    near[0] = near[0].astype(np.uint32 if not len(ids) or near[0].max() < 1 << 32 else np.uint64)
+    small = zstandard.compress(b"".join(x.tobytes() for x in near), 1)
+    three = np.ascontiguousarray(tree.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+    head = np.array([len(ids), len(tree), (w == 1).sum(), (w == 2).sum(), near[0].itemsize, ids[0], len(small)], np.int64)
+    return b"".join([head.tobytes(), small, *(_fold(bits[w == k], k).tobytes() for k in (1, 2, WORDS)), three.tobytes()])
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    """ids, pieces, few, bitmaps of 4, 2 and 1 words (as wide as sent, wider ones left empty), entries of each record, trees."""
+    n, entries, n1, n2, step, base, size = np.frombuffer(raw, np.int64, 7).tolist()
+    at = 56 + size
+    near = zstandard.decompress(raw[56:at])
+    delta = np.frombuffer(near, np.uint32 if step == 4 else np.uint64, n).astype(np.int64)
+    pieces, count = (np.frombuffer(near, np.uint16, n, n * (step + k)).astype(np.int64) for k in (0, 2))
+    few = np.frombuffer(near, bool, n, n * (step + 4))
+    w = _widths(pieces)
+    four, two, one = (np.zeros((n, k), np.uint64) for k in (WORDS, 2, 1))
+    for k, m, out in ((1, n1, one), (2, n2, two), (WORDS, n - n1 - n2, four)):
+        out[w == k] = np.frombuffer(raw, np.uint64, m * k, at).reshape(-1, k)
+        at += 8 * m * k
+    two[w == WORDS] = _fold(four[w == WORDS], 2)
+    one[w > 1] = _fold(two[w > 1], 1)
+    three = np.frombuffer(raw, np.uint8, 3 * entries, at).reshape(-1, 3).astype(np.uint32)
+    return np.cumsum(delta) + base, pieces, few, four, two, one[:, 0], count, three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)
+
+
+def _route(t: float, parts: int, counts: Counts):
     lose = 2 * (1 - t) / (1 + t)
-
-    def blobs(ids: np.ndarray, c: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        order = np.argsort(ids, kind="stable")
-        size = np.diff(o)
-        at = np.repeat(o[:-1][order] - np.concatenate([[0], np.cumsum(size[order])])[:-1], size[order]) + np.arange(len(c))
-        ids, c, o = ids[order], c[at], np.concatenate([[0], np.cumsum(size[order])])
-        bits, pieces = _bitmaps(c, o)
-        width = _widths(pieces)
-        four, one = _fold(bits, 4), _fold(bits, 1)[:, 0]
-        h, go = cp.gram_hashes(c, o, RUN)
-        lv = level[(h >> np.uint64(64 - BITS)).astype(np.int64)]
-        # row, level and 42 bits of the hash in one number: its order is the order in which runs are taken
-        run = cp.row_of(go).astype(np.uint64) << np.uint64(48) | lv.astype(np.uint64) << np.uint64(42) | h & np.uint64((1 << 42) - 1)
+    if parts > 1 << 25:
+        raise ValueError("more tree entries than 2**25 parts can hold")
+
+    def run_entries(row: np.ndarray, h: np.ndarray, least: np.ndarray, pieces: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, spreading number, tree number) of the runs that each record is routed by."""
+        lv = counts.level[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+        # row, level, least piece and run in one number: its order is the order in which runs are taken
+        run = row.astype(np.uint64) << np.uint64(49) | lv.astype(np.uint64) << np.uint64(43) | least >> np.uint64(43) << np.uint64(22) | h >> np.uint64(42)
         run.sort()
         run = run[_first(run)]
-        row = (run >> np.uint64(48)).astype(np.int64)
+        row = (run >> np.uint64(49)).astype(np.int64)
         have = np.bincount(row, minlength=len(ids))
         rank = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
         ok = rank < np.floor(lose * pieces).astype(np.int64)[row] + 2
-        row, h, lv = row[ok], run[ok] & np.uint64((1 << 42) - 1), (run[ok] >> np.uint64(42) & np.uint64(63)).astype(np.int64)
-        # trees that would be too large are built in parts; a record enters each pair of parts that holds its own
-        split = np.maximum(1, np.ceil(np.where(lv > 0, rows * HEAVY * np.exp2(lv), 0) / TREE_CAP)).astype(np.int64)
+        row, run = row[ok], run[ok] & np.uint64((1 << 49) - 1)
+        lv = (run >> np.uint64(43)).astype(np.int64)
+        run &= np.uint64((1 << 43) - 1)
+        low = run >> np.uint64(22)
+        spread = np.where(counts.crowded[(low >> np.uint64(21 - PIECE_BITS)).astype(np.int64)], run, low)
+        # trees of frequent runs are built in parts; a record enters each pair of parts that holds its own
+        split = np.maximum(1, np.ceil(np.where(lv > 0, counts.rows * HEAVY * np.exp2(lv), 0) / TREE_CAP)).astype(np.int64)
         if (split > 1).any():
             own = (cp.mix(ids.view(np.uint64))[row] % split.astype(np.uint64)).astype(np.int64)
             again = np.repeat(np.arange(len(row)), split)
             j = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
             lo, hi = np.minimum(own[again], j), np.maximum(own[again], j)
-            row, h = row[again], np.where(split[again] > 1, h[again] + (lo * 65536 + hi).astype(np.uint64), h[again])
-        h = cp.mix(h)
-        entry = (h % np.uint64(parts)) << np.uint64(48) | row.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+            row, run, spread = row[again], run[again], spread[again]
+            pair = np.where(split[again] > 1, cp.mix((lo << 32 | hi).astype(np.uint64) + np.uint64(1)), np.uint64(0))
+            run, spread = run ^ pair, spread ^ pair
+        return row, cp.mix(spread), cp.mix(run) & np.uint64(EXACT - 1)
+
+    def piece_entries(key: np.ndarray, pieces: np.ndarray, few: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same for trees of pieces: of texts over few letters, and of records that name one of theirs."""
+        cell = (key >> np.uint64(49 - PIECE_BITS)).astype(np.int64) & (PIECES - 1)
+        key, cell = (x[counts.active[cell] & _first_pieces(key, pieces, t)] for x in (key, cell))
+        row, h = (key >> np.uint64(49)).astype(np.int64), key & np.uint64((1 << 49) - 1)
+        # a frequent piece has several trees: a text over few letters enters each of them, another record one
+        split = np.maximum(1, counts.piece[cell]).astype(np.int64)
+        times = np.where(few[row], split, 1)
+        again = np.repeat(np.arange(len(row)), times)
+        j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, h, split = row[again], h[again], split[again]
+        salt = np.where(few[row], j, (cp.mix(ids.view(np.uint64))[row] % split.astype(np.uint64)).astype(np.int64))
+        h = cp.mix(h ^ cp.mix(salt.astype(np.uint64)))
+        return row, h, h >> np.uint64(41) | np.uint64(EXACT)
+
+    def blobs(ids: np.ndarray, c: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        order = np.argsort(ids, kind="stable")
+        ids, (c, o) = ids[order], cp.take_rows(c, o, order)
+        row, h, least, piece = _grams(c, o)
+        key = _distinct_of_row(np.repeat(np.arange(len(ids)), np.maximum(np.diff(o) - PIECE + 1, 0)), piece)
+        bits, pieces = _bitmaps(key, len(ids)), np.bincount((key >> np.uint64(49)).astype(np.int64), minlength=len(ids))
+        few = _few(c, o, pieces) if counts.active.any() else np.zeros(len(ids), bool)
+        made = [run_entries(row, h, least, pieces, ids)]
+        if counts.active.any():
+            made.append(piece_entries(key, pieces, few, ids))
+        row, spread, tree = (np.concatenate(x) for x in zip(*made, strict=True))
+        entry = spread % np.uint64(parts) << np.uint64(39) | row.astype(np.uint64) << np.uint64(24) | tree
         entry.sort()
-        part, row, key = (entry >> np.uint64(48)).astype(np.int64), (entry >> np.uint64(32)).astype(np.int64) & 0xFFFF, entry.astype(np.uint32)
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        for p in range(parts):
-            lo, hi = edges[p], edges[p + 1]
-            if lo == hi:
-                continue
+        part, row, tree = (entry >> np.uint64(39)).astype(np.int64), (entry >> np.uint64(24)).astype(np.int64) & 0x7FFF, entry & np.uint64(0xFFFFFF)
+        edge = np.append(np.flatnonzero(_first(part)), len(part))
+        for lo, hi in zip(edge, edge[1:], strict=False):
             start = np.flatnonzero(_first(row[lo:hi]))
-            mine, count = row[lo:hi][start], np.diff(np.append(start, hi - lo))
-            w = width[mine]
-            step = np.diff(ids[mine], prepend=0)
-            body = [np.array([len(mine), hi - lo, (w == 4).sum(), (w == WORDS).sum()], np.int64), step.astype(np.int64), pieces[mine].astype(np.uint16), count.astype(np.uint16), one[mine[w == 1]], four[mine[w == 4]], bits[mine[w == WORDS]], key[lo:hi]]
-            yield p, zstandard.compress(b"".join(x.tobytes() for x in body), 1)
+            mine = row[lo:hi][start]
+            yield int(part[lo]), _pack(ids[mine], pieces[mine], few[mine], bits[mine], np.diff(np.append(start, hi - lo)), tree[lo:hi])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -179,14 +289,14 @@ def _route(t: float, parts: int, level: np.ndarray, rows: int):
             ids = np.concatenate([x.column("rid").to_numpy(zero_copy_only=False) for x in held])
             c, o = cp.flatten(pa.chunked_array([x.column("c") for x in held]))
             p, b = zip(*blobs(ids, c, o), strict=True) if len(ids) else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["p", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(b, pa.binary())], names=["p", "blob"])
 
         for batch in (x.slice(at, CHUNK) for x in batches for at in range(0, x.num_rows, CHUNK)):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK:
+            if n + batch.num_rows > CHUNK:
                 yield from out()
                 held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
         if n:
             yield from out()
 
@@ -197,49 +307,47 @@ class _Part:
     """All records and trees of one routing part."""
 
     def __init__(self, blobs: list[bytes]):
-        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-        wide, base = [], 0
-        for blob in blobs:
-            raw = zstandard.decompress(blob)
-            n, entries, fours, full = np.frombuffer(raw, np.int64, 4).tolist()
-            at = 32
-            got = []
-            ones = n - fours - full
-            for kind, count in ((np.int64, n), (np.uint16, n), (np.uint16, n), (np.uint64, ones), (np.uint64, 4 * fours), (np.uint64, WORDS * full), (np.uint32, entries)):
-                got.append(np.frombuffer(raw, kind, count, at))
-                at += got[-1].nbytes
-            step, size, count, w1, w4, w8, key = got
-            width = _widths(size)
-            four, one = np.zeros((n, 4), np.uint64), np.empty(n, np.uint64)
-            w4, w8 = w4.reshape(-1, 4), w8.reshape(-1, WORDS)
-            four[width == 4], four[width == WORDS] = w4, _fold(w8, 4)
-            one[width == 1], one[width > 1] = w1, _fold(four[width > 1], 1)[:, 0]
-            wide.append(w8)
-            for k, x in enumerate((np.cumsum(step), size.astype(np.int32), four, one, np.stack([np.repeat(np.arange(n), count) + base, key]))):
-                cols[k].append(x)
-            base += n
-        self.ids, self.size, self.four, self.one = (np.concatenate(x) for x in cols[:4])
-        row, key = np.concatenate(cols[4], axis=1)
+        got = [_unpack(x) for x in blobs]
+        self.ids, self.size, self.few, self.four, self.two, self.one, count, tree = (np.concatenate(x) for x in zip(*got, strict=True))
         self.width = _widths(self.size)
-        self.full = np.concatenate(wide)
-        self.place = np.cumsum(self.width == WORDS) - 1
         self.slack = np.maximum(self.size - np.bitwise_count(self.one), 0).astype(np.int32)
-        # by run, size and bitmap: alike records come to lie in one node
-        by = key.astype(np.uint64) << np.uint64(32) | self.size[row].astype(np.uint64) << np.uint64(20) | self.one[row] >> np.uint64(44)
-        order = np.argsort(by)
-        key, row = key[order], row[order].astype(np.int32)
-        if len(key):  # a run that one record holds has no tree
-            start = np.flatnonzero(_first(key))
-            n = np.diff(np.append(start, len(key)))
-            ok = np.repeat(n > 1, n)
-            key, row = key[ok], row[ok]
-        self.key, self.row = key, row
+        row = np.repeat(np.arange(len(self.ids)), count)
+        # by tree, size and bitmap: alike records come to lie in one node
+        order = np.argsort(tree.astype(np.uint64) << np.uint64(32) | self.size[row].astype(np.uint64) << np.uint64(20) | self.one[row] >> np.uint64(44))
+        self.key, self.row = tree[order], row[order].astype(np.int32)
+        self._keep(lambda n: n > 1)  # a run that one record holds has no tree
+
+    def _keep(self, good) -> None:
+        n = np.diff(np.append(np.flatnonzero(_first(self.key)), len(self.key)))
+        ok = np.repeat(good(n), n)
+        self.key, self.row = self.key[ok], self.row[ok]
+
+    def split_off(self, cap: int) -> Iterator[bytes]:
+        """Takes out the trees of more than ``cap`` records, as parts for pairs of their blocks."""
+        edge = np.append(np.flatnonzero(_first(self.key)), len(self.key))
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            if hi - lo > cap:
+                blocks = -(-2 * (hi - lo) // cap)
+                rows = np.unique(self.row[lo:hi])
+                rows = rows[np.argsort(self.ids[rows], kind="stable")]
+                own = np.arange(len(rows)) % blocks
+                for i in range(blocks):
+                    for j in range(i + 1, blocks):
+                        r = rows[(own == i) | (own == j)]
+                        wide = np.zeros((len(r), WORDS), np.uint64)
+                        for k, bits in ((1, self.one[:, None]), (2, self.two), (WORDS, self.four)):  # _pack folds to the width sent
+                            at = self.width[r] == k
+                            wide[at, :k] = bits[r[at]]
+                        yield _pack(self.ids[r], self.size[r], self.few[r], wide, np.ones(len(r), np.int64), np.full(len(r), self.key[lo]))
+        self._keep(lambda n: n <= cap)
 
     def levels(self) -> list[dict]:
         """The trees, level by level: level 0 are the records, ordered by size within each tree."""
         start = np.flatnonzero(_first(self.key))
         edge = np.append(start, len(self.key))
-        level = {"or": self.one[self.row], "lo": self.size[self.row], "hi": self.size[self.row], "slack": self.slack[self.row], "edge": edge, "child": None}
+        # in a tree of pieces only pairs with a text over few letters count
+        live = self.few[self.row] | (self.key < EXACT)
+        level = {"or": self.one[self.row], "lo": self.size[self.row], "hi": self.size[self.row], "slack": self.slack[self.row], "live": live, "edge": edge, "child": None}
         out = [level]
         while (n := np.diff(level["edge"])).size and n.max() > 1:
             nodes = -(-n // FAN)
@@ -247,7 +355,8 @@ class _Part:
             tree = np.repeat(np.arange(len(n)), nodes)
             first = level["edge"][:-1][tree] + FAN * (np.arange(edge[-1]) - edge[:-1][tree])
             child = np.append(first, level["edge"][-1])
-            level = {"or": np.bitwise_or.reduceat(level["or"], first), "lo": np.minimum.reduceat(level["lo"], first), "hi": np.maximum.reduceat(level["hi"], first), "slack": np.maximum.reduceat(level["slack"], first), "edge": edge, "child": child}
+            ends = {"or": np.bitwise_or, "lo": np.minimum, "hi": np.maximum, "slack": np.maximum, "live": np.logical_or}
+            level = {**{k: f.reduceat(level[k], first) for k, f in ends.items()}, "edge": edge, "child": child}
             out.append(level)
         return out
 
@@ -282,7 +391,7 @@ class _Part:
             cy = np.repeat(up["child"][y], n) + k % by
             # records are ordered by size within a tree: cy's are the larger ones
             low, high = down["lo"][cx], down["lo"][cy]
-            ok = (cx < cy if depth == 1 else cx <= cy) & (down["hi"][cx] >= t * high)
+            ok = (cx < cy if depth == 1 else cx <= cy) & (down["hi"][cx] >= t * high - 1e-6) & (down["live"][cx] | down["live"][cy])
             cx, cy, low, high = cx[ok], cy[ok], low[ok], high[ok]
             shared = np.bitwise_count(down["or"][cx] & down["or"][cy]) + np.minimum(down["slack"][cx], down["slack"][cy])
             ok = shared >= need * (low + high) - 1e-6
@@ -304,25 +413,32 @@ class _Part:
         ok = test(x, y, self.one[x], self.one[y])
         x, y = x[ok], y[ok]
         least = np.minimum(self.width[x], self.width[y])
-        for words, bits, place in ((4, self.four, None), (WORDS, self.full, self.place)):
+        for words, bits in ((2, self.two), (WORDS, self.four)):
             at = np.flatnonzero(least >= words)
             if len(at):
                 u, v = x[at], y[at]
-                good = test(u, v, bits[u if place is None else place[u]], bits[v if place is None else place[v]])
+                good = test(u, v, bits[u], bits[v])
                 ok = np.ones(len(x), bool)
                 ok[at[~good]] = False
                 x, y, least = x[ok], y[ok], least[ok]
         return np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y)
 
 
-def _join(t: float):
+def _join(t: float, cap: int | None):
     def run(table: pa.Table) -> pa.Table:
         part = _Part(table.column("blob").to_pylist())
+        rest = list(part.split_off(cap)) if cap else []
         found = part.pairs(t)
         a, b = part.ids[found >> 32], part.ids[found & 0xFFFFFFFF]
         ok = a != b
         a, b = a[ok], b[ok]
-        return pa.table({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b)})
+        none = [None] * len(rest)
+        # a part's number and the number of the pair of blocks name the part of a second round
+        p = int(table["p"][0].as_py()) << 32
+        return pa.table({
+            "id_a": pa.array([*np.minimum(a, b).tolist(), *none], pa.int64()), "id_b": pa.array([*np.maximum(a, b).tolist(), *none], pa.int64()),
+            "p": pa.array([None] * len(a) + [p + i for i in range(len(rest))], pa.int64()), "blob": pa.array([None] * len(a) + rest, pa.binary()),
+        })
 
     return run
 
@@ -333,15 +449,19 @@ def representatives(df: DataFrame, id_col: str = "sent_id", text_col: str = "tex
     return rows.groupBy("c", "k").agg(F.min("id").alias("rid"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
 
 
-def candidates(reps: DataFrame, t: float, entries_per_part: int = 1_000_000) -> DataFrame:
-    """Distinct pairs of representatives that the signature trees can't exclude."""
-    spark = reps.sparkSession
-    level, rows, runs = run_levels(reps)
-    lose = 2 * (1 - t) / (1 + t)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(65_000, max(4, min(width, 12), int(np.ceil(runs * lose / entries_per_part))))
-    routed = reps.select("rid", "c").mapInArrow(_route(t, parts, level, rows), "p int, blob binary")
-    return routed.groupBy("p").applyInArrow(_join(t), "id_a bigint, id_b bigint").distinct()
+def candidates(reps: DataFrame, t: float, per_part: int = PART, cap: int = TREE_CAP) -> DataFrame:
+    """Distinct pairs of representatives that the signature trees can't exclude.
+
+    The number of parts is in proportion to the number of tree entries. A tree that turns out larger than ``cap`` is sent on
+    in pairs of blocks and traversed in a second round, by as many tasks as it has pairs.
+    """
+    counts = Counts.of(reps, t)
+    parts = max(1, int(np.ceil(counts.runs * 2 * (1 - t) / (1 + t) / per_part)))
+    schema = "id_a bigint, id_b bigint, p bigint, blob binary"
+    routed = reps.select("rid", "c").mapInArrow(_route(t, parts, counts), "p bigint, blob binary")
+    found = cut(routed.groupBy("p").applyInArrow(_join(t, cap), schema), "near-candidates")
+    rest = found.filter("blob IS NOT NULL").select("p", "blob").groupBy("p").applyInArrow(_join(t, None), schema)
+    return found.filter("blob IS NULL").unionByName(rest).select("id_a", "id_b").distinct()
 
 
 def representative_pairs(reps: DataFrame, tenths: int) -> DataFrame:
@@ -363,7 +483,6 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "sent_id", text_col: str =
     """
     reps = cut(representatives(df, id_col, text_col), "near-reps")
     pairs = cut(representative_pairs(reps, tenths), "near-pairs")
-    free_shuffles(df.sparkSession)
     if not expand:
         return pairs
     members = memberships(df, reps, id_col, text_col)

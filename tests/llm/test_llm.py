@@ -76,24 +76,71 @@ def test_near_duplicates_hot_group(spark):
     assert near_duplicates.near_duplicate_pairs(spark.createDataFrame([], "sent_id bigint, text string")).count() == 0
 
 
-def test_trees_in_parts(spark, monkeypatch):
-    """Trees that are built in parts lose nothing."""
-    level = near_duplicates.np.full(near_duplicates.BUCKETS, 3, near_duplicates.np.uint8)
-    texts = [t for t in versions(5, 80) if t and 12 <= len(C(t)) <= 300]
-    rows = sorted({C(t) for t in texts})
+def routed(rows, parts, counts):
     batch = pa.RecordBatch.from_pydict({"rid": list(range(len(rows))), "c": rows})
-    monkeypatch.setattr(near_duplicates, "TREE_CAP", 2)
-    found = set()
     blobs = {}
-    for out in near_duplicates._route(0.6, 3, level, 40_000)(iter([batch])):
+    for out in near_duplicates._route(0.6, parts, counts)(iter([batch])):
         for p, b in zip(out["p"].to_pylist(), out["blob"].to_pylist(), strict=True):
             blobs.setdefault(p, []).append(b)
-    for b in blobs.values():
+    return blobs
+
+
+def pairs_of(blobs):
+    found = set()
+    for b in blobs:
         part = near_duplicates._Part(b)
-        found |= {(int(part.ids[x >> 32]), int(part.ids[x & 0xFFFFFFFF])) for x in part.pairs(0.6).tolist()}
-    found = {(min(p), max(p)) for p in found}
+        found |= {tuple(sorted((int(part.ids[x >> 32]), int(part.ids[x & 0xFFFFFFFF])))) for x in part.pairs(0.6).tolist()}
+    return found
+
+
+def plain_counts(rows, level=0):
+    np = near_duplicates.np
+    return near_duplicates.Counts(rows, 0, np.full(near_duplicates.BUCKETS, level, np.uint8), np.zeros(near_duplicates.PIECES, bool), np.zeros(near_duplicates.PIECES, np.int32), np.zeros(near_duplicates.PIECES, bool))
+
+
+def test_trees_in_parts(spark, monkeypatch):
+    """Trees that are built in parts lose nothing, whether they are split before the routing or after it."""
+    texts = [t for t in versions(5, 80) if t and 12 <= len(C(t)) <= 300]
+    rows = sorted({C(t) for t in texts})
     want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sim(rows[i], rows[j], 6)}
-    assert want and want <= found
+    whole = routed(rows, 3, plain_counts(len(rows)))
+    assert want and want <= pairs_of(whole.values())
+    rest, found = [], set()
+    for b in whole.values():
+        part = near_duplicates._Part(b)
+        rest += [[x] for x in part.split_off(2)]
+        found |= {tuple(sorted((int(part.ids[x >> 32]), int(part.ids[x & 0xFFFFFFFF])))) for x in part.pairs(0.6).tolist()}
+    assert rest and not want <= found and want <= found | pairs_of(rest)
+    df = spark.createDataFrame(list(enumerate(rows)), "rid bigint, c string")
+    for cap in (2, 30_000):
+        assert want <= {tuple(sorted(r)) for r in near_duplicates.candidates(df, 0.6, per_part=300, cap=cap).collect()}
+    monkeypatch.setattr(near_duplicates, "TREE_CAP", 2)
+    assert want <= pairs_of(routed(rows, 3, plain_counts(4000, 3)).values())
+
+
+def test_routing_does_not_depend_on_parts():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(3000)]
+    rows = sorted({"".join(rng.choices(words, k=12))[:90] for _ in range(3000)})
+    size = {p: sum(len(x) for b in routed(rows, p, plain_counts(len(rows))).values() for x in b) for p in (1000, 10_000, 100_000)}
+    assert size[100_000] < 1.35 * size[1000]
+
+
+def test_near_duplicates_few_letters(spark):
+    """Texts over three letters and periodic ones, where gaps are filled by chance: nothing is lost."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 400, 2):
+        base = [rng.choice("abc") for _ in range(rng.randint(14, 60))] if i % 10 else list("abcde" * rng.randint(3, 12))
+        t = list(base)
+        for _ in range(rng.randint(1, 5)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 2)] = rng.choice(["a", "b", "xy", ""])
+        rows += [(i, "".join(base)), (i + 1, "".join(t))]
+    rows += [(1000 + i, "".join(rng.choice("abcdefghij klmnop") for _ in range(40)) + "abcab") for i in range(60)]
+    want = pairs_model(rows, 6)
+    assert len(want) > 2000
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "sent_id bigint, text string")).collect()} == want
 
 
 def test_components(spark):
