@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one is set only where none is named."""
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Where none is named, a session in local mode, whose executor is the driver, gets a temporary one; on a cluster this is an
+    error, since a folder of one machine would lose the rows that others write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,31 +37,40 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
-    This ends the lineage: an executor lost later costs no recomputation of what lies before. The files are removed
-    when the driver ends, or earlier by ``release``.
+    This ends the lineage: an executor lost later costs no recomputation of what lies before. Shuffle files of the write go
+    when it is done. The table is removed by the ``scope`` it was written in, by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
-        atexit.register(_remove_all)
+        atexit.register(release)
     _WRITTEN.append((spark, path))
-    df.write.parquet(path)
-    read = spark.read.schema(df.schema).parquet(path)
-    free_shuffles(spark)
-    return read
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished stages that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the stages that were written within it; their results must have been read by then."""
+    kept = list(_WRITTEN)
+    try:
+        yield
+    finally:
+        for entry in [x for x in _WRITTEN if x[0] is spark and x not in kept]:
+            _remove(*entry)
+            _WRITTEN.remove(entry)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the written stages of this session."""
-    for owner, path in [x for x in _WRITTEN if x[0] is spark]:
-        _remove(owner, path)
-        _WRITTEN.remove((owner, path))
+def release(spark: SparkSession | None = None) -> None:
+    """Removes all written stages, or those of one session."""
+    for entry in [x for x in _WRITTEN if spark is None or x[0] is spark]:
+        _remove(*entry)
+        _WRITTEN.remove(entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -63,7 +80,3 @@ def _remove(spark: SparkSession, path: str) -> None:
     except Exception:  # noqa: BLE001 - the session may be gone at exit
         pass
 
-
-def _remove_all() -> None:
-    for spark, path in _WRITTEN:
-        _remove(spark, path)
