@@ -34,24 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     This ends the lineage: an executor lost later costs no recomputation of what lies before. Shuffle files of the write go
-    when it is done. The table is removed by the ``scope`` it was written in, by ``release``, or when the driver ends.
+    when it is done. The table is removed by the ``scope`` it was written in, by ``release``, or when the driver ends. With
+    ``by`` the table has one bucket per shuffle partition, so that joins on this column don't move its rows again; ``df`` should
+    be partitioned so already.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
+    unique = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/quillmill/{name}-{unique}"
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append((spark, path))
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        if by:
+            stored = f"quillmill_{unique}"
+            df.write.bucketBy(partitions(spark), by).option("path", path).saveAsTable(stored)
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(stored) if by else spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @contextmanager
@@ -75,6 +86,7 @@ def release(spark: SparkSession | None = None) -> None:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
+        spark.sql(f"DROP TABLE IF EXISTS quillmill_{path[-32:]}")
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
     except Exception:  # noqa: BLE001 - the session may be gone at exit

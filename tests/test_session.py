@@ -30,3 +30,21 @@ def test_scope_removes_its_stages(spark):
         assert inner.count() == 3 and _files(folder) > before
     assert _files(folder) == before and outer.count() == 10
     assert spark.conf.get(session._CLEAN_UP, "false") == "false"
+
+
+def test_buckets_are_not_moved_again(spark):
+    n = session.partitions(spark)
+    names = lambda: {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    before = names()
+    with session.scope(spark):
+        left = session.cut(spark.range(1000).repartition(n, "id"), "left", by="id")
+        right = session.cut(spark.range(500), "right")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            both = left.join(right, "id")
+            assert both.count() == 500
+            assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # once in each of two printed plans
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(names() - before) == 1
+    assert names() == before
