@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import codepoints as cp
 from quillmill.llm import cores
-from quillmill.session import cut
+from quillmill.session import cut, partitions
 
 RUN = 5  # characters of a routing run
 PIECE = 3
@@ -443,10 +443,23 @@ def _join(t: float, cap: int | None):
     return run
 
 
-def representatives(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", low: int = LOW, high: int = HIGH) -> DataFrame:
-    """One row per distinct core and card key: (rid = smallest id, h1, h2, k, c)."""
-    rows = core_rows(df, id_col, text_col, low, high)
-    return rows.groupBy("c", "k").agg(F.min("id").alias("rid"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+def memberships(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", low: int = LOW, high: int = HIGH) -> DataFrame:
+    """(rid, id): the rows that each representative, the smallest id of equal core and card key, stands for, itself included.
+
+    Only hashes are moved; a set of copies that holds a third of all rows is split by the skew join.
+    """
+    rows = core_rows(df, id_col, text_col, low, high, with_text=False).select("id", "h1", "h2")
+    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("rid"))
+    return rows.join(first, ["h1", "h2"]).select("rid", "id")
+
+
+def representatives(df: DataFrame, members: DataFrame, id_col: str = "sent_id", text_col: str = "text", low: int = LOW, high: int = HIGH) -> DataFrame:
+    """(rid, k, c): card key and core of each representative, in buckets of rid. Texts are moved once, to where the joins on rid need them."""
+    n = partitions(df.sparkSession)
+    rows = core_rows(df, id_col, text_col, low, high).select(F.col("id").alias("rid"), "k", "c").repartition(n, "rid")
+    chosen = members.filter("id = rid").select("rid").distinct()
+    # a row delivered again is the same row
+    return rows.join(chosen, "rid", "left_semi").groupBy("rid").agg(F.min("k").alias("k"), F.min("c").alias("c"))
 
 
 def candidates(reps: DataFrame, t: float, per_part: int = PART, cap: int = TREE_CAP) -> DataFrame:
@@ -481,21 +494,19 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "sent_id", text_col: str =
     smallest id of each set of equal rows), and ``memberships`` says which rows each stands for. An empty table gives none.
     Other columns are ignored.
     """
-    reps = cut(representatives(df, id_col, text_col), "near-reps")
-    pairs = cut(representative_pairs(reps, tenths), "near-pairs")
+    members, pairs = _found(df, id_col, text_col, tenths)
     if not expand:
         return pairs
-    members = memberships(df, reps, id_col, text_col)
     a = members.select(F.col("rid").alias("ra"), F.col("id").alias("x"))
     b = members.select(F.col("rid").alias("rb"), F.col("id").alias("y"))
     wide = pairs.join(a, pairs.id_a == a.ra).join(b, F.col("id_b") == b.rb).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return wide.distinct()
 
 
-def memberships(df: DataFrame, reps: DataFrame, id_col: str = "sent_id", text_col: str = "text") -> DataFrame:
-    """(rid, id): the rows that each representative stands for, itself included."""
-    rows = core_rows(df, id_col, text_col, with_text=False).select("id", "h1", "h2").distinct()
-    return rows.join(reps.select("rid", "h1", "h2"), ["h1", "h2"]).select("rid", "id")
+def _found(df: DataFrame, id_col: str, text_col: str, tenths: int) -> tuple[DataFrame, DataFrame]:
+    members = cut(memberships(df, id_col, text_col), "near-members")
+    reps = cut(representatives(df, members, id_col, text_col), "near-reps", by="rid")
+    return members, cut(representative_pairs(reps, tenths), "near-pairs")
 
 
 def version_groups(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", tenths: int = 6) -> DataFrame:
@@ -505,11 +516,10 @@ def version_groups(df: DataFrame, id_col: str = "sent_id", text_col: str = "text
     """
     from quillmill.llm.groups import components
 
-    reps = cut(representatives(df, id_col, text_col), "near-reps")
-    pairs = cut(representative_pairs(reps, tenths), "near-pairs")
+    members, pairs = _found(df, id_col, text_col, tenths)
     ends = pairs.select(F.col("id_a").alias("rid")).unionByName(pairs.select(F.col("id_b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("links"))
     named = components(pairs).withColumnRenamed("id", "rid")
-    members = memberships(df, reps, id_col, text_col).groupBy("id").agg(F.min("rid").alias("rid"))
+    members = members.groupBy("id").agg(F.min("rid").alias("rid"))
     every = df.select(F.col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
     wide = every.join(members, "id", "left").join(named, "rid", "left").join(ends, "rid", "left")
     return wide.select("id", F.coalesce("group", "rid", "id").alias("group"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
