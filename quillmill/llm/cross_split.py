@@ -1,18 +1,26 @@
 """Problem 1: records of evaluation splits that stand, whole or almost, in the training split.
 
-Pairs: the distinct 3-character pieces of all cores are put in one order, rare ones first. A pair of similarity t shares at
-least t of the pieces of either record, so whatever the edits are, the first few of the pieces that it shares stand in the
-first part of both (all but t of the pieces, and ``MEET`` more): at least ``MEET`` pieces meet there. Records that meet so are
-compared exactly; nothing that is similar enough is lost. The order is one of a block, each block being joined for itself.
-
-Coverage: the cores of the evaluation records are cut into segments, which are the patterns of Aho-Corasick automata; the
-records are sharded so that an automaton stays small. Every shard scans all training cores, in blocks of texts. The matched
-segments are merged into the stretches of an evaluation record that a training record covers.
+The cores of the evaluation records are sharded, and of each shard an Aho-Corasick automaton is built. Every automaton scans all
+training texts where they lie: the automata go to the texts, and no training text is moved.
+
+Pairs: the patterns are the distinct 3-character pieces of the shard, numbered from the rarest on. What an automaton finds in
+a training core are its pieces that the shard has; those that it lacks can't be shared and count as the rarest. A pair of
+similarity t shares at least t of the pieces of either record, so whatever the edits are, the first few of the pieces that it
+shares stand in the first part of both (all but t of the pieces, and ``MEET`` more): at least ``MEET`` meet there. Records that
+meet so are compared exactly; nothing that is similar enough is lost, repeats or not.
+
+Coverage: the patterns are the segments of half a stretch that the evaluation cores are cut into. Any common stretch holds one
+whole, so around each match the windows of a full stretch are looked up; the matched intervals of an evaluation record, in
+whichever training records, are merged.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,158 +32,197 @@ from quillmill.functions import codepoints as cp
 from quillmill.session import cut
 
 LOW, HIGH = 12, 300
-SHARD_CHARS = 2_000_000  # characters of evaluation cores in one automaton
-BLOCK_CHARS = 12_000_000  # characters of training cores in one block
-EXPANDED = 2_000_000  # matches or meetings with an owner that are counted at a time
+SHARD_CHARS = 6_000_000  # characters of evaluation cores in one automaton; some 20 bytes each go to the workers
+SCAN_BYTES = 3_000_000  # bytes of training texts that are scanned at a time
+EXPANDED = 2_000_000  # meetings that are counted at a time
 PAIRS = 50_000  # pairs that are compared at a time
-PART_CHARS = 3_000_000  # characters of training cores that are joined at a time
 MEET = 10  # rare pieces that a pair must share
+STRETCH = 12  # characters of the shortest stretch that covers
 LOW_BITS = 0xFFFFFFFF
 
 
 def _cores(low: int, high: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cp.slices(batches, "text"):
-            c, o = cp.core(*cp.flatten(batch["text"]))
-            n = np.diff(o)
-            ok = (n >= low) & (n <= high)
-            mask = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch["id"].filter(mask), batch["held"].filter(mask), cp.unflatten(*cp.select_rows(c, o, ok))], names=["id", "held", "c"])
+            ids, codes, offs = _batch(batch, low, high)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), cp.unflatten(codes, offs)], names=["id", "c"])
 
     return run
 
 
-def segments(text: str, t: float) -> list[tuple[int, int]]:
-    """The spans that a core is cut into."""
-    n = len(text)
-    k = int((1 - t) / (2 * (1 + t)) * (n - 2)) + 3
-    edge = [i * n // k for i in range(k + 1)]
-    return list(zip(edge, edge[1:], strict=False))
+def _batch(batch: pa.RecordBatch, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    c, o = cp.core(*cp.flatten(batch["text"]))
+    n = np.diff(o)
+    ok = (n >= low) & (n <= high)
+    return batch["id"].to_numpy(zero_copy_only=False)[ok], *cp.select_rows(c, o, ok)
 
 
-def _pieces(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The row and the number (three code points of 21 bits) of each 3-character piece, with repeats."""
-    n = np.maximum(np.diff(offs) - 2, 0)
+def _starts(offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of each run of ``size`` characters."""
+    n = np.maximum(np.diff(offs) - size + 1, 0)
     out = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(out[-1]) + np.repeat(offs[:-1] - out[:-1], n)
-    c = codes.astype(np.int64)
-    return np.repeat(np.arange(len(n)), n), c[at] << 42 | c[at + 1] << 21 | c[at + 2]
-
+    return np.repeat(np.arange(len(n)), n), np.arange(out[-1]) + np.repeat(offs[:-1] - out[:-1], n)
 
-def _prefixes(rows: np.ndarray, pieces: np.ndarray, count: int, tenths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and piece of the first ``MEET`` pieces more than a row can lose, and the least number of shared pieces of each row.
 
-    ``rows`` and ``pieces`` are distinct pairs in order.
-    """
-    size = np.bincount(rows, minlength=count)
-    least = -(-tenths * size // 10)
-    first = np.cumsum(size) - size
-    keep = np.arange(len(rows)) - first[rows] < (size - least + MEET)[rows]
-    return rows[keep], pieces[keep], least
-
-
-def similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], tenths: int) -> tuple[np.ndarray, ...]:
-    """(row of left, row of right, shared, all pieces) of every pair of similarity of at least ``tenths`` / 10."""
-    (ra, pa_), (rb, pb) = _pieces(*left), _pieces(*right)
-    na, nb = len(left[1]) - 1, len(right[1]) - 1
-    words, place = np.unique(np.concatenate([pa_, pb]), return_inverse=True)
-    # distinct (row, piece) of either side, then pieces numbered from the one that brings the fewest pairs on
-    ka, kb = np.unique(ra << 32 | place[: len(ra)]), np.unique(rb << 32 | place[len(ra) :])
-    weight = np.bincount(ka & LOW_BITS, minlength=len(words)) * np.bincount(kb & LOW_BITS, minlength=len(words))
-    number = np.empty(len(words), np.int64)
-    number[np.argsort(weight, kind="stable")] = np.arange(len(words))
-    ka, kb = (np.sort(k >> 32 << 32 | number[k & LOW_BITS]) for k in (ka, kb))
-    xa, wa, least_a = _prefixes(ka >> 32, ka & LOW_BITS, na, tenths)
-    xb, wb, least_b = _prefixes(kb >> 32, kb & LOW_BITS, nb, tenths)
-    size_a, size_b = np.bincount(ka >> 32, minlength=na), np.bincount(kb >> 32, minlength=nb)
-    order = np.argsort(wa, kind="stable")
-    owner = xa[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(wa, minlength=len(words)))])
-    n = first[wb + 1] - first[wb]
-    # whole rows of right, so many that about EXPANDED meetings are counted at a time
-    meetings = np.concatenate([[0], np.cumsum(np.bincount(xb, weights=n, minlength=nb).astype(np.int64))])
-    part = meetings[:-1] // EXPANDED
-    edges = np.searchsorted(xb, np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [nb]]))
-    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        m = n[lo:hi]
-        at = np.repeat(first[wb[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        pair, times = np.unique(np.repeat(xb[lo:hi], m) << 32 | owner[at], return_counts=True)
-        b, a = pair >> 32, pair & LOW_BITS
-        least = np.maximum(least_a[a], least_b[b])
-        ok = (times >= np.minimum(MEET, least)) & (np.minimum(size_a[a], size_b[b]) >= least)
-        a, b = a[ok], b[ok]
-        for low in range(0, len(a), PAIRS):
-            i, j = a[low : low + PAIRS], b[low : low + PAIRS]
-            inter, union = cp.shared_trigrams(cp.take_rows(*left, i), cp.take_rows(*right, j))
-            good = 10 * inter >= tenths * union
-            out.append((i[good], j[good], inter[good], union[good]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _join(tenths: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat, other = cp.flatten(left["c"]), cp.flatten(right["c"])
-        held, train = left["rid"].to_numpy(), right["rid"].to_numpy()
-        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
-        # parts of the block bound the memory; each is joined for itself
-        part = other[1][:-1] // PART_CHARS
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [right.num_rows]]) if right.num_rows and left.num_rows else [0]
+def _number(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A piece as a number: three code points of 21 bits."""
+    c = codes.astype(np.int64)
+    return c[at] << 42 | c[at + 1] << 21 | c[at + 2]
+
+
+def _strings(codes: np.ndarray, at: np.ndarray, size: int) -> list[str]:
+    return cp.unflatten(codes[at[:, None] + np.arange(size)].ravel(), np.arange(0, size * len(at) + 1, size)).to_pylist()
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for k, word in enumerate(words):
+        machine.add_word(word, k)
+    machine.make_automaton()
+    return machine
+
+
+def _matches(machine: ahocorasick.Automaton, codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place of the last character, and pattern of every match in the rows; one pass over all of them, parted by a character that no core holds."""
+    rows = len(offs) - 1
+    wide = np.zeros(len(codes) + rows, np.uint32)
+    row = cp.row_of(offs)
+    wide[np.arange(len(codes)) + row] = codes
+    found = list(machine.iter(wide.tobytes().decode("utf-32-le", "surrogatepass")))
+    end, word = np.fromiter(chain.from_iterable(found), np.int64, 2 * len(found)).reshape(-1, 2).T
+    row = np.searchsorted(offs[1:] + np.arange(rows), end, "right")
+    return row, end - row, word
+
+
+class Pairs:
+    """The pieces of a shard of evaluation cores."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, offs: np.ndarray, tenths: int):
+        self.ids, self.codes, self.offs, self.tenths = ids, codes, offs, tenths
+        row, at = _starts(offs, 3)
+        number, first, place = np.unique(_number(codes, at), return_index=True, return_inverse=True)
+        key = np.unique(row << 32 | place)
+        holders = np.bincount(key & LOW_BITS, minlength=len(number))
+        order = np.argsort(holders, kind="stable")  # new number -> old
+        rank = np.empty(len(number), np.int64)
+        rank[order] = np.arange(len(number))
+        key = np.sort(key >> 32 << 32 | rank[key & LOW_BITS])
+        row, piece = key >> 32, key & LOW_BITS
+        self.size = np.bincount(row, minlength=len(ids))
+        self.least = -(-tenths * self.size // 10)
+        ok = np.arange(len(row)) - (np.cumsum(self.size) - self.size)[row] < (self.size - self.least + MEET)[row]
+        row, piece = row[ok], piece[ok]
+        self.owner = row[np.argsort(piece, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=len(number)))])
+        self.machine = _automaton(_strings(codes, at[first[order]], 3)) if len(number) else None
+
+    def scan(self, ids: np.ndarray, codes: np.ndarray, offs: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        """(held, train, shared, all_pieces) of every pair of similarity of at least ``tenths`` / 10."""
+        rows = len(ids)
+        if self.machine is None or not rows:
+            return
+        row, end, piece = _matches(self.machine, codes, offs)
+        lacking, at = _starts(offs, 3)
+        known = np.zeros(len(codes), bool)
+        known[end] = True
+        lacking, at = lacking[~known[at + 2]], at[~known[at + 2]]
+        order = np.lexsort((number := _number(codes, at), lacking))
+        lacking, number = lacking[order], number[order]
+        new = np.concatenate([np.ones(min(1, len(number)), bool), (number[1:] != number[:-1]) | (lacking[1:] != lacking[:-1])])
+        absent = np.bincount(lacking[new], minlength=rows)
+        key = np.unique(row << 32 | piece)
+        row, piece = key >> 32, key & LOW_BITS
+        have = np.bincount(row, minlength=rows)
+        size = have + absent
+        least = -(-self.tenths * size // 10)
+        most = np.where(absent <= size - least, size - least + MEET - absent, 0)
+        ok = np.arange(len(row)) - (np.cumsum(have) - have)[row] < most[row]
+        row, piece = row[ok], piece[ok]
+        n = self.first[piece + 1] - self.first[piece]
+        # whole rows, so many that about EXPANDED meetings are counted at a time
+        meetings = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=rows).astype(np.int64))])
+        edges = np.searchsorted(row, np.concatenate([[0], np.flatnonzero(np.diff(meetings[:-1] // EXPANDED)) + 1, [rows]]))
         for lo, hi in zip(edges, edges[1:], strict=False):
-            codes = other[0][other[1][lo] : other[1][hi]]
-            a, b, inter, union = similar(flat, (codes, other[1][lo : hi + 1] - other[1][lo]), tenths)
-            out.append((held[a], train[b + lo], inter, union))
-        return pa.table(dict(zip(("held", "train", "shared", "all_pieces"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            m = n[lo:hi]
+            where = np.repeat(self.first[piece[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            pair, times = np.unique(np.repeat(row[lo:hi], m) << 32 | self.owner[where], return_counts=True)
+            b, a = pair >> 32, pair & LOW_BITS
+            shared = np.maximum(self.least[a], least[b])
+            ok = (times >= np.minimum(MEET, shared)) & (np.minimum(self.size[a], size[b]) >= shared)
+            a, b = a[ok], b[ok]
+            for low in range(0, len(a), PAIRS):
+                i, j = a[low : low + PAIRS], b[low : low + PAIRS]
+                inter, union = cp.shared_trigrams(cp.take_rows(self.codes, self.offs, i), cp.take_rows(codes, offs, j))
+                good = 10 * inter >= self.tenths * union
+                yield {"held": self.ids[i[good]], "train": ids[j[good]], "shared": inter[good], "all_pieces": union[good]}
+
+
+class Cover:
+    """The segments and windows of a shard of evaluation cores."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, offs: np.ndarray, stretch: int):
+        self.ids, self.stretch, self.half = ids, stretch, stretch // 2
+        row, at = _starts(offs, self.half)
+        at = at[(at - offs[row]) % self.half == 0]
+        self.machine = _automaton(list(dict.fromkeys(_strings(codes, at, self.half)))) if len(at) else None
+        h, _ = cp.gram_hashes(codes, offs, stretch)
+        row, at = _starts(offs, stretch)
+        order = np.argsort(h, kind="stable")
+        self.hash, self.row, self.place = h[order], row[order], (at - offs[row])[order]
+        self.seen = np.zeros(len(h), bool)
+
+    def scan(self, ids: np.ndarray, codes: np.ndarray, offs: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        """Nothing by batch: the windows met are marked until ``rest``."""
+        if self.machine is not None and len(ids) and len(self.hash):
+            row, end, _ = _matches(self.machine, codes, offs)
+            near = np.zeros(len(codes), bool)
+            for back in range(self.half - 1, self.stretch):
+                start = end - back
+                near[start[(start >= offs[row]) & (start + self.stretch <= offs[row + 1])]] = True
+            h, go = cp.gram_hashes(codes, offs, self.stretch)
+            _, at = _starts(offs, self.stretch)
+            h = np.unique(h[near[at]])
+            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+            edge = np.zeros(len(self.hash) + 1, np.int64)
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, hi, -1)
+            self.seen |= np.cumsum(edge[:-1]) > 0
+        yield from ()
+
+    def rest(self) -> Iterator[dict[str, np.ndarray]]:
+        """(rid, start, stop) of the stretches met, merged as far as they touch."""
+        row, start = self.row[self.seen], self.place[self.seen]
+        self.seen[:] = False
+        order = np.lexsort((start, row))
+        row, start = row[order], start[order]
+        first = np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (start[1:] > start[:-1] + self.stretch)])
+        last = np.append(first[1:], np.ones(min(1, len(row)), bool))
+        yield {"rid": self.ids[row[first]], "start": start[first], "stop": start[last] + self.stretch}
+
+
+def _build(make: Callable):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["rid"].to_numpy()
+        return pa.table({"shard": table["shard"][:1], "index": pa.array([pickle.dumps(make(ids, *cp.flatten(table["c"])), 5)], pa.binary())})
 
     return run
 
 
-def _cover(tenths: int):
-    t = tenths / 10
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({k: np.zeros(0, np.int64) for k in ("rid", "start", "stop")})
-        held, train = left["c"].to_pylist(), right["c"].to_pylist()
-        patterns: dict[str, list[tuple[int, int]]] = {}
-        for i, text in enumerate(held):
-            for a, b in segments(text, t):
-                patterns.setdefault(text[a:b], []).append((i, a))
-        words = list(patterns)
-        machine = ahocorasick.Automaton()
-        for k, word in enumerate(words):
-            machine.add_word(word, k)
-        # the owners of pattern k: records and places in owner[first[k]:first[k + 1]]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in patterns.values()])]).astype(np.int64)
-        owner = np.array([x for own in patterns.values() for x in own], np.int64).reshape(-1, 2)
-        stretches: list[np.ndarray] = []
-        found: list[int] = []
-
-        def count() -> None:
-            k = np.array(found, np.int64)
-            found.clear()
-            n = first[k + 1] - first[k]
-            at = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            size = np.fromiter((len(words[x]) for x in k), np.int64, len(k))
-            stretches.append(np.unique(np.column_stack([owner[at], np.repeat(size, n)]), axis=0))
-
-        if words:
-            machine.make_automaton()
-            often = np.diff(first)
-            waiting = 0
-            for text in train:
-                hits = {k for _, k in machine.iter(text)}
-                if hits:
-                    found += hits
-                    waiting += int(often[list(hits)].sum())
-                    if waiting > EXPANDED:
-                        count()
-                        waiting = 0
-            if found:
-                count()
-        ids = left["rid"].to_numpy()
-        s = np.unique(np.concatenate(stretches), axis=0) if stretches else np.zeros((0, 3), np.int64)
-        return pa.table({"rid": ids[s[:, 0]], "start": s[:, 1], "stop": s[:, 1] + s[:, 2]})
+_LOADED: dict = {}
+
+
+def _scan(sent, names: list[str], low: int, high: int):
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _LOADED.get("name") != name:  # a worker that runs several tasks loads a shard once
+            _LOADED.update(name=name, index=pickle.loads(sent.value))
+        index = _LOADED["index"]
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[k].astype(np.int64)) for k in names], names=names)
+        for batch in cp.slices(batches, "text", SCAN_BYTES):
+            yield from map(out, index.scan(*_batch(batch, low, high)))
+        if hasattr(index, "rest"):
+            yield from map(out, index.rest())
 
     return run
 
@@ -184,48 +231,54 @@ class CrossSplit:
     """Evaluation records against training records.
 
     Null texts, ids and splits and texts whose core has fewer than ``low`` or more than ``high`` characters take no part; a
-    row delivered twice counts once; equal cores within a side are compared once; other columns are ignored; where a side is
-    empty there are no pairs.
+    row delivered twice counts once; equal cores of evaluation records are looked up once; other columns are ignored; where
+    a side is empty there are no pairs.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "sentence_id", text_col: str = "text", split_col: str = "split", train: str = "train", held: tuple[str, ...] = ("dev", "test"), tenths: int = 7, low: int = LOW, high: int = HIGH):
-        self.tenths = tenths
-        rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(split_col).isin(*held).alias("held"), F.col(text_col).alias("text"), F.col(split_col).alias("split"))
-        rows = rows.filter(F.col("split").isin(train, *held)).filter("id IS NOT NULL AND text IS NOT NULL").select("id", "held", "text")
-        self.rows = cut(rows.mapInArrow(_cores(low, high), "id bigint, held boolean, c string").distinct(), "cross-rows")
-        self.reps = self.rows.groupBy("held", "c").agg(F.min("id").alias("rid"))
-
-    def _blocks(self, scan: Callable, schema: str) -> DataFrame:
-        sizes = {r["held"]: r["n"] for r in self.rows.groupBy("held").agg(F.sum(F.length("c")).alias("n")).collect()}
-        width = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        shards = max(1, -(-(sizes.get(True) or 0) // SHARD_CHARS))
-        blocks = max(-(-(sizes.get(False) or 0) // BLOCK_CHARS), -(-width // shards))
-        own = F.expr(f"pmod(xxhash64(c), {shards})")
-        spread = lambda n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x.cast("bigint")))
-        left = self.reps.filter("held").select(own.alias("shard"), spread(blocks).alias("block"), "rid", "c")
-        right = self.reps.filter("NOT held").select(F.expr(f"pmod(xxhash64(c), {blocks})").alias("block"), spread(shards).alias("shard"), "rid", "c")
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(scan(self.tenths), schema)
+    def __init__(self, df: DataFrame, id_col: str = "sentence_id", text_col: str = "text", split_col: str = "split", train: str = "train", held: tuple[str, ...] = ("dev", "test"), tenths: int = 7, low: int = LOW, high: int = HIGH, shard_chars: int = SHARD_CHARS):
+        self.tenths, self.low, self.high, self.shard_chars = tenths, low, high, shard_chars
+        rows = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+        of = lambda x: x.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        self.train = of(rows.filter(F.col(split_col) == train))
+        self.held = cut(of(rows.filter(F.col(split_col).isin(*held))).mapInArrow(_cores(low, high), "id bigint, c string").distinct(), "cross-held")
+        self.reps = self.held.groupBy("c").agg(F.min("id").alias("rid"))
+
+    def _scanned(self, make: Callable, names: list[str]) -> DataFrame:
+        """What the automata of all shards find. A shard is built by one task, sent to the workers and taken back before the next."""
+        spark = self.train.sparkSession
+        chars = self.held.agg(F.sum(F.length("c"))).first()[0] or 0
+        shards = max(1, -(-chars // self.shard_chars))
+        reps = self.reps.withColumn("shard", F.expr(f"pmod(xxhash64(c), {shards})"))
+        built = cut(reps.groupBy("shard").applyInArrow(_build(make), "shard bigint, index binary"), "cross-automata")
+        schema = ", ".join(f"{k} bigint" for k in names)
+        found = []
+        for shard in range(shards):
+            got = built.filter(F.col("shard") == shard).select("index").toArrow()["index"]
+            if len(got):
+                sent = spark.sparkContext.broadcast(got[0].as_py())
+                found.append(cut(self.train.mapInArrow(_scan(sent, names, self.low, self.high), schema), "cross-found"))
+                sent.destroy()
+        return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
     def pairs(self) -> DataFrame:
         """(id_held, id_train, shared, all_pieces) of all rows of similarity of at least ``tenths`` / 10."""
-        found = cut(self._blocks(_join, "held bigint, train bigint, shared bigint, all_pieces bigint"), "cross-pairs")
-        member = self.rows.join(self.reps, ["held", "c"]).select("held", "rid", "id")
-        a = member.filter("held").select(F.col("rid").alias("ra"), F.col("id").alias("id_held"))
-        b = member.filter("NOT held").select(F.col("rid").alias("rb"), F.col("id").alias("id_train"))
-        return found.join(a, found.held == a.ra).join(b, found.train == b.rb).select("id_held", "id_train", "shared", "all_pieces")
-
-    def coverage(self) -> DataFrame:
-        """(id, n_chars, covered): for each evaluation record, the characters of its core that stand in training records, its matched segments merged."""
-        cover = self._blocks(_cover, "rid bigint, start bigint, stop bigint").distinct()
+        tenths = self.tenths
+        found = self._scanned(lambda i, c, o: Pairs(i, c, o, tenths), ["held", "train", "shared", "all_pieces"]).distinct()
+        member = self.held.join(self.reps, "c").select("rid", F.col("id").alias("id_held"))
+        return found.join(member, found.held == member.rid).select("id_held", F.col("train").alias("id_train"), "shared", "all_pieces")
+
+    def coverage(self, stretch: int = STRETCH) -> DataFrame:
+        """(id, n_chars, covered): for each evaluation record, the characters of its core in stretches of at least ``stretch`` that stand in training records."""
+        cover = self._scanned(lambda i, c, o: Cover(i, c, o, stretch), ["rid", "start", "stop"]).distinct()
         w = Window.partitionBy("rid").orderBy("start", "stop")
         seen = F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         merged = cover.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), seen))).groupBy("rid").agg(F.sum("new").alias("covered"))
-        own = self.rows.filter("held").join(self.reps.filter("held"), ["held", "c"]).select("rid", "id", F.length("c").alias("n_chars"))
+        own = self.held.join(self.reps, "c").select("rid", "id", F.length("c").alias("n_chars"))
         return own.join(merged, "rid", "left").select("id", "n_chars", F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"))
 
 
-def report(df: DataFrame, pairs: DataFrame, id_col: str = "sentence_id") -> DataFrame:
+def report(df: DataFrame, pairs: DataFrame, id_col: str = "sentence_id", split_col: str = "split", source_col: str = "source", held: tuple[str, ...] = ("dev", "test")) -> DataFrame:
     """(split, source, records, overlapping, pairs) per evaluation split and source; a missing source is its own group."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), "split", "source").filter(F.col("split").isin("dev", "test")).dropDuplicates(["id"])
+    rows = df.filter(F.col(split_col).isin(*held)).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(split_col).alias("split"), F.min(source_col).alias("source"))
     hit = pairs.groupBy(F.col("id_held").alias("id")).agg(F.count("*").alias("n"))
     return rows.join(hit, "id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

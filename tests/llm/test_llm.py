@@ -164,13 +164,26 @@ def test_cross_split(spark):
     found = cross_split.CrossSplit(df)
     got = {(r["id_held"], r["id_train"]) for r in found.pairs().collect()}
     assert want and got == want
-    cover = {r["id"]: (r["covered"], r["n_chars"]) for r in found.coverage().collect()}
-    assert set(cover) == {i for i, s, _ in ok if s != "train"} and all(0 <= a <= b for a, b in cover.values())
-    texts = dict((i, C(t)) for i, _, t in ok)
-    assert all(cover[i][0] == cover[i][1] for i, j in want if texts[i] == texts[j])
+    many = cross_split.CrossSplit(df, shard_chars=700)
+    assert {(r["id_held"], r["id_train"]) for r in many.pairs().collect()} == want
+    train = [C(t) for _, s, t in ok if s == "train"]
+    for size in (12, 9):
+        covered = {}
+        for i, s, t in ok:
+            if s != "train":
+                c = C(t)
+                at = {k + d for k in range(len(c) - size + 1) if any(c[k : k + size] in x for x in train) for d in range(size)}
+                covered[i] = (len(at), len(c))
+        assert any(0 < a < b for a, b in covered.values())
+        for source in (found, many):
+            assert {r["id"]: (r["covered"], r["n_chars"]) for r in source.coverage(size).collect()} == covered
     report = cross_split.report(df, found.pairs()).collect()
     assert sum(r["pairs"] for r in report) == len(want) and sum(r["overlapping"] for r in report) == len({i for i, _ in want})
+    only = cross_split.report(df, found.pairs(), held=("dev",)).collect()
+    assert {r["split"] for r in only} == {"dev"} and sum(r["records"] for r in only) == len({i for i, s, _, _ in rows if s == "dev"})
     assert cross_split.CrossSplit(df.filter("split = 'train'")).pairs().count() == 0
+    assert cross_split.CrossSplit(df.filter("split = 'train'")).coverage().count() == 0
+    assert cross_split.CrossSplit(df.filter("split <> 'train'")).pairs().count() == 0
 
 
 def test_cross_split_cut_ends(spark):
