@@ -32,11 +32,11 @@ from quillmill.functions import codepoints as cp
 from quillmill.session import cut
 
 LOW, HIGH = 12, 300
-SHARD_CHARS = 6_000_000  # characters of evaluation cores in one automaton; some 20 bytes each go to the workers
-SCAN_BYTES = 3_000_000  # bytes of training texts that are scanned at a time
+SHARD_CHARS = 3_000_000  # characters of evaluation cores in one automaton; some 20 bytes each go to the workers
+SCAN_BYTES = 2_000_000  # bytes of training texts that are scanned at a time
 EXPANDED = 2_000_000  # meetings that are counted at a time
 PAIRS = 50_000  # pairs that are compared at a time
-MEET = 10  # rare pieces that a pair must share
+MEET = 7  # rare pieces that a pair must share
 STRETCH = 12  # characters of the shortest stretch that covers
 LOW_BITS = 0xFFFFFFFF
 
@@ -70,6 +70,13 @@ def _number(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at] << 42 | c[at + 1] << 21 | c[at + 2]
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper and lower half of the distinct numbers, in order."""
+    key.sort()
+    key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+    return key >> 32, key & LOW_BITS
+
+
 def _strings(codes: np.ndarray, at: np.ndarray, size: int) -> list[str]:
     return cp.unflatten(codes[at[:, None] + np.arange(size)].ravel(), np.arange(0, size * len(at) + 1, size)).to_pylist()
 
@@ -88,8 +95,8 @@ def _matches(machine: ahocorasick.Automaton, codes: np.ndarray, offs: np.ndarray
     wide = np.zeros(len(codes) + rows, np.uint32)
     row = cp.row_of(offs)
     wide[np.arange(len(codes)) + row] = codes
-    found = list(machine.iter(wide.tobytes().decode("utf-32-le", "surrogatepass")))
-    end, word = np.fromiter(chain.from_iterable(found), np.int64, 2 * len(found)).reshape(-1, 2).T
+    found = machine.iter(wide.tobytes().decode("utf-32-le", "surrogatepass"))
+    end, word = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
     row = np.searchsorted(offs[1:] + np.arange(rows), end, "right")
     return row, end - row, word
 
@@ -130,8 +137,7 @@ class Pairs:
         lacking, number = lacking[order], number[order]
         new = np.concatenate([np.ones(min(1, len(number)), bool), (number[1:] != number[:-1]) | (lacking[1:] != lacking[:-1])])
         absent = np.bincount(lacking[new], minlength=rows)
-        key = np.unique(row << 32 | piece)
-        row, piece = key >> 32, key & LOW_BITS
+        row, piece = _distinct(row << 32 | piece)
         have = np.bincount(row, minlength=rows)
         size = have + absent
         least = -(-self.tenths * size // 10)
