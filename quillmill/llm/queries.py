@@ -169,3 +169,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with placeholders for personal details."""
     return personal_details.redacted(table(spark, sf_dir, "documents"))
+
+
+@query
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each kind, how many were rejected, and how well held-out documents are foretold."""
+    return personal_details.report(table(spark, sf_dir, "documents"))

@@ -394,6 +394,37 @@ def test_personal_details(spark):
     assert personal_details.details(df.limit(0)).count() == 0
 
 
+# Notes whose wording isn't in the operator's lists of phrases.
+PROBES = [
+    ("My name is John Smith and I was here.", {("name", "johnsmith")}),
+    ("Please ring Mary Jones on Monday.", {("name", "maryjones")}),
+    ("Author: Anna Keller", {("name", "annakeller")}),
+    ("Ask for Peter Brown at the desk.", {("name", "peterbrown")}),
+    ("Best regards, Alice Cooper", {("name", "alicecooper")}),
+    ("Mein Name ist Hans Müller, guten Tag.", {("name", "hansmüller")}),
+    ("我叫王小明，你好。", {("name", "王小明")}),
+    ("Name: Nguyễn Văn An", {("name", "nguyễnvănan")}),
+    ("He lived at 1600 Pennsylvania Ave NW, Washington, DC 20500 for years.", {("address", "1600pennsylvaniaavenwwashingtondc20500")}),
+    ("Wir sahen Grüne Felder und der Kleine Teich lag still.", set()),
+    ("In May the Upper Valley had 12345678 visitors and 12 Golden Fields.", set()),
+    ("See the tag @heron and part 4711-0815-99.", set()),
+]
+
+
+def test_personal_details_in_other_words(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(PROBES)] + [(100 + i, t) for i, (t, _) in enumerate(NOTES * 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for r in personal_details.details(df).collect():
+        got.setdefault(r["doc_id"], set()).add((r["kind"], r["found"]))
+    for i, (t, want) in enumerate(PROBES):
+        assert got.get(i, set()) == want, t
+    report = {r["kind"]: r for r in personal_details.report(df).collect()}
+    assert all(r["candidates"] == r["accepted"] + r["rejected"] for r in report.values())
+    assert report["name"]["rejected"] > 0 and report["phone"]["rejected"] > 0 and all(r["held_out_agreement"] > 0.8 for r in report.values())
+    assert personal_details.report(df.limit(0)).count() == 0
+
+
 def test_em_prefers_agreeing_labelers():
     q = personal_details.estimate([(0, 1 | 1 << 2 | 1 << 4, 900), (0, 1 | 1 << 2, 80), (0, 2 | 2 << 6, 60), (0, 2, 20)])
     assert q[0, 1 | 1 << 2 | 1 << 4] > 0.9 and q[0, 2 | 2 << 6] < 0.5
