@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, removed like a written stage."""
+    path = f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
@@ -43,16 +52,12 @@ def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     be partitioned so already.
     """
     spark = df.sparkSession
-    unique = uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/quillmill/{name}-{unique}"
-    if not _WRITTEN:
-        atexit.register(release)
-    _WRITTEN.append((spark, path))
+    path = folder(spark, name)
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
         if by:
-            stored = f"quillmill_{unique}"
+            stored = f"quillmill_{path[-32:]}"
             df.write.bucketBy(partitions(spark), by).option("path", path).saveAsTable(stored)
         else:
             df.write.parquet(path)
