@@ -3,7 +3,7 @@
 Each text becomes positioned code points. These meet two tables, one of decompositions (composed accents, widths,
 compatibility ideographs, kinds of blank, invisible characters) and one of look-alike letters; combining marks are put in the
 order of their classes; what can be composed is composed; the strings are built again. The tables are fixed by
-Unicode and small, so each Python worker holds them as arrays and the join is an index into them.
+Unicode (about 8 MB, whatever the data): they are built once, broadcast, and joined as an index into arrays.
 """
 
 from __future__ import annotations
@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 from quillmill.functions import codepoints as cp
 from quillmill.session import cut
 
-# Letters of the Cyrillic, Greek and Armenian scripts, and the Latin letters of the same shape.
+# Letters of the Cyrillic, Greek, Armenian, Cherokee, Coptic and Lisu scripts, and the Latin letters of the same shape, as
+# Unicode's public table of confusable characters (UTS 39) has them.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Һ": "H",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "У": "Y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j", "Ϳ": "J",
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u",
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Տ": "S",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 RANGES = ((0x20, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x34000), (0xE0000, 0xE0200))
 INVISIBLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x1810)}
@@ -58,7 +63,7 @@ def _han(i: int) -> bool:
 
 @cache
 def tables() -> dict:
-    size, start = np.ones(cp.LIMIT, np.uint8), np.full(cp.LIMIT, -1, np.int64)
+    size, start = np.ones(cp.LIMIT, np.uint8), np.full(cp.LIMIT, -1, np.int32)
     order = np.zeros(cp.LIMIT, np.uint8)
     flat: list[int] = []
     pairs: dict[int, int] = {}
@@ -141,9 +146,9 @@ def _lookup(a: np.ndarray, b: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarr
     return t["whole"][at], t["pair"][at] == key
 
 
-def canonical(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def canonical(codes: np.ndarray, offs: np.ndarray, t: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The consistent form of each row."""
-    t = tables()
+    t = t or tables()
     touched = cp.row_sums(t["touched"][codes].astype(np.uint64), offs) > 0
     if not touched.any():
         return codes, offs
@@ -165,13 +170,16 @@ def canonical(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, new
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in cp.slices(batches, "text"):
-        c, o = canonical(*cp.flatten(batch["text"]))
-        yield pa.RecordBatch.from_arrays([batch["tbl"], batch["id"], cp.unflatten(c, o, ~np.asarray(batch["text"].is_null()))], names=["tbl", "id", "form"])
+def _forms(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cp.slices(batches, "text"):
+            c, o = canonical(*cp.flatten(batch["text"]), sent.value)
+            yield pa.RecordBatch.from_arrays([batch["tbl"], batch["id"], cp.unflatten(c, o, ~np.asarray(batch["text"].is_null()))], names=["tbl", "id", "form"])
 
+    return run
 
-def _hashes(least: int):
+
+def _hashes(least: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cp.slices(batches, "text"):
             codes, offs = cp.flatten(batch["text"])
@@ -179,7 +187,7 @@ def _hashes(least: int):
             n = cp.row_sums(keep[codes].astype(np.uint64), offs)
             ok = (n >= least) & ~np.asarray(batch["text"].is_null()) & ~np.asarray(batch["id"].is_null())
             codes, offs = cp.select_rows(codes, offs, ok)
-            form = canonical(codes, offs)
+            form = canonical(codes, offs, sent.value)
             mask = pa.array(ok)
             cols = [cp.as_int64(x) for x in (cp.row_hash(*form, 1), cp.row_hash(*form, 2), cp.row_hash(codes, offs, 3))]
             yield pa.RecordBatch.from_arrays([batch["tbl"].filter(mask), batch["id"].filter(mask), *map(pa.array, cols)], names=["tbl", "id", "f1", "f2", "stored"])
@@ -191,9 +199,22 @@ def source(df: DataFrame, tbl: str, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.lit(tbl).alias("tbl"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
 
+def _sent(df: DataFrame):
+    return df.sparkSession.sparkContext.broadcast(tables())
+
+
 def canonical_texts(rows: DataFrame) -> DataFrame:
     """(tbl, id, form): every text of (tbl, id, text) in the one form; null stays null, empty stays empty, each row gives a row."""
-    return rows.mapInArrow(_forms, "tbl string, id bigint, form string")
+    return rows.mapInArrow(_forms(_sent(rows)), "tbl string, id bigint, form string")
+
+
+def _classes(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(tbl, id, f1, f2, stored) of all rows, and the forms that stand in several variants, with the smallest id."""
+    sent = _sent(rows)
+    hashed = cut(rows.mapInArrow(_hashes(least, sent), "tbl string, id bigint, f1 bigint, f2 bigint, stored bigint").distinct(), "one-form")
+    sent.destroy()
+    mixed = hashed.groupBy("tbl", "f1", "f2").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"), F.min("id").alias("group")).filter("lo <> hi").select("tbl", "f1", "f2", "group")
+    return hashed, mixed
 
 
 def look_alike_pairs(rows: DataFrame, least: int = 12) -> DataFrame:
@@ -202,9 +223,14 @@ def look_alike_pairs(rows: DataFrame, least: int = 12) -> DataFrame:
     Texts with fewer than ``least`` letters, marks and digits, nulls and null ids take no part; a row delivered twice counts
     once. Only forms that stand in several variants reach the join.
     """
-    hashed = cut(rows.mapInArrow(_hashes(least), "tbl string, id bigint, f1 bigint, f2 bigint, stored bigint").distinct(), "one-form")
-    mixed = hashed.groupBy("tbl", "f1", "f2").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("tbl", "f1", "f2")
-    a = hashed.join(mixed, ["tbl", "f1", "f2"])
+    hashed, mixed = _classes(rows, least)
+    a = hashed.join(mixed.drop("group"), ["tbl", "f1", "f2"])
     b = a.select("tbl", "f1", "f2", F.col("id").alias("other"), F.col("stored").alias("as_stored"))
     both = a.join(b, ["tbl", "f1", "f2"]).filter("stored <> as_stored AND id < other")
     return both.select("tbl", F.col("id").alias("id_a"), F.col("other").alias("id_b")).distinct()
+
+
+def look_alike_groups(rows: DataFrame, least: int = 12) -> DataFrame:
+    """(tbl, id, group): the same as membership, one row per row of a form that stands in several variants, with the smallest id of the form."""
+    hashed, mixed = _classes(rows, least)
+    return hashed.join(mixed, ["tbl", "f1", "f2"]).select("tbl", "id", "group").distinct()

@@ -1,8 +1,12 @@
 """Problem 6: cutting long texts into pieces under a limit, at natural boundaries, each repeating the end of the last.
 
-A text, or a file too large to load, is read in ranges with halos. Every range finds the boundaries it sees and, near either
-edge, the anchor at which the ranges meet; both neighbours see the same characters there and so agree without a
-word. Between its anchors a range cuts its pieces alone. Piece numbers come from prefix sums over the ranges.
+A text, or a file too large to load, is read in byte ranges with halos. Every range finds the boundaries it sees and, near
+either edge, the anchor at which the ranges meet; both neighbours see the same characters there and so agree without a
+word. Between its anchors a range cuts its pieces alone, and gives them by offset. Piece numbers come from prefix sums over the
+ranges. The ranges of a file are read by different tasks; those of a text of a table, which lies in memory anyway, one after
+another where it lies.
+
+Bytes that aren't UTF-8 are a character each, shown as U+FFFD in the piece; offsets count them as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import codepoints as cp
@@ -90,43 +94,64 @@ def cut_points(codes: np.ndarray, low: int, high: int, first: bool, last: bool,
     return out
 
 
-def _range_pieces(limit: int, overlap: int, size: int):
+def _decoded(raw: bytes, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a window, and the offset of each and of the end; a window that begins within a file leaves out the rest of a character cut there."""
+    skip = 0
+    while inner and skip < min(3, len(raw)) and raw[skip] & 0xC0 == 0x80:
+        skip += 1
+    codes = np.frombuffer(raw[skip:].decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = (codes >= 0xDC80) & (codes < 0xDD00)
+    wide = np.where(bad, 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+    return np.where(bad, 0xFFFD, codes).astype(np.uint32), np.concatenate([[0], np.cumsum(wide)]) + skip
+
+
+def range_pieces(read, n: int, lo: int, hi: int, limit: int, overlap: int) -> tuple[list[int], list[int], list[str]]:
+    """Byte offsets and text of the pieces of the range ``lo`` to ``hi`` of ``n`` bytes; ``read(a, b)`` gives bytes."""
+    halo = 4 * limit + 8
+    frm, to = max(0, lo - halo), min(n, hi + halo)
+    codes, place = _decoded(read(frm, to), frm > 0)
+    place = place + frm
+    edge = lambda x: int(np.searchsorted(place, x, "right") - 1) if x < n else len(codes)
+    got = cut_points(codes, edge(lo) if lo else 0, edge(hi), lo == 0, hi == n, limit, overlap)
+    text = codes.tobytes().decode("utf-32-le")
+    return [int(place[a]) for a, _ in got], [int(place[b]) for _, b in got], [text[a:b] for a, b in got]
+
+
+def _text_pieces(limit: int, overlap: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cp.slices(batches, "chunk"):
-            codes, offs = cp.flatten(batch["chunk"])
+        for batch in cp.slices(batches, "text"):
             out: list[tuple] = []
-            ids, no, base, n = (batch[k].to_numpy() for k in ("id", "r", "base", "n"))
-            for i in range(batch.num_rows):
-                c = codes[offs[i] : offs[i + 1]]
-                low, high = no[i] * size, min(n[i], (no[i] + 1) * size)
-                for a, b in cut_points(c, low - base[i], high - base[i], no[i] == 0, high == n[i], limit, overlap):
-                    out.append((ids[i], no[i], a + base[i], b + base[i], offs[i] + a, offs[i] + b))
+            for ident, value in zip(batch["id"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
+                raw = memoryview(value.as_buffer())
+                done = at = no = 0  # characters before byte ``at``
+                for lo in range(0, len(raw), size):
+                    parts = zip(*range_pieces(lambda a, b, raw=raw: bytes(raw[a:b]), len(raw), lo, min(len(raw), lo + size), limit, overlap), strict=True)
+                    for a, _, piece in parts:
+                        lead = np.frombuffer(raw[min(a, at) : max(a, at)], np.uint8)
+                        done += int(np.count_nonzero(lead & 0xC0 != 0x80)) * (1 if a >= at else -1)
+                        at, no = a, no + 1
+                        out.append((ident, no, done, done + len(piece), piece))
             if out:
-                x = np.array(out, np.int64)
-                span = x[:, 5] - x[:, 4]
-                o = np.concatenate([[0], np.cumsum(span)])
-                text = cp.unflatten(codes[np.arange(o[-1]) + np.repeat(x[:, 4] - o[:-1], span)], o)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 2]), pa.array(x[:, 3]), text], names=["id", "start", "stop", "piece"])
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4])], names=["id", "piece_no", "start", "stop", "piece"])
 
     return run
 
 
+def _checked(limit: int, overlap: int, size: int) -> None:
+    if not 0 <= overlap < limit // 2 or size < 16 * limit:
+        raise ValueError("overlap must be under half the limit and a range hold several pieces")
+
+
 def split_texts(df: DataFrame, id_col: str = "sent_id", text_col: str = "text", limit: int = 300, overlap: int = 30, size: int = RANGE) -> DataFrame:
-    """(id, piece_no, start, stop, piece) of each text of more than ``limit`` characters; piece_no counts from 1, start and stop are offsets.
+    """(id, piece_no, start, stop, piece) of each text of more than ``limit`` characters; piece_no counts from 1, start and stop are offsets in characters.
 
     Every piece has at most ``limit`` characters and all but the first begin with the last ``overlap`` characters of the one
     before. Null texts and ids and shorter texts give nothing; a row delivered twice counts once; other columns are ignored.
     """
-    if not 0 <= overlap < limit // 2 or size < 4 * limit:
-        raise ValueError("overlap must be under half the limit and a range hold several pieces")
+    _checked(limit, overlap, size)
     long = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > limit).filter("id IS NOT NULL")
-    long = long.dropDuplicates(["id"]).withColumn("n", F.length("text").cast("bigint"))
-    ranges = long.select("id", "text", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / size))).alias("r"))
-    base = F.greatest(F.lit(0), F.col("r") * size - limit).cast("bigint")
-    chunk = F.col("text").substr((base + 1).cast("int"), (F.col("r") * size - base + size + 4).cast("int"))
-    ranges = ranges.select("id", "r", "n", base.alias("base"), chunk.alias("chunk")).repartition("id", "r")
-    found = ranges.mapInArrow(_range_pieces(limit, overlap, size), "id bigint, start bigint, stop bigint, piece string")
-    return _numbered(found, ["id"])
+    return long.dropDuplicates(["id"]).mapInArrow(_text_pieces(limit, overlap, size), "id bigint, piece_no bigint, start bigint, stop bigint, piece string")
 
 
 def _numbered(found: DataFrame, by: list[str], step: int = 1 << 20) -> DataFrame:
@@ -141,38 +166,30 @@ def _numbered(found: DataFrame, by: list[str], step: int = 1 << 20) -> DataFrame
 def _file_pieces(limit: int, overlap: int):
     import pyarrow.fs as fs
 
-    halo = 4 * limit + 8
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 system, path = fs.FileSystem.from_uri(row["path"])
-                lo, hi, n = row["low"], row["high"], row["n"]
-                frm, to = max(0, lo - halo), min(n, hi + halo)
                 with system.open_input_file(path) as f:
-                    f.seek(frm)
-                    raw = np.frombuffer(f.read(to - frm), np.uint8)
-                lead = np.flatnonzero((raw & 0xC0) != 0x80)
-                text = raw[lead[0] :].tobytes().decode("utf-8", "ignore") if len(lead) else ""
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                place = frm + lead[: len(codes)]  # byte offset of each character
-                edge = lambda x, place=place: int(np.searchsorted(place, x, "right") - 1) if x < n else len(place)
-                got = cut_points(codes, edge(lo) if lo else 0, edge(hi), lo == 0, hi == n, limit, overlap)
-                ends = np.append(place, to)
-                if got:
-                    yield pa.RecordBatch.from_pydict({"path": [row["path"]] * len(got), "start": [int(ends[a]) for a, _ in got], "stop": [int(ends[b]) for _, b in got], "piece": [text[a:b] for a, b in got]})
+                    start, stop, piece = range_pieces(lambda a, b, f=f: f.read_at(b - a, a), row["n"], row["low"], row["high"], limit, overlap)
+                if start:
+                    yield pa.RecordBatch.from_pydict({"path": [row["path"]] * len(start), "start": start, "stop": stop, "piece": piece})
 
     return run
 
 
-def split_files(spark: SparkSession, uris: list[str], limit: int = 300, overlap: int = 30, size: int = 8 << 20) -> DataFrame:
-    """(path, piece_no, start, stop, piece) of UTF-8 files, read in byte ranges with halos; start and stop are byte offsets. No file is loaded whole."""
-    import pyarrow.fs as fs
+def split_files(spark: SparkSession, path: str | list[str], limit: int = 300, overlap: int = 30, size: int = 8 << 20, suffix: str = "*") -> DataFrame:
+    """(path, piece_no, start, stop, piece) of UTF-8 files and of those in folders, read in byte ranges with halos; start and stop are byte offsets.
 
-    rows = []
-    for uri in uris:
-        system, path = fs.FileSystem.from_uri(uri)
-        n = system.get_file_info(path).size
-        rows += [(uri, lo, min(n, lo + size), n) for lo in range(0, n, size)]
-    ranges = spark.createDataFrame(rows, "path string, low bigint, high bigint, n bigint").repartition(max(1, len(rows)), "path", "low")
+    No file is loaded whole, and the list of files and ranges stays a table. An empty file gives no pieces.
+    """
+    _checked(limit, overlap, size)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path).select("path", F.col("length").alias("n")).filter("n > 0")
+    low = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(size).cast("bigint"))).alias("low")
+    ranges = files.select("path", "n", low).withColumn("high", F.least(F.col("n"), F.col("low") + size)).repartition("path", "low")
     return _numbered(ranges.mapInArrow(_file_pieces(limit, overlap), "path string, start bigint, stop bigint, piece string"), ["path"])
+
+
+def own_part(piece_no: str = "piece_no", piece: str = "piece", overlap: int = 30) -> Column:
+    """What a piece adds to the one before."""
+    return F.when(F.col(piece_no) == 1, F.col(piece)).otherwise(F.substring(piece, overlap + 1, 1 << 30))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import cross_split, layout_copies, leaks, mixture, near_duplicates, one_form, personal_details, pieces, term_counts
-from quillmill.session import table
+from quillmill.session import folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +114,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form.look_alike_pairs(_both(spark, sf_dir))
 
 
+@query
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of a class of look-alikes, with the smallest id of the class."""
+    return one_form.look_alike_groups(_both(spark, sf_dir))
+
+
 @query
 def p5_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of both tables in the one form."""
@@ -135,6 +141,18 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_texts(table(spark, sf_dir, "sentences")).withColumnRenamed("id", "sent_id")
 
 
+@query
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each character stands in the pieces of files that hold all documents, without what pieces repeat."""
+    path = folder(spark, "document-files")
+    table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("text").write.text(path)
+    parts = pieces.split_files(spark, path, suffix="*.txt", size=1 << 20)
+    return parts.select(F.explode(F.split(pieces.own_part(), "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+
+
+SQL["p6_files"] = "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text || chr(10), '')) AS ch FROM documents WHERE text IS NOT NULL) WHERE ch <> '' GROUP BY ch"
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a held-out passage in one run."""

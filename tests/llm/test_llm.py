@@ -259,10 +259,26 @@ def test_one_form(spark):
     same = [1, 2, 3, 5, 6, 10]
     got = {(r["id_a"], r["id_b"]) for r in one_form.look_alike_pairs(df).collect()}
     assert got == {(a, b) for a in same for b in same if a < b and (a, b) != (1, 5)}
+    assert {(r["id"], r["group"]) for r in one_form.look_alike_groups(df).collect()} == {(i, 1) for i in same}
     forms = {r["id"]: r["form"] for r in one_form.canonical_texts(df).collect()}
     assert forms[8] is None and forms[9] == "" and len({forms[i] for i in same}) == 1
 
 
+def test_one_form_table():
+    """The table itself, against what Unicode says of each character: widths, accents, compatibility ideographs, blanks."""
+    one = lambda t: cp.unflatten(*one_form.canonical(*cp.flatten(pa.array([t])))).to_pylist()[0]
+    for i in range(0xFF01, 0xFF5F):
+        assert one(chr(i)) == chr(i - 0xFEE0)
+    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        if not unicodedata.decomposition(chr(i)).startswith("<"):
+            assert one(chr(i)) == one(unicodedata.normalize("NFD", chr(i))) == unicodedata.normalize("NFC", chr(i))
+    for i in (*range(0xF900, 0xFA6E), *range(0x2F00, 0x2FD6)):
+        assert one(chr(i)) == unicodedata.normalize("NFKC", chr(i))
+    assert one("a\u00a0b\u2007c\u3000d\u200be\ufe0f") == "a b c de"
+    assert all(one(k) == v and len(v) == 1 and "LATIN" in unicodedata.name(v) and "LATIN" not in unicodedata.name(k) and k.isupper() <= v.isupper() for k, v in one_form.LOOK_ALIKES.items())
+    assert one("Straße\tA\n") == "Straße\tA\n" and one("ªﬁ") == "ªﬁ"
+
+
 def check_pieces(text, parts, limit, overlap):
     assert parts[0][0] == 0 and parts[-1][1] == len(text)
     for (a, b, s), (c, e, _) in zip(parts, parts[1:], strict=False):
@@ -270,7 +286,7 @@ def check_pieces(text, parts, limit, overlap):
     assert all(b - a <= limit and text[a:b] == s for a, b, s in parts)
 
 
-@pytest.mark.parametrize("size", [1200, 65536])
+@pytest.mark.parametrize("size", [4800, 65536])
 def test_pieces(spark, size):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abc 天。，.\n𡨸") for _ in range(n)) for n in (301, 900, 5000, 12_345)] + ["x" * 4000, "a b" * 100, "x" * 300, None, "", "w. " * 400]
@@ -289,21 +305,38 @@ def test_pieces(spark, size):
     assert pieces.split_texts(df.limit(0)).count() == 0
 
 
-def test_piece_files(spark, tmp_path):
-    rng = random.Random(9)
-    text = "".join(rng.choice("abc 天。𡨸\n") for _ in range(30_000))
-    (tmp_path / "big.txt").write_text(text, encoding="utf-8", newline="")
-    raw = text.encode()
-    rows = pieces.split_files(spark, [f"file://{tmp_path}/big.txt"], size=10_000).orderBy("piece_no").collect()
+def check_files(raw, rows, limit=300, overlap=30):
+    """Pieces of a file against its bytes: offsets, texts, overlaps, nothing left out."""
     done = 0
     for k, r in enumerate(rows):
-        assert raw[r["start"] : r["stop"]].decode() == r["piece"] and len(r["piece"]) <= 300 and r["piece_no"] == k + 1
-        if k:
-            assert len(raw[r["start"] : done].decode()) == 30
+        piece = raw[r["start"] : r["stop"]].decode("utf-8", "surrogateescape")
+        assert "".join("\ufffd" if 0xDC80 <= ord(c) < 0xDD00 else c for c in piece) == r["piece"] and len(r["piece"]) <= limit and r["piece_no"] == k + 1
+        assert (len(raw[r["start"] : done].decode("utf-8", "surrogateescape")) == overlap) if k else r["start"] == 0
         done = r["stop"]
     assert done == len(raw)
 
 
+def test_piece_files(spark, tmp_path):
+    rng = random.Random(9)
+    clean = "".join(rng.choice("abc 天。𡨸\n") for _ in range(30_000)).encode()
+    dirty = bytearray(clean)
+    for edge in (4800, 9600, 14_400):  # bytes that aren't UTF-8 around the edges of ranges and elsewhere
+        for k in range(edge - 6, edge + 6):
+            dirty[k] = rng.choice([0xE9, 0x80, 0xFF, 0xF0, 0x41])
+    for _ in range(300):
+        dirty[rng.randrange(len(dirty))] = rng.choice([0xE9, 0x80, 0xC3, 0xF0])
+    files = {"clean.txt": clean, "dirty.txt": bytes(dirty), "bytes.txt": bytes(rng.choice([0x80, 0xBF]) for _ in range(12_000)), "small.txt": b"a b", "empty.txt": b""}
+    (tmp_path / "sub").mkdir()
+    for name, raw in files.items():
+        (tmp_path / "sub" / name).write_bytes(raw)
+    got = {}
+    for r in pieces.split_files(spark, f"file://{tmp_path}", size=4800, suffix="*.txt").orderBy("piece_no").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[-1], []).append(r)
+    assert set(got) == set(files) - {"empty.txt"}
+    for name, rows in got.items():
+        check_files(files[name], rows)
+
+
 def test_leaks(spark):
     rng = random.Random(10)
     word = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
