@@ -524,7 +524,8 @@ def book_documents(spark, d):
 
 # ---- similarity ----
 
-PERMS, BANDS, ROWS = 32, 16, 2
+PERMS, LEAST, LOW = 128, 2, 0.25  # a pair must share two bands; similarities from 0.25 are served with a recall of 0.9
+BANDS, ROWS = similarity.bands_for(LOW, 0.9, PERMS, LEAST)
 
 
 def _sig_sql(source: str, key: str, name: str) -> str:
@@ -545,9 +546,9 @@ def _corpus(spark, d):
 
 _Q = CC + ", " + SE + ", q0 AS (SELECT CAST(sentence_id AS BIGINT) AS qid, text FROM cc WHERE text IS NOT NULL AND sentence_id % 20 = 0), c0 AS (SELECT sent_id, text FROM se WHERE text IS NOT NULL), " + _sig_sql("q0", "qid", "q") + ", " + _sig_sql("c0", "sent_id", "co")
 _BAND = lambda s, k: f"{s}s AS (SELECT {k}, unnest(range({BANDS})) AS band_id, sig FROM {s}), {s}d AS (SELECT {k}, band_id, sha1(array_to_string(sig[band_id * {ROWS} + 1 : band_id * {ROWS} + {ROWS}], '|')) AS bucket FROM {s}s)"
-_CAND = _Q + ", " + _BAND("q", "qid") + ", " + _BAND("co", "sent_id") + ", cand AS (SELECT DISTINCT qid, sent_id FROM qd JOIN cod USING (band_id, bucket))"
+_CAND = _Q + ", " + _BAND("q", "qid") + ", " + _BAND("co", "sent_id") + ", cand AS (SELECT qid, sent_id FROM qd JOIN cod USING (band_id, bucket) GROUP BY qid, sent_id HAVING count(*) >= " + str(LEAST) + ")"
 _SCORED = _CAND + f""", sc0 AS (SELECT cand.qid, cand.sent_id, co.text, round(len(list_filter(range(1, {PERMS} + 1), lambda i: q.sig[i] = co.sig[i])) / CAST({PERMS} AS DOUBLE), 6) AS score FROM cand JOIN q ON q.qid = cand.qid JOIN co ON co.sent_id = cand.sent_id WHERE co.text <> q.text),
-sc AS (SELECT * FROM sc0 WHERE score BETWEEN 0.1 AND 0.95), one AS (SELECT qid, text, score, sent_id, row_number() OVER (PARTITION BY qid, text ORDER BY score DESC, sent_id) AS u FROM sc),
+sc AS (SELECT * FROM sc0 WHERE score BETWEEN {LOW} AND 0.95), one AS (SELECT qid, text, score, sent_id, row_number() OVER (PARTITION BY qid, text ORDER BY score DESC, sent_id) AS u FROM sc),
 top AS (SELECT qid, sent_id, text, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sent_id) AS rank FROM one WHERE u = 1)"""
 
 
@@ -563,13 +564,13 @@ def lsh_bands(spark, d):
 
 @query(f"WITH {_CAND} SELECT qid, sent_id FROM cand")
 def lsh_candidates(spark, d):
-    return similarity.candidates(similarity.bands(_queries(spark, d), "qid", BANDS, ROWS), similarity.bands(_corpus(spark, d), "sent_id", BANDS, ROWS), "qid", "sent_id")
+    return similarity.candidates(similarity.bands(_queries(spark, d), "qid", BANDS, ROWS), similarity.bands(_corpus(spark, d), "sent_id", BANDS, ROWS), "qid", "sent_id", LEAST)
 
 
 def _top(spark, d):
     # signatures are stored, as an index is; bands and scores read them
     held, stored = cut(_queries(spark, d), "queries"), cut(_corpus(spark, d), "index")
-    return similarity.top_k(similarity.scored(held, stored, "qid", "sent_id", BANDS, ROWS), "qid", "sent_id")
+    return similarity.top_k(similarity.scored(held, stored, "qid", "sent_id", BANDS, ROWS, LOW, least=LEAST), "qid", "sent_id")
 
 
 @query(f"WITH {_SCORED} SELECT qid, rank, sent_id, text, score FROM top WHERE rank <= 5")
@@ -585,12 +586,12 @@ def retrieve_stats(spark, d):
 
 @query(f"""WITH {_SCORED}, r AS (SELECT qid, string_agg(text, '' ORDER BY rank) AS ctx FROM top WHERE rank <= 5 GROUP BY qid),
 j AS (SELECT q.qid, list_filter(string_split(q.text, ' '), lambda x: x <> '') AS t, list_filter(string_split(coalesce(r.ctx, ''), ''), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x{{85}}]')) AS e FROM q LEFT JOIN r ON r.qid = q.qid)
-SELECT qid, array_to_string(CASE WHEN len(e) > 0 THEN t || ['<EOS>'] || e[1:greatest(120 - len(t) - 1, 0)] ELSE t END, ' ') AS line FROM j""")
+SELECT qid, array_to_string(CASE WHEN len(e) > 0 THEN t || ['<EOS>'] || e[1:greatest(500 - len(t) - 1, 0)] ELSE t END, ' ') AS line FROM j""")
 def with_context(spark, d):
     texts = _top(spark, d).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ctx"))
     rows = _queries(spark, d).join(texts, "qid", "left")
     none = F.array().cast("array<string>")
-    return rows.select("qid", F.array_join(similarity.with_context(sequences.words(F.col("q_text")), F.coalesce("ctx", none), 120), " ").alias("line"))
+    return rows.select("qid", F.array_join(similarity.with_context(sequences.words(F.col("q_text")), F.coalesce("ctx", none)), " ").alias("line"))
 
 
 # the same over all pairs and by exact similarity, so that no neighbour is lost
@@ -632,6 +633,19 @@ def with_exact_context(spark, d):
     return rows.select("qid", F.array_join(similarity.with_context(sequences.words(F.col("q_text")), F.coalesce("ctx", none)), " ").alias("line"))
 
 
+@query(f"""WITH {_EXACT}, want AS (SELECT qid, sent_id FROM sc WHERE score BETWEEN {LOW} AND 0.95), {_sig_sql("q", "qid", "hq")}, {_sig_sql("c", "sent_id", "hc")}, {_BAND("hq", "qid")}, {_BAND("hc", "sent_id")},
+cand AS (SELECT qid, sent_id FROM hqd JOIN hcd USING (band_id, bucket) GROUP BY qid, sent_id HAVING count(*) >= {LEAST})
+SELECT count(*) AS pairs, count(cand.qid) AS found, round(count(cand.qid) / CAST(count(*) AS DOUBLE), 6) AS recall FROM want LEFT JOIN cand ON cand.qid = want.qid AND cand.sent_id = want.sent_id""")
+def lsh_recall(spark, d):
+    """How many of the pairs of exact similarity from 0.25 the candidates hold."""
+    texts = se(spark, d).filter("text IS NOT NULL").groupBy("text").agg(F.min("sent_id").alias("sent_id"))
+    want = similarity.exact_top(_exact_queries(spark, d), texts, "qid", "sent_id", k=1 << 40, low=LOW)
+    held, stored = _queries(spark, d), similarity.index(texts, "sent_id", "text", PERMS)
+    got = similarity.candidates(similarity.bands(held, "qid", BANDS, ROWS), similarity.bands(stored, "sent_id", BANDS, ROWS), "qid", "sent_id", LEAST).withColumn("hit", F.lit(1))
+    both = want.select("qid", "sent_id").join(got, ["qid", "sent_id"], "left")
+    return both.agg(F.count("*").alias("pairs"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 _RP = "rp AS (SELECT DISTINCT query_id, rank_no, sent_id, cand, ref, score FROM retrieval_pairs)"
 _WORDS = "array_to_string(string_split({0}, ' ')[1:200], ' ')"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.ranking import running_total
+
 
 def _write(df: DataFrame, path: str, order: list[str], one_file: bool, sep: str = "\n") -> None:
     rows = df.repartition(1) if one_file else df
@@ -32,10 +34,20 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def write_index(indexed: DataFrame, banded: DataFrame, path: str) -> None:
-    """An LSH index: sentences with signatures, and bands partitioned by band."""
+def write_index(indexed: DataFrame, banded: DataFrame, path: str, notes: dict[str, object] | None = None, most: int | None = None, size: str = "text") -> None:
+    """An LSH index: sentences with signatures, bands partitioned by band, and notes such as the number of slots, bands and rows.
+
+    With ``most``, only so many bytes of text are kept, in the order of the key, as a size limit; the notes say how many rows that are.
+    """
+    key = indexed.columns[0]
+    if most is not None:
+        upto = running_total(indexed, F.col(key), value=F.octet_length(size), name="__upto").filter(F.col("__upto") <= most).drop("__upto")
+        indexed, banded = upto, banded.join(upto.select(key), key, "left_semi")
     write_parquet(indexed, f"{path}/sentences")
     write_parquet(banded, f"{path}/bands", ["band_id"])
+    spark = indexed.sparkSession
+    rows = {**(notes or {}), "rows": spark.read.parquet(f"{path}/sentences").count()}
+    spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
