@@ -54,14 +54,36 @@ def multilabel_confusion(df: DataFrame, gold: str, pred: str, labels: list[str])
     return rows.groupBy("class").agg(n(g & p, "tp"), n(~g & p, "fp"), n(g & ~p, "fn"), n(~g & ~p, "tn"))
 
 
-def span_confusion(gold: DataFrame, pred: DataFrame, on: list[str], kind: str) -> DataFrame:
-    """(class, tp, fp, fn) of two span tables joined on all of ``on``."""
-    a = gold.select(*on).distinct().withColumn("g", F.lit(1))
-    b = pred.select(*on).distinct().withColumn("p", F.lit(1))
-    both = a.join(b, on, "full_outer")
-    n = lambda c, name: F.sum(F.coalesce(c, F.lit(0)).cast("bigint")).alias(name)
-    g, p = F.coalesce("g", F.lit(0)), F.coalesce("p", F.lit(0))
-    return both.groupBy(F.col(kind).alias("class")).agg(n(g * p, "tp"), n((1 - g) * p, "fp"), n(g * (1 - p), "fn"))
+def span_confusion(gold: DataFrame, pred: DataFrame, on: list[str], kind: str, universe: DataFrame | None = None) -> DataFrame:
+    """(class, tp, fp, fn) of two span tables that meet on all of ``on``; equal spans of one side count once.
+
+    With ``universe``, the spans that could have been found (of any class), ``tn`` is added: those that neither side gives this class.
+    """
+    side = lambda df, g, p: df.select(*on).withColumn("g", F.lit(g)).withColumn("p", F.lit(p))
+    both = side(gold, 1, 0).unionByName(side(pred, 0, 1)).groupBy(*on).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    n = lambda c, name: F.sum(c.cast("bigint")).alias(name)
+    g, p = F.col("g"), F.col("p")
+    found = both.groupBy(F.col(kind).alias("class")).agg(n(g * p, "tp"), n((1 - g) * p, "fp"), n(g * (1 - p), "fn"))
+    if universe is None:
+        return found
+    every = universe.distinct().agg(F.count("*").alias("__n"))  # one row
+    return found.join(F.broadcast(every)).select("class", "tp", "fp", "fn", (F.col("__n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
+
+
+def token_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """(tokens, right, accuracy): tokens with the same whole tag; null is O."""
+    same = (F.coalesce(F.col(gold), F.lit("O")) == F.coalesce(F.col(pred), F.lit("O"))).cast("bigint")
+    return df.agg(F.count("*").alias("tokens"), F.sum(same).alias("right")).select("tokens", "right", F.round(100 * F.col("right") / F.col("tokens"), 2).alias("accuracy"))
+
+
+def complete_match(df: DataFrame, keys: list[str], head: str = "head", rel: str = "rel", p_head: str = "p_head", p_rel: str = "p_rel", eps: float = 1e-12) -> DataFrame:
+    """(uas, las, ucm, lcm): shares of tokens with the right head, head and relation, and of sentences where all are; ``eps`` guards empty input."""
+    u = (F.col(head) == F.col(p_head)).cast("int")
+    l = u * (F.col(rel) == F.col(p_rel)).cast("int")  # noqa: E741
+    sent = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(u).alias("u"), F.sum(l).alias("l"))
+    share = lambda a, b, name: F.round(F.coalesce(a, F.lit(0)) / (F.coalesce(b, F.lit(0)) + eps), 6).alias(name)
+    full = lambda c: F.sum((F.col(c) == F.col("n")).cast("int"))
+    return sent.agg(share(F.sum("u"), F.sum("n"), "uas"), share(F.sum("l"), F.sum("n"), "las"), share(full("u"), F.count("*"), "ucm"), share(full("l"), F.count("*"), "lcm"))
 
 
 def grouped_span_scores(confusion: DataFrame) -> DataFrame:

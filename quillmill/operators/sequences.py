@@ -13,11 +13,18 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: x != "")
 
 
-def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, idx from 1, token, start_pos, end_pos): offsets are those in the tokens joined by one blank. Null text has no tokens."""
-    rows = df.select(*keys, F.posexplode(words(F.col(text))).alias("__p", "token")).withColumn("idx", F.col("__p") + 1).drop("__p")
-    before = F.sum(F.length("token") + 1).over(Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("start_pos", F.coalesce(before, F.lit(0)).cast("int")).withColumn("end_pos", (F.col("start_pos") + F.length("token")).cast("int"))
+def tokens(df: DataFrame, keys: list[str], text: str = "text", offsets: bool = True) -> DataFrame:
+    """(keys, idx from 1, token, start_pos, end_pos): offsets are those in the tokens joined by one blank. Null text has no tokens.
+
+    All is local to a row: nothing is shuffled. Without ``offsets`` the last two columns are left out.
+    """
+    w = words(F.col(text))
+    if not offsets:
+        return df.select(*keys, F.posexplode(w).alias("__p", "token")).select(*keys, (F.col("__p") + 1).alias("idx"), "token")
+    none = F.array().cast("array<struct<idx:int,token:string,start_pos:int,end_pos:int>>")
+    one = lambda acc, x: F.struct((F.size(acc["out"]) + 1).alias("idx"), x.alias("token"), acc["at"].alias("start_pos"), (acc["at"] + F.length(x)).alias("end_pos"))
+    fold = F.aggregate(w, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(one(acc, x))).alias("out")), lambda acc: acc["out"])
+    return df.select(*keys, F.inline(fold))
 
 
 def tagged_tokens(df: DataFrame, keys: list[str], text: str, tags: str, mode: str = "pad") -> DataFrame:
@@ -57,17 +64,34 @@ def document_ids(rows: DataFrame, keys: list[str], order: str, mark: Column) ->
     return both.select(*[F.col(f"a.{c}") for c in rows.columns], doc.alias("doc"))
 
 
-def context_window(df: DataFrame, keys: list[str], token: str, size: int = 4) -> DataFrame:
-    """Adds ``context``: the token with up to ``size`` others on either side."""
-    w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(-size, size)
-    return df.withColumn("context", F.array_join(F.collect_list(token).over(w), " "))
+def context_window(df: DataFrame, keys: list[str], text: str = "text", size: int = 4) -> DataFrame:
+    """(keys, idx, token, context): each token with up to ``size`` others on either side; local to a row."""
+    rows = df.select(*keys, words(F.col(text)).alias("__w"))
+    low = lambda i: F.greatest(i - size, F.lit(1))
+    each = F.transform(F.col("__w"), lambda x, i: F.struct((i + 1).alias("idx"), x.alias("token"), F.array_join(F.slice("__w", low(i + 1), i + 1 + size - low(i + 1) + 1), " ").alias("context")))
+    return rows.select(*keys, F.inline(each))
+
+
+def character_window(df: DataFrame, keys: list[str], text: str = "text", size: int = 10) -> DataFrame:
+    """(keys, idx, token, before, after): each token with up to ``size`` characters of the tokens joined by a blank on either side."""
+    rows = tokens(df.withColumn("__t", F.array_join(words(F.col(text)), " ")), [*keys, "__t"], text)
+    low = F.greatest(F.col("start_pos") - size, F.lit(0))
+    return rows.select(*keys, "idx", "token", F.col("__t").substr(low + 1, F.col("start_pos") - low).alias("before"), F.col("__t").substr(F.col("end_pos") + 1, F.lit(size)).alias("after"))
 
 
 def language_model_pairs(df: DataFrame, keys: list[str], text: str, reverse: bool = False) -> DataFrame:
-    """(keys, pos, char, target): each character and the next one; the last has none and is dropped."""
+    """(keys, pos, char, target): each character and the next one; the last has none and is dropped. Local to a row."""
     c = F.reverse(F.col(text)) if reverse else F.col(text)
-    rows = df.select(*keys, F.posexplode(F.split(c, "")).alias("pos", "char")).filter("char <> ''")
-    return rows.withColumn("target", F.lead("char").over(Window.partitionBy(*keys).orderBy("pos"))).filter("target IS NOT NULL")
+    rows = df.select(*keys, F.filter(F.split(c, ""), lambda x: x != "").alias("__c"))
+    pairs = F.transform(F.slice("__c", 1, F.greatest(F.size("__c") - 1, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), x.alias("char"), F.get("__c", i + 1).alias("target")))
+    return rows.select(*keys, F.inline(pairs))
+
+
+def fold_columns(df: DataFrame, keys: list[str], chars: str, batch: int) -> DataFrame:
+    """(keys, row, col, char): a character sequence folded into ``batch`` columns of equal length, the rest cut off."""
+    rows = df.select(*keys, F.filter(F.split(chars, ""), lambda x: x != "").alias("__c")).withColumn("__n", F.floor(F.size("__c") / batch).cast("int"))
+    each = F.transform(F.slice("__c", 1, F.col("__n") * batch), lambda x, i: F.struct((i % F.col("__n")).alias("row"), F.floor(i / F.col("__n")).cast("int").alias("col"), x.alias("char")))
+    return rows.filter("__n > 0").select(*keys, F.inline(each))
 
 
 def sliding(df: DataFrame, keys: list[str], size: Column, width: int, stride: int) -> DataFrame:

@@ -67,10 +67,13 @@ def spans(df: DataFrame, keys: list[str], tag: str = "tag", score: str = "score"
     begins = inside & (F.col("__p").isin("B", "S") | F.col("__lt").isNull() | (F.col("__lt") == "O") | ((F.col("__lp") == "S") & (F.col("__lk") != F.col("__k"))))
     rows = rows.withColumn("__b", begins.cast("int")).filter(inside).withColumn("__s", F.sum("__b").over(w))
     weight = F.when(F.col("__b") == 1, 1.1).otherwise(1.0)
-    votes = rows.groupBy(*keys, "__s", "__k").agg(F.round(F.sum(weight), 3).alias("v"), F.min("idx").alias("first"))
-    best = votes.groupBy(*keys, "__s").agg(F.max_by("__k", F.struct("v", -F.col("first"))).alias("tag"))
-    body = rows.groupBy(*keys, "__s").agg(F.min("idx").alias("start"), F.max("idx").alias("stop"), F.round(F.avg(score), 6).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return body.join(best, [*keys, "__s"]).filter(F.col("score") > min_score).drop("__s")
+    # first per type within a span, then per span: both in the partitioning of the windows, without a join
+    types = rows.groupBy(*keys, "__s", "__k").agg(F.round(F.sum(weight), 3).alias("__v"), F.min("idx").alias("__first"), F.max("idx").alias("__last"), F.sum(score).alias("__sum"), F.count(score).alias("__n"), F.collect_list(F.struct("idx", "text")).alias("__x"))
+    whole = types.groupBy(*keys, "__s").agg(
+        F.min("__first").alias("start"), F.max("__last").alias("stop"), F.max_by("__k", F.struct(F.col("__v"), -F.col("__first"))).alias("tag"), F.round(F.sum("__sum") / F.sum("__n"), 6).alias("score"),
+        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("__x"))), lambda x: x["text"]), " ").alias("text"),
+    )
+    return whole.filter(F.col("score") > min_score).drop("__s").select(*keys, "start", "stop", "score", "text", "tag")
 
 
 def chunk_edges(df: DataFrame, keys: list[str], tag: str, out: str) -> DataFrame:

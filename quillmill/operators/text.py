@@ -113,17 +113,14 @@ def punct_labels(df: DataFrame, key: str, text: str, marks: str = "，。、；
     Blanks are no characters; blank lines part paragraphs; of a run of marks the first counts; a mark that nothing precedes
     is dropped; a sentence ends where an end mark was given as a label.
     """
-    para = F.posexplode(F.split(F.col(text), r"\n\s*\n")).alias("para", "__p")
-    chars = df.select(key, para).select(key, "para", F.posexplode(F.split(F.regexp_replace("__p", BLANKS, ""), "")).alias("at", "token")).filter("token <> ''")
-    w = Window.partitionBy(key, "para").orderBy("at")
-    inside = F.instr(F.lit(marks), F.col("token")) > 0
-    labelled = chars.withColumn("next", F.lead("token").over(w)).filter(~inside)
-    label = F.when(F.col("next").isNotNull() & (F.instr(F.lit(marks), F.col("next")) > 0), F.col("next")).otherwise("O")
-    labelled = labelled.withColumn("label", label)
-    ended = F.when(F.instr(F.lit(ends), F.col("label")) > 0, 1).otherwise(0)
-    sent = F.coalesce(F.sum(ended).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    labelled = labelled.withColumn("sent", sent)
-    return labelled.select(key, "para", "sent", F.row_number().over(Window.partitionBy(key, "para", "sent").orderBy("at")).alias("idx"), "token", "label")
+    paras = df.select(key, F.posexplode(F.split(F.col(text), r"\n\s*\n")).alias("para", "__p"))
+    # a sentence ends after a character and the end mark that follows it at once
+    sents = paras.select(key, "para", F.posexplode(F.split(F.regexp_replace("__p", BLANKS, ""), f"(?<=[^{marks}][{ends}])")).alias("sent", "__s"))
+    chars = sents.select(key, "para", "sent", F.filter(F.split("__s", ""), lambda x: x != "").alias("__c"))
+    is_mark = lambda x: F.instr(F.lit(marks), x) > 0
+    label = lambda i: F.when(is_mark(F.get("__c", i + 1)), F.get("__c", i + 1)).otherwise("O")
+    each = F.filter(F.transform("__c", lambda x, i: F.struct(x.alias("token"), label(i).alias("label"))), lambda x: ~is_mark(x["token"]))
+    return chars.select(key, "para", "sent", F.posexplode(each).alias("__i", "x")).select(key, "para", "sent", (F.col("__i") + 1).alias("idx"), "x.token", "x.label")
 
 
 # scalar helpers
@@ -145,8 +142,6 @@ def escape_html(c: Column) -> Column:
 def key_values(c: Column) -> Column:
     """``K=V|K=V`` as a map with lower-case keys; ``_`` and null are empty."""
     entries = F.filter(F.split(c, r"\|"), lambda x: F.instr(x, "=") > 0)
-    pair = lambda x: F.struct(F.lower(F.substring_index(x, "=", 1)).alias("k"), F.expr("''").alias("v"))
-    del pair
     return F.map_from_entries(F.transform(entries, lambda x: F.struct(F.lower(F.split(x, "=")[0]), F.split(x, "=")[1])))
 
 

@@ -149,7 +149,7 @@ def threshold_arcs(arcs: DataFrame, score: str = "score", least: float = 0.5) ->
 def parse_graph(c: Column) -> Column:
     """``head:rel|head:rel`` as an array of (head, rel); ``_`` is none."""
     parts = F.filter(F.split(c, r"\|"), lambda x: F.instr(x, ":") > 0)
-    return F.transform(parts, lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("head"), F.expr("''").alias("r")).dropFields("r").withField("rel", F.regexp_replace(x, "^[^:]*:", "")))
+    return F.transform(parts, lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("head"), F.regexp_replace(x, "^[^:]*:", "").alias("rel")))
 
 
 def greedy_spans(df: DataFrame, keys: list[str], flat: bool = True) -> DataFrame:

@@ -42,7 +42,8 @@ def ints(sql: str, *cols: str) -> str:
 
 
 def cc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "column_corpus").select("sentence_id", "corpus", "split", "source", "text", "punct", "lang").distinct()
+    # one shuffle, by the sentence: what follows by sentence needs no other
+    return table(spark, d, "column_corpus").select("sentence_id", "corpus", "split", "source", "text", "punct", "lang").repartition("sentence_id").distinct()
 
 
 def se(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +52,7 @@ def se(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tok(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.tokens(cc(spark, d), ["sentence_id", "split", "corpus"])
+    return sequences.tokens(cc(spark, d), ["sentence_id", "split", "corpus"], offsets=False)
 
 
 def gp(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +191,7 @@ def clamp_scores(spark, d):
 @query(ints(f"""WITH {TOK} SELECT sentence_id, idx, token, coalesce(sum(length(token) + 1) OVER w, 0) AS start_pos, coalesce(sum(length(token) + 1) OVER w, 0) + length(token) AS end_pos
 FROM tok WINDOW w AS (PARTITION BY sentence_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "start_pos", "end_pos"))
 def tokens(spark, d):
-    return tok(spark, d).select("sentence_id", "idx", "token", "start_pos", "end_pos")
+    return sequences.tokens(cc(spark, d), KEY)
 
 
 _TAGGED = CC + """, w AS (SELECT sentence_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS t, list_filter(string_split(coalesce(punct, ''), ' '), lambda x: x <> '') AS g FROM cc WHERE text IS NOT NULL),
@@ -225,7 +226,19 @@ def document_ids(spark, d):
 
 @query(f"WITH {TOK} SELECT sentence_id, idx, string_agg(token, ' ' ORDER BY idx) OVER (PARTITION BY sentence_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS context FROM tok")
 def context_window(spark, d):
-    return sequences.context_window(tok(spark, d), KEY, "token").select("sentence_id", "idx", "context")
+    return sequences.context_window(cc(spark, d), KEY).select("sentence_id", "idx", "context")
+
+
+@query(f"""WITH {TOK}, ps AS (SELECT *, coalesce(sum(length(token) + 1) OVER (PARTITION BY sentence_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, string_agg(token, ' ' ORDER BY idx) OVER (PARTITION BY sentence_id) AS full_text FROM tok)
+SELECT sentence_id, idx, substr(full_text, CAST(greatest(st - 10, 0) + 1 AS BIGINT), CAST(st - greatest(st - 10, 0) AS BIGINT)) AS before, substr(full_text, CAST(st + length(token) + 1 AS BIGINT), 10) AS after FROM ps""")
+def character_window(spark, d):
+    return sequences.character_window(cc(spark, d), KEY).select("sentence_id", "idx", "before", "after")
+
+
+@query(f"""WITH {CC}, a AS (SELECT sentence_id, string_split(text, '') AS c FROM cc WHERE text IS NOT NULL AND text <> ''), b AS (SELECT sentence_id, c, len(c) // 8 AS n FROM a), e AS (SELECT sentence_id, n, unnest(range(n * 8)) AS i, unnest(c[1:n * 8]) AS char FROM b WHERE n > 0)
+SELECT sentence_id, CAST(i % n AS INT) AS row, CAST(i // n AS INT) AS col, char FROM e""")
+def fold_columns(spark, d):
+    return sequences.fold_columns(cc(spark, d).filter("text IS NOT NULL"), KEY, "text", 8)
 
 
 @query(f"""WITH {CC}, a AS (SELECT sentence_id, string_split(text, '') AS c FROM cc WHERE text IS NOT NULL AND text <> ''), b AS (SELECT sentence_id, unnest(range(len(c))) AS pos, unnest(c) AS char FROM a),
