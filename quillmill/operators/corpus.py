@@ -97,19 +97,64 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).withColumn("weight", F.round(1 / F.col("n"), 8))
 
 
+def _hex(c: Column, start: int = 1) -> Column:
+    """A number of 32 bits from an md5."""
+    return F.conv(F.substring(F.md5(c), start, 8), 16, 10).cast("bigint")
+
+
+def placed(df: DataFrame, key: str, label: str, seed: str = "1") -> DataFrame:
+    """Adds ``place`` from 0, random but repeatable, within each label, by ranks over the whole table: no label is one task."""
+    mixed = df.filter(F.col(label).isNotNull()).withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))))
+    ranked = global_rank(mixed, F.col(label), F.col("__h"), F.col(key), name="__r")
+    first = ranked.groupBy(label).agg(F.min("__r").alias("__a"))
+    return ranked.join(first, label).withColumn("place", F.col("__r") - F.col("__a")).drop("__h", "__r", "__a")
+
+
 def balanced_sample(df: DataFrame, key: str, label: str, draws: int, seed: int = 1) -> DataFrame:
     """``draws`` draws with replacement in which every class is equally likely: (draw, key, label).
 
     A draw hashes to a class and to a place within it, so the join is by (class, place) and no class is collected.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    classes = global_rank(counts.filter(F.col(label).isNotNull()), F.col(label), name="class")
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    classes = global_rank(counts, F.col(label), name="class")
     k = classes.count()
     if not k:
         return df.select(F.lit(0).cast("bigint").alias("draw"), key, label).limit(0)
-    placed = df.filter(F.col(label).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), key)) - 1)
-    drawn = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).alias("class"), F.xxhash64("id", F.lit(seed + 1)).alias("h"))
-    return drawn.join(F.broadcast(classes), "class").withColumn("place", F.pmod("h", "n")).join(placed, [label, "place"]).select("draw", key, label)
+    h = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))
+    drawn = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (_hex(h) % k).alias("class"), _hex(h, 9).alias("h"))
+    return drawn.join(classes, "class").withColumn("place", F.col("h") % F.col("n")).join(placed(df, key, label, str(seed)), [label, "place"]).select("draw", key, label)
+
+
+def drawn_by_temperature(df: DataFrame, key: str, group: str, alpha: float = 0.7, seed: str = "1") -> DataFrame:
+    """(key, group, turn): so many draws of each group as ``temperature`` gives it, through its rows in random order, again from the start when they are used up."""
+    plan = temperature(df.filter(F.col(group).isNotNull()), group, alpha).select(group, "n", "draws")
+    rows = placed(df, key, group, seed).join(plan, group)
+    times = F.floor((F.col("draws") - F.col("place") + F.col("n") - 1) / F.col("n")).cast("int")
+    return rows.withColumn("__t", times).filter("__t > 0").select(key, group, F.explode(F.sequence(F.lit(1), F.col("__t"))).alias("turn"))
+
+
+def bucketed_batches(df: DataFrame, size: Column, key: str, buckets: int, budget: int) -> DataFrame:
+    """(key, bucket, batch): rows in ``buckets`` of equal width of size; a bucket's batches hold as many rows as its largest size fits into the budget."""
+    rows = df.select(key, size.alias("__n")).filter("__n > 0")
+    span = rows.agg(F.min("__n").alias("lo"), F.max("__n").alias("hi"))  # one row
+    width = F.greatest((F.col("hi") - F.col("lo") + 1) / buckets, F.lit(1.0))
+    own = rows.join(F.broadcast(span)).withColumn("bucket", F.least(F.floor((F.col("__n") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int"))
+    most = own.groupBy("bucket").agg(F.max("__n").alias("__m"))  # a row per bucket
+    ranked = placed(own.select(key, "bucket"), key, "bucket").join(most, "bucket")
+    each = F.greatest(F.floor(F.lit(budget) / F.col("__m")), F.lit(1))
+    return ranked.select(key, "bucket", F.floor(F.col("place") / each).cast("bigint").alias("batch"))
+
+
+def rechunked(df: DataFrame, batch: str, key: str, size: int) -> DataFrame:
+    """(key, batch, part): batches of more than ``size`` rows in parts of at most so many."""
+    return placed(df.select(key, batch), key, batch).select(key, batch, F.floor(F.col("place") / size).cast("int").alias("part"))
+
+
+def growing_blocks(df: DataFrame, key: str, first: int, factor: float = 2.0) -> DataFrame:
+    """(key, block): blocks of consecutive rows, each ``factor`` times as large as the one before."""
+    rank = F.col("rank")
+    block = F.floor(F.log(1 + rank * (factor - 1) / first) / F.log(F.lit(factor)) + 1e-9) if factor != 1 else F.floor(rank / first)
+    return global_rank(df, F.col(key)).select(key, block.cast("bigint").alias("block"))
 
 
 def temperature(df: DataFrame, group: str, alpha: float = 0.7) -> DataFrame:

@@ -23,26 +23,51 @@ def _grouped(edges: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, dep, component): strongly connected components, named by their least token."""
+    """(keys, dep, component): strongly connected components, named by their least token. Edges may give a token several heads."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(pdf["dep"].max(), pdf["head"].max(), 0)) + 1
-        reach = np.eye(n, dtype=bool)
-        ok = pdf["head"] >= 0
-        reach[pdf["head"][ok], pdf["dep"][ok]] = True
-        for _ in range(max(1, n.bit_length())):
-            reach = reach | (reach.astype(np.int32) @ reach.astype(np.int32) > 0)
-        name = (reach & reach.T).argmax(axis=1)
-        dep = np.unique(pdf["dep"])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "dep": dep, "component": name[dep]})
+        dep, head = pdf["dep"].to_numpy(np.int64), pdf["head"].to_numpy(np.int64)
+        nodes = np.unique(dep)
+        ok = head >= 0
+        heads: dict[int, list[int]] = {}
+        for d, h in zip(dep[ok].tolist(), head[ok].tolist(), strict=True):
+            heads.setdefault(d, []).append(h)
+        number, low, name, stack = {}, {}, {}, []
+        for start in nodes.tolist():  # depth-first, with a stack of its own
+            work = [(start, iter(heads.get(start, ())))] if start not in number else []
+            if work:
+                number[start] = low[start] = len(number)
+                stack.append(start)
+            while work:
+                at, rest = work[-1]
+                new = next((h for h in rest if h not in number or h not in name), None)
+                if new is None:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                    if low[at] == number[at]:
+                        cut = stack.index(at)
+                        least = min(stack[cut:])
+                        name |= {x: least for x in stack[cut:]}
+                        del stack[cut:]
+                elif new in number:
+                    low[at] = min(low[at], number[new])
+                else:
+                    number[new] = low[new] = len(number)
+                    stack.append(new)
+                    work.append((new, iter(heads.get(new, ()))))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "dep": nodes, "component": [name[x] for x in nodes.tolist()]})
 
     return _grouped(edges, keys, run, "dep bigint, component bigint")
 
 
 def is_tree(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tree): no component of more than one token."""
-    many = components(edges, keys).groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    return many.groupBy(*keys).agg((F.max("n") == 1).alias("tree"))
+    """(keys, tree): whether every token of 1..n, with one head each, leads to the root. The heads of a sentence are one array that is followed in doubled steps; a head below 0 counts as the root."""
+    sent = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dep", "head"))).alias("__e"))
+    heads = F.transform("__e", lambda e: F.greatest(e["head"], F.lit(0)).cast("int"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("__e") + 1)).cast("int"))
+    last = F.aggregate(rounds, heads, lambda h, _: F.transform(h, lambda x: F.when(x > 0, F.get(h, x - 1)).otherwise(0)))
+    return sent.select(*keys, F.forall(last, lambda x: x == 0).alias("tree"))
 
 
 def arborescence(score: np.ndarray) -> np.ndarray:
@@ -175,3 +200,42 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, begin: np.ndarray, end: np.nd
     for row in scores[1:]:
         best = [sorted(((s + moves[p[-1], k] + row[k], [*p, k]) for cell in best for s, p in cell), key=lambda x: (-x[0], x[1]))[:n] for k in range(len(row))]
     return sorted(((s + float(end[p[-1]]), p) for cell in best for s, p in cell), key=lambda x: (-x[0], x[1]))[:n]
+
+
+def viterbi_table(scores: DataFrame, moves: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
+    """(keys, rank, total, idx, label): the ``n`` best label paths of each sentence of a table (keys, idx, label, score).
+
+    ``moves`` has (before, after, score), with ``<START>`` and ``<STOP>`` for the ends; a move that it lacks can't be made. It holds
+    one row per pair of labels and goes to every task. A sentence is a group.
+    """
+    known = {(r["before"], r["after"]): float(r["score"]) for r in moves.limit(1 << 20).collect()}  # labels squared
+    if len(known) >= 1 << 20:
+        raise ValueError("more than 2**20 moves")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="idx", columns="label", values="score", aggfunc="max").sort_index()
+        labels = list(wide.columns)
+        move = np.array([[known.get((a, b), -np.inf) for b in labels] for a in labels])
+        begin, end = (np.array([known.get(k, -np.inf) for k in x]) for x in ([("<START>", b) for b in labels], [(b, "<STOP>") for b in labels]))
+        found = [(s, p) for s, p in viterbi(wide.fillna(-np.inf).to_numpy(), move, begin, end, n) if np.isfinite(s)]
+        rows = [(r + 1, round(s, 6), int(i), labels[k]) for r, (s, p) in enumerate(found) for i, k in zip(wide.index, p, strict=True)]
+        out = pd.DataFrame(rows, columns=["rank", "total", "idx", "label"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "rank", "total", "idx", "label"]]
+
+    return _grouped(scores, keys, run, "rank int, total double, idx int, label string")
+
+
+def decode_repaired(arcs: DataFrame, keys: list[str], rels: DataFrame | None = None) -> DataFrame:
+    """(keys, dep, head[, rel]): the best head of each token, the smaller on a tie; only sentences whose best heads are no tree are decoded for the best tree.
+
+    ``rels`` (keys, dep, head, rel, score) gives the best relation of each arc taken.
+    """
+    best = arcs.groupBy(*keys, "dep").agg(F.min_by("head", F.struct(-F.col("score"), F.col("head"))).cast("bigint").alias("head")).withColumn("dep", F.col("dep").cast("bigint"))
+    good = is_tree(best, keys)
+    kept = best.join(good.filter("tree").select(*keys), keys, "left_semi")
+    mended = decode(arcs.join(good.filter("NOT tree").select(*keys), keys, "left_semi"), keys)
+    heads = kept.select(*keys, "dep", "head").unionByName(mended)
+    if rels is None:
+        return heads
+    named = rels.groupBy(*keys, F.col("dep").cast("bigint").alias("dep"), F.col("head").cast("bigint").alias("head")).agg(F.min_by("rel", F.struct(-F.col("score"), F.col("rel"))).alias("rel"))
+    return heads.join(named, [*keys, "dep", "head"], "left")

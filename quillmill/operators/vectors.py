@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.ranking import global_rank
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -43,10 +45,22 @@ def pool_weighted(df: DataFrame, by: str, vec: str, weight: str) -> DataFrame:
 
 
 def faded(df: DataFrame, by: str, order: str, vec: str, keep: float = 0.5) -> DataFrame:
-    """(by, vec): a memory that keeps ``keep`` of itself at each occurrence in order. The fold needs a key's vectors in order, so keys should be bounded."""
-    rows = df.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, vec))), lambda x: x[vec].cast("array<double>")).alias("v"))
-    fold = F.aggregate(F.slice(F.col("v"), 2, 1_000_000_000), F.col("v")[0], lambda m, x: F.zip_with(m, x, lambda a, b: keep * a + (1 - keep) * b))
-    return rows.select(by, F.transform(fold, lambda x: F.round(x, 4)).alias("vec"))
+    """(by, dim, value): a memory that keeps ``keep`` of itself at each occurrence in order.
+
+    In closed form: the i-th vector from the end weighs (1 - keep) * keep ** i, the first of all keep ** (n - 1). Places come from a
+    rank over the whole table, so a key that holds a third of all rows is spread like the others.
+    """
+    rows = df.filter(F.col(vec).isNotNull() & F.col(by).isNotNull())
+    ranked = global_rank(rows.select(by, order, vec), F.col(by), F.col(order), name="__r")
+    ends = ranked.groupBy(by).agg(F.min("__r").alias("__a"), F.max("__r").alias("__z"))
+    back = F.pow(F.lit(keep), (F.col("__z") - F.col("__r")).cast("double"))
+    return pool_weighted(ranked.join(ends, by).withColumn("__w0", F.when(F.col("__r") == F.col("__a"), back).otherwise((1 - keep) * back)), by, vec, "__w0")
+
+
+def teacher_pool(df: DataFrame, by: str, vec: str, score: str) -> DataFrame:
+    """(by, dim, value): the mean of several systems' vectors, weighted by the softmax of their scores within ``by``."""
+    total = df.groupBy(by).agg(F.sum(F.exp(score)).alias("__z"))
+    return pool_weighted(df.join(total, by).withColumn("__s", F.exp(score) / F.col("__z")), by, vec, "__s")
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, vec: str, k: int = 5, blocks: int = 8) -> DataFrame:

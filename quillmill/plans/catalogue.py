@@ -363,6 +363,45 @@ def chunk_scores(spark, d):
     return metrics.grouped_span_scores(metrics.span_confusion(a, b, ["sentence_id", "start", "stop", "kind"], "kind"))
 
 
+# tags of several schemes at once, and of none
+_MIXED = "CASE substr(md5({0}), 1, 1) WHEN '0' THEN 'B-PER' WHEN '1' THEN 'I-PER' WHEN '2' THEN 'E-PER' WHEN '3' THEN 'S-LOC' WHEN '4' THEN 'I-LOC' WHEN '5' THEN 'E-LOC' WHEN '6' THEN 'S-PER' WHEN '7' THEN 'B-LOC' WHEN '8' THEN {1} WHEN '9' THEN {2} ELSE 'O' END"
+_MIX = TOK + f", bio AS (SELECT sentence_id, idx, token AS text, {_MIXED.format('token', chr(39) + 'verb' + chr(39), chr(39) * 2)} AS tag, {_MIXED.format('concat(token, chr(58), CAST(idx AS VARCHAR))', chr(39) + 'E-PER' + chr(39), chr(39) + 'I-PER' + chr(39))} AS pred, {_SCORE} AS score FROM tok)"
+
+
+def mixed(spark, d):
+    a, b = _MIXED.format("token", "'verb'", "''"), _MIXED.format("concat(token, ':', CAST(idx AS STRING))", "'E-PER'", "'I-PER'")
+    return tok(spark, d).select("sentence_id", "idx", F.col("token").alias("text"), F.expr(a).alias("tag"), F.expr(b).alias("pred"), F.expr(_SCORE).alias("score"))
+
+
+@query(f"""WITH {_MIX}, f AS (SELECT *, CASE WHEN tag IN ('', 'O') THEN 'O' WHEN regexp_matches(tag, '^[BIOES]-') THEN tag ELSE 'S-' || tag END AS t FROM bio), s0 AS (SELECT *, lag(t) OVER (PARTITION BY sentence_id ORDER BY idx) AS lt FROM f),
+s1 AS (SELECT *, CASE WHEN t[1] IN ('B', 'S') OR lt IS NULL OR lt = 'O' OR (lt[1] = 'S' AND substr(lt, 3) <> substr(t, 3)) THEN 1 ELSE 0 END AS b FROM s0 WHERE t <> 'O'), s2 AS (SELECT *, sum(b) OVER (PARTITION BY sentence_id ORDER BY idx) AS sp FROM s1),
+v AS (SELECT sentence_id, sp, substr(t, 3) AS k, round(sum(CASE WHEN b = 1 THEN 1.1 ELSE 1.0 END), 3) AS v, min(idx) AS f FROM s2 GROUP BY ALL), vb AS (SELECT *, row_number() OVER (PARTITION BY sentence_id, sp ORDER BY v DESC, f) AS rk FROM v),
+sb AS (SELECT sentence_id, sp, min(idx) AS start, max(idx) AS stop, round(avg(score), 6) AS score, string_agg(text, ' ' ORDER BY idx) AS text FROM s2 GROUP BY ALL) SELECT sb.sentence_id, start, stop, score, text, k AS tag FROM sb JOIN vb ON sb.sentence_id = vb.sentence_id AND sb.sp = vb.sp AND rk = 1""")
+def spans_mixed(spark, d):
+    return tags.spans(mixed(spark, d), KEY)
+
+
+def _chunks_of_all(tag: str, name: str) -> str:
+    """Chunks of B, I, E, S and O by the table of the field: which pairs of tags begin and which end one."""
+    return f"""{name}0 AS (SELECT sentence_id, idx, CASE WHEN {tag} IN ('', 'verb') THEN 'O' ELSE {tag} END AS t FROM bio), {name}1 AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY sentence_id ORDER BY idx), 'O') AS lt FROM {name}0),
+{name}2 AS (SELECT *, t[1] IN ('B', 'S') OR (t[1] IN ('I', 'E') AND lt[1] IN ('E', 'S', 'O')) OR (lt <> 'O' AND substr(lt, 3) <> substr(t, 3)) AS b FROM {name}1 WHERE t <> 'O'),
+{name}3 AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY sentence_id ORDER BY idx) AS n FROM {name}2), {name} AS (SELECT sentence_id, min(idx) AS start, max(idx) AS stop, arg_min(substr(t, 3), idx) AS kind FROM {name}3 GROUP BY sentence_id, n)"""
+
+
+@query(ints(f"WITH {_MIX}, {_chunks_of_all('tag', 'g')}, {_chunks_of_all('pred', 'p')}, bt AS (SELECT coalesce(g.kind, p.kind) AS class, g.kind IS NOT NULL AS g, p.kind IS NOT NULL AS p FROM g FULL OUTER JOIN p ON g.sentence_id = p.sentence_id AND g.start = p.start AND g.stop = p.stop AND g.kind = p.kind), un AS (SELECT count(*) AS n FROM (SELECT sentence_id, start, stop FROM g UNION SELECT sentence_id, start, stop FROM p)), cf AS (SELECT class, sum(CASE WHEN g AND p THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT g THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN g AND NOT p THEN 1 ELSE 0 END) AS fn FROM bt GROUP BY class) SELECT class, tp, fp, fn, n - tp - fp - fn AS tn FROM cf, un", "tp", "fp", "fn", "tn"))
+def chunk_confusion_mixed(spark, d):
+    rows = mixed(spark, d)
+    plain = rows.withColumn("tag", F.when(F.col("tag").isin("", "verb"), "O").otherwise(F.col("tag")))
+    a, b = tags.chunks(plain, KEY, "tag"), tags.chunks(plain, KEY, "pred")
+    place = ["sentence_id", "start", "stop"]
+    return metrics.span_confusion(a, b, [*place, "kind"], "kind", a.select(*place).unionByName(b.select(*place)))
+
+
+@query(f"WITH {BIO} SELECT count(*) AS tokens, CAST(sum(CASE WHEN tag = pred THEN 1 ELSE 0 END) AS BIGINT) AS right, round(100.0 * sum(CASE WHEN tag = pred THEN 1 ELSE 0 END) / count(*), 2) AS accuracy FROM bio".replace("AS right", 'AS "right"'))
+def token_accuracy(spark, d):
+    return metrics.token_accuracy(bio(spark, d), "tag", "pred")
+
+
 @query(f"""WITH {TOK}, q AS (SELECT *, lead(token) OVER w AS n, sum(CASE WHEN token = '"' THEN 1 ELSE 0 END) OVER w AS q FROM tok WINDOW w AS (PARTITION BY sentence_id ORDER BY idx))
 SELECT sentence_id, idx, NOT (coalesce(n IN ('.', ':', ',', ';', ')', 'n''t', '!', '?') OR n LIKE '''%', false) OR (token = '"' AND q % 2 = 1) OR coalesce(n = '"' AND q % 2 = 1, false) OR token = '(') AS space_after FROM q""")
 def space_after(spark, d):
@@ -470,7 +509,9 @@ def class_weights(spark, d):
     return corpus.class_weights(cc(spark, d), "corpus")
 
 
-@query()
+@query(f"""WITH {CC}, c AS (SELECT corpus, count(*) AS n, row_number() OVER (ORDER BY corpus) - 1 AS class FROM cc WHERE corpus IS NOT NULL GROUP BY corpus), pl AS (SELECT sentence_id, corpus, row_number() OVER (PARTITION BY corpus ORDER BY md5('1:' || CAST(sentence_id AS VARCHAR)), sentence_id) - 1 AS place FROM cc WHERE corpus IS NOT NULL),
+d AS (SELECT i AS draw, CAST('0x' || substr(md5('1:' || i), 1, 8) AS BIGINT) % (SELECT count(*) FROM c) AS class, CAST('0x' || substr(md5('1:' || i), 9, 8) AS BIGINT) AS h FROM range((SELECT count(*) FROM cc)) t(i))
+SELECT draw, pl.sentence_id, pl.corpus FROM d JOIN c USING (class) JOIN pl ON pl.corpus = c.corpus AND pl.place = h % n""")
 def balanced_sample(spark, d):
     rows = cc(spark, d)
     return corpus.balanced_sample(rows, "sentence_id", "corpus", rows.count())
@@ -481,6 +522,35 @@ def temperature(spark, d):
     return corpus.temperature(cc(spark, d), "corpus")
 
 
+@query(f"""WITH {CC}, c AS (SELECT corpus, count(*) AS n FROM cc WHERE corpus IS NOT NULL GROUP BY corpus), p AS (SELECT *, pow(CAST(n AS DOUBLE) / sum(n) OVER (), 0.7) AS q, sum(n) OVER () AS t FROM c), dr AS (SELECT corpus, n, CAST(floor(q / sum(q) OVER () * t) AS BIGINT) AS draws FROM p),
+pl AS (SELECT sentence_id, corpus, row_number() OVER (PARTITION BY corpus ORDER BY md5('1:' || CAST(sentence_id AS VARCHAR)), sentence_id) - 1 AS place FROM cc WHERE corpus IS NOT NULL)
+SELECT sentence_id, corpus, unnest(range(1, (draws - place + n - 1) // n + 1)) AS turn FROM pl JOIN dr USING (corpus) WHERE place < draws""")
+def temperature_draws(spark, d):
+    return corpus.drawn_by_temperature(cc(spark, d).select("sentence_id", "corpus"), "sentence_id", "corpus")
+
+
+_SIZES = SE + ", sz AS (SELECT sent_id, length(text) AS n FROM se WHERE length(text) > 0), bk AS (SELECT sent_id, n, CAST(least(floor((n - min(n) OVER ()) / greatest((max(n) OVER () - min(n) OVER () + 1) / CAST(20 AS DOUBLE), 1.0)), 19) AS INT) AS bucket FROM sz), bb AS (SELECT sent_id, bucket, CAST((row_number() OVER (PARTITION BY bucket ORDER BY md5('1:' || CAST(sent_id AS VARCHAR)), sent_id) - 1) // greatest(2000 // max(n) OVER (PARTITION BY bucket), 1) AS BIGINT) AS batch FROM bk)"
+
+
+def _bucketed(spark, d):
+    return corpus.bucketed_batches(se(spark, d), F.length("text"), "sent_id", 20, 2000)
+
+
+@query(f"WITH {_SIZES} SELECT sent_id, bucket, batch FROM bb")
+def bucketed_batches(spark, d):
+    return _bucketed(spark, d)
+
+
+@query(f"WITH {_SIZES} SELECT sent_id, bucket AS batch, CAST((row_number() OVER (PARTITION BY bucket ORDER BY md5('1:' || CAST(sent_id AS VARCHAR)), sent_id) - 1) // 50 AS INT) AS part FROM bb")
+def rechunked_batches(spark, d):
+    return corpus.rechunked(_bucketed(spark, d).select("sent_id", F.col("bucket").alias("batch")), "batch", "sent_id", 50)
+
+
+@query(f"WITH {SE}, r AS (SELECT sent_id, row_number() OVER (ORDER BY sent_id) - 1 AS rk FROM se) SELECT sent_id, CAST(floor(log2(1 + rk / 64.0) + 1e-9) AS BIGINT) AS block FROM r")
+def growing_blocks(spark, d):
+    return corpus.growing_blocks(se(spark, d).select("sent_id"), "sent_id", 64)
+
+
 @query(f"WITH {SE}, r AS (SELECT sent_id, row_number() OVER (ORDER BY sent_id) - 1 AS rk FROM se) SELECT sent_id, rk // 64 AS block, rk % 64 AS place, md5('1:' || CAST(rk // 64 AS VARCHAR)) AS block_order FROM r")
 def block_shuffle(spark, d):
     return corpus.block_shuffle(se(spark, d).select("sent_id"), "sent_id", 64)
@@ -508,7 +578,7 @@ def fixed_batches(spark, d):
 
 @query()
 def greedy_batches(spark, d):
-    rows = se(spark, d).filter("text IS NOT NULL").select("sent_id", F.length("text").alias("n"), F.pmod(F.xxhash64("sent_id"), F.lit(16)).alias("shard"))
+    rows = se(spark, d).filter("text IS NOT NULL").select("sent_id", F.length("text").alias("n"), F.pmod(F.xxhash64("sent_id"), F.lit(max(1, table(spark, d, "sentences").count() // 5000))).alias("shard"))
     return corpus.greedy_batches(rows, "shard", "sent_id", "n", 2000)
 
 
@@ -752,16 +822,45 @@ def projective(spark, d):
     return trees.projective(_trees(spark, d), KEY)
 
 
-@query(f"WITH {_TREE} SELECT DISTINCT sentence_id, true AS tree FROM t2")
+_CYCLES = TOK + """, ln AS (SELECT sentence_id, max(idx) AS n FROM tok GROUP BY 1), cy AS (SELECT sentence_id, idx AS dep, CAST((instr('0123456789abcdef', substr(md5(token), 6, 1)) * 5 + idx * 3) % (n + 1) AS INT) AS head FROM tok JOIN ln USING (sentence_id))"""
+
+
+def _cycles(spark, d):
+    rows = tok(spark, d)
+    n = rows.groupBy("sentence_id").agg(F.max("idx").alias("n"))
+    head = F.expr("CAST((instr('0123456789abcdef', substr(md5(token), 6, 1)) * 5 + idx * 3) % (n + 1) AS INT)")
+    return rows.join(n, "sentence_id").select("sentence_id", F.col("idx").alias("dep"), head.alias("head"))
+
+
+_UP = "up AS (SELECT sentence_id, dep, head FROM cy UNION SELECT up.sentence_id, up.dep, cy.head FROM up JOIN cy ON cy.sentence_id = up.sentence_id AND cy.dep = up.head)"
+
+
+@query(f"WITH RECURSIVE {_CYCLES}, {_UP} SELECT sentence_id, NOT bool_or(dep = head) AS tree FROM up GROUP BY sentence_id")
 def is_tree(spark, d):
-    return trees.is_tree(_trees(spark, d), KEY)
+    return trees.is_tree(_cycles(spark, d), KEY)
 
 
-@query(f"""WITH {_TREE}, t AS (SELECT sentence_id, sum(CASE WHEN head = p_head AND rel = p_rel THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM t2 GROUP BY sentence_id), s AS (SELECT sum(tp) AS tp, sum(n) AS n, round(avg(CASE WHEN tp = n THEN 1 ELSE 0 END), 6) AS exact FROM t)
-SELECT round(tp / CAST(n AS DOUBLE), 6) AS precision, round(tp / CAST(n AS DOUBLE), 6) AS recall, round(tp / CAST(n AS DOUBLE), 6) AS f1, exact FROM s""")
+@query(f"""WITH RECURSIVE {_CYCLES}, {_UP}, eq AS (SELECT a.sentence_id, a.dep, b.dep AS other FROM up a JOIN up b ON a.sentence_id = b.sentence_id AND a.head = b.dep AND b.head = a.dep)
+SELECT sentence_id, dep, CAST(least(dep, coalesce(min(other), dep)) AS BIGINT) AS component FROM (SELECT DISTINCT sentence_id, dep FROM cy) c LEFT JOIN eq USING (sentence_id, dep) GROUP BY sentence_id, dep""")
+def tree_components(spark, d):
+    return trees.components(_cycles(spark, d), KEY)
+
+
+@query(f"""WITH {_TREE}, g AS (SELECT sentence_id, dep, list_distinct([head || ':' || rel] || CASE WHEN p_rel = 'a' THEN [p_head || ':c'] ELSE [] END) AS g, list_distinct([p_head || ':' || p_rel] || CASE WHEN rel = 'b' THEN [head || ':' || rel] ELSE [] END) AS p FROM t2),
+t AS (SELECT sentence_id, sum(len(list_intersect(g, p))) AS tp, sum(len(g)) AS g, sum(len(p)) AS p FROM g GROUP BY 1), s AS (SELECT sum(tp) / CAST(sum(p) AS DOUBLE) AS pr, sum(tp) / CAST(sum(g) AS DOUBLE) AS re, round(avg(CASE WHEN tp = g AND tp = p THEN 1 ELSE 0 END), 6) AS exact FROM t)
+SELECT round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1, exact FROM s""")
 def graph_scores(spark, d):
-    edge = lambda h, r: F.array(F.concat_ws(":", F.col(h).cast("string"), r))
-    return metrics.graph_scores(_trees(spark, d).select("sentence_id", edge("head", "rel").alias("g"), edge("p_head", "p_rel").alias("p")), "g", "p", KEY)
+    edge = lambda h, r: F.concat_ws(":", F.col(h).cast("string"), r)
+    more = lambda c, x: F.when(c, F.array(x)).otherwise(F.array().cast("array<string>"))
+    gold = F.array_distinct(F.concat(F.array(edge("head", "rel")), more(F.col("p_rel") == "a", edge("p_head", F.lit("c")))))
+    pred = F.array_distinct(F.concat(F.array(edge("p_head", "p_rel")), more(F.col("rel") == "b", edge("head", "rel"))))
+    return metrics.graph_scores(_trees(spark, d).select("sentence_id", gold.alias("g"), pred.alias("p")), "g", "p", KEY)
+
+
+@query(f"""WITH {_TREE}, s AS (SELECT sentence_id, count(*) AS n, sum(CASE WHEN head = p_head THEN 1 ELSE 0 END) AS u, sum(CASE WHEN head = p_head AND rel = p_rel THEN 1 ELSE 0 END) AS l FROM t2 GROUP BY sentence_id)
+SELECT round(sum(u) / CAST(sum(n) AS DOUBLE), 6) AS uas, round(sum(l) / CAST(sum(n) AS DOUBLE), 6) AS las, round(avg(CASE WHEN u = n THEN 1 ELSE 0 END), 6) AS ucm, round(avg(CASE WHEN l = n THEN 1 ELSE 0 END), 6) AS lcm FROM s""")
+def complete_match(spark, d):
+    return metrics.complete_match(_trees(spark, d), KEY)
 
 
 def _arcs(spark, d):
@@ -774,6 +873,32 @@ def mst_decode(spark, d):
     return trees.decode(_arcs(spark, d), KEY)
 
 
+@query(f"""WITH {_TREE}, ar AS (SELECT sentence_id, dep, head, 1.0 AS score FROM t2 UNION ALL SELECT sentence_id, dep, p_head, 0.5 FROM t2), b AS (SELECT sentence_id, dep, arg_min(head, struct_pack(a := -score, b := head)) AS head FROM ar GROUP BY ALL) SELECT sentence_id, CAST(dep AS BIGINT) AS dep, CAST(head AS BIGINT) AS head FROM b""")
+def decode_repaired(spark, d):
+    """All best heads are trees here, as heads come before their dependents; tests mend those that aren't."""
+    return trees.decode_repaired(_arcs(spark, d), KEY)
+
+
+_LATTICE = TOK + """, lt AS (SELECT sentence_id, idx, l AS label, round(instr('0123456789abcdef', substr(md5(concat(token, l)), 1, 1)) / CAST(16 AS DOUBLE), 4) AS score FROM tok, (SELECT unnest(['O', 'B', 'I']) AS l)),
+mv AS (SELECT a AS before, b AS after, CASE WHEN b = 'I' AND a = 'B' THEN 0.5 WHEN a = b THEN 0.25 ELSE 0.125 END AS score FROM (SELECT unnest(['O', 'B', 'I', '<START>']) AS a), (SELECT unnest(['O', 'B', 'I', '<STOP>']) AS b) WHERE NOT (b = 'I' AND a IN ('O', '<START>')) AND NOT (a = '<START>' AND b = '<STOP>'))"""
+
+
+def _lattice(spark, d):
+    labels = F.explode(F.array(*map(F.lit, "OBI"))).alias("label")
+    rows = tok(spark, d).select("sentence_id", "idx", "token", labels)
+    score = F.expr("round(instr('0123456789abcdef', substr(md5(concat(token, label)), 1, 1)) / CAST(16 AS DOUBLE), 4)")
+    moves = [(a, b, 0.5 if (a, b) == ("B", "I") else 0.25 if a == b else 0.125) for a in ("O", "B", "I", "<START>") for b in ("O", "B", "I", "<STOP>") if not (b == "I" and a in ("O", "<START>")) and (a, b) != ("<START>", "<STOP>")]
+    return rows.select("sentence_id", "idx", "label", score.alias("score")), spark.createDataFrame(moves, "before string, after string, score double")
+
+
+@query(f"""WITH RECURSIVE {_LATTICE}, ed AS (SELECT sentence_id, max(idx) AS n FROM lt GROUP BY 1), pa AS (SELECT lt.sentence_id, lt.idx, lt.label, lt.score + mv.score AS s FROM lt JOIN mv ON mv.before = '<START>' AND mv.after = lt.label WHERE lt.idx = 1
+UNION ALL SELECT pa.sentence_id, lt.idx, lt.label, max(pa.s + mv.score + lt.score) FROM pa JOIN lt ON lt.sentence_id = pa.sentence_id AND lt.idx = pa.idx + 1 JOIN mv ON mv.before = pa.label AND mv.after = lt.label GROUP BY pa.sentence_id, lt.idx, lt.label)
+SELECT pa.sentence_id, round(max(s + mv.score), 6) AS total FROM pa JOIN ed ON ed.sentence_id = pa.sentence_id AND ed.n = pa.idx JOIN mv ON mv.before = pa.label AND mv.after = '<STOP>' GROUP BY 1""")
+def viterbi_best(spark, d):
+    """The total of the best label path of each sentence."""
+    return trees.viterbi_table(*_lattice(spark, d), KEY).select("sentence_id", "total").distinct()
+
+
 @query()
 def eisner_decode(spark, d):
     return trees.decode(_arcs(spark, d), KEY, "eisner")
@@ -813,9 +938,9 @@ def max_pool(spark, d):
     return vectors.pool(table(spark, d, "embeddings"), "label", "embedding", "max")
 
 
-@query(f"WITH {_DIM} SELECT label, dim, round(sum(0.25 * CAST(x AS DOUBLE)), 4) AS value FROM e GROUP BY label, dim")
+@query(f"WITH {_DIM} SELECT label, dim, round(sum((vec_id % 7) / CAST(4 AS DOUBLE) * CAST(x AS DOUBLE)), 4) AS value FROM e GROUP BY label, dim")
 def weighted_pool(spark, d):
-    return vectors.pool_weighted(table(spark, d, "embeddings").withColumn("w", F.lit(0.25)), "label", "embedding", "w")
+    return vectors.pool_weighted(table(spark, d, "embeddings").withColumn("w", F.col("vec_id") % 7 / F.lit(4.0)), "label", "embedding", "w")
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM u),
@@ -831,7 +956,8 @@ def kmeans_lengths(spark, d):
     return vectors.kmeans_lengths(se(spark, d).select(F.length("text").alias("n")), "n", 8)
 
 
-@query()
+@query("""WITH r AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1 AS back, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS up FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+w AS (SELECT label, CASE WHEN up = 1 THEN pow(0.5, back) ELSE 0.5 * pow(0.5, back) END AS w, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM r) SELECT label, dim, round(sum(w * CAST(x AS DOUBLE)), 4) AS value FROM w GROUP BY label, dim""")
 def faded_pool(spark, d):
     return vectors.faded(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
