@@ -26,6 +26,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("id_held", "id_train").alias("id_a"), F.greatest("id_held", "id_train").alias("id_b")).distinct()
 
 
+_CORE = "regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]', '', 'g')"
+_GRAMS = "list_distinct(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3)))"
+_P1 = f"""
+WITH r AS (SELECT DISTINCT CAST(sentence_id AS BIGINT) AS id, split, {_CORE} AS c FROM column_corpus WHERE text IS NOT NULL AND split IN ('train', 'dev', 'test')),
+k AS (SELECT *, {_GRAMS} AS g FROM r WHERE length(c) BETWEEN 12 AND 300), e AS (SELECT id, split, len(g) AS n, unnest(g) AS p FROM k),
+m AS (SELECT a.id AS held, b.id AS train, min(a.n) AS na, min(b.n) AS nb, count(*) AS s FROM e a JOIN e b ON a.p = b.p WHERE a.split <> 'train' AND b.split = 'train' GROUP BY a.id, b.id),
+pairs AS (SELECT held, train FROM m WHERE 10 * s >= 7 * (na + nb - s))
+"""
+SQL["p1_found"] = _P1 + "SELECT least(held, train) AS id_a, greatest(held, train) AS id_b FROM pairs"
+
+
 @query
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per evaluation split and source."""
@@ -33,12 +44,22 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.report(df, cross_split.CrossSplit(df).pairs())
 
 
+SQL["p1_report"] = _P1 + """, h AS (SELECT held AS id, count(*) AS n FROM pairs GROUP BY held), s AS (SELECT CAST(sentence_id AS BIGINT) AS id, min(split) AS split, min(source) AS source FROM column_corpus WHERE split IN ('dev', 'test') GROUP BY sentence_id)
+SELECT split, source, count(*) AS records, count(n) AS overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS pairs FROM s LEFT JOIN h USING (id) GROUP BY split, source"""
+
+
 @query
 def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each evaluation sentence the training split covers."""
     return cross_split.CrossSplit(table(spark, sf_dir, "column_corpus")).coverage()
 
 
+SQL["p1_coverage"] = _P1 + """, w AS (SELECT DISTINCT unnest(list_transform(range(1, length(c) - 10), lambda i: substr(c, i, 12))) AS w FROM k WHERE split = 'train'),
+h AS (SELECT id, unnest(range(1, length(c) - 10)) AS i, unnest(list_transform(range(1, length(c) - 10), lambda i: substr(c, i, 12))) AS w FROM k WHERE split <> 'train'),
+x AS (SELECT DISTINCT id, unnest(range(i, i + 12)) AS at FROM h JOIN w USING (w)), n AS (SELECT id, count(*) AS covered FROM x GROUP BY id)
+SELECT id, length(c) AS n_chars, coalesce(covered, 0) AS covered FROM k LEFT JOIN n USING (id) WHERE split <> 'train'"""
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms too rare or too common to be useful."""
@@ -75,12 +96,27 @@ _K = f"""CASE WHEN contains(text, '|') OR contains(text, '｜')
   ELSE [{_C.format("text")}] END"""
 
 
+SQL["p3_found"] = f"""
+WITH r AS (SELECT DISTINCT sent_id AS id, {_CORE} AS c, {_K} AS key FROM sentences WHERE text IS NOT NULL), k AS (SELECT *, {_GRAMS} AS g FROM r WHERE length(c) BETWEEN 12 AND 300), e AS (SELECT id, len(g) AS n, unnest(g) AS p FROM k),
+m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM e a JOIN e b ON a.p = b.p AND a.id < b.id WHERE 10 * least(a.n, b.n) >= 6 * greatest(a.n, b.n) GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM m JOIN k a ON a.id = id_a JOIN k b ON b.id = id_b WHERE 10 * s >= 6 * (len(a.g) + len(b.g) - s) AND a.key <> b.key"""
+
+
 @query
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence with its group of versions."""
     return near_duplicates.version_groups(table(spark, sf_dir, "sentences"))
 
 
+SQL["p3_groups"] = f"""
+WITH RECURSIVE r AS (SELECT DISTINCT sent_id AS id, {_CORE} AS c, {_K} AS key FROM sentences WHERE text IS NOT NULL), k AS (SELECT *, {_GRAMS} AS g, min(id) OVER (PARTITION BY c, key) AS rid FROM r WHERE length(c) BETWEEN 12 AND 300),
+e AS (SELECT id, len(g) AS n, unnest(g) AS p FROM k WHERE id = rid),
+m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM e a JOIN e b ON a.p = b.p AND a.id <> b.id WHERE 10 * least(a.n, b.n) >= 6 * greatest(a.n, b.n) GROUP BY a.id, b.id),
+l AS (SELECT id_a, id_b FROM m JOIN k a ON a.id = id_a JOIN k b ON b.id = id_b WHERE 10 * s >= 6 * (len(a.g) + len(b.g) - s) AND a.key <> b.key),
+reach AS (SELECT id_a AS id, id_b AS other FROM l UNION SELECT reach.id, l.id_b FROM reach JOIN l ON l.id_a = reach.other), top AS (SELECT id, least(id, min(other)) AS "group" FROM reach GROUP BY id), n AS (SELECT id_a AS id, count(*) AS links FROM l GROUP BY id_a)
+SELECT s.sent_id AS id, coalesce(top."group", k.rid, s.sent_id) AS "group", coalesce(n.links, 0) AS links FROM (SELECT DISTINCT sent_id FROM sentences WHERE sent_id IS NOT NULL) s LEFT JOIN k ON k.id = s.sent_id LEFT JOIN top ON top.id = k.rid LEFT JOIN n ON n.id = k.rid"""
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that are another one laid out differently."""
@@ -114,6 +150,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form.look_alike_pairs(_both(spark, sf_dir))
 
 
+def _form_sql() -> str:
+    """The one form by single characters: what Unicode calls wide, narrow or a form of one ideograph, blanks, invisible characters, look-alikes."""
+    import unicodedata
+
+    to, gone = {}, []
+    for i in (*range(0x80, 0xD800), *range(0xF900, 0x10000)):
+        ch, parts = chr(i), unicodedata.decomposition(chr(i)).split()
+        if unicodedata.category(ch) == "Zs":
+            to[ch] = " "
+        elif unicodedata.category(ch) == "Cf" or 0xFE00 <= i < 0xFE10:
+            gone.append(ch)
+        elif parts[:1] in (["<wide>"], ["<narrow>"]) or parts[:1] == ["<compat>"] and len(parts) == 2 and "CJK UNIFIED" in unicodedata.name(chr(int(parts[1], 16)), ""):
+            to[ch] = chr(int(parts[1], 16))
+    to |= one_form.LOOK_ALIKES
+    quoted = lambda x: "'" + "".join(x).replace("'", "''") + "'"
+    return f"nfc_normalize(translate(nfc_normalize(text), {quoted([*to, *gone])}, {quoted(to.values())}))"
+
+
+
+SQL["p5_found"] = f"""
+WITH t AS (SELECT 'sentences' AS tbl, sent_id AS id, text FROM sentences UNION SELECT 'column_corpus', CAST(sentence_id AS BIGINT), text FROM column_corpus),
+f AS (SELECT tbl, id, text, {_form_sql()} AS form FROM t WHERE length({_CORE}) >= 12)
+SELECT DISTINCT a.tbl, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.tbl = b.tbl AND a.form = b.form AND a.id < b.id AND a.text <> b.text"""
+
+
 @query
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of a class of look-alikes, with the smallest id of the class."""
@@ -126,6 +187,14 @@ def p5_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form.canonical_texts(_both(spark, sf_dir))
 
 
+_FORMS = f"""
+WITH t AS (SELECT 'sentences' AS tbl, sent_id AS id, text FROM sentences UNION ALL SELECT 'column_corpus', CAST(sentence_id AS BIGINT), text FROM column_corpus), a AS (SELECT tbl, id, text, {_form_sql()} AS form FROM t)
+"""
+SQL["p5_one_form"] = _FORMS + "SELECT tbl, id, form FROM a"
+SQL["p5_groups"] = _FORMS + f""", f AS (SELECT DISTINCT tbl, id, text, form FROM a WHERE length({_CORE}) >= 12), g AS (SELECT tbl, form, min(id) AS "group" FROM f GROUP BY tbl, form HAVING count(DISTINCT text) > 1)
+SELECT DISTINCT tbl, id, "group" FROM f JOIN g USING (tbl, form)"""
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that are cut."""
@@ -159,6 +228,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+SQL["p7_found"] = f"""
+WITH i AS (SELECT item_id, {_CORE} AS c FROM eval_items WHERE text IS NOT NULL), n AS (SELECT *, (length(c) + 1) // 2 AS n FROM i WHERE c <> ''),
+w AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(c) - n + 2), lambda j: substr(c, j, n))) AS w FROM n), d AS (SELECT doc_id, {_CORE} AS c FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM d JOIN w ON contains(d.c, w.w)"""
+
+
 @query
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with up to two edits in the stretch."""
