@@ -215,3 +215,31 @@ def greedy_batches(df: DataFrame, group: str, key: str, size: str, budget: int)
         return pdf.assign(batch=out)
 
     return df.groupBy(group).applyInPandas(fold, ", ".join(f"`{c}` {k}" for c, k in [*df.dtypes, ("batch", "bigint")]))
+
+
+def with_splits(df: DataFrame, key: str, split: str = "split", share: float = 0.1, seed: str = "1") -> DataFrame:
+    """The corpus with the splits it lacks: test, then dev, get round(n * share) training rows in hash order each."""
+    have = {r[split]: r["n"] for r in df.groupBy(split).agg(F.count("*").alias("n")).limit(100).collect()}  # a row per split
+    for name in ("test", "dev"):
+        if not have.get(name) and have.get("train"):
+            n = round(have["train"] * share)
+            have["train"] -= n
+            train = hash_rank(df.filter(F.col(split) == "train"), F.col(key), f"{seed}:{name}")
+            moved = train.withColumn(split, F.when(F.col("rank") < n, name).otherwise(F.col(split))).drop("rank")
+            df = df.filter(F.col(split).isNull() | (F.col(split) != "train")).unionByName(moved.select(*df.columns))
+    return df
+
+
+def rare_tags(tagged: DataFrame, split: str = "split", tag: str = "tag", most: int = 3) -> DataFrame:
+    """One row: how many tags have at most ``most`` training tokens and occur in test."""
+    n = tagged.filter(F.col(tag).isNotNull()).groupBy(tag).agg(F.sum((F.col(split) == "train").cast("bigint")).alias("a"), F.sum((F.col(split) == "test").cast("bigint")).alias("b"))
+    return n.agg(F.sum(((F.col("a") <= most) & (F.col("b") > 0)).cast("bigint")).alias("rare"))
+
+
+def field_ids(df: DataFrame, keys: list[str], text: str, dictionary: DataFrame, bos: int, eos: int, unknown: int = 0) -> DataFrame:
+    """(keys, ids): the identifiers of the lower-cased tokens of each row between those of its begin and end."""
+    from quillmill.operators.sequences import tokens
+
+    rows = tokens(df, keys, text, offsets=False).withColumn("token", F.lower("token"))
+    each = encode(rows, "token", dictionary, unknown).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ident"))), lambda x: x["ident"]).alias("ids"))
+    return each.withColumn("ids", F.concat(F.array(F.lit(bos)), "ids", F.array(F.lit(eos))))

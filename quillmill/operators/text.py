@@ -161,3 +161,18 @@ def seconds_to_stamp(c: Column) -> Column:
 
 def stamp_to_seconds(c: Column) -> Column:
     return F.unix_timestamp(F.to_timestamp(c, "yyyy-MM-dd-HH-mm-ss"))
+
+
+def is_punct(c: Column) -> Column:
+    """Whether every character is punctuation."""
+    return c.rlike(r"^\p{P}+$")
+
+
+def is_full_width(c: Column) -> Column:
+    """Whether every character takes a full column: East Asian scripts, full-width forms and their marks."""
+    return c.rlike(r"^[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{20000}-\x{3FFFD}]+$")
+
+
+def is_latin(c: Column) -> Column:
+    """Whether every character is a Latin letter."""
+    return c.rlike(r"^\p{IsLatin}+$")

@@ -212,15 +212,19 @@ def viterbi_table(scores: DataFrame, moves: DataFrame, keys: list[str], n: int =
     if len(known) >= 1 << 20:
         raise ValueError("more than 2**20 moves")
 
+    labels = sorted({x for k in known for x in k} - {"<START>", "<STOP>"})
+    number = {x: i for i, x in enumerate(labels)}
+    of = lambda a, b: np.array([[known.get((x, y), -np.inf) for y in b] for x in a])
+    move, begin, end = of(labels, labels), of(["<START>"], labels)[0], of(labels, ["<STOP>"])[:, 0]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="idx", columns="label", values="score", aggfunc="max").sort_index()
-        labels = list(wide.columns)
-        move = np.array([[known.get((a, b), -np.inf) for b in labels] for a in labels])
-        begin, end = (np.array([known.get(k, -np.inf) for k in x]) for x in ([("<START>", b) for b in labels], [(b, "<STOP>") for b in labels]))
-        found = [(s, p) for s, p in viterbi(wide.fillna(-np.inf).to_numpy(), move, begin, end, n) if np.isfinite(s)]
-        rows = [(r + 1, round(s, 6), int(i), labels[k]) for r, (s, p) in enumerate(found) for i, k in zip(wide.index, p, strict=True)]
-        out = pd.DataFrame(rows, columns=["rank", "total", "idx", "label"])
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "rank", "total", "idx", "label"]]
+        idx, row = np.unique(pdf["idx"].to_numpy(np.int64), return_inverse=True)
+        col = pdf["label"].map(number).fillna(-1).to_numpy(np.int64)
+        cells = np.full((len(idx), len(labels)), -np.inf)
+        np.maximum.at(cells, (row[col >= 0], col[col >= 0]), pdf["score"].to_numpy(float)[col >= 0])
+        found = [(s, p) for s, p in viterbi(cells, move, begin, end, n) if np.isfinite(s)]
+        out = {"rank": np.repeat(np.arange(1, len(found) + 1), len(idx)), "total": np.repeat([round(s, 6) for s, _ in found], len(idx)), "idx": np.tile(idx, len(found)), "label": [labels[k] for _, p in found for k in p]}
+        return pd.DataFrame({**{k: np.repeat(pdf[k].iloc[0], len(out["idx"])) for k in keys}, **out})
 
     return _grouped(scores, keys, run, "rank int, total double, idx int, label string")
 

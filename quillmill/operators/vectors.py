@@ -26,6 +26,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def two_step_lookup(tokens: DataFrame, word: str, lemma: str, table: DataFrame) -> DataFrame:
+    """The tokens with ``vec``: that of the word, else of the lemma, of length 1; null where neither is known. ``table`` has (word, vec)."""
+    a = table.select(F.col("word").alias(word), F.col("vec").alias("__a"))
+    b = table.select(F.col("word").alias(lemma), F.col("vec").alias("__b"))
+    return tokens.join(a, word, "left").join(b, lemma, "left").withColumn("vec", normalized(F.coalesce("__a", "__b"))).drop("__a", "__b")
+
+
 def pool(df: DataFrame, by: str, vec: str, how: str = "mean") -> DataFrame:
     """(by, dim, value): mean, max, min or sum of each dimension; partial sums go over the shuffle, not vectors."""
     f = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}[how]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import corpus, metrics, sequences, similarity, tags, text, trees, vectors, views
 from quillmill.operators.ranking import global_rank
-from quillmill.session import cut, table
-from quillmill.sources import registry
+from quillmill.session import cut, folder, table
+from quillmill.sources import readers, registry, sinks
+from quillmill.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -479,11 +480,9 @@ def token_totals(spark, d):
     return per.agg(F.count("*").alias("sentences"), F.sum("n").alias("tokens"))
 
 
-@query(f"WITH {TOK}, tr AS (SELECT token, count(*) AS n FROM tok WHERE split = 'train' GROUP BY token), te AS (SELECT DISTINCT token FROM tok WHERE split = 'test') SELECT count(*) AS rare FROM tr JOIN te USING (token) WHERE n <= 3")
+@query(f"WITH {_TAGGED}, sp AS (SELECT tt.tag, cc.split FROM tt JOIN cc USING (sentence_id) WHERE tag IS NOT NULL), n AS (SELECT tag, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS b FROM sp GROUP BY tag) SELECT CAST(sum(CASE WHEN a <= 3 AND b > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rare FROM n")
 def rare_in_test(spark, d):
-    rows = tok(spark, d)
-    rare = rows.filter("split = 'train'").groupBy("token").agg(F.count("*").alias("n")).filter("n <= 3")
-    return rare.join(rows.filter("split = 'test'"), "token", "left_semi").agg(F.count("*").alias("rare"))
+    return corpus.rare_tags(sequences.tagged_tokens(cc(spark, d), ["sentence_id", "split"], "text", "punct", "drop"))
 
 
 _HASHED = SE + ", hr AS (SELECT sent_id, row_number() OVER (ORDER BY md5('1:' || CAST(sent_id AS VARCHAR)), sent_id) - 1 AS rk, count(*) OVER () AS n FROM se)"
@@ -1023,13 +1022,8 @@ def head_words(spark, d):
     return views.heads(_trees(spark, d).join(words, ["sentence_id", "dep"]), KEY).select("sentence_id", "dep", "head_text")
 
 
-@query(f"WITH {TOK}, n AS (SELECT sentence_id, max(idx) AS n FROM tok GROUP BY 1), s AS (SELECT sentence_id, n, unnest(range(1, n + 1)) AS start FROM n) SELECT sentence_id, start, unnest(range(start, least(n, start + 3) + 1)) AS stop FROM s")
-def candidate_spans(spark, d):
-    return views.candidate_spans(tok(spark, d), KEY, 4)
-
-
 @query(f"WITH {TOK} SELECT a.sentence_id, a.idx AS start, b.idx AS stop FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND a.idx <= b.idx")
-def candidate_spans_all(spark, d):
+def candidate_spans(spark, d):
     return views.candidate_spans(tok(spark, d), KEY)
 
 
@@ -1077,19 +1071,165 @@ def json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query(f"""WITH {TOK}, s AS (SELECT sentence_id, list_transform(list_resize(list(token ORDER BY idx), 20, '<pad>'), lambda x: x) AS w FROM tok GROUP BY sentence_id) SELECT sentence_id, array_to_string(w, ' ') AS padded FROM s""")
-def padded_tokens(spark, d):
-    rows = tok(spark, d).groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("w"))
-    return rows.select("sentence_id", F.array_join(F.slice(F.concat("w", F.array_repeat(F.lit("<pad>"), 20)), 1, 20), " ").alias("padded"))
-
-
 @query(f"""WITH {TOK}, m AS (SELECT max(idx) AS n FROM tok), s AS (SELECT sentence_id, list(token ORDER BY idx) AS w FROM tok GROUP BY sentence_id) SELECT sentence_id, array_to_string(list_resize(w, m.n, '<pad>'), ' ') AS padded FROM s, m""")
-def padded_tokens_whole(spark, d):
+def padded_tokens(spark, d):
     rows = tok(spark, d).groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("w"))
     longest = tok(spark, d).agg(F.max("idx").alias("n"))
     return rows.join(F.broadcast(longest)).select("sentence_id", F.array_join(views.pad_ids(F.col("w"), F.col("n"), "<pad>"), " ").alias("padded"))
 
 
+# ---- written and read again ----
+
+_CELL = f"regexp_replace(token, '{_WS}', '_', 'g')"  # a token in a file parted by blanks
+_TAGS_OF = "g AS (SELECT sentence_id, string_agg(token, ' ' ORDER BY idx) AS text, string_agg(coalesce(nullif(tag, ''), '_'), ' ' ORDER BY idx) AS tags FROM tt GROUP BY sentence_id)"
+
+
+def _joined(rows, *cols):
+    """Each sentence of a reader as texts of its columns."""
+    each = F.array_sort(F.collect_list(F.struct("idx", *[F.coalesce(F.col(c).cast("string"), F.lit("_")).alias(c) for c in cols])))
+    wide = rows.groupBy("path", "sent").agg(each.alias("x"))
+    return wide.select(*[F.array_join(F.col(f"x.{c}"), " ").alias(c) for c in cols])
+
+
+@query(f"WITH {_TAGGED}, {_TAGS_OF.replace('string_agg(token', 'string_agg(' + _CELL)} SELECT text, tags, count(*) AS n FROM g GROUP BY text, tags")
+def columns_round_trip(spark, d):
+    path = folder(spark, "columns")
+    rows = sequences.tagged_tokens(cc(spark, d), KEY, "text", "punct").withColumn("tag", F.when(F.col("tag") != "", F.col("tag")))
+    sinks.write_conll(rows, path, KEY, ["token", "tag"], doc_mark=True)
+    return _joined(readers.columns(spark, path, "0:text,1:tags"), "text", "tags").groupBy("text", "tags").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_TREE}, g AS (SELECT t2.sentence_id, string_agg({_CELL}, ' ' ORDER BY dep) AS form, string_agg(CAST(t2.head AS VARCHAR), ' ' ORDER BY dep) AS head, string_agg(t2.rel, ' ' ORDER BY dep) AS deprel FROM t2 JOIN tok ON tok.sentence_id = t2.sentence_id AND tok.idx = t2.dep GROUP BY 1)
+SELECT form, head, deprel, count(*) AS n FROM g GROUP BY ALL""")
+def conllu_round_trip(spark, d):
+    path = folder(spark, "conllu")
+    words = tok(spark, d).select("sentence_id", F.col("idx").alias("dep"), F.col("token").alias("form"))
+    rows = _trees(spark, d).join(words, ["sentence_id", "dep"]).select("sentence_id", F.col("dep").alias("idx"), "form", "head", F.col("rel").alias("deprel"), F.lit(0.5).alias("score"))
+    sinks.write_conllu(rows, path, KEY, "score")
+    cols = ("form", "head", "deprel")
+    return _joined(readers.conllu(spark, path), *cols).groupBy(*cols).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {CC}, a AS (SELECT corpus, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS text FROM cc WHERE corpus IS NOT NULL AND text IS NOT NULL) SELECT corpus AS label, text, count(*) AS n FROM a WHERE text <> '' GROUP BY ALL""")
+def labelled_round_trip(spark, d):
+    path = folder(spark, "labelled")
+    rows = cc(spark, d).filter("corpus IS NOT NULL AND text IS NOT NULL").select("sentence_id", F.concat(F.lit("__label__"), "corpus", F.lit(" "), text.collapse_blanks(F.col("text"))).alias("line"))
+    sinks.write_sentences(rows, path, "line", KEY)
+    return readers.labelled_lines(spark, path).select(F.col("labels")[0].alias("label"), "text").groupBy("label", "text").agg(F.count("*").alias("n"))
+
+
+@query(rf"WITH {SE}, a AS (SELECT trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS text FROM se WHERE text IS NOT NULL) SELECT text, count(*) AS n FROM a WHERE text <> '' GROUP BY text")
+def lines_round_trip(spark, d):
+    path = folder(spark, "lines")
+    sinks.write_sentences(se(spark, d).filter("text IS NOT NULL").withColumn("text", text.collapse_blanks(F.col("text"))), path, "text", ["sent_id"])
+    return readers.line_sentences(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {_RP}, a AS (SELECT array_to_string(string_split(trim(regexp_replace(cand, '{_WS}', ' ', 'g')), ' ')[1:200], ' ') AS cand, trim(regexp_replace(ref, '{_WS}', ' ', 'g')) AS ref FROM rp WHERE cand IS NOT NULL)
+SELECT cand, ref, ref IS NULL AS wrong, count(*) AS n FROM a WHERE cand <> '' GROUP BY ALL""")
+def retrieval_round_trip(spark, d):
+    path = folder(spark, "retrieval")
+    c = lambda x: text.collapse_blanks(F.col(x))
+    rows = table(spark, d, "retrieval_pairs").select("query_id", "rank_no", "sent_id", "cand", "ref", "score").distinct().filter("cand IS NOT NULL")
+    sinks.write_sentences(rows.withColumn("line", F.concat_ws("\t", c("cand"), c("ref"))).filter(c("cand") != ""), path, "line", ["query_id"])
+    return readers.retrieval_pairs(spark, path).groupBy("cand", "ref", "wrong").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT run_id, epoch, clock, nullif(dev_f1, '_') AS dev_f1, nullif(test_loss, '_') AS test_loss FROM training_log")
+def log_round_trip(spark, d):
+    path = folder(spark, "log")
+    rows = table(spark, d, "training_log")
+    sinks.write_tsv(rows.select("run_id", "epoch", "clock", *[F.when(F.col(c) != "_", F.col(c)).alias(c) for c in ("dev_f1", "test_loss")]).distinct(), path)
+    return readers.tsv_log(spark, path).select(F.col("run_id").cast("int"), F.col("epoch").cast("int"), "clock", "dev_f1", "test_loss")
+
+
+@query(f"WITH {_DIM} SELECT 'w' || vec_id AS word, dim, round(CAST(x AS DOUBLE), 4) AS x FROM e".replace("{_DIM}", "e AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings)"))
+def vectors_round_trip(spark, d):
+    path = folder(spark, "vectors")
+    rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL").select("vec_id", F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.col("embedding").cast("array<string>")).alias("line"))
+    sinks.write_sentences(rows, path, "line", ["vec_id"])
+    return readers.embeddings(spark, path).select("word", F.posexplode("vec").alias("dim", "x")).select("word", "dim", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@query(f"WITH {_TAGGED}, {_TAGS_OF.replace('nullif(tag, ' + chr(39) * 2 + ')', 'tag').replace(chr(39) + '_' + chr(39), chr(39) * 2)} SELECT sentence_id, text, tags FROM g")
+def parquet_round_trip(spark, d):
+    path = folder(spark, "tokens")
+    rows = sequences.tagged_tokens(cc(spark, d), KEY, "text", "punct").select("sentence_id", "idx", F.col("token").alias("text"), F.col("tag").alias("punct"))
+    sinks.write_parquet(rows.repartition("sentence_id").sortWithinPartitions("sentence_id", "idx"), path)
+    got = readers.parquet_tokens(spark, path, tags=("punct",))
+    return got.select("sentence_id", F.array_join(F.transform("tokens", lambda t: t["text"]), " ").alias("text"), F.array_join(F.transform("tokens", lambda t: t["punct"]), " ").alias("tags"))
+
+
+@query(f"WITH {SE}, n AS (SELECT count(*) AS keys FROM se WHERE text IS NOT NULL) SELECT keys, keys AS found, CAST({BANDS} AS BIGINT) AS least, CAST({BANDS} AS BIGINT) AS most FROM n".replace("{BANDS}", "64"))
+def index_round_trip(spark, d):
+    """An index that is written, read again and asked for its own rows."""
+    path = folder(spark, "index")
+    rows = cut(similarity.index(se(spark, d).select("sent_id", "text"), "sent_id", "text"), "index")
+    sinks.write_index(rows, similarity.bands(rows, "sent_id", BANDS, ROWS), path, {"slots": PERMS, "bands": BANDS, "rows_of_band": ROWS})
+    stored, banded, notes = similarity.stored_index(spark, path)
+    if notes["slots"] != str(PERMS):
+        raise ValueError("the notes of the index are wrong")
+    return similarity.self_test(stored, banded, "sent_id")
+
+
+@query(rf"WITH a AS (SELECT doc_id, {_NORM} AS text FROM documents) SELECT doc_id, text FROM a WHERE length(replace(text, ' ', '')) BETWEEN 5 AND 200")
+def stream_clean(spark, d):
+    """The documents as a stream, cleaned and written with a checkpoint, read again."""
+    path = folder(spark, "stream")
+    source = docs(spark, d).select("doc_id", "text")
+    source.write.parquet(path + "/in")
+    streams.run(streams.clean(streams.read(spark, path + "/in", source.schema), "text"), path + "/out", path + "/checkpoint")
+    return spark.read.schema(source.schema).parquet(path + "/out")
+
+
+@query(f"""WITH {_EXACT}, r AS (SELECT qid, string_agg(text, '' ORDER BY rank) AS ctx FROM top WHERE rank <= 5 GROUP BY qid), pu AS (SELECT CAST(sentence_id AS BIGINT) AS qid, punct FROM cc WHERE text IS NOT NULL AND sentence_id % 20 = 0),
+j AS (SELECT q.qid, list_filter(string_split(q.text, ' '), lambda x: x <> '') AS t, list_filter(string_split(coalesce(pu.punct, ''), ' '), lambda x: x <> '') AS g, list_filter(string_split(coalesce(r.ctx, ''), ''), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x{{85}}]')) AS e FROM q JOIN pu USING (qid) LEFT JOIN r ON r.qid = q.qid),
+l AS (SELECT qid, len(t) AS n, g, CASE WHEN len(e) > 0 THEN t || ['<EOS>'] || e[1:greatest(500 - len(t) - 1, 0)] ELSE t END AS w FROM j), x AS (SELECT qid, n, g, unnest(range(1, len(w) + 1)) AS idx, unnest(w) AS token FROM l)
+SELECT qid, CAST(idx AS INT) AS idx, token, CASE WHEN idx > n THEN 'S-X' ELSE coalesce(g[idx], '') END AS tag FROM x""")
+def context_dataset(spark, d):
+    """The document view: each line with its retrieved context under the mask, as written and read again."""
+    held = cc(spark, d).filter("text IS NOT NULL AND sentence_id % 20 = 0").select(F.col("sentence_id").cast("bigint").alias("qid"), "text", "punct")
+    texts = _exact_top(spark, d).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ctx"))
+    none = F.array().cast("array<string>")
+    line = similarity.context_tokens(sequences.words(F.col("text")), sequences.words(F.coalesce("punct", F.lit(""))), F.coalesce("ctx", none))
+    return held.join(texts, "qid", "left").select("qid", F.posexplode(line).alias("__i", "x")).select("qid", (F.col("__i") + 1).alias("idx"), "x.token", "x.tag")
+
+
+@query(f"""WITH {CC}, a AS (SELECT sentence_id, split FROM cc WHERE split IN ('train', 'test')), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('1:dev:' || CAST(sentence_id AS VARCHAR)), sentence_id) - 1 AS rk, count(*) OVER (PARTITION BY split) AS n FROM a)
+SELECT sentence_id, CASE WHEN split = 'train' AND rk < round_even(n * 0.1, 0) THEN 'dev' ELSE split END AS split FROM r""")
+def missing_split(spark, d):
+    """A corpus that has no dev split, with one made of its training rows."""
+    return corpus.with_splits(cc(spark, d).select("sentence_id", "split").filter("split <> 'dev'"), "sentence_id")
+
+
+@query(f"WITH {TOK}, vc AS (SELECT token AS item, count(*) AS n FROM tok GROUP BY token HAVING count(*) >= 2), di AS (SELECT item, row_number() OVER (ORDER BY item) + 1 AS idx FROM vc WHERE item NOT IN ('<pad>', '<unk>')) SELECT sentence_id, '2 ' || string_agg(CAST(coalesce(di.idx, 1) AS VARCHAR), ' ' ORDER BY t.idx) || ' 3' AS ids FROM tok t LEFT JOIN di ON di.item = lower(t.token) GROUP BY sentence_id")
+def field_ids(spark, d):
+    known = corpus.sorted_vocabulary(tok(spark, d), "token", 2)
+    return corpus.field_ids(cc(spark, d), KEY, "text", known, 2, 3, 1).select("sentence_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query("""WITH t AS (SELECT vec_id AS id, 'w' || (vec_id * 2) AS word, 'w' || vec_id AS lemma FROM embeddings), v AS (SELECT 'w' || vec_id AS word, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings WHERE embedding IS NOT NULL),
+j AS (SELECT t.id, coalesce(a.vec, b.vec) AS vec FROM t LEFT JOIN v a ON a.word = t.word LEFT JOIN v b ON b.word = t.lemma) SELECT id, unnest(range(len(vec))) AS dim, round(unnest(vec) / sqrt(list_dot_product(vec, vec)), 5) AS x FROM j WHERE vec IS NOT NULL""")
+def two_step_lookup(spark, d):
+    """Half of the words are unknown, which is what the second step is for."""
+    e = table(spark, d, "embeddings")
+    w = lambda c: F.concat(F.lit("w"), c)
+    rows = e.select(F.col("vec_id").alias("id"), w(F.col("vec_id") * 2).alias("word"), w(F.col("vec_id")).alias("lemma"))
+    known = e.filter("embedding IS NOT NULL").select(w(F.col("vec_id")).alias("word"), F.col("embedding").alias("vec"))
+    return vectors.two_step_lookup(rows, "word", "lemma", known).select("id", F.posexplode("vec").alias("dim", "x")).select("id", "dim", F.round("x", 5).alias("x"))
+
+
+@query("""WITH z AS (SELECT label, sum(exp((vec_id % 5) / CAST(5 AS DOUBLE))) AS z FROM embeddings WHERE embedding IS NOT NULL GROUP BY label), w AS (SELECT e.label, exp((vec_id % 5) / CAST(5 AS DOUBLE)) / z AS w, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings e JOIN z ON z.label = e.label)
+SELECT label, dim, round(sum(w * CAST(x AS DOUBLE)), 4) AS value FROM w GROUP BY label, dim""")
+def teacher_pool(spark, d):
+    return vectors.teacher_pool(table(spark, d, "embeddings").filter("embedding IS NOT NULL").withColumn("s", F.col("vec_id") % 5 / F.lit(5.0)), "label", "embedding", "s")
+
+
+@query(r"WITH t AS (" + f"WITH {TOK} SELECT DISTINCT token FROM tok" + r") SELECT token, regexp_full_match(token, '\p{P}+') AS punct, regexp_full_match(token, '\p{Latin}+') AS latin FROM t")
+def token_classes(spark, d):
+    return tok(spark, d).select("token").distinct().select("token", text.is_punct(F.col("token")).alias("punct"), text.is_latin(F.col("token")).alias("latin"))
+
+
 @query(f"WITH {SE} SELECT book_id, count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs FROM se GROUP BY book_id")
 def book_statistics(spark, d):
     return se(spark, d).groupBy("book_id").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct("lang").alias("langs"))

@@ -1,4 +1,9 @@
-"""Readers of annotated corpora. Files are read whole by row or by line; order within a file comes from the line number, never from row order."""
+"""Readers of annotated corpora.
+
+Files are read line by line, large ones in splits; none is held as one string, but for ``text_dir`` and ``reviews``, whose rows are
+whole documents. The order within a file is that of splits and of lines within a split; numbers of lines and sentences are prefix
+sums over the whole table, so that no task holds a file.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import types as T
 
 from quillmill.operators import sequences as seq
 from quillmill.operators import text as tx
+from quillmill.operators.ranking import global_rank, running_totals
 from quillmill.sources.registry import parse_layout, register
 
 DOCSTART = "-DOCSTART-"
@@ -35,16 +41,68 @@ def text_dir(spark: SparkSession, path: str, errors: str = "ignore") -> DataFram
     return raw.select("path", _decode(errors)("content").alias("text"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, value): the lines of all files, and what orders them within a file."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("at")
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), at, F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(path, line, value): ``line`` counts from 0 within a file."""
+    ranked = global_rank(rows, F.col("path"), F.col("at"), name="__r")
+    first = ranked.groupBy("path").agg(F.min("__r").alias("__a"))
+    return ranked.join(first, "path").select("path", (F.col("__r") - F.col("__a")).cast("int").alias("line"), "value")
+
+
+def _sentences(rows: DataFrame) -> DataFrame:
+    """(path, at, value, sent): the lines that aren't blank; ``sent`` counts from 0 within a file and rises after blank lines."""
+    blank = (~F.col("value").rlike(r"(?U)\S")).cast("int")
+    counted = running_totals(rows, F.col("path"), F.col("at"), __b=blank).filter(F.col("value").rlike(r"(?U)\S"))
+    sents = global_rank(counted.select("path", "__b").distinct(), F.col("path"), F.col("__b"), name="__r")
+    first = sents.groupBy("path").agg(F.min("__r").alias("__a"))
+    names = sents.join(first, "path").select("path", "__b", (F.col("__r") - F.col("__a")).cast("int").alias("sent"))
+    return counted.join(names, ["path", "__b"]).select("path", "at", "value", "sent")
+
+
+def _tokens_of(rows: DataFrame) -> DataFrame:
+    """Adds ``idx`` from 1 within a sentence."""
+    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("path", "sent").orderBy("at")))
+
+
 @register("lines")
 def line_sentences(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """(path, line, text): a sentence per line, stripped, blank ones dropped; the first ``limit`` by path and line."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    rows = seq.lines(raw, ["path"], "value").select("path", "line", tx.strip(F.col("value")).alias("text")).filter("text <> ''")
+    rows = _numbered(_lines(spark, path)).select("path", "line", tx.strip(F.col("value")).alias("text")).filter("text <> ''")
     return rows.orderBy("path", "line").limit(limit) if limit else rows
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+@register("reviews")
+def reviews(spark: SparkSession, path: str) -> DataFrame:
+    """(split, labels, text) of a folder ``<split>/<label>/*.txt`` with one document per file."""
+    parts = F.split("path", "/")
+    return text_dir(spark, path).select(F.element_at(parts, -3).alias("split"), F.array(F.element_at(parts, -2)).alias("labels"), tx.collapse_blanks(F.col("text")).alias("text"))
+
+
+@register("intensity")
+def intensity(spark: SparkSession, path: str) -> DataFrame:
+    """(labels, text) of lines ``id, text, name, value`` parted by tabs under a header: the value is the label."""
+    c = F.split("value", "\t")
+    rows = _numbered(_lines(spark, path)).filter("line > 0").filter(F.size(c) >= 4)
+    return rows.select(F.array(tx.strip(c[3])).alias("labels"), c[1].alias("text"))
+
+
+@register("language_model")
+def language_model(spark: SparkSession, path: str, seed: str = "1", flip: float = 0.01) -> DataFrame:
+    """(split, line, text) of ``train/*``, ``valid.txt`` and ``test.txt``: training lines in random but repeatable order, a share ``flip`` of them in lower and as many in upper case."""
+    rows = _numbered(_lines(spark, path + "/{train,.}/*"))
+    name = F.substring_index("path", "/", -1)
+    split = F.when(F.element_at(F.split("path", "/"), -2) == "train", "train").when(name.startswith("valid"), "dev").when(name.startswith("test"), "test")
+    rows = rows.select(split.alias("split"), "path", "line", "value").filter("split IS NOT NULL")
+    h = F.md5(F.concat_ws(":", F.lit(seed), "path", "line"))
+    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / (1 << 32)
+    text = F.when((F.col("split") == "train") & (u < flip), F.lower("value")).when((F.col("split") == "train") & (u >= 1 - flip), F.upper("value")).otherwise(F.col("value"))
+    order = F.when(F.col("split") == "train", F.substring(h, 9, 8)).otherwise("")
+    return global_rank(rows.select("split", "path", "line", text.alias("text"), order.alias("__o")), F.col("split"), F.col("__o"), F.col("path"), F.col("line")).select("split", F.col("rank").alias("line"), "text")
 
 
 @register("columns")
@@ -54,29 +112,34 @@ def columns(spark: SparkSession, path: str, layout: str = "0:text,1:punct", comm
     A row with too few columns: ``null`` leaves the field null, ``empty`` gives an empty string, ``drop`` drops the row.
     """
     fields = parse_layout(layout)
-    rows = seq.lines(_files(spark, path), ["path"], "value")
+    rows = _lines(spark, path)
     if comment:
         rows = rows.filter(~F.col("value").startswith(comment))
     if not keep_docstart:
         rows = rows.withColumn("value", F.when(F.col("value").startswith(DOCSTART), "").otherwise(F.col("value")))
-    rows = seq.sentence_ids(rows, ["path"])
+    rows = _sentences(rows)
     parts = F.split(tx.strip(F.col("value")), r"(?U)\s+")
     rows = rows.withColumn("__c", parts)
     if ragged == "drop":
         rows = rows.filter(F.size("__c") > max(fields))
     cell = lambda i: F.get(F.col("__c"), i)
-    idx = F.row_number().over(Window.partitionBy("path", "sent").orderBy("line"))
-    return rows.select("path", "sent", idx.alias("idx"), *[(F.coalesce(cell(i), F.lit("")) if ragged == "empty" else cell(i)).alias(name) for i, name in fields.items()])
+    return _tokens_of(rows).select("path", "sent", "idx", *[(F.coalesce(cell(i), F.lit("")) if ragged == "empty" else cell(i)).alias(name) for i, name in fields.items()])
 
 
 @register("conllu")
 def conllu(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sent, idx, form, lemma, upos, xpos, feats, head, deprel, deps, misc); comments, ranges and empty nodes are dropped. feats is a map."""
-    rows = seq.lines(_files(spark, path), ["path"], "value").filter(~F.col("value").startswith("#"))
-    rows = seq.sentence_ids(rows, ["path"]).withColumn("c", F.split("value", "\t+"))
-    rows = rows.filter(~F.col("c")[0].rlike("[.-]") & (F.size("c") >= 4))
+    """(path, sent, idx, form, lemma, upos, xpos, feats, head, deprel, deps, misc); comments, ranges and empty nodes are dropped. feats is a map.
+
+    A row of two cells is number and form, one of three number, form and tag (upos); of other rows all cells that are there count. A
+    row of one cell is a form by itself, numbered by its place.
+    """
+    rows = _sentences(_lines(spark, path).filter(~F.col("value").startswith("#"))).withColumn("c", F.split("value", "\t+"))
+    rows = _tokens_of(rows.filter(~((F.size("c") > 1) & F.col("c")[0].rlike("^[0-9]+[.-][0-9]+$"))))
     g = lambda i: F.get(F.col("c"), i)
-    return rows.select("path", "sent", g(0).cast("int").alias("idx"), g(1).alias("form"), g(2).alias("lemma"), g(3).alias("upos"), g(4).alias("xpos"), tx.key_values(g(5)).alias("feats"), g(6).try_cast("int").alias("head"), g(7).alias("deprel"), g(8).alias("deps"), g(9).alias("misc"))
+    n = F.size("c")
+    full = lambda i: F.when(n >= 4, g(i))
+    form = F.when(n == 1, g(0)).otherwise(g(1))
+    return rows.select("path", "sent", F.coalesce(F.when(n > 1, g(0).try_cast("int")), "idx").alias("idx"), form.alias("form"), full(2).alias("lemma"), F.when(n == 3, g(2)).otherwise(full(3)).alias("upos"), full(4).alias("xpos"), tx.key_values(full(5)).alias("feats"), full(6).try_cast("int").alias("head"), full(7).alias("deprel"), full(8).alias("deps"), full(9).alias("misc"))
 
 
 def with_root(tokens: DataFrame) -> DataFrame:
@@ -97,8 +160,7 @@ def labelled(c: Column, mark: str = "__label__") -> Column:
 @register("labelled")
 def labelled_lines(spark: SparkSession, path: str, max_tokens: int = -1, max_chars: int = -1) -> DataFrame:
     """(path, line, labels, text)."""
-    raw = seq.lines(_files(spark, path), ["path"], "value")
-    rows = raw.withColumn("x", labelled(F.col("value"))).filter("x IS NOT NULL").select("path", "line", "x.labels", "x.text")
+    rows = _numbered(_lines(spark, path)).withColumn("x", labelled(F.col("value"))).filter("x IS NOT NULL").select("path", "line", "x.labels", "x.text")
     if max_chars > 0:
         rows = rows.withColumn("text", F.substring("text", 1, max_chars))
     return rows.withColumn("text", tx.first_words(F.col("text"), max_tokens)) if max_tokens > 0 else rows
@@ -129,9 +191,10 @@ def json_examples(spark: SparkSession, path: str) -> DataFrame:
 
 @register("embeddings")
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vec) of lines ``word v1 ... vn``; a header of two numbers is dropped."""
+    """(word, vec) of lines ``word v1 ... vn``; a header of two whole numbers at the start of a file is dropped."""
     c = F.split(F.rtrim(F.col("value")), " ")
-    rows = spark.read.text(path).filter(F.size(c) > 2)
+    header = F.col("value").rlike("^[0-9]+ [0-9]+ *$") & (F.col("_metadata.file_block_start") == 0)
+    rows = spark.read.text(path).filter(~header & (F.size(c) > 1))
     return rows.select(c[0].alias("word"), F.slice(c, 2, 1 << 30).cast("array<float>").alias("vec"))
 
 
@@ -144,7 +207,7 @@ def tsv_log(spark: SparkSession, path: str) -> DataFrame:
 @register("wiki_ner")
 def wiki_ner(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, idx, text, pos, ner) of lines ``w|pos|ner w|pos|ner``."""
-    rows = seq.lines(_files(spark, path), ["path"], "value").select("path", "line", F.posexplode(seq.words(F.col("value"))).alias("p", "w"))
+    rows = _numbered(_lines(spark, path)).select("path", "line", F.posexplode(seq.words(F.col("value"))).alias("p", "w"))
     c = F.split("w", r"\|")
     return rows.filter(F.size(c) == 3).select("path", "line", (F.col("p") + 1).alias("idx"), c[0].alias("text"), c[1].alias("pos"), c[2].alias("ner"))
 

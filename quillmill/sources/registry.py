@@ -38,3 +38,11 @@ def by_name(name: str):
 
 def available() -> list[str]:
     return sorted(_BY_NAME)
+
+
+def merged(base: dict, over: dict) -> dict:
+    """Two configuration trees as one: nested maps are merged, other values of ``over`` take the place of those of ``base``."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out

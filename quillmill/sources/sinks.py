@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.operators.ranking import running_total
+from quillmill.operators.text import BLANKS
 
 
 def _write(df: DataFrame, path: str, order: list[str], one_file: bool, sep: str = "\n") -> None:
@@ -14,8 +15,9 @@ def _write(df: DataFrame, path: str, order: list[str], one_file: bool, sep: str
 
 
 def blocks(tokens: DataFrame, keys: list[str], cols: list[str], sep: str = "\t", doc_mark: bool = False) -> DataFrame:
-    """(keys, value): a sentence as lines of columns in the order of idx."""
-    line = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in cols])
+    """(keys, value): a sentence as lines of columns in the order of idx. Blanks within a cell, which would part it, become ``_``, and so do cells without a value."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("_")), BLANKS, "_")
+    line = F.concat_ws(sep, *map(cell, cols))
     rows = tokens.select(*keys, F.struct("idx", line.alias("l")).alias("x")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("value"))
     return rows.withColumn("value", F.concat(F.lit("-DOCSTART-\n\n"), "value")) if doc_mark else rows
 
@@ -25,6 +27,34 @@ def write_conll(tokens: DataFrame, path: str, keys: list[str], cols: list[str],
     _write(blocks(tokens, keys, cols, sep, doc_mark), path, keys, one_file, "\n\n")
 
 
+def write_conllu(tokens: DataFrame, path: str, keys: list[str], score: str | None = None, one_file: bool = False) -> None:
+    """CoNLL-U with ten columns (idx, form, lemma, upos, xpos, feats, head, deprel, deps, misc; those the table lacks are ``_``), under ``# Tree score`` where a column gives one."""
+    cols = ("form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
+    rows = tokens.select(*keys, "idx", *[(F.col(c).cast("string") if c in tokens.columns else F.lit(None).cast("string")).alias(c) for c in cols])
+    text = blocks(rows, keys, ["idx", *cols])
+    if score:
+        per = tokens.groupBy(*keys).agg(F.max(score).alias("__s"))
+        text = text.join(per, keys).withColumn("value", F.concat(F.lit("# Tree score: "), F.col("__s").cast("string"), F.lit("\n"), F.col("value")))
+    _write(text, path, keys, one_file, "\n\n")
+
+
+def write_missing(df: DataFrame, path: str, key: str) -> int:
+    """Appends the rows whose key the Parquet folder lacks and gives their number, so that a run that was cut off goes on where it ended.
+
+    Spark's committer makes each append whole or nothing; a second run over the same rows adds none.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    before = 0
+    if there:
+        done = spark.read.parquet(path)
+        before = done.count()
+        df = df.join(done.select(key).distinct(), key, "left_anti")
+    df.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
+
+
 def write_sentences(df: DataFrame, path: str, text: str, order: list[str], one_file: bool = False) -> None:
     _write(df.withColumn("value", F.col(text)), path, order, one_file)
 
