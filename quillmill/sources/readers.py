@@ -41,7 +41,7 @@ def text_dir(spark: SparkSession, path: str, errors: str = "ignore") -> DataFram
     return raw.select("path", _decode(errors)("content").alias("text"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, at, value): the lines of all files, and what orders them within a file."""
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("at")
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), at, F.regexp_replace("value", "\r$", "").alias("value"))
@@ -94,7 +94,7 @@ def intensity(spark: SparkSession, path: str) -> DataFrame:
 @register("language_model")
 def language_model(spark: SparkSession, path: str, seed: str = "1", flip: float = 0.01) -> DataFrame:
     """(split, line, text) of ``train/*``, ``valid.txt`` and ``test.txt``: training lines in random but repeatable order, a share ``flip`` of them in lower and as many in upper case."""
-    rows = _numbered(_lines(spark, path + "/{train,.}/*"))
+    rows = _numbered(_lines(spark, [path + "/train/*", path + "/*.txt"]))
     name = F.substring_index("path", "/", -1)
     split = F.when(F.element_at(F.split("path", "/"), -2) == "train", "train").when(name.startswith("valid"), "dev").when(name.startswith("test"), "test")
     rows = rows.select(split.alias("split"), "path", "line", "value").filter("split IS NOT NULL")

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillmill.operators import similarity
 from quillmill.sources import readers, registry, sinks
 from quillmill.streaming import streams
 
@@ -70,3 +71,77 @@ def test_streams(spark, tmp_path):
     s = streams.first_copies(streams.clean(streams.read(spark, src, schema), "text"), "text", "at")
     streams.run(s, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_conllu_narrow_rows(spark, tmp_path):
+    (tmp_path / "a.conllu").write_text("# c\n1\tA\n2\tb\n\n1\tx\tNN\n2-3\tyz\tNN\n\nalone\nword\n\n1\tf\tl\tU\n1.1\te\tl\tU\n")
+    got = [(r["sent"], r["idx"], r["form"], r["lemma"], r["upos"]) for r in readers.conllu(spark, str(tmp_path / "a.conllu")).orderBy("sent", "idx").collect()]
+    assert got == [(0, 1, "A", None, None), (0, 2, "b", None, None), (1, 1, "x", None, "NN"), (2, 1, "alone", None, None), (2, 2, "word", None, None), (3, 1, "f", "l", "U")]
+
+
+def test_splits_of_one_file(spark, tmp_path):
+    """A file that is read in many splits gives the same sentences."""
+    lines = []
+    for i in range(400):
+        lines += [f"t{i}a\tA{i}", f"t{i}b\tB{i}", *[""] * (1 + i % 3)]
+    (tmp_path / "big.txt").write_text("\r\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = readers.columns(spark, str(tmp_path / "big.txt"), "0:text,1:tag").orderBy("sent", "idx").collect()
+        line = readers.line_sentences(spark, str(tmp_path / "big.txt")).orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["sent"], r["idx"], r["text"], r["tag"]) for r in got] == [x for i in range(400) for x in ((i, 1, f"t{i}a", f"A{i}"), (i, 2, f"t{i}b", f"B{i}"))]
+    assert [(r["line"], r["text"]) for r in line] == [(i, x) for i, x in enumerate(lines) if x]
+
+
+def test_reviews_intensity_language_model(spark, tmp_path):
+    for name, text in (("train/pos/1.txt", "good\n one"), ("train/neg/2.txt", "bad"), ("test/pos/3.txt", "fine")):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    assert sorted((r["split"], r["labels"][0], r["text"]) for r in readers.reviews(spark, str(tmp_path / "r")).collect()) == [("test", "pos", "fine"), ("train", "neg", "bad"), ("train", "pos", "good one")]
+    (tmp_path / "e.txt").write_text("id\ttext\tname\tscore\n1\tso happy\tjoy\t0.5\n2\toh\tjoy\t0.25\n")
+    assert sorted((r["labels"][0], r["text"]) for r in readers.intensity(spark, str(tmp_path / "e.txt")).collect()) == [("0.25", "oh"), ("0.5", "so happy")]
+    (tmp_path / "lm" / "train").mkdir(parents=True)
+    for i in range(2):
+        (tmp_path / "lm" / "train" / f"split_{i}.txt").write_text("".join(f"Line {i} {k}\n" for k in range(300)))
+    (tmp_path / "lm" / "valid.txt").write_text("Va\nVb\n")
+    (tmp_path / "lm" / "test.txt").write_text("Te\n")
+    got = readers.language_model(spark, str(tmp_path / "lm"), flip=0.05).orderBy("line").collect()
+    train = [r["text"] for r in got if r["split"] == "train"]
+    assert len(train) == 600 and sorted(x.lower() for x in train) == sorted(f"line {i} {k}" for i in range(2) for k in range(300)) and train != sorted(train)
+    assert 5 < sum(x.isupper() for x in train) < 80 and 5 < sum(x.islower() for x in train) < 80
+    assert [r["text"] for r in got if r["split"] == "dev"] == ["Va", "Vb"] and [r["text"] for r in got if r["split"] == "test"] == ["Te"]
+
+
+def test_resumed_writing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    assert sinks.write_missing(rows.filter("k < 40"), path, "k") == 40
+    assert sinks.write_missing(rows, path, "k") == 60 and sinks.write_missing(rows, path, "k") == 0
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == list(range(100))
+
+
+def test_index_with_a_size_limit(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "id bigint, text string")
+    rows = similarity.index(df, "id", "text", 16)
+    sinks.write_index(rows, similarity.bands(rows, "id", 8, 2), str(tmp_path / "i"), {"slots": 16}, most=300)
+    stored, banded, notes = similarity.stored_index(spark, str(tmp_path / "i"))
+    kept = sorted(r["id"] for r in stored.collect())
+    assert kept == list(range(len(kept))) and 10 < len(kept) < 50 and notes == {"slots": "16", "rows": str(len(kept))}
+    assert similarity.self_test(stored, banded, "id").collect()[0].asDict() == {"keys": len(kept), "found": len(kept), "least": 8, "most": 8}
+
+
+def test_configuration_and_stream_restart(spark, tmp_path):
+    assert registry.merged({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": 9}, "d": {"x": 1}}) == {"a": {"b": 9, "c": 2}, "d": {"x": 1}}
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    part = lambda a, b: spark.range(a, b).selectExpr("id", "concat('line number ', id) AS text").coalesce(1).write.mode("append").parquet(src)
+    part(0, 5)
+    schema = spark.read.parquet(src).schema
+    go = lambda: streams.run(streams.clean(streams.read(spark, src, schema), "text"), out, ck)
+    go()
+    part(5, 9)
+    go()
+    go()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(9))

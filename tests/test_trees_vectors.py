@@ -75,7 +75,7 @@ def test_pooling(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 4.0]), ("a", 2, [3.0, 0.0]), ("b", 3, None)], "k string, o int, v array<double>")
     assert {(r["dim"], r["value"]) for r in vectors.pool(df, "k", "v").collect()} == {(0, 2.0), (1, 2.0)}
     assert vectors.nest(vectors.pool(df, "k", "v", "max"), "k").collect()[0]["vec"] == [3.0, 4.0]
-    assert vectors.faded(df.filter("v IS NOT NULL"), "k", "o", "v").collect()[0]["vec"] == [2.0, 2.0]
+    assert [r["value"] for r in vectors.faded(df, "k", "o", "v").orderBy("dim").collect()] == [2.0, 2.0]
 
 
 def test_optimal_param():
@@ -130,3 +130,51 @@ def test_exact_top_against_brute_force(spark):
     assert len(want) > 100
     assert {(r["qid"], r["rank"], r["sent_id"], r["score"]) for r in similarity.exact_top(q, c, "qid", "sent_id").collect()} == want
     assert similarity.exact_top(q, c.limit(0), "qid", "sent_id").count() == 0
+
+
+def test_decode_repaired(spark):
+    arcs = [(1, 1, 2, 5.0), (1, 1, 0, 1.0), (1, 2, 1, 5.0), (1, 2, 0, 0.5), (2, 1, 0, 2.0), (2, 2, 1, 1.0), (2, 2, 0, 1.0)]
+    df = spark.createDataFrame(arcs, "s int, dep int, head int, score double")
+    rels = spark.createDataFrame([(1, 1, 0, "root", 0.9), (1, 1, 0, "dep", 0.1), (1, 2, 1, "obj", 0.5), (2, 1, 0, "root", 1.0)], "s int, dep int, head int, rel string, score double")
+    got = {(r["s"], r["dep"]): (r["head"], r["rel"]) for r in trees.decode_repaired(df, ["s"], rels).collect()}
+    assert got == {(1, 1): (0, "root"), (1, 2): (1, "obj"), (2, 1): (0, "root"), (2, 2): (0, None)}
+
+
+def test_components_of_several_heads(spark):
+    edges = [(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 4, 0), (1, 4, 1), (1, 5, 5), (1, 6, 7), (1, 7, 6), (1, 7, 0)]
+    got = {r["dep"]: r["component"] for r in trees.components(spark.createDataFrame(edges, "s int, dep int, head int"), ["s"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
+
+
+def test_viterbi_table(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    labels = ["O", "B", "I"]
+    moves = {(a, b): rng.random() for a in [*labels, "<START>"] for b in [*labels, "<STOP>"] if (a, b) not in {("O", "I"), ("<START>", "I"), ("<START>", "<STOP>")}}
+    scores = [(s, i, x, rng.random()) for s in range(6) for i in range(1, 2 + s % 4 + 1) for x in labels]
+    df = spark.createDataFrame(scores, "s int, idx int, label string, score double")
+    m = spark.createDataFrame([(a, b, v) for (a, b), v in moves.items()], "before string, after string, score double")
+    got = {}
+    for r in trees.viterbi_table(df, m, ["s"], 3).orderBy("s", "rank", "idx").collect():
+        got.setdefault((r["s"], r["rank"]), (r["total"], []))[1].append(r["label"])
+    for s in range(6):
+        n = max(i for q, i, _, _ in scores if q == s)
+        cell = {(i, x): v for q, i, x, v in scores if q == s}
+        paths = []
+        for p in itertools.product(labels, repeat=n):
+            steps = list(zip(["<START>", *p], [*p, "<STOP>"]))
+            if all(x in moves for x in steps):
+                paths.append((sum(moves[x] for x in steps) + sum(cell[i + 1, x] for i, x in enumerate(p)), list(p)))
+        for k, (total, path) in enumerate(sorted(paths, reverse=True)[:3]):
+            assert got[s, k + 1][1] == path and abs(got[s, k + 1][0] - total) < 1e-5
+
+
+def test_faded_hot_key_and_nulls(spark):
+    rows = [("a", i, [float(i), 1.0]) for i in range(50)] + [("b", 1, [2.0, 4.0]), ("b", 2, None), (None, 3, [1.0, 1.0])]
+    got = {(r["k"], r["dim"]): r["value"] for r in vectors.faded(spark.createDataFrame(rows, "k string, o int, v array<double>"), "k", "o", "v").collect()}
+    m = [0.0, 1.0]
+    for i in range(1, 50):
+        m = [0.5 * m[0] + 0.5 * i, 1.0]
+    assert got == {("a", 0): round(m[0], 4), ("a", 1): 1.0, ("b", 0): 2.0, ("b", 1): 4.0}
