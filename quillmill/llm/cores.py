@@ -14,24 +14,20 @@ from quillmill.functions import codepoints as cp
 BARS = "|｜"  # fixed value: the marks that part the fields of a card
 
 
-def card_keys(texts: list[str], codes: list[str]) -> list[int]:
-    """A 64-bit number of the sorted fields of each card; 0 stands for texts without bars, whose key is C(t) itself."""
-    out = []
-    for text in texts:
-        fields = pa.array(text.replace(BARS[1], BARS[0]).split(BARS[0]))
-        c, o = cp.core(*cp.flatten(fields))
-        parts = sorted(x for x in cp.unflatten(c, o).to_pylist() if x)
-        digest = hashlib.blake2b("\x1f".join(parts).encode(), digest_size=8).digest()
-        out.append(int.from_bytes(digest, "little", signed=True) or 1)
-    return out
+def card_keys(texts: list[str]) -> list[int]:
+    """A 64-bit number of the sorted cores of the fields of each card, all fields of a batch at once."""
+    fields = [t.replace(BARS[1], BARS[0]).split(BARS[0]) for t in texts]
+    cores = iter(cp.unflatten(*cp.core(*cp.flatten(pa.array([x for f in fields for x in f], pa.string())))).to_pylist())
+    parts = (sorted(x for x in (next(cores) for _ in f) if x) for f in fields)
+    return [int.from_bytes(hashlib.blake2b("\x1f".join(p).encode(), digest_size=8).digest(), "little", signed=True) or 1 for p in parts]
 
 
 def cards(texts: pa.Array) -> np.ndarray:
-    """The card key of each row (0 where the text holds no bar)."""
+    """The card key of each row; 0 where the text holds no bar, whose key is C(t) itself."""
     out = np.zeros(len(texts), np.int64)
     at = np.flatnonzero(pc.match_substring_regex(texts.fill_null(""), "[|｜]").to_numpy(zero_copy_only=False))
     if len(at):
-        out[at] = card_keys(texts.take(pa.array(at)).to_pylist(), [])
+        out[at] = card_keys(texts.take(pa.array(at)).to_pylist())
     return out
 
 

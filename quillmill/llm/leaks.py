@@ -8,6 +8,7 @@ q-grams within its band, so only such regions are aligned. The alignment runs ov
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import codepoints as cp
+from quillmill.session import cut
 
 Q = 8
 FILTER = 1 << 22
@@ -144,11 +146,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     total = held.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     held = held.withColumn("block", F.expr(f"pmod(xxhash64(id), {blocks})"))
-    out = None
+    found = []
     for block in range(blocks):
         got = held.filter(F.col("block") == block).select("id", "text").mapInArrow(_passages, "id bigint, c string").toArrow()
         codes, offs = cp.flatten(got["c"])
         index = spark.sparkContext.broadcast((got["id"].to_numpy(), codes, offs, edits))
-        found = docs.mapInArrow(_scan(index), "doc_id bigint, item_id bigint, run int")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+        found.append(cut(docs.mapInArrow(_scan(index), "doc_id bigint, item_id bigint, run int"), "leaks"))
+        index.destroy()  # one block of passages is held at a time
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))

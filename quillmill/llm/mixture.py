@@ -44,9 +44,14 @@ def _count(path: str):
     return run
 
 
-def token_counts(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def vocabulary_of(df: DataFrame) -> str:
+    """The rank file that the session names in ``spark.quillmill.vocabulary``; it must lie at this path on every worker."""
+    return df.sparkSession.conf.get("spark.quillmill.vocabulary", VOCABULARY)
+
+
+def token_counts(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, source, tokens) of each document; null and empty texts have 0 tokens."""
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col("source"), F.col(text_col).alias("text")).mapInArrow(_count(vocabulary), "id bigint, source string, tokens bigint")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col("source"), F.col(text_col).alias("text")).mapInArrow(_count(vocabulary or vocabulary_of(df)), "id bigint, source string, tokens bigint")
 
 
 class Mixture:
@@ -57,7 +62,7 @@ class Mixture:
     without source, of a source without target, or without tokens take no part; ids delivered twice count once.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 7, rows_per_range: int = ROWS_PER_RANGE):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str | None = None, seed: int = 7, rows_per_range: int = ROWS_PER_RANGE):
         targets = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.greatest(F.lit(0), F.coalesce(F.col("max_repeats"), F.lit(0))).alias("max_repeats")).filter("source IS NOT NULL AND target_share > 0")
         counted = token_counts(documents, vocabulary).filter("id IS NOT NULL AND source IS NOT NULL AND tokens > 0").dropDuplicates(["id"])
         self.keyed = cut(counted.withColumn("key", F.xxhash64(F.col("id"), F.lit(seed))), "mixture-tokens")

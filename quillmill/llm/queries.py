@@ -210,6 +210,17 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_texts(table(spark, sf_dir, "sentences")).withColumnRenamed("id", "sent_id")
 
 
+@query
+def p6_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their pieces, as md5."""
+    own = F.array_sort(F.collect_list(F.struct("piece_no", pieces.own_part().alias("t"))))
+    rows = pieces.split_texts(table(spark, sf_dir, "sentences")).groupBy(F.col("id").alias("sent_id")).agg(own.alias("x"), F.count("*").alias("n"), F.max("piece_no").alias("last"), F.max(F.length("piece")).alias("longest"))
+    return rows.select("sent_id", F.md5(F.array_join("x.t", "")).alias("text"), (F.col("n") == F.col("last")).alias("numbered"), (F.col("longest") <= 300).alias("bounded"))
+
+
+SQL["p6_rejoined"] = "SELECT sent_id, md5(min(text)) AS text, true AS numbered, true AS bounded FROM sentences WHERE length(text) > 300 GROUP BY sent_id"
+
+
 @query
 def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each character stands in the pieces of files that hold all documents, without what pieces repeat."""
