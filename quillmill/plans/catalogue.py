@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import corpus, metrics, sequences, similarity, tags, text, trees, vectors, views
 from quillmill.operators.ranking import global_rank
 from quillmill.session import cut, folder, table
-from quillmill.sources import readers, registry, sinks
+from quillmill.sources import readers, sinks
 from quillmill.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -961,13 +961,7 @@ def faded_pool(spark, d):
     return vectors.faded(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
-# ---- catalogue ----
-
-
-@query()
-def layouts(spark, d):
-    rows = [(name, i, field) for name, layout in registry.LAYOUTS.items() for i, field in registry.parse_layout(layout).items()]
-    return spark.createDataFrame(rows, "name string, col int, field string")
+# ---- ranks ----
 
 
 @query("SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM embeddings")
