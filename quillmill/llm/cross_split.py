@@ -33,9 +33,9 @@ from quillmill.session import cut
 
 LOW, HIGH = 12, 300
 SHARD_CHARS = 6_000_000  # characters of evaluation cores in one automaton; some 20 bytes each go to the workers
-SCAN_BYTES = 2_000_000  # bytes of training texts that are scanned at a time
-EXPANDED = 2_000_000  # meetings that are counted at a time
-PAIRS = 50_000  # pairs that are compared at a time
+SCAN_BYTES = 1_000_000  # bytes of training texts that are scanned at a time
+EXPANDED = 1_000_000  # meetings that are counted at a time
+PAIRS = 8_000  # pairs that are compared at a time
 MEET = 7  # rare pieces that a pair must share
 STRETCH = 12  # characters of the shortest stretch that covers
 LOW_BITS = 0xFFFFFFFF
@@ -119,8 +119,11 @@ class Pairs:
         self.least = -(-tenths * self.size // 10)
         ok = np.arange(len(row)) - (np.cumsum(self.size) - self.size)[row] < (self.size - self.least + MEET)[row]
         row, piece = row[ok], piece[ok]
-        self.owner = row[np.argsort(piece, kind="stable")]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=len(number)))])
+        # the holders of a piece in the order of their sizes, so that only those of a fitting size are met
+        self.stride = int(self.size.max(initial=0)) + 2
+        at_size = piece * self.stride + self.size[row]
+        order_of = np.argsort(at_size, kind="stable")
+        self.owner, self.at_size = row[order_of].astype(np.int32), at_size[order_of]
         self.machine = _automaton(_strings(codes, at[first[order]], 3)) if len(number) else None
 
     def scan(self, ids: np.ndarray, codes: np.ndarray, offs: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
@@ -144,13 +147,15 @@ class Pairs:
         most = np.where(absent <= size - least, size - least + MEET - absent, 0)
         ok = np.arange(len(row)) - (np.cumsum(have) - have)[row] < most[row]
         row, piece = row[ok], piece[ok]
-        n = self.first[piece + 1] - self.first[piece]
+        low, high = -(-self.tenths * size // 10)[row], np.minimum(10 * size // self.tenths, self.stride - 1)[row]
+        first = np.searchsorted(self.at_size, piece * self.stride + np.minimum(low, self.stride - 1), "left")
+        n = np.searchsorted(self.at_size, piece * self.stride + high, "right") - first
         # whole rows, so many that about EXPANDED meetings are counted at a time
         meetings = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=rows).astype(np.int64))])
         edges = np.searchsorted(row, np.concatenate([[0], np.flatnonzero(np.diff(meetings[:-1] // EXPANDED)) + 1, [rows]]))
         for lo, hi in zip(edges, edges[1:], strict=False):
             m = n[lo:hi]
-            where = np.repeat(self.first[piece[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            where = np.repeat(first[lo:hi], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             pair, times = np.unique(np.repeat(row[lo:hi], m) << 32 | self.owner[where], return_counts=True)
             b, a = pair >> 32, pair & LOW_BITS
             shared = np.maximum(self.least[a], least[b])
