@@ -130,3 +130,8 @@ def graph_scores(df: DataFrame, gold: str, pred: str, keys: list[str]) -> DataFr
 def perplexity(df: DataFrame, p: str) -> DataFrame:
     """exp of the mean negative logarithm of positive probabilities."""
     return df.filter(F.col(p) > 0).agg(F.round(F.exp(F.avg(-F.log(p))), 6).alias("perplexity"))
+
+
+def mean_score(df: DataFrame, by: str, score: str) -> DataFrame:
+    """(by, n, total, mean) of a score per action; null scores don't count."""
+    return df.groupBy(by).agg(F.count(score).alias("n"), F.round(F.sum(score), 6).alias("total"), F.round(F.avg(score), 6).alias("mean"))

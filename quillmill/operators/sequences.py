@@ -101,6 +101,18 @@ def sliding(df: DataFrame, keys: list[str], size: Column, width: int, stride: in
     return rows.select(*keys, "win", (F.col("win") * stride).alias("low"), F.least(F.col("win") * stride + width, F.col("__n")).alias("high"))
 
 
+def centres(windows: DataFrame, keys: list[str], width: int, stride: int) -> DataFrame:
+    """The windows of ``sliding`` with ``start`` and ``stop``, the part that each answers for: the parts of a sequence follow one another without a gap.
+
+    A window answers for the middle of the stretch that it shares with its neighbours; the first and the last also for the ends.
+    """
+    half = (width - stride) // 2
+    last = F.max("win").over(Window.partitionBy(*keys))
+    start = F.when(F.col("win") == 0, F.col("low")).otherwise(F.col("low") + half)
+    stop = F.when(F.col("win") == last, F.col("high")).otherwise(F.col("low") + stride + half)
+    return windows.withColumn("start", start).withColumn("stop", stop)
+
+
 def running_best(df: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:
     """Adds ``best`` so far and ``bad``: how many rows in a row brought no better score. Null scores bring none."""
     w = Window.partitionBy(*keys).orderBy(order)

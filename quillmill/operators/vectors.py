@@ -70,11 +70,11 @@ def teacher_pool(df: DataFrame, by: str, vec: str, score: str) -> DataFrame:
     return pool_weighted(df.join(total, by).withColumn("__s", F.exp(score) / F.col("__z")), by, vec, "__s")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, vec: str, k: int = 5, blocks: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, vec: str, k: int = 5, block: int = 5_000) -> DataFrame:
     """(q, rank, key, score): the k nearest rows by cosine, exact; every query meets every row, in blocks.
 
-    The queries are spread over blocks and each block meets all rows as matrices in an Arrow batch; each batch sends on only its k best, so
-    what is shuffled is k rows per query and batch.
+    Blocks have about ``block`` rows on either side, so their number follows the tables; a pair of blocks is one product of matrices and sends
+    on only its k best, so that what is shuffled after it is k rows per query and block. Ties fall to the smaller key.
     """
     import numpy as np
     import pandas as pd
@@ -82,20 +82,31 @@ def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, vec: str, k
     types = dict(corpus.dtypes)
     left = queries.filter(F.col(vec).isNotNull()).select(F.col(q).alias("__id"), F.col(vec).alias("__v"))
     right = corpus.filter(F.col(vec).isNotNull()).select(F.col(key).alias("__id"), F.col(vec).alias("__v"))
+    qs, cs = (max(1, -(-x.count() // block)) for x in (left, right))
     spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    a = left.select((F.pmod(F.xxhash64("__id"), F.lit(blocks))).cast("int").alias("qb"), spread(blocks, "cb"), "__id", "__v")
-    b = right.select((F.pmod(F.xxhash64("__id"), F.lit(blocks))).cast("int").alias("cb"), spread(blocks, "qb"), "__id", "__v")
+    own = lambda n, name: F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int").alias(name)
+    a = left.select(own(qs, "qb"), spread(cs, "cb"), "__id", "__v")
+    b = right.select(own(cs, "cb"), spread(qs, "qb"), "__id", "__v")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({q: x.get("__id", pd.Series(dtype="int64"))[:0], key: y.get("__id", pd.Series(dtype="int64"))[:0], "score": pd.Series(dtype="float64")})
         unit = lambda v: (m := np.stack(v.to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        ids = y["__id"].to_numpy()
-        s = np.round(unit(x["__v"]) @ unit(y["__v"]).T, 5)
-        s[x["__id"].to_numpy()[:, None] == ids[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        out = pd.DataFrame({q: np.repeat(x["__id"].to_numpy(), order.shape[1]), key: ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-        return out[out["score"] > -2]
+        y = y.sort_values("__id", kind="stable")  # so that a stable order by score breaks ties by key
+        ids, to = y["__id"].to_numpy(), unit(y["__v"])
+        out = []
+        for at in range(0, len(x), 500):
+            mine = x["__id"].to_numpy()[at : at + 500]
+            s = np.round(unit(x["__v"].iloc[at : at + 500]) @ to.T, 5)
+            s[mine[:, None] == ids[None, :]] = -2
+            least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+            row, col = np.nonzero((s >= least[:, None]) & (s > -2))  # the k best and those that tie with the last
+            order = np.lexsort((col, -s[row, col], row))
+            row, col = row[order], col[order]
+            n = np.bincount(row, minlength=len(mine))
+            ok = np.arange(len(row)) - (np.cumsum(n) - n)[row] < k
+            out.append(pd.DataFrame({q: mine[row[ok]], key: ids[col[ok]], "score": s[row[ok], col[ok]]}))
+        return pd.concat(out)
 
     schema = f"{q} {dict(queries.dtypes)[q]}, {key} {types[key]}, score double"
     best = a.groupBy("qb", "cb").cogroup(b.groupBy("qb", "cb")).applyInPandas(run, schema)

@@ -254,6 +254,13 @@ def sliding_windows(spark, d):
     return sequences.sliding(tok(spark, d).groupBy("sentence_id").agg(F.count("*").alias("n")), KEY, F.col("n"), 16, 8)
 
 
+@query(f"""WITH {TOK}, s AS (SELECT sentence_id, count(*) AS n FROM tok GROUP BY 1), w AS (SELECT sentence_id, n, unnest(range(CAST(greatest(ceil((n - 16) / 8.0), 0) AS BIGINT) + 1)) AS win FROM s), m AS (SELECT *, max(win) OVER (PARTITION BY sentence_id) AS last FROM w)
+SELECT sentence_id, win, CASE WHEN win = 0 THEN 0 ELSE win * 8 + 4 END AS start, CASE WHEN win = last THEN least(win * 8 + 16, n) ELSE win * 8 + 12 END AS stop FROM m""")
+def window_centres(spark, d):
+    rows = sequences.sliding(tok(spark, d).groupBy("sentence_id").agg(F.count("*").alias("n")), KEY, F.col("n"), 16, 8)
+    return sequences.centres(rows, KEY, 16, 8).select("sentence_id", "win", "start", "stop")
+
+
 _LOG = "lg AS (SELECT DISTINCT run_id, epoch, CAST(nullif(dev_f1, '_') AS DOUBLE) AS f1, CAST(nullif(train_loss, '_') AS DOUBLE) AS loss FROM training_log)"
 
 
@@ -922,6 +929,11 @@ def corpus_scores(spark, d):
     return per.withColumn("macro", F.round(F.avg("score").over(Window.partitionBy()), 4))
 
 
+@query(f"WITH {GP} SELECT gold, count(score) AS n, round(sum(score), 6) AS total, round(avg(score), 6) AS mean FROM gp GROUP BY gold")
+def mean_score(spark, d):
+    return metrics.mean_score(gp(spark, d), "gold", "score")
+
+
 # ---- vectors ----
 
 _DIM = "e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings)"
@@ -947,7 +959,7 @@ p AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_dot_product(a.v, b.v)
 SELECT q, rank, vec_id, score FROM r WHERE rank <= 5""")
 def nearest(spark, d):
     rows = table(spark, d, "embeddings")
-    return vectors.nearest(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding"), rows, "q", "vec_id", "embedding", blocks=4)
+    return vectors.nearest(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding"), rows, "q", "vec_id", "embedding")
 
 
 @query()
