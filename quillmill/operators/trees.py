@@ -118,52 +118,115 @@ def _cycle(head: np.ndarray) -> np.ndarray | None:
 
 
 def eisner(score: np.ndarray) -> np.ndarray:
-    """Heads of the best projective tree rooted at 0, for score[dependent, head]."""
-    n = len(score)
-    open_, closed = np.full((n, n, 2), -np.inf), np.full((n, n, 2), -np.inf)  # direction 1: the left end is the head
-    split_o, split_c = np.zeros((n, n), np.int64), np.zeros((n, n, 2), np.int64)
+    """Heads of the best projective tree rooted at 0, for score[dependent, head]; or of a batch of sentences of one length, for score[sentence, dependent, head]."""
+    if score.ndim == 2:
+        return eisner(score[None])[0]
+    many, n = score.shape[:2]
+    open_, closed = np.full((many, n, n, 2), -np.inf), np.full((many, n, n, 2), -np.inf)  # direction 1: the left end is the head
+    split_o, split_c = np.zeros((many, n, n), np.int64), np.zeros((many, n, n, 2), np.int64)
+    every = np.arange(many)
     for i in range(n):
-        closed[i, i] = 0
+        closed[:, i, i] = 0
     for width in range(1, n):
         for i in range(n - width):
             j = i + width
-            both = closed[i, i:j, 1] + closed[i + 1 : j + 1, j, 0]
-            k = int(both.argmax())
-            split_o[i, j] = i + k
-            open_[i, j, 1] = both[k] + score[j, i]
+            both = closed[:, i, i:j, 1] + closed[:, i + 1 : j + 1, j, 0]
+            k = both.argmax(axis=1)
+            split_o[:, i, j] = i + k
+            open_[:, i, j, 1] = both[every, k] + score[:, j, i]
             if i:
-                open_[i, j, 0] = both[k] + score[i, j]
-            left = closed[i, i:j, 0] + open_[i:j, j, 0]
-            right = open_[i, i + 1 : j + 1, 1] + closed[i + 1 : j + 1, j, 1]
-            split_c[i, j] = i + int(left.argmax()), i + 1 + int(right.argmax())
-            closed[i, j] = left.max(), right.max()
-    head = np.zeros(n, np.int64)
-    work = [(0, n - 1, 1, True)]
-    while work:
-        i, j, d, done = work.pop()
-        if i == j:
-            continue
-        if done:
-            k = int(split_c[i, j, d])
-            work += [(i, k, 0, True), (k, j, 0, False)] if d == 0 else [(i, k, 1, False), (k, j, 1, True)]
-        else:
-            head[j if d else i] = i if d else j
-            k = int(split_o[i, j])
-            work += [(i, k, 1, True), (k + 1, j, 0, True)]
+                open_[:, i, j, 0] = both[every, k] + score[:, i, j]
+            left = closed[:, i, i:j, 0] + open_[:, i:j, j, 0]
+            right = open_[:, i, i + 1 : j + 1, 1] + closed[:, i + 1 : j + 1, j, 1]
+            for d, side in ((0, left), (1, right)):
+                k = side.argmax(axis=1)
+                split_c[:, i, j, d] = i + d + k
+                closed[:, i, j, d] = side[every, k]
+    head = np.zeros((many, n), np.int64)
+    for m in range(many):
+        work = [(0, n - 1, 1, True)]
+        while work:
+            i, j, d, done = work.pop()
+            if i == j:
+                continue
+            if done:
+                k = int(split_c[m, i, j, d])
+                work += [(i, k, 0, True), (k, j, 0, False)] if d == 0 else [(i, k, 1, False), (k, j, 1, True)]
+            else:
+                head[m, j if d else i] = i if d else j
+                k = int(split_o[m, i, j])
+                work += [(i, k, 1, True), (k + 1, j, 0, True)]
     return head
 
 
-def decode(arcs: DataFrame, keys: list[str], how: str = "mst") -> DataFrame:
-    """(keys, dep, head) of the best tree for scored arcs (keys, dep, head, score); absent arcs can't be taken unless nothing else can."""
-    best = arborescence if how == "mst" else eisner
+def spanning(score: np.ndarray) -> np.ndarray:
+    """Heads of the best spanning trees of a batch of sentences of one length; only those whose best heads run in a cycle are mended one by one."""
+    many, n = score.shape[:2]
+    score = score.astype(float).copy()
+    score[:, np.arange(n), np.arange(n)] = -np.inf
+    head = np.zeros((many, n), np.int64)
+    if n > 1:
+        head[:, 1:] = score[:, 1:].argmax(axis=2)
+    up = head
+    for _ in range(int(n).bit_length()):
+        up = np.take_along_axis(up, up, axis=1)
+    for m in np.flatnonzero(up.any(axis=1)):
+        head[m] = arborescence(score[m])
+    return head
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(pdf["dep"].max(), pdf["head"].max())) + 1
-        score = np.full((n, n), -1e9)
-        score[pdf["dep"], pdf["head"]] = pdf["score"]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "dep": np.arange(1, n), "head": best(score)[1:]})
 
-    return _grouped(arcs, keys, run, "dep bigint, head bigint")
+def _in_batches(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn(rows, group of each row)`` over whole sentences, as many at a time as come in a batch; only the one that a batch ends in is carried over."""
+    types = dict(df.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            k = pdf[keys]
+            new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy().copy()
+            if len(new):
+                new[0] = True
+                last = int(np.flatnonzero(new)[-1])
+                rest = pdf.iloc[last:]
+                if last:
+                    yield fn(pdf.iloc[:last], np.cumsum(new[:last]) - 1)
+        if rest is not None and len(rest):
+            yield fn(rest, np.zeros(len(rest), np.int64))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{head}, {schema}")
+
+
+def decode(arcs: DataFrame, keys: list[str], how: str = "mst", cells: int = 4_000_000) -> DataFrame:
+    """(keys, dep, head) of the best tree for scored arcs (keys, dep, head, score); absent arcs can't be taken unless nothing else can.
+
+    Sentences of one length are decoded together, as many as have ``cells`` cells of scores.
+    """
+    best = spanning if how == "mst" else eisner
+
+    def run(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        dep, head, value = pdf["dep"].to_numpy(np.int64), pdf["head"].to_numpy(np.int64), pdf["score"].to_numpy(float)
+        size = np.zeros(group[-1] + 1, np.int64)
+        np.maximum.at(size, group, np.maximum(dep, head) + 1)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        place, out = np.zeros(len(size), np.int64), []
+        for n in np.unique(size).tolist():
+            alike = np.flatnonzero(size == n)
+            step = max(1, cells // (n * n))
+            for at in range(0, len(alike), step):
+                mine = alike[at : at + step]
+                place[:] = -1
+                place[mine] = np.arange(len(mine))
+                ok = place[group] >= 0
+                score = np.full((len(mine), n, n), -1e9)
+                score[place[group[ok]], dep[ok], head[ok]] = value[ok]
+                found = best(score)[:, 1:]
+                rows = pdf[keys].iloc[np.repeat(first[mine], n - 1)].reset_index(drop=True)
+                out.append(rows.assign(dep=np.tile(np.arange(1, n), len(mine)), head=found.ravel()))
+        return pd.concat(out)
+
+    return _in_batches(arcs, keys, run, "dep bigint, head bigint")
 
 
 def threshold_arcs(arcs: DataFrame, score: str = "score", least: float = 0.5) -> DataFrame:
