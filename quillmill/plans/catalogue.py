@@ -659,7 +659,7 @@ def lsh_candidates(spark, d):
 def _top(spark, d):
     # signatures are stored, as an index is; bands and scores read them
     held, stored = cut(_queries(spark, d), "queries"), cut(_corpus(spark, d), "index")
-    return similarity.top_k(similarity.scored(held, stored, "qid", "sent_id", BANDS, ROWS, LOW, least=LEAST), "qid", "sent_id")
+    return similarity.retrieve(held, stored, "qid", "sent_id", BANDS, ROWS, low=LOW, least=LEAST)
 
 
 @query(f"WITH {_SCORED} SELECT qid, rank, sent_id, text, score FROM top WHERE rank <= 5")
