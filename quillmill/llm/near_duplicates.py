@@ -17,8 +17,8 @@ also enter trees of single pieces, all but t of theirs and one more; every other
 own first pieces name. There a pair meets by the set bound alone, so no pair with such a text can be lost.
 
 Routing: trees are spread over parts by the least of the three pieces of their run, and runs are taken in the order of that
-piece, so that neighbouring runs of a record go to one part and carry its bitmap once. What a record costs doesn't depend on
-how many parts there are; their number follows from the number of runs alone.
+piece, so that neighbouring runs of a record go to one part and carry its bitmap once. What a record costs is bounded by that,
+however many parts there are; their number follows from the number of runs alone.
 """
 
 from __future__ import annotations
