@@ -1,7 +1,7 @@
 """Problem 3: groups of texts that share most of their 3-character pieces, found with signature trees.
 
 Texts are reduced to their core and equal cores are folded into one representative first, so copies cost nothing. Each
-representative enters the trees of its rarest runs of five characters. A tree is built over the representatives that
+representative enters the trees of its rarest runs of six characters. A tree is built over the representatives that
 hold one run: its leaves are records with a bitmap of their 3-character pieces and their size, inner nodes hold the OR of
 the bitmaps below and the range of sizes. Each tree is traversed against itself; a pair of nodes is dropped when the
 sizes or the largest overlap the bitmaps allow can't reach the threshold. The pairs of leaves that are left are checked
@@ -9,14 +9,15 @@ exactly.
 
 How many runs a record needs: let a pair have similarity t = |A n B| / |A u B|, and let the pieces of A that B lacks form e
 gaps along A. A gap loses at least two pieces and each junction adds at least two to B, so with m lost pieces
-m + 2te <= (1-t)|A| and m >= 2e; a gap of k pieces breaks k+2 runs of five characters, hence at most
-m + 2e <= 2(1-t)/(1+t) |A| runs are broken. A record therefore enters as many trees as may be broken, and two more, taken in
+m + 2te <= (1-t)|A| and m >= 2e; a gap of k pieces breaks k+3 runs of six characters, hence at most
+m + 3e <= 5(1-t)/(2(1+t)) |A| runs are broken. Longer runs have fewer holders, but of seven a similar pair of twelve characters
+may have none in common. A record therefore enters as many trees as may be broken, and two more, taken in
 one global order (rare first), as in prefix filtering. The argument takes it that a gap isn't filled by chance by equal
 pieces from elsewhere in the text, which fails for texts over few letters and for texts that repeat themselves. Such texts
 also enter trees of single pieces, all but t of theirs and one more; every other record enters those of these trees that its
 own first pieces name. There a pair meets by the set bound alone, so no pair with such a text can be lost.
 
-Routing: trees are spread over parts by the least of the three pieces of their run, and runs are taken in the order of that
+Routing: trees are spread over parts by the least of the pieces of their run, and runs are taken in the order of that
 piece, so that neighbouring runs of a record go to one part and carry its bitmap once. What a record costs is bounded by that,
 however many parts there are; their number follows from the number of runs alone.
 """
@@ -35,12 +36,12 @@ from quillmill.functions import codepoints as cp
 from quillmill.llm import cores
 from quillmill.session import cut, partitions
 
-RUN = 5  # characters of a routing run
+RUN = 6  # characters of a routing run
 PIECE = 3
 FAN = 8  # children of a tree node
 BITS, PIECE_BITS = 22, 20
 BUCKETS, PIECES = 1 << BITS, 1 << PIECE_BITS  # of the tables of run counts and of piece counts
-HEAVY = 1 / 2000  # share of the representatives from which a run counts as frequent
+HEAVY = 1 / 16000  # share of the representatives from which a run counts as frequent
 WORDS = 4  # 64-bit words of a full bitmap
 CHUNK = 30_000  # representatives that a worker routes at a time; row numbers have 15 bits
 TREE_CAP = 30_000  # a larger tree is built in parts that are traversed pairwise
@@ -84,12 +85,12 @@ def _first(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of each run, and the least hash of its three pieces; the hash of each piece, whose rows follow from the lengths."""
+    """Row and hash of each run, and the least hash of its pieces; the hash of each piece, whose rows follow from the lengths."""
     h, go = cp.gram_hashes(c, o, RUN)
     piece, po = cp.gram_hashes(c, o, PIECE)
     row = cp.row_of(go)
     at = np.arange(len(h)) - go[row] + po[row]
-    least = np.minimum(np.minimum(piece[at], piece[at + 1]), piece[at + 2]) if len(h) else h
+    least = np.minimum.reduce([piece[at + i] for i in range(RUN - PIECE + 1)]) if len(h) else h
     return row, h, least, piece
 
 
@@ -114,6 +115,11 @@ def _first_pieces(key: np.ndarray, pieces: np.ndarray, t: float) -> np.ndarray:
     return rank <= np.floor((1 - t) * pieces + 1e-9).astype(np.int64)[row]
 
 
+def _broken(t: float) -> float:
+    """The share of its pieces that a record may have in broken runs."""
+    return (RUN - 1) * (1 - t) / (2 * (1 + t))
+
+
 def _count_runs(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, least, piece, active, rows, runs = np.zeros(BUCKETS, np.int64), np.zeros(PIECES, np.int64), np.zeros(PIECES, np.int64), np.zeros(PIECES, bool), 0, 0
@@ -215,7 +221,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _route(t: float, parts: int, counts: Counts):
-    lose = 2 * (1 - t) / (1 + t)
+    lose = _broken(t)
     if parts > 1 << 25:
         raise ValueError("more tree entries than 2**25 parts can hold")
 
@@ -469,7 +475,7 @@ def candidates(reps: DataFrame, t: float, per_part: int = PART, cap: int = TREE_
     in pairs of blocks and traversed in a second round, by as many tasks as it has pairs.
     """
     counts = Counts.of(reps, t)
-    parts = max(1, int(np.ceil(counts.runs * 2 * (1 - t) / (1 + t) / per_part)))
+    parts = max(1, int(np.ceil(counts.runs * _broken(t) / per_part)))
     schema = "id_a bigint, id_b bigint, p bigint, blob binary"
     routed = reps.select("rid", "c").mapInArrow(_route(t, parts, counts), "p bigint, blob binary")
     found = cut(routed.groupBy("p").applyInArrow(_join(t, cap), schema), "near-candidates")

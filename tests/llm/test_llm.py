@@ -118,6 +118,33 @@ def test_trees_in_parts(spark, monkeypatch):
     assert want <= pairs_of(routed(rows, 3, plain_counts(4000, 3)).values())
 
 
+def test_order_of_runs(monkeypatch):
+    """Runs held by one record in some thousands are told from rarer ones; trees split by a count lose nothing."""
+    np = near_duplicates.np
+    level = near_duplicates.levels_of(np.array([1, 2, 3]), np.array([7, 12, 19]), 40_000, 0)
+    assert level[1] == 0 < level[2] <= level[3]
+    rows = sorted({C(t) for t in versions(5, 80) if t and 12 <= len(C(t)) <= 300})
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sim(rows[i], rows[j], 6)}
+    size = lambda blobs: sum(len(x) for b in blobs.values() for x in b)
+    whole = size(routed(rows, 3, plain_counts(4000, 6)))
+    monkeypatch.setattr(near_duplicates, "TREE_CAP", 2)
+    split = routed(rows, 3, plain_counts(4000, 6))
+    assert size(split) > whole and want <= pairs_of(split.values())
+
+
+def test_short_versions():
+    """The shortest texts, with a change at every place: most of their runs are broken, and no pair is lost."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for _ in range(15):
+        base = rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", rng.randint(12, 20))
+        places = [(base[:k], base[k:]) for k in range(len(base))]
+        own = sorted({"".join(t) for a, b in places for t in (a + ["天"] + b, a + ["天"] + b[1:], a + b[1:], b + a) if len(t) >= 12})
+        want |= {(len(rows) + i, len(rows) + j) for i in range(len(own)) for j in range(i + 1, len(own)) if sim(own[i], own[j], 6)}
+        rows += own
+    assert len(want) > 2000 and want <= pairs_of(routed(rows, 3, plain_counts(len(rows))).values())
+
+
 def test_routing_does_not_depend_on_parts():
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(3000)]
