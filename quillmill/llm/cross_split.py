@@ -5,9 +5,9 @@ training texts where they lie: the automata go to the texts, and no training tex
 
 Pairs: the patterns are the distinct 3-character pieces of the shard, numbered from the rarest on. What an automaton finds in
 a training core are its pieces that the shard has; those that it lacks can't be shared and count as the rarest. A pair of
-similarity t shares at least t of the pieces of either record, so whatever the edits are, the first few of the pieces that it
-shares stand in the first part of both (all but t of the pieces, and ``MEET`` more): at least ``MEET`` meet there. Records that
-meet so are compared exactly; nothing that is similar enough is lost, repeats or not.
+similarity t shares at least t of the pieces of either record, so whatever the edits are, the first of the pieces that it shares
+stands in the first part of both (all but t of the pieces, and one more). Records that meet there and whose bitmaps of pieces
+don't show that too many are lost are compared exactly; nothing that is similar enough is lost, repeats or not.
 
 Coverage: the patterns are the segments of half a stretch that the evaluation cores are cut into. Any common stretch holds one
 whole, so around each match the windows of a full stretch are looked up; the matched intervals of an evaluation record, in
@@ -34,9 +34,10 @@ from quillmill.session import cut
 LOW, HIGH = 12, 300
 SHARD_CHARS = 6_000_000  # characters of evaluation cores in one automaton; some 20 bytes each go to the workers
 SCAN_BYTES = 1_000_000  # bytes of training texts that are scanned at a time
-EXPANDED = 1_000_000  # meetings that are counted at a time
+EXPANDED = 200_000  # meetings that are counted at a time
 PAIRS = 8_000  # pairs that are compared at a time
-MEET = 7  # rare pieces that a pair must share
+MEET = 1  # pieces of the first part that a pair must share
+WORDS = 4  # 64-bit words of a bitmap
 STRETCH = 12  # characters of the shortest stretch that covers
 LOW_BITS = 0xFFFFFFFF
 
@@ -70,6 +71,15 @@ def _number(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at] << 42 | c[at + 1] << 21 | c[at + 2]
 
 
+def _bitmaps(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Bitmaps of the pieces of each row, word by word."""
+    h, _ = cp.gram_hashes(codes, offs, 3)
+    row, _ = _starts(offs, 3)
+    out = np.zeros((WORDS, len(offs) - 1), np.uint64)
+    np.bitwise_or.at(out, ((h >> np.uint64(62)).astype(np.int64), row), np.uint64(1) << (h & np.uint64(63)))
+    return out
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The upper and lower half of the distinct numbers, in order."""
     key.sort()
@@ -124,6 +134,7 @@ class Pairs:
         at_size = piece * self.stride + self.size[row]
         order_of = np.argsort(at_size, kind="stable")
         self.owner, self.at_size = row[order_of].astype(np.int32), at_size[order_of]
+        self.bits = _bitmaps(codes, offs)
         self.machine = _automaton(_strings(codes, at[first[order]], 3)) if len(number) else None
 
     def scan(self, ids: np.ndarray, codes: np.ndarray, offs: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
@@ -150,22 +161,32 @@ class Pairs:
         low, high = -(-self.tenths * size // 10)[row], np.minimum(10 * size // self.tenths, self.stride - 1)[row]
         first = np.searchsorted(self.at_size, piece * self.stride + np.minimum(low, self.stride - 1), "left")
         n = np.searchsorted(self.at_size, piece * self.stride + high, "right") - first
+        bits = _bitmaps(codes, offs)
         # whole rows, so many that about EXPANDED meetings are counted at a time
         meetings = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=rows).astype(np.int64))])
         edges = np.searchsorted(row, np.concatenate([[0], np.flatnonzero(np.diff(meetings[:-1] // EXPANDED)) + 1, [rows]]))
+        left = np.zeros(0, np.int64)
         for lo, hi in zip(edges, edges[1:], strict=False):
             m = n[lo:hi]
             where = np.repeat(first[lo:hi], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            pair, times = np.unique(np.repeat(row[lo:hi], m) << 32 | self.owner[where], return_counts=True)
-            b, a = pair >> 32, pair & LOW_BITS
-            shared = np.maximum(self.least[a], least[b])
-            ok = (times >= np.minimum(MEET, shared)) & (np.minimum(self.size[a], size[b]) >= shared)
-            a, b = a[ok], b[ok]
-            for low in range(0, len(a), PAIRS):
-                i, j = a[low : low + PAIRS], b[low : low + PAIRS]
+            a, b = self.owner[where], np.repeat(row[lo:hi], m)
+            both = self.size[a] + size[b]
+            shared = -(-self.tenths * both // (10 + self.tenths))  # the least number of pieces that two of such sizes must share
+            spare_a, spare_b = self.size[a] - shared, size[b] - shared
+            for mine, other in zip(self.bits, bits, strict=True):
+                x, y = mine[a], other[b]
+                spare_a, spare_b = spare_a - np.bitwise_count(x & ~y), spare_b - np.bitwise_count(y & ~x)
+                ok = np.flatnonzero((spare_a >= 0) & (spare_b >= 0))
+                a, b, spare_a, spare_b = a[ok], b[ok], spare_a[ok], spare_b[ok]
+            left = np.concatenate([left, np.unique(b << 32 | a)])
+            if len(left) < PAIRS and hi < len(row):
+                continue
+            for low in range(0, len(left), PAIRS):
+                j, i = left[low : low + PAIRS] >> 32, left[low : low + PAIRS] & LOW_BITS
                 inter, union = cp.shared_trigrams(cp.take_rows(self.codes, self.offs, i), cp.take_rows(codes, offs, j))
                 good = 10 * inter >= self.tenths * union
                 yield {"held": self.ids[i[good]], "train": ids[j[good]], "shared": inter[good], "all_pieces": union[good]}
+            left = left[:0]
 
 
 class Cover:

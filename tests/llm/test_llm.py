@@ -236,6 +236,21 @@ def test_cross_split_cut_ends(spark):
     assert {(r["id_held"], r["id_train"]) for r in cross_split.CrossSplit(df).pairs().collect()} == want
 
 
+def test_cross_split_meetings(monkeypatch):
+    """Lines over few words meet often; the bitmaps leave hardly more than the pairs to be compared, and all of these."""
+    np, cp = cross_split.np, cross_split.cp
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(20)]
+    held = ["".join(rng.choices(words, k=8)) for _ in range(150)]
+    train = ["".join(rng.choices(words, k=8)) for _ in range(250)] + [t[:20] + "天" + t[21:] for t in held[:40]]
+    want = {(i, j) for i, a in enumerate(held) for j, b in enumerate(train) if sim(a, b, 7)}
+    compared, exact = [], cp.shared_trigrams
+    monkeypatch.setattr(cp, "shared_trigrams", lambda a, b: compared.append(len(a[1]) - 1) or exact(a, b))
+    pairs = cross_split.Pairs(np.arange(len(held)), *cp.flatten(pa.array(held)), 7)
+    got = {x for out in pairs.scan(np.arange(len(train)), *cp.flatten(pa.array(train))) for x in zip(out["held"].tolist(), out["train"].tolist(), strict=True)}
+    assert len(want) >= 40 and got == want and sum(compared) < 2 * len(want)
+
+
 def test_terms(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["a", "b", "", "c" + str(rng.randrange(60)), "天"], k=rng.randint(0, 9)))) for i in range(100)] + [(200, None), (None, "zz")]
