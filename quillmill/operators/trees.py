@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.session import cut
+
 
 def projective(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, projective): false where two arcs of a sentence cross; negative heads are left out."""
@@ -64,10 +66,14 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
 def is_tree(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tree): whether every token of 1..n, with one head each, leads to the root. The heads of a sentence are one array that is followed in doubled steps; a head below 0 counts as the root."""
     sent = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dep", "head"))).alias("__e"))
-    heads = F.transform("__e", lambda e: F.greatest(e["head"], F.lit(0)).cast("int"))
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("__e") + 1)).cast("int"))
+    return sent.select(*keys, _all_lead_to_root(F.col("__e")).alias("tree"))
+
+
+def _all_lead_to_root(e: Column) -> Column:
+    heads = F.transform(e, lambda x: F.greatest(x["head"], F.lit(0)).cast("int"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(e) + 1)).cast("int"))
     last = F.aggregate(rounds, heads, lambda h, _: F.transform(h, lambda x: F.when(x > 0, F.get(h, x - 1)).otherwise(0)))
-    return sent.select(*keys, F.forall(last, lambda x: x == 0).alias("tree"))
+    return F.forall(last, lambda x: x == 0)
 
 
 def arborescence(score: np.ndarray) -> np.ndarray:
@@ -298,10 +304,11 @@ def decode_repaired(arcs: DataFrame, keys: list[str], rels: DataFrame | None = N
     ``rels`` (keys, dep, head, rel, score) gives the best relation of each arc taken.
     """
     best = arcs.groupBy(*keys, "dep").agg(F.min_by("head", F.struct(-F.col("score"), F.col("head"))).cast("bigint").alias("head")).withColumn("dep", F.col("dep").cast("bigint"))
-    good = is_tree(best, keys)
-    kept = best.join(good.filter("tree").select(*keys), keys, "left_semi")
-    mended = decode(arcs.join(good.filter("NOT tree").select(*keys), keys, "left_semi"), keys)
-    heads = kept.select(*keys, "dep", "head").unionByName(mended)
+    sent = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dep", "head"))).alias("__e"))
+    found = cut(sent.withColumn("tree", _all_lead_to_root(F.col("__e"))), "heads")  # a row for each sentence: what is kept and what is mended read it
+    kept = found.filter("tree").select(*keys, F.inline("__e"))
+    mended = decode(arcs.join(found.filter("NOT tree").select(*keys), keys, "left_semi"), keys)
+    heads = kept.unionByName(mended)
     if rels is None:
         return heads
     named = rels.groupBy(*keys, F.col("dep").cast("bigint").alias("dep"), F.col("head").cast("bigint").alias("head")).agg(F.min_by("rel", F.struct(-F.col("score"), F.col("rel"))).alias("rel"))

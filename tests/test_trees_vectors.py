@@ -178,3 +178,21 @@ def test_faded_hot_key_and_nulls(spark):
     for i in range(1, 50):
         m = [0.5 * m[0] + 0.5 * i, 1.0]
     assert got == {("a", 0): round(m[0], 4), ("a", 1): 1.0, ("b", 0): 2.0, ("b", 1): 4.0}
+
+
+def test_decode_repaired_where_parts_change(spark):
+    """Sides of a union that stood by the sentence failed where one was split or coalesced: 'Can't zip RDDs with unequal numbers of partitions'."""
+    t = spark.range(400).select((F.col("id") % 100).cast("int").alias("s"), (F.floor(F.col("id") / 100) + 1).cast("int").alias("dep")).repartition("s")
+    arcs = t.select("s", "dep", (F.col("dep") - 1).alias("head"), F.lit(1.0).alias("score")).unionByName(t.filter("s % 2 = 0 AND dep = 1").select("s", "dep", F.lit(2).alias("head"), F.lit(2.0).alias("score")))
+    found = trees.decode_repaired(arcs.groupBy("s", "dep", "head").agg(F.max("score").alias("score")), ["s"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["s"], r["dep"]): r["head"] for r in found.collect()}
+    assert len(rows) == 400 and all(rows[s, d] == d - 1 for s in range(1, 100, 2) for d in range(1, 5)) and all(rows[s, d] == d - 1 for s in range(0, 100, 2) for d in range(3, 5))
+    assert plan.split("Union")[1].splitlines()[1].count("Join") == 0
+
+
+def test_arcs_are_one_scan(spark):
+    from quillmill.plans import catalogue
+
+    plan = catalogue._arcs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("parquet") == 1
