@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from quillmill.operators import sequences as seq
 from quillmill.operators import text as tx
-from quillmill.operators.ranking import global_rank, running_totals
+from quillmill.operators.ranking import global_rank
+from quillmill.session import cut, partitions
 from quillmill.sources.registry import parse_layout, register
 
 DOCSTART = "-DOCSTART-"
@@ -55,13 +56,23 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _sentences(rows: DataFrame) -> DataFrame:
-    """(path, at, value, sent): the lines that aren't blank; ``sent`` counts from 0 within a file and rises after blank lines."""
-    blank = (~F.col("value").rlike(r"(?U)\S")).cast("int")
-    counted = running_totals(rows, F.col("path"), F.col("at"), __b=blank).filter(F.col("value").rlike(r"(?U)\S"))
-    sents = global_rank(counted.select("path", "__b").distinct(), F.col("path"), F.col("__b"), name="__r")
-    first = sents.groupBy("path").agg(F.min("__r").alias("__a"))
-    names = sents.join(first, "path").select("path", "__b", (F.col("__r") - F.col("__a")).cast("int").alias("sent"))
-    return counted.join(names, ["path", "__b"]).select("path", "at", "value", "sent")
+    """(path, at, value, sent): the lines that aren't blank; ``sent`` counts from 0 within a file and rises after blank lines.
+
+    Lines are range-partitioned by file and place, and a sentence is counted at its first line. Where a range goes on with a sentence
+    of the one before, it takes one off. A row for each file of a range is sent to the tasks, none for each sentence.
+    """
+    spark = rows.sparkSession
+    wide = rows.select("path", "at", "value", (~F.col("value").rlike(r"(?U)\S")).alias("__b"))
+    placed = cut(wide.repartitionByRange(partitions(spark), "path", "at").withColumn("__range", F.spark_partition_id()), "lines")
+    w = Window.partitionBy("__range", "path").orderBy("at")
+    counted = placed.withColumn("__f", (~F.col("__b") & F.coalesce(F.lag("__b").over(w), F.lit(True))).cast("long"))
+    parts = counted.groupBy("__range", "path").agg(F.sum("__f").alias("__n"), F.min_by("__b", "at").alias("__first"), F.max_by("__b", "at").alias("__end"))
+    o = Window.partitionBy("path").orderBy("__range")
+    goes_on = (~F.col("__first") & ~F.coalesce(F.lag("__end").over(o), F.lit(True))).cast("long")
+    before = F.coalesce(F.sum("__n").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__on").over(o.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    base = parts.withColumn("__on", goes_on).select("__range", "path", before.alias("__base"))
+    total = F.col("__base") + F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.join(F.broadcast(base), ["__range", "path"]).withColumn("sent", total.cast("int")).filter(~F.col("__b")).select("path", "at", "value", "sent")
 
 
 def _tokens_of(rows: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ def _write(df: DataFrame, path: str, order: list[str], one_file: bool, sep: str
     rows.sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path, lineSep=sep)
 
 
-def blocks(tokens: DataFrame, keys: list[str], cols: list[str], sep: str = "\t", doc_mark: bool = False) -> DataFrame:
-    """(keys, value): a sentence as lines of columns in the order of idx. Blanks within a cell, which would part it, become ``_``, and so do cells without a value."""
+def blocks(tokens: DataFrame, keys: list[str], cols: list[str], sep: str = "\t", doc_mark: bool = False, most: str | None = None) -> DataFrame:
+    """(keys, value[, most]): a sentence as lines of columns in the order of idx. Blanks within a cell, which would part it, become ``_``, and so do cells without a value. ``most`` is a column of which the sentence's greatest value is kept."""
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("_")), BLANKS, "_")
     line = F.concat_ws(sep, *map(cell, cols))
-    rows = tokens.select(*keys, F.struct("idx", line.alias("l")).alias("x")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("value"))
+    kept = [most] if most else []
+    rows = tokens.select(*keys, *kept, F.struct("idx", line.alias("l")).alias("x")).groupBy(*keys).agg(*[F.max(c).alias(c) for c in kept], F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("value"))
     return rows.withColumn("value", F.concat(F.lit("-DOCSTART-\n\n"), "value")) if doc_mark else rows
 
 
@@ -30,11 +31,10 @@ def write_conll(tokens: DataFrame, path: str, keys: list[str], cols: list[str],
 def write_conllu(tokens: DataFrame, path: str, keys: list[str], score: str | None = None, one_file: bool = False) -> None:
     """CoNLL-U with ten columns (idx, form, lemma, upos, xpos, feats, head, deprel, deps, misc; those the table lacks are ``_``), under ``# Tree score`` where a column gives one."""
     cols = ("form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
-    rows = tokens.select(*keys, "idx", *[(F.col(c).cast("string") if c in tokens.columns else F.lit(None).cast("string")).alias(c) for c in cols])
-    text = blocks(rows, keys, ["idx", *cols])
+    rows = tokens.select(*keys, "idx", *[(F.col(c).cast("string") if c in tokens.columns else F.lit(None).cast("string")).alias(c) for c in cols], *([F.col(score).alias("__s")] if score else []))
+    text = blocks(rows, keys, ["idx", *cols], most="__s" if score else None)
     if score:
-        per = tokens.groupBy(*keys).agg(F.max(score).alias("__s"))
-        text = text.join(per, keys).withColumn("value", F.concat(F.lit("# Tree score: "), F.col("__s").cast("string"), F.lit("\n"), F.col("value")))
+        text = text.withColumn("value", F.concat(F.lit("# Tree score: "), F.col("__s").cast("string"), F.lit("\n"), F.col("value")))
     _write(text, path, keys, one_file, "\n\n")
 
 

@@ -145,3 +145,38 @@ def test_configuration_and_stream_restart(spark, tmp_path):
     go()
     go()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(9))
+
+
+def test_sentences_of_files_across_ranges(spark, tmp_path):
+    """Sentence numbers were a join with a row for each sentence, broadcast by its compressed size."""
+    import random
+
+    rng = random.Random(3)
+    want = []
+    for f in range(5):
+        rows = ["" if rng.random() < 0.3 else f"{f}-{i}" for i in range(rng.choice([0, 1, 40, 90]))]
+        if f == 3:
+            rows = [f"{f}-{i}" for i in range(120)]  # a sentence over several ranges
+        (tmp_path / f"f{f}.txt").write_text("\n".join(rows) + "\n")
+        sent, inside, idx = -1, False, 0
+        for r in rows:
+            sent, idx, inside = sent + (bool(r) and not inside), (idx + 1 if inside else 1), bool(r)
+            if r:
+                want.append((f"f{f}.txt", sent, idx, r))
+    got = readers.columns(spark, str(tmp_path), "0:text")
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["sent"], r["idx"], r["text"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)") == 1
+
+
+def test_conllu_is_written_without_a_join(spark, monkeypatch, tmp_path):
+    from quillmill.sources import sinks
+
+    plans = []
+    real = sinks._write
+    monkeypatch.setattr(sinks, "_write", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, *a)))
+    rows = spark.createDataFrame([(1, 1, "a", 0.25), (1, 2, "b", 0.5), (2, 1, "c", 0.75)], "s int, idx int, form string, score double")
+    sinks.write_conllu(rows, str(tmp_path / "out"), ["s"], "score")
+    assert "Join" not in plans[0]
+    text = "\n\n".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert "# Tree score: 0.5\n1\ta" in text and "# Tree score: 0.75\n1\tc" in text
